@@ -237,7 +237,7 @@ sizes AS (SELECT (SELECT count(*) FROM touched) AS touched_jobs,
 
 
 def record(column: str) -> str:
-    return f"('rec' || lpad({column}::VARCHAR, 14, '0'))"
+    return f"('rec' || lpad(({column})::VARCHAR, 14, '0'))"
 
 
 def opaque(prefix: str, *parts: str) -> str:
@@ -263,7 +263,7 @@ LANDED_CREW = f"""crew AS (
          'rec' || lpad(l_orderkey::VARCHAR, 10, '0') || lpad(l_linenumber::VARCHAR, 4, '0') FROM lineitem)"""
 LOG = f"""log AS (
   SELECT 'op_' || {record('o_orderkey')} AS entity_id, {record('o_orderkey')} AS source_id,
-         'dbl ' || lower(o_orderstatus) || ' v' AS label, 'u' || (o_custkey % 7) AS who, o_orderdate AS at,
+         'dbl ' || lower(o_orderstatus) || ' v' AS label, 'u' || (o_custkey % 7) AS who, o_orderdate AS seen,
          strftime(o_orderdate, '%Y-%m-%d') AS said
   FROM orders WHERE o_orderstatus = 'F'
   UNION ALL SELECT 'op_' || {record('o_orderkey')}, {record('o_orderkey')}, 'no crew', NULL, NULL, NULL
@@ -397,7 +397,7 @@ ORACLE: dict[str, str] = {
               FROM changes GROUP BY 1)""", CHANGES),
     "override_changes": sql(f"""SELECT {ts('changed_at')}, coalesce(changed_by, 'unknown') AS changed_by,
         entity_id AS work_id, 'Daily Ops' AS source, coalesce(work_type, 'untyped') AS work_type, {ts('start_ts')},
-        date_diff('day', changed_at, start_ts)::INT AS lead_days, customer_count, old_value, new_value
+        date_diff('day', changed_at, start_ts)::INT AS lead_days, customer_count::DOUBLE AS customer_count, old_value, new_value
         FROM of_field LEFT JOIN work ON work_id = entity_id""", WORK, CHANGES, OF_FIELD),
     "override_crew": sql("""SELECT work_id, coalesce(r.name, a.resource_id) AS resource, coalesce(r.kind, '?') AS kind,
         string_agg(DISTINCT role, ', ' ORDER BY role) AS roles
@@ -439,7 +439,7 @@ ORACLE: dict[str, str] = {
         count(customer_count) AS customer_count FROM work GROUP BY 1""", WORK),
     "landing_repeated_keys": sql("""SELECT 'assignments' AS landing_table, substr(assignment_id, 1, 13) AS key,
         count(*) AS rows FROM assignments GROUP BY 2 HAVING count(*) > 1""", ASSIGNMENTS),
-    "day_sheet": sql(f"""SELECT w.work_id, work_type, {ts('w.start_ts')}, {ts('w.end_ts')}, customer_count, status,
+    "day_sheet": sql(f"""SELECT w.work_id, work_type, {ts('w.start_ts')}, {ts('w.end_ts')}, customer_count::DOUBLE AS customer_count, status,
         coalesce(l.name, '') AS place, r.name AS resource, r.kind, a.role
         FROM work w LEFT JOIN locations l USING (location_id) LEFT JOIN assignments a ON a.work_id = w.work_id
         LEFT JOIN resources r USING (resource_id) WHERE w.start_ts::DATE = DATE '1997-05-28'""",
@@ -454,7 +454,7 @@ ORACLE: dict[str, str] = {
 
     # ingestion
     "landed_work": sql(f"""SELECT work_id, work_type, {ts('start_ts')}, {ts('end_ts')}, location_id, status,
-        customer_count, 'airtable' AS source_system, source_id, '2026-01-01 00:00:00' AS extracted_at
+        customer_count::DOUBLE AS customer_count, 'airtable' AS source_system, source_id, '2026-01-01 00:00:00' AS extracted_at
         FROM landed_work""", LANDED_WORK),
     "landed_resources": sql(f"""SELECT 'gs_' || {record('s_suppkey')} AS resource_id, 'person' AS kind, s_name AS name,
           s_nationkey::VARCHAR AS home_location_id, {record('s_suppkey')} AS source_id FROM supplier
@@ -474,7 +474,7 @@ ORACLE: dict[str, str] = {
         WHERE b.n_nationkey % 4 <> 3"""),
     "landed_changes": sql(f"""SELECT {opaque('ch_', 'entity_id', 'field', 'who', 'said')} AS change_id,
         'work' AS entity_table, entity_id, field, 'flagged' AS old_value, 'acknowledged' AS new_value,
-        {ts('at', 'changed_at')}, who AS changed_by, source_id
+        {ts('seen', 'changed_at')}, who AS changed_by, source_id
         FROM (SELECT *, {opaque('ovr_', 'label')} AS field FROM log)""", LOG),
     "override_labels": sql(f"SELECT DISTINCT {opaque('ovr_', 'label')} AS field, label FROM log", LOG),
     "parsed_links": sql(f"""SELECT {LINE} AS line, CASE WHEN l_linenumber % 5 < 3 THEN 2 ELSE 0 END::INT AS links,

@@ -35,6 +35,11 @@ def stamp(name: str) -> Column:
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
+def number(name: str) -> Column:
+    """A whole number that may be missing, in a type that compares alike everywhere."""
+    return F.col(name).cast("double").alias(name)
+
+
 def bare(spark: SparkSession, sf_dir: str) -> Landing:
     """Landing tables for plans that need no more of a job than its type and start."""
     return views.landing(spark, sf_dir, "work_type", "start_ts")
@@ -192,7 +197,7 @@ def override_changes(spark, sf_dir):
     t = views.landing(spark, sf_dir, "work_type", "start_ts", "customer_count")
     return override_detail.change_rows(t, FIELD).select(
         stamp("changed_at"), "changed_by", "work_id", "source", "work_type", stamp("start_ts"),
-        "lead_days", "customer_count", "old_value", "new_value")
+        "lead_days", number("customer_count"), "old_value", "new_value")
 
 
 @query
@@ -257,7 +262,7 @@ def landing_repeated_keys(spark, sf_dir):
 @query
 def day_sheet(spark, sf_dir):
     return days.day_sheet(views.landing(spark, sf_dir), DAY).select(
-        "work_id", "work_type", stamp("start_ts"), stamp("end_ts"), "customer_count", "status",
+        "work_id", "work_type", stamp("start_ts"), stamp("end_ts"), number("customer_count"), "status",
         "place", "resource", "kind", "role")
 
 
@@ -286,7 +291,7 @@ def _landed(spark, sf_dir, profile: str = "full") -> tuple[Landing, DataFrame]:
 def landed_work(spark, sf_dir):
     return _landed(spark, sf_dir)[0].work.select(
         "work_id", "work_type", stamp("start_ts"), stamp("end_ts"), "location_id", "status",
-        "customer_count", "source_system", "source_id", stamp("extracted_at"))
+        number("customer_count"), "source_system", "source_id", stamp("extracted_at"))
 
 
 @query
@@ -338,8 +343,9 @@ def parsed_links(spark, sf_dir):
                      F.to_json(F.array(*ids)), F.concat(ids[0], F.lit(" , "), ids[1], F.lit(",")),
                      F.lit("[]"), F.lit("null"))
     cell = F.get(shapes, F.col("l_linenumber") % 5)
-    found = views.table(spark, sf_dir, "lineitem").select(
-        views.line_key().alias("line"), cells.links(cell).alias("ids"))
+    rows = cells.with_cells(views.table(spark, sf_dir, "lineitem").select(
+        views.line_key().alias("line"), cell.alias("cell")), ["cell"])
+    found = rows.select("line", cells.links(F.col("cell"), F.col("cell#json")).alias("ids"))
     return found.select("line", F.size("ids").alias("links"), F.get("ids", F.lit(0)).alias("first_id"),
                         F.get("ids", F.lit(1)).alias("second_id"))
 
@@ -359,13 +365,15 @@ def parsed_cells(spark, sf_dir):
     layouts = ["yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss",
                "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
     texts = F.array(*[F.date_format("ts", layout) for layout in layouts], F.lit("junk"))
-    return views.table(spark, sf_dir, "events").select(
-        "event_id",
-        F.date_format(clock.parse_ts(F.get(texts, F.col("event_id") % 7)), "yyyy-MM-dd HH:mm:ss")
-        .alias("parsed_ts"),
-        cells.parse_int(F.concat(F.lit(" "), F.col("value").cast("string"))).alias("parsed_int"),
-        cells.scalar(F.col("props")).alias("scalar_of_props"),
-        cells.scalar(F.to_json(F.array("event_type"))).alias("scalar_of_list"),
+    rows = cells.with_cells(views.table(spark, sf_dir, "events").select(
+        "event_id", "ts", F.get(texts, F.col("event_id") % 7).alias("at"),
+        F.concat(F.lit(" "), F.col("value").cast("string")).alias("number"), "props",
+        F.to_json(F.array("event_type")).alias("list")), ["at", "number", "props", "list"])
+    return rows.select(
+        "event_id", F.date_format(clock.parse_ts(F.col("at")), "yyyy-MM-dd HH:mm:ss").alias("parsed_ts"),
+        cells.parse_int(F.col("number")).alias("parsed_int"),
+        cells.scalar(F.col("props"), F.col("props#json")).alias("scalar_of_props"),
+        cells.scalar(F.col("list"), F.col("list#json")).alias("scalar_of_list"),
         clock.with_weekday(F.date_format("ts", "yyyy-MM-dd HH:mm")).alias("shown"))
 
 

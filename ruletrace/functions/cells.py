@@ -6,9 +6,7 @@ through VARIANT so that mixed shapes in one column need no schema.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 EMPTY_CELLS = ("", "null")
 
@@ -19,45 +17,72 @@ EMBEDDED_RECORD = r"(?i)(mv_|op_)?rec[a-z0-9]{14}"
 UNLABELLED = "unlabelled"
 
 
+# The characters Python counts as white space, which cells are stripped of.
+WHITE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+         "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def blank_to_null(cell: Column) -> Column:
     return F.when(~cell.isin(*EMPTY_CELLS), cell)
 
 
-def parse_int(cell: Column) -> Column:
+def cleaned(cell: Column) -> Column:
+    """The text of a cell without white space around it; null when it holds nothing."""
+    return strip(blank_to_null(cell))
+
+
+def parsed(text: Column) -> Column:
+    """The VARIANT behind a cell that looks like JSON; null for other text."""
+    return F.when(text.startswith("[") | text.startswith("{"), F.try_parse_json(text))
+
+
+def parse_int(text: Column) -> Column:
     """Whole number, cut toward zero. Text that is no number gives null."""
-    return strip(blank_to_null(cell)).try_cast("double").try_cast("int")
+    return text.try_cast("double").try_cast("int")
 
 
-def links(cell: Column) -> Column:
-    """The ids in a linked cell: a JSON list of objects or ids, or a comma list."""
-    text = strip(blank_to_null(cell))
-    items = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
-    listed = F.transform(items, lambda v: F.coalesce(
-        F.try_variant_get(v, "$.id", "string"), F.try_variant_get(v, "$", "string")))
+def links(text: Column, json: Column) -> Column:
+    """The ids in a linked cell: a JSON list of objects or ids, or a comma list.
+
+    ``text`` and ``json`` are the cleaned cell and what ``parsed`` makes of it, as columns
+    of their own so that a cell is parsed once.
+    """
+    listed = F.transform(F.try_variant_get(json, "$", "array<variant>"), lambda v: F.coalesce(
+        F.try_variant_get(v, "$.id", "string"), _plain(v)))
     written = F.transform(F.split(text, ","), strip)
-    found = F.when(text.startswith("["), F.coalesce(listed, written)).otherwise(written)
-    return F.coalesce(F.filter(found, lambda x: x.isNotNull() & (x != "")),
-                      F.array().cast("array<string>"))
+    return F.filter(F.coalesce(listed, written, F.array().cast("array<string>")),
+                    lambda x: x.isNotNull() & (x != ""))
 
 
-def first_link(cell: Column) -> Column:
-    return F.get(links(cell), F.lit(0))
+def first_link(text: Column, json: Column) -> Column:
+    return F.get(links(text, json), F.lit(0))
 
 
-def scalar(cell: Column) -> Column:
+def scalar(text: Column, json: Column) -> Column:
     """A select or lookup cell as plain text: the name, else the id, of its first item."""
-    text = strip(blank_to_null(cell))
-    whole = F.try_parse_json(text)
-    item = F.when(text.startswith("["), F.try_variant_get(whole, "$[0]", "variant")).otherwise(whole)
-    picked = F.coalesce(*[
-        F.nullif(F.try_variant_get(item, path, "string"), F.lit(""))
-        for path in ("$.name", "$.id", "$")])
-    is_json = (text.startswith("{") | text.startswith("[")) & whole.isNotNull()
-    return F.nullif(F.when(is_json, blank_to_null(picked)).otherwise(text), F.lit(""))
+    named = [F.nullif(F.try_variant_get(json, path, "string"), F.lit(""))
+             for path in ("$.name", "$.id", "$[0].name", "$[0].id", "$[0][0]")]
+    picked = F.coalesce(*named, _plain(F.try_variant_get(json, "$[0]", "variant")))
+    return F.nullif(F.when(json.isNull(), text).otherwise(blank_to_null(picked)), F.lit(""))
+
+
+def _plain(value: Column) -> Column:
+    """A VARIANT as text, unless it is an object or a list."""
+    return F.when(~F.to_json(value).rlike(r"^[\[{]"), F.try_variant_get(value, "$", "string"))
+
+
+def with_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Clean the columns, and add what each parses to as ``<column>#json``.
+
+    Two projections: the optimizer keeps them apart because their results are used more
+    than once.
+    """
+    clean = df.withColumns({c: cleaned(F.col(f"`{c}`")) for c in columns})
+    return clean.withColumns({f"{c}#json": parsed(F.col(f"`{c}`")) for c in columns})
 
 
 def opaque_id(*parts: Column, prefix: str = "", length: int = 12) -> Column:
@@ -95,7 +120,3 @@ def override_line(line: Column) -> Column:
 def override_lines(cell: Column) -> Column:
     """The non-blank lines of an override log cell."""
     return F.filter(F.transform(F.split(cell, "\n"), strip), lambda x: x != "")
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

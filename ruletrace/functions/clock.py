@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ruletrace.functions.cells import blank_to_null, strip
-
 # The timestamp layouts an export may use, tried in this order.
 TIMESTAMP_LAYOUTS = (
     "yyyy-M-d'T'H:m:s.SSSSSS'Z'",
@@ -23,15 +21,15 @@ TIMESTAMP_LAYOUTS = (
 TIMESTAMP_TEXT = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?)?$"
 
 
-def parse_ts(cell: Column) -> Column:
-    """Wall-clock timestamp, or null when no layout fits. A trailing Z is dropped, not applied."""
-    text = strip(blank_to_null(cell))
+def parse_ts(text: Column) -> Column:
+    """Wall-clock time of a cleaned cell, or null when no layout fits. A trailing Z is dropped,
+    not applied."""
     tries = [F.try_to_timestamp(text, F.lit(layout)) for layout in TIMESTAMP_LAYOUTS]
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 
-def parse_date(cell: Column) -> Column:
-    return F.to_date(parse_ts(cell))
+def parse_date(text: Column) -> Column:
+    return F.to_date(parse_ts(text))
 
 
 def day(ts: Column) -> Column:

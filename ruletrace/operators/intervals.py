@@ -10,6 +10,7 @@ different jobs overlap when each starts before the other ends.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,26 +29,35 @@ def timed(assignments: DataFrame) -> DataFrame:
     return assignments.filter(F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull())
 
 
-def _seconds(rows: DataFrame) -> Column:
+def _length() -> Column:
     return epoch_seconds(F.col("end_ts")) - epoch_seconds(F.col("start_ts"))
 
 
-def _bucket_widths(rows: DataFrame) -> tuple[int, int]:
-    """Bucket widths in seconds, for usual and for long bookings.
+@dataclass(frozen=True)
+class Shape:
+    """What one look at the bookings tells about how to join them.
 
-    With the mean length as width, cutting bookings into buckets gives about two rows per
-    booking over the whole table; what is far longer gets buckets as wide as the longest.
+    ``usual`` and ``long`` are bucket widths in seconds. With the mean length as width,
+    cutting bookings into buckets gives about two rows per booking over the whole table;
+    what is far longer gets buckets as wide as the longest. ``backwards`` says that some
+    booking ends before it starts.
     """
-    length = _seconds(rows.filter(F.col("start_ts") < F.col("end_ts")))
-    mean, longest = (rows.filter(F.col("start_ts") < F.col("end_ts"))
-                     .agg(F.avg(length), F.max(length)).first())
-    if mean is None:
-        return 1, 1
-    usual = max(1, ceil(mean))
-    return usual, max(usual, int(longest))
 
+    usual: int
+    long: int
+    backwards: bool
 
-def overlap_pairs(rows: DataFrame, keep: list[str] | None = None,
+
+def shape_of(assignments: DataFrame) -> Shape:
+    forward = F.when(F.col("start_ts") < F.col("end_ts"), _length())
+    mean, longest, backwards = assignments.select("start_ts", "end_ts").agg(
+        F.avg(forward), F.max(forward),
+        F.coalesce(F.bool_or(F.col("end_ts") < F.col("start_ts")), F.lit(False))).first()
+    usual = max(1, ceil(mean or 1))
+    return Shape(usual, max(usual, int(longest or 1)), backwards)
+
+
+def overlap_pairs(rows: DataFrame, shape: Shape, keep: list[str] | None = None,
                   earlier: DataFrame | None = None,
                   later: DataFrame | None = None) -> DataFrame:
     """Each overlapping pair once, ``a_*`` holding the smaller assignment id.
@@ -59,12 +69,11 @@ def overlap_pairs(rows: DataFrame, keep: list[str] | None = None,
     """
     columns = list(dict.fromkeys(
         ["resource_id", "work_id", "assignment_id", "start_ts", "end_ts", *(keep or [])]))
-    rows = timed(rows)
-    usual, long = _bucket_widths(rows)
+    usual, long = shape.usual, shape.long
     tiers = [0] if long <= LONG_SPAN * usual else [0, 1]
 
     spans = timed(earlier if earlier is not None else rows).filter("start_ts < end_ts")
-    tier = F.when(_seconds(spans) <= LONG_SPAN * usual, F.lit(0)).otherwise(F.lit(1))
+    tier = F.when(_length() <= LONG_SPAN * usual, F.lit(0)).otherwise(F.lit(1))
     width = F.when(F.col("_tier") == 0, F.lit(usual)).otherwise(F.lit(long))
     spans = (spans.select(*columns).withColumn("_tier", tier)
              .withColumn("_bucket", F.explode(F.sequence(
@@ -120,17 +129,16 @@ def _sweep(rows: DataFrame, keep: list[str], limit: int | None = None) -> DataFr
             .drop("_run", "_beg", "_run_same", "_beg_same", "step", "entry"))
 
 
-def _backwards(rows: DataFrame) -> DataFrame | None:
-    """Bookings that end before they start, if there are any.
+def _backwards(rows: DataFrame) -> DataFrame:
+    """Bookings that end before they start.
 
     A sweep cannot place them, yet they overlap a booking that encloses them, so they are
     joined instead.
     """
-    wrong = timed(rows).filter("work_id IS NOT NULL AND end_ts < start_ts")
-    return None if wrong.isEmpty() else wrong
+    return timed(rows).filter("work_id IS NOT NULL AND end_ts < start_ts")
 
 
-def overlap_counts(rows: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+def overlap_counts(rows: DataFrame, shape: Shape, keys: list[str], limit: int | None = None) -> DataFrame:
     """Overlapping pairs per resource, as (resource_id, keys, pairs); zero rows included.
 
     ``keys`` are further columns that depend on the resource alone.
@@ -138,9 +146,8 @@ def overlap_counts(rows: DataFrame, keys: list[str], limit: int | None = None) -
     swept = _sweep(rows, keys, limit).select(
         "resource_id", *keys,
         F.when(F.col("mark") != END, F.col("running")).otherwise(F.lit(0)).alias("pairs"))
-    wrong = _backwards(rows)
-    if wrong is not None:
-        joined = overlap_pairs(rows, keep=keys, later=wrong).select(
+    if shape.backwards:
+        joined = overlap_pairs(rows, shape, keep=keys, later=_backwards(rows)).select(
             "resource_id", *[F.col(f"a_{k}").alias(k) for k in keys],
             F.lit(1).cast("bigint").alias("pairs"))
         swept = swept.unionByName(joined)
@@ -153,7 +160,7 @@ def first_overlap_times(rows: DataFrame, keys: list[str]) -> DataFrame:
             .select("resource_id", *keys, F.col("at")))
 
 
-def overlapping_work(rows: DataFrame, limit: int | None = None) -> DataFrame:
+def overlapping_work(rows: DataFrame, shape: Shape, limit: int | None = None) -> DataFrame:
     """The jobs holding a resource that is also on an overlapping job, each once.
 
     A booking overlaps what runs at its start plus what begins before its end. The second
@@ -164,9 +171,8 @@ def overlapping_work(rows: DataFrame, limit: int | None = None) -> DataFrame:
              .when(F.col("mark") == END, F.col("begun"))
              .otherwise(F.col("running")))
     shares = _sweep(rows, [], limit).select("work_id", share.alias("share"))
-    wrong = _backwards(rows)
-    if wrong is not None:
-        met = overlap_pairs(rows, later=wrong)
+    if shape.backwards:
+        met = overlap_pairs(rows, shape, later=_backwards(rows))
         one = F.lit(1).cast("bigint").alias("share")
         shares = (shares.unionByName(met.select(F.col("a_work_id").alias("work_id"), one))
                   .unionByName(met.select(F.col("b_work_id").alias("work_id"), one)))

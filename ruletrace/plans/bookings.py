@@ -12,7 +12,7 @@ from ruletrace.functions.labels import candidate_id, sentence
 from ruletrace.guards import Guards
 from ruletrace.operators.distribution import histogram, left_edge
 from ruletrace.operators.intervals import (first_overlap_times, overlap_counts, overlap_pairs,
-                                           timed)
+                                           shape_of, timed)
 from ruletrace.operators.ordered import next_in_group, sums_before
 from ruletrace.plans import statements as text
 from ruletrace.sources.landing import Landing
@@ -48,7 +48,7 @@ def eligible_bookings(landing: Landing, min_assignments: int, *also: str) -> Dat
 def overlaps(landing: Landing, guards: Guards = Guards()) -> DataFrame:
     """Every pair of overlapping bookings of one eligible resource."""
     rows = eligible_bookings(landing, guards.min_assignments_per_resource)
-    pairs = overlap_pairs(rows, keep=["kind"])
+    pairs = overlap_pairs(rows, shape_of(landing.assignments), keep=["kind"])
     return pairs.withColumnRenamed("a_kind", "kind").drop("b_kind")
 
 
@@ -71,7 +71,7 @@ def exclusivity(landing: Landing, guards: Guards = Guards()) -> DataFrame:
         (F.col("resources_over_floor") > 0)
         & (F.col("assignments_over_floor") >= guards.min_observations))
     rows = eligible_bookings(landing, guards.min_assignments_per_resource)
-    found = (overlap_counts(rows, ["kind"]).groupBy("kind")
+    found = (overlap_counts(rows, shape_of(landing.assignments), ["kind"]).groupBy("kind")
              .agg(F.sum("pairs").alias("overlapping_pairs"),
                   F.count_if(F.col("pairs") > 0).alias("resources_with_an_overlap")))
     return (volumes.join(found, "kind", "left")
@@ -97,7 +97,7 @@ def overlap_examples(landing: Landing, guards: Guards = Guards(),
                   Window.partitionBy("kind").orderBy("resource_id")))
               .filter(F.col("rn") <= size).select("resource_id", "until"))
     near = rows.join(chosen, "resource_id")
-    pairs = overlap_pairs(rows, keep=["kind"], later=near.drop("until"),
+    pairs = overlap_pairs(rows, shape_of(landing.assignments), keep=["kind"], later=near.drop("until"),
                           earlier=near.filter(F.col("start_ts") <= F.col("until")).drop("until"))
     order = ["resource_id", "a_start_ts", "b_start_ts", "a_work_id", "b_work_id",
              "a_assignment_id", "b_assignment_id"]

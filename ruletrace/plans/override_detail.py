@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ruletrace.functions.clock import days_between
 from ruletrace.functions.labels import UNTYPED, source_of
-from ruletrace.operators.intervals import overlapping_work
+from ruletrace.operators.intervals import overlapping_work, shape_of
 from ruletrace.plans import days, statements as text
 from ruletrace.sources.landing import Landing
 
@@ -141,7 +141,7 @@ def repeated_jobs(landing: Landing, field: str) -> DataFrame:
 
 def overlap_rate(landing: Landing, field: str) -> DataFrame:
     """Jobs holding a resource that is also on an overlapping job: touched ones against all."""
-    overlapping = overlapping_work(landing.assignments)
+    overlapping = overlapping_work(landing.assignments, shape_of(landing.assignments))
     touched = touched_jobs(landing, field).withColumn("touched", F.lit(True))
     counts = overlapping.join(touched, "work_id", "left").agg(
         F.count_if("touched").alias("overlap_here"), F.count("*").alias("overlap_everywhere"))

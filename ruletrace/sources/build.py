@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ruletrace.functions import cells
 from ruletrace.functions.clock import parse_ts
 from ruletrace.sources.landing import Landing, conform, empty
-from ruletrace.sources.mapping import ID_COLUMNS, specs
+from ruletrace.sources.mapping import ID_COLUMNS, columns_of, specs
 from ruletrace.sources.profiles import PROFILES, Profile, thin
 
 # Fixed values written to landing rows.
@@ -41,10 +41,27 @@ def _union(frames: list[DataFrame], spark: SparkSession, table: str) -> DataFram
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _links(df: DataFrame, name: str | None) -> Column:
+    return cells.links(_cell(df, name), _json(df, name))
+
+
+def _scalar(df: DataFrame, name: str | None) -> Column:
+    if name is None or name not in df.columns:
+        return F.lit(None).cast("string")
+    return cells.scalar(_cell(df, name), _json(df, name))
+
+
+def _json(df: DataFrame, name: str | None) -> Column:
+    return _cell(df, None if name is None else f"{name}#json").cast("variant")
+
+
 def _of(source_map: dict, table: str, records: Records, profile: Profile):
+    """(spec, its source rows with cleaned cells) for each source of a landing table."""
     for landing_table, spec in specs(source_map, profile.skip_source_tables):
         if landing_table == table and spec["table"] in records:
-            yield spec, records[spec["table"]]
+            df = records[spec["table"]]
+            used = [c for c in columns_of(spec) if c in df.columns and c != spec.get("ack_column")]
+            yield spec, cells.with_cells(df, used)
 
 
 def work(spark, records: Records, source_map: dict, profile: Profile) -> DataFrame:
@@ -52,20 +69,20 @@ def work(spark, records: Records, source_map: dict, profile: Profile) -> DataFra
     for spec, df in _of(source_map, "work", records, profile):
         cell = lambda key: _cell(df, spec.get(key))
         if "work_type_link" in spec:
-            work_type = cells.first_link(cell("work_type_link"))
+            work_type = F.get(_links(df, spec["work_type_link"]), F.lit(0))
         else:
-            work_type = cells.scalar(cell("work_type"))
+            work_type = _scalar(df, spec.get("work_type"))
         if "location_link" in spec:
-            location = F.concat(F.lit("lc_"), cells.first_link(cell("location_link")))
+            location = F.concat(F.lit("lc_"), F.get(_links(df, spec["location_link"]), F.lit(0)))
         else:
-            location = cells.scalar(cell("location_id"))
+            location = _scalar(df, spec.get("location_id"))
         frames.append(df.select(
             _id(df, spec.get("id_prefix", "")).alias("work_id"),
             work_type.alias("work_type"),
             F.coalesce(parse_ts(cell("start_ts")), parse_ts(cell("fallback_date"))).alias("start_ts"),
             parse_ts(cell("end_ts")).alias("end_ts"),
             location.alias("location_id"),
-            cells.scalar(cell("status")).alias("status"),
+            _scalar(df, spec.get("status")).alias("status"),
             cells.parse_int(cell("customer_count")).alias("customer_count"),
             _cell(df, "id").alias("source_id")).filter("work_id IS NOT NULL"))
     return _union(frames, spark, "work")
@@ -78,11 +95,11 @@ def resources(spark, records: Records, source_map: dict, profile: Profile) -> Da
         if profile.collapse_resource_kind:
             kind = F.coalesce(literal, F.lit(spec.get("kind_fallback")).cast("string"))
         else:
-            kind = F.coalesce(cells.scalar(_cell(df, spec.get("kind_column"))), literal)
+            kind = F.coalesce(_scalar(df, spec.get("kind_column")), literal)
         frames.append(df.select(
             _id(df, spec.get("id_prefix", "")).alias("resource_id"), kind.alias("kind"),
-            cells.scalar(_cell(df, spec.get("name"))).alias("name"),
-            cells.scalar(_cell(df, spec.get("home_location_id"))).alias("home_location_id"),
+            _scalar(df, spec.get("name")).alias("name"),
+            _scalar(df, spec.get("home_location_id")).alias("home_location_id"),
             _cell(df, "id").alias("source_id")).filter("resource_id IS NOT NULL"))
     return _union(frames, spark, "resources")
 
@@ -98,14 +115,18 @@ def assignments(spark, records: Records, source_map: dict, profile: Profile,
         return F.transform(found, lambda x: F.concat(F.lit(prefix), x))
 
     def as_role(role: str, ids: Column) -> Column:
-        return F.transform(ids, lambda x: F.struct(x.alias("resource_id"), F.lit(role).alias("role")))
+        return F.transform(ids, lambda x: F.named_struct(F.lit("resource_id"), x, F.lit("role"), F.lit(role)))
 
     frames = []
     for ordinal, (spec, df) in enumerate(_of(source_map, "assignments", records, profile)):
-        jobs = [prefixed(p, cells.links(_cell(df, c))) for c, p in spec.get("work_link", {}).items()]
+        jobs = [prefixed(p, _links(df, c)) for c, p in spec.get("work_link", {}).items()
+                if c in df.columns]
         if spec.get("work_prefix"):
             jobs.insert(0, F.array(_id(df, spec["work_prefix"])))
-        crew = [as_role(c, prefixed(p, cells.links(_cell(df, c)))) for c, p in spec["roles"].items()]
+        crew = [as_role(c, prefixed(p, _links(df, c))) for c, p in spec["roles"].items()
+                if c in df.columns]
+        if not jobs or not crew:
+            continue
         frames.append(df.select(F.explode(F.concat(*jobs)).alias("work_id"),
                                 F.concat(*crew).alias("crew"), _cell(df, "id").alias("source_id"))
                       .filter("work_id IS NOT NULL")
@@ -126,7 +147,7 @@ def assignments(spark, records: Records, source_map: dict, profile: Profile,
 
 def locations(spark, records: Records, source_map: dict, profile: Profile) -> DataFrame:
     frames = [df.select(_id(df, spec.get("id_prefix", "")).alias("location_id"),
-                        cells.scalar(_cell(df, spec.get("name"))).alias("name"))
+                        _scalar(df, spec.get("name")).alias("name"))
               .filter("location_id IS NOT NULL")
               for spec, df in _of(source_map, "locations", records, profile)]
     return _union(frames, spark, "locations")
@@ -135,7 +156,7 @@ def locations(spark, records: Records, source_map: dict, profile: Profile) -> Da
 def location_travel(spark, records: Records, source_map: dict, profile: Profile) -> DataFrame:
     frames = []
     for spec, df in _of(source_map, "location_travel", records, profile):
-        end = lambda key: F.concat(F.lit(spec["id_prefix"]), cells.first_link(_cell(df, spec[key])))
+        end = lambda key: F.concat(F.lit(spec["id_prefix"]), F.get(_links(df, spec[key]), F.lit(0)))
         samples = cells.parse_int(_cell(df, spec.get("sample_count")))
         frames.append(df.select(
             end("from_link").alias("from_id"), end("to_link").alias("to_id"),
