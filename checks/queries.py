@@ -256,7 +256,7 @@ def lean_fill(spark, sf_dir):
 def landing_repeated_keys(spark, sf_dir):
     t = bare(spark, sf_dir)
     by_line = t.assignments.withColumn("assignment_id", F.substring("assignment_id", 1, 13))
-    return repeated_keys(Landing(**{**t.tables(), "assignments": by_line}))
+    return repeated_keys(t.replaced(assignments=by_line))
 
 
 @query
@@ -282,145 +282,135 @@ def described_bookings(spark, sf_dir):
 
 # -- ingestion -------------------------------------------------------------------------------
 
-def _landed(spark, sf_dir, profile: str = "full") -> tuple[Landing, DataFrame]:
+def _landed(spark, sf_dir, profile: str = "full") -> Landing:
     return build.build(spark, views.export(spark, sf_dir), DEFAULT_MAP, datetime(2026, 1, 1),
                        PROFILES[profile])
 
 
 @query
 def landed_work(spark, sf_dir):
-    return _landed(spark, sf_dir)[0].work.select(
+    return _landed(spark, sf_dir).work.select(
         "work_id", "work_type", stamp("start_ts"), stamp("end_ts"), "location_id", "status",
         number("customer_count"), "source_system", "source_id", stamp("extracted_at"))
 
 
 @query
 def landed_resources(spark, sf_dir):
-    return _landed(spark, sf_dir)[0].resources.select(
+    return _landed(spark, sf_dir).resources.select(
         "resource_id", "kind", "name", "home_location_id", "source_id")
 
 
 @query
 def landed_resources_lean(spark, sf_dir):
-    return _landed(spark, sf_dir, "lean")[0].resources.select(
+    return _landed(spark, sf_dir, "lean").resources.select(
         "resource_id", "kind", "name", "home_location_id")
 
 
 @query
 def landed_assignments(spark, sf_dir):
-    return _landed(spark, sf_dir)[0].assignments.select(
+    return _landed(spark, sf_dir).assignments.select(
         "assignment_id", "resource_id", "work_id", "role", stamp("start_ts"), stamp("end_ts"),
         "source_id")
 
 
 @query
 def landed_locations(spark, sf_dir):
-    return _landed(spark, sf_dir)[0].locations
+    return _landed(spark, sf_dir).locations
 
 
 @query
 def landed_travel(spark, sf_dir):
-    return _landed(spark, sf_dir)[0].location_travel.withColumn(
+    return _landed(spark, sf_dir).location_travel.withColumn(
         "is_estimate", F.col("is_estimate").cast("int"))
 
 
 @query
 def landed_changes(spark, sf_dir):
-    return _landed(spark, sf_dir)[0].changes.select(
+    return _landed(spark, sf_dir).changes.select(
         "change_id", "entity_table", "entity_id", "field", "old_value", "new_value",
         stamp("changed_at"), "changed_by", "source_id")
 
 
 @query
 def override_labels(spark, sf_dir):
-    return _landed(spark, sf_dir)[1]
+    return build.override_labels(spark, views.export(spark, sf_dir), DEFAULT_MAP)
 
 
 @query
 def parsed_links(spark, sf_dir):
-    ids = [views.record("l_suppkey"), views.record("l_partkey")]
-    shapes = F.array(F.to_json(F.array(*[F.struct(i.alias("id")) for i in ids])),
-                     F.to_json(F.array(*ids)), F.concat(ids[0], F.lit(" , "), ids[1], F.lit(",")),
-                     F.lit("[]"), F.lit("null"))
-    cell = F.get(shapes, F.col("l_linenumber") % 5)
-    rows = cells.with_cells(views.table(spark, sf_dir, "lineitem").select(
-        views.line_key().alias("line"), cell.alias("cell")), ["cell"])
-    found = rows.select("line", cells.links(F.col("cell"), F.col("cell#json")).alias("ids"))
-    return found.select("line", F.size("ids").alias("links"), F.get("ids", F.lit(0)).alias("first_id"),
-                        F.get("ids", F.lit(1)).alias("second_id"))
+    one, two = views.record("l_suppkey"), views.record("l_partkey")
+    shapes = (f"array(to_json(array(named_struct('id', {one}), named_struct('id', {two}))), "
+              f"to_json(array({one}, {two})), concat({one}, ' , ', {two}, ','), '[]', 'null')")
+    rows = cells.with_cells(views.table(spark, sf_dir, "lineitem").selectExpr(
+        f"{views.LINE_KEY} AS line", f"get({shapes}, l_linenumber % 5) AS cell"), ["cell"])
+    return rows.selectExpr("line", f"{cells.links('cell')} AS ids").selectExpr(
+        "line", "size(ids) AS links", "get(ids, 0) AS first_id", "get(ids, 1) AS second_id")
 
 
 @query
 def parsed_log_lines(spark, sf_dir):
-    text = F.concat(F.col("l_returnflag"), F.lit(" :: a :: u"), F.col("l_suppkey").cast("string"),
-                    F.lit(" :: "), F.date_format("l_shipdate", "yyyy-MM-dd"))
-    line = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_returnflag")).otherwise(text)
+    line = ("CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag ELSE concat(l_returnflag, ' :: a :: u', "
+            "l_suppkey, ' :: ', date_format(l_shipdate, 'yyyy-MM-dd')) END")
     return (views.table(spark, sf_dir, "lineitem")
-            .select(views.line_key().alias("line"), cells.override_line(line).alias("e"))
-            .select("line", "e.label", "e.who", "e.when"))
+            .selectExpr(f"{views.LINE_KEY} AS key", f"{line} AS line")
+            .selectExpr("key", f"{cells.override_line('line')} AS e")
+            .selectExpr("key AS line", "e.label", "e.who", "e.when"))
 
 
 @query
 def parsed_cells(spark, sf_dir):
     layouts = ["yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss",
                "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
-    texts = F.array(*[F.date_format("ts", layout) for layout in layouts], F.lit("junk"))
-    rows = cells.with_cells(views.table(spark, sf_dir, "events").select(
-        "event_id", "ts", F.get(texts, F.col("event_id") % 7).alias("at"),
-        F.concat(F.lit(" "), F.col("value").cast("string")).alias("number"), "props",
-        F.to_json(F.array("event_type")).alias("list")), ["at", "number", "props", "list"])
-    return rows.select(
-        "event_id", F.date_format(clock.parse_ts(F.col("at")), "yyyy-MM-dd HH:mm:ss").alias("parsed_ts"),
-        cells.parse_int(F.col("number")).alias("parsed_int"),
-        cells.scalar(F.col("props"), F.col("props#json")).alias("scalar_of_props"),
-        cells.scalar(F.col("list"), F.col("list#json")).alias("scalar_of_list"),
-        clock.with_weekday(F.date_format("ts", "yyyy-MM-dd HH:mm")).alias("shown"))
+    texts = ", ".join(f"date_format(ts, {cells.text(layout)})" for layout in layouts)
+    rows = cells.with_cells(views.table(spark, sf_dir, "events").selectExpr(
+        "event_id", "ts", f"get(array({texts}, 'junk'), CAST(event_id % 7 AS INT)) AS at",
+        "concat(' ', value) AS number", "props", "to_json(array(event_type)) AS list"),
+        ["at", "number", "props", "list"])
+    return rows.selectExpr(
+        "event_id", f"date_format({cells.parse_ts('at')}, 'yyyy-MM-dd HH:mm:ss') AS parsed_ts",
+        f"{cells.parse_int('number')} AS parsed_int", f"{cells.scalar('props')} AS scalar_of_props",
+        f"{cells.scalar('list')} AS scalar_of_list", "date_format(ts, 'yyyy-MM-dd HH:mm') AS at_text",
+    ).withColumn("shown", clock.with_weekday("at_text")).drop("at_text")
 
 
 @query
 def opaque_ids(spark, sf_dir):
-    customer = F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey"))
-    return views.table(spark, sf_dir, "orders").select(
-        "o_orderkey", cells.opaque_id(F.col("o_orderkey"), customer, F.col("o_orderstatus"),
-                                      prefix="as_").alias("opaque"))
+    ident = cells.opaque_id("o_orderkey", "CASE WHEN o_custkey % 3 > 0 THEN o_custkey END",
+                            "o_orderstatus", prefix="as_")
+    return views.table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{ident} AS opaque")
 
 
 @query
 def label_classes(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select(
-        "doc_id", cells.label_class(F.col("text")).alias("label"),
-        labels.slug(F.col("source"), F.col("text")).alias("slug"))
+    return views.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"{cells.label_class('text')} AS label", f"{labels.slug('source', 'text')} AS slug")
 
 
 @query
 def denied_sources(spark, sf_dir):
-    names = views.table(spark, sf_dir, "pages").select(
-        "page_id", F.concat(F.get(F.array(
-            F.lit("Config / Thresholds"), F.lit("Old Dispatch-Board "), F.lit("Orders")),
-            F.col("page_id") % 3), F.col("page_id").cast("string"), F.lit(".csv")).alias("long"))
-    plain = names.select(F.regexp_replace("long", r"[0-9]+\.csv$", ".JSON").alias("name"))
-    return (denied(names.select(F.col("long").alias("name")).unionByName(plain))
+    names = views.table(spark, sf_dir, "pages").selectExpr(
+        "concat(get(array('Config / Thresholds', 'Old Dispatch-Board ', 'Orders'), "
+        "CAST(page_id % 3 AS INT)), page_id, '.csv') AS name")
+    plain = names.select(F.regexp_replace("name", r"[0-9]+\.csv$", ".JSON").alias("name"))
+    return (denied(names.unionByName(plain))
             .groupBy("name", "norm", "rule").agg(F.count("*").alias("n")))
 
 
 @query
 def record_links(spark, sf_dir):
     tables = {"op_": "tblOrders", "mv_": "tblEvents"}
-    ids = F.concat(F.get(F.array(F.lit("op_"), F.lit("mv_"), F.lit("zz_")), F.col("o_orderkey") % 3),
-                   views.record("o_orderkey"))
-    return (views.table(spark, sf_dir, "orders").select(ids.alias("id"))
-            .select("id", labels.record_url(F.col("id"), "appBase", tables).alias("url"),
-                    labels.source_of(F.col("id")).alias("source")))
+    return (views.table(spark, sf_dir, "orders")
+            .selectExpr("concat(get(array('op_', 'mv_', 'zz_'), CAST(o_orderkey % 3 AS INT)), "
+                        f"{views.record('o_orderkey')}) AS id")
+            .selectExpr("id", f"{labels.record_url('id', 'appBase', tables)} AS url",
+                        f"{labels.source_of('id')} AS source"))
 
 
 @query
 def manifest_latest(spark, sf_dir):
-    lines = views.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("row_no"),
-        F.when(F.col("doc_id") % 10 == 9, F.lit("# noted again"))
-        .otherwise(F.concat(F.sha2("text", 256), F.lit("  "), "source", F.lit("/"), "lang"))
-        .alias("value"))
-    return latest_digests(lines)
+    return latest_digests(views.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS row_no", "CASE WHEN doc_id % 10 = 9 THEN '# noted again' "
+        "ELSE concat(sha2(text, 256), '  ', source, '/', lang) END AS value"))
 
 
 # -- scoring ---------------------------------------------------------------------------------

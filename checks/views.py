@@ -3,15 +3,10 @@ line items are bookings, returned line items are overrides."""
 
 from __future__ import annotations
 
-from functools import cached_property
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from ruletrace.sources.landing import TABLES, conform
-
-WORK_COLUMNS = ("work_type", "start_ts", "end_ts", "location_id", "status", "customer_count")
-
+from ruletrace.sources.landing import Landing, conform
 
 _schemas: dict[str, StructType] = {}
 
@@ -24,254 +19,191 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def padded(column: str, width: int) -> Column:
-    return F.lpad(F.col(column).cast("string"), width, "0")
+def padded(column: str, width: int) -> str:
+    return f"lpad(CAST({column} AS STRING), {width}, '0')"
 
 
-def line_key() -> Column:
-    """A text key of a line item; the order and line number alone repeat."""
-    return F.concat_ws("-", padded("l_orderkey", 10), padded("l_linenumber", 2),
-                       padded("l_suppkey", 8), padded("l_partkey", 9),
-                       F.date_format("l_shipdate", "yyyyMMdd"),
-                       F.lpad(F.col("l_quantity").cast("int").cast("string"), 3, "0"))
+# A text key of a line item; the order and line number alone repeat.
+LINE_KEY = (f"concat_ws('-', {padded('l_orderkey', 10)}, {padded('l_linenumber', 2)}, "
+            f"{padded('l_suppkey', 8)}, {padded('l_partkey', 9)}, "
+            f"date_format(l_shipdate, 'yyyyMMdd'), {padded('CAST(l_quantity AS INT)', 3)})")
 
-
-def hours(column: str) -> Column:
-    return F.make_dt_interval(F.lit(0), F.col(column).cast("int"))
+WORK = {
+    "work_type": "o_orderpriority",
+    "start_ts": "o_orderdate",
+    "end_ts": "o_orderdate + make_dt_interval(0, CAST(hours AS INT))",
+    "location_id": "concat('lc_', c_nationkey)",
+    "status": "o_orderstatus",
+    "customer_count": "CASE WHEN o_orderstatus <> 'P' THEN lines END",
+}
 
 
 def work(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Jobs with the asked columns; what only they need is not read otherwise."""
-    columns = columns or WORK_COLUMNS
+    """Jobs with the asked columns; what only the others need is not read."""
+    columns = columns or tuple(WORK)
     df = table(spark, sf_dir, "orders")
     if {"end_ts", "customer_count"} & set(columns):
         lines = (table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
                  .agg(F.sum("l_quantity").alias("hours"), F.max("l_linenumber").alias("lines")))
         df = df.join(lines, "o_orderkey", "left")
     if "location_id" in columns:
-        nations = table(spark, sf_dir, "customer").select(
-            F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+        nations = table(spark, sf_dir, "customer").selectExpr("c_custkey AS o_custkey", "c_nationkey")
         df = df.join(nations, "o_custkey", "left")
-    values = {
-        "work_type": lambda: F.col("o_orderpriority"),
-        "start_ts": lambda: F.col("o_orderdate"),
-        "end_ts": lambda: F.col("o_orderdate") + hours("hours"),
-        "location_id": lambda: F.concat(F.lit("lc_"), F.col("c_nationkey").cast("string")),
-        "status": lambda: F.col("o_orderstatus"),
-        "customer_count": lambda: F.when(F.col("o_orderstatus") != "P", F.col("lines")),
-    }
-    got = df.select(F.concat(F.lit("op_"), F.col("o_orderkey").cast("string")).alias("work_id"),
-                    *[values[c]().alias(c) for c in columns])
-    return conform(got, "work")
+    return conform(df.selectExpr("concat('op_', o_orderkey) AS work_id",
+                                 *[f"{WORK[c]} AS {c}" for c in columns]), "work")
 
 
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     home = (nation.join(region, nation.n_regionkey == region.r_regionkey)
-            .select(F.col("n_nationkey").alias("s_nationkey"), "r_name"))
-    got = (table(spark, sf_dir, "supplier").join(home, "s_nationkey").select(
-        F.concat(F.lit("rs_"), F.col("s_suppkey").cast("string")).alias("resource_id"),
-        F.col("r_name").alias("kind"), F.col("s_name").alias("name"),
-        F.concat(F.lit("lc_"), F.col("s_nationkey").cast("string")).alias("home_location_id")))
-    return conform(got, "resources")
+            .selectExpr("n_nationkey AS s_nationkey", "r_name"))
+    return conform(table(spark, sf_dir, "supplier").join(home, "s_nationkey").selectExpr(
+        "concat('rs_', s_suppkey) AS resource_id", "r_name AS kind", "s_name AS name",
+        "concat('lc_', s_nationkey) AS home_location_id"), "resources")
 
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = table(spark, sf_dir, "lineitem").select(
-        line_key().alias("assignment_id"),
-        F.concat(F.lit("rs_"), F.col("l_suppkey").cast("string")).alias("resource_id"),
-        F.concat(F.lit("op_"), F.col("l_orderkey").cast("string")).alias("work_id"),
-        F.col("l_linestatus").alias("role"), F.col("l_shipdate").alias("start_ts"),
-        (F.col("l_shipdate") + hours("l_quantity")).alias("end_ts"))
-    return conform(got, "assignments")
+    return conform(table(spark, sf_dir, "lineitem").selectExpr(
+        f"{LINE_KEY} AS assignment_id", "concat('rs_', l_suppkey) AS resource_id",
+        "concat('op_', l_orderkey) AS work_id", "l_linestatus AS role", "l_shipdate AS start_ts",
+        "l_shipdate + make_dt_interval(0, CAST(l_quantity AS INT)) AS end_ts"), "assignments")
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(
-        F.concat(F.lit("lc_"), F.col("n_nationkey").cast("string")).alias("location_id"),
-        F.col("n_name").alias("name"))
+    return table(spark, sf_dir, "nation").selectExpr(
+        "concat('lc_', n_nationkey) AS location_id", "n_name AS name")
 
 
 def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), "n_regionkey")
-    two = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("b"), "n_regionkey")
+    one = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS a", "n_regionkey")
+    two = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS b", "n_regionkey")
     return one.join(two, "n_regionkey").filter("a <> b")
 
 
 def location_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nation_pairs(spark, sf_dir).select(
-        F.concat(F.lit("lc_"), F.col("a").cast("string")).alias("from_id"),
-        F.concat(F.lit("lc_"), F.col("b").cast("string")).alias("to_id"),
-        (15 + 5 * F.abs(F.col("a") - F.col("b"))).cast("int").alias("minutes"),
-        ((F.col("a") + F.col("b")) % 2 == 0).alias("is_estimate"))
+    return nation_pairs(spark, sf_dir).selectExpr(
+        "concat('lc_', a) AS from_id", "concat('lc_', b) AS to_id",
+        "CAST(15 + 5 * abs(a - b) AS INT) AS minutes", "(a + b) % 2 = 0 AS is_estimate")
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'N'").select(
-        F.concat(F.lit("ch_"), line_key()).alias("change_id"), F.lit("work").alias("entity_table"),
-        F.concat(F.lit("op_"), F.col("l_orderkey").cast("string")).alias("entity_id"),
-        F.concat(F.lit("ovr_"), "l_returnflag", "l_linestatus").alias("field"),
-        F.when(F.col("l_tax") > 0, F.lit("flagged")).alias("old_value"),
-        F.lit("acknowledged").alias("new_value"), F.col("l_shipdate").alias("changed_at"),
-        F.when(F.col("l_discount") > 0, F.concat(F.lit("u"), (F.col("l_suppkey") % 7).cast("string")))
-        .alias("changed_by"))
-    return conform(got, "changes")
-
-
-class Warehouse:
-    """The landing tables of a test folder; a table is set up when a plan asks for it."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str, *work_columns: str):
-        self._of, self._work_columns = (spark, sf_dir), work_columns
-
-    @cached_property
-    def work(self) -> DataFrame:
-        return work(*self._of, *self._work_columns)
+    return conform(table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'N'").selectExpr(
+        f"concat('ch_', {LINE_KEY}) AS change_id", "'work' AS entity_table",
+        "concat('op_', l_orderkey) AS entity_id", "concat('ovr_', l_returnflag, l_linestatus) AS field",
+        "CASE WHEN l_tax > 0 THEN 'flagged' END AS old_value", "'acknowledged' AS new_value",
+        "l_shipdate AS changed_at",
+        "CASE WHEN l_discount > 0 THEN concat('u', l_suppkey % 7) END AS changed_by"), "changes")
 
-    @cached_property
-    def resources(self) -> DataFrame:
-        return resources(*self._of)
 
-    @cached_property
-    def assignments(self) -> DataFrame:
-        return assignments(*self._of)
-
-    @cached_property
-    def locations(self) -> DataFrame:
-        return locations(*self._of)
-
-    @cached_property
-    def location_travel(self) -> DataFrame:
-        return location_travel(*self._of)
-
-    @cached_property
-    def changes(self) -> DataFrame:
-        return changes(*self._of)
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in TABLES}
-
-
-def landing(spark: SparkSession, sf_dir: str, *work_columns: str) -> Warehouse:
-    return Warehouse(spark, sf_dir, *work_columns)
+def landing(spark: SparkSession, sf_dir: str, *work_columns: str) -> Landing:
+    rest = {t.__name__: (lambda t=t: t(spark, sf_dir))
+            for t in (resources, assignments, locations, location_travel, changes)}
+    return Landing(work=lambda: work(spark, sf_dir, *work_columns), **rest)
 
 
 # -- source export with text cells -----------------------------------------------------------
 
-def record(column: str) -> Column:
-    return F.concat(F.lit("rec"), padded(column, 14))
+def record(column: str) -> str:
+    return f"concat('rec', {padded(column, 14)})"
 
 
-def linked(column: str) -> Column:
+def linked(column: str) -> str:
     """A linked cell as a JSON list of objects."""
-    return F.to_json(F.array(F.struct(record(column).alias("id"), F.col(column).cast("string").alias("name"))))
+    return f"to_json(array(named_struct('id', {record(column)}, 'name', CAST({column} AS STRING))))"
+
+
+def iso(column: str) -> str:
+    return f"date_format({column}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
 
 
-def iso(column: str) -> Column:
-    return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+def cells(df: DataFrame, **columns: str) -> DataFrame:
+    return df.selectExpr(*[f"{sql} AS `{c}`" for c, sql in columns.items()])
 
 
 def export(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Source records as an export writes them; the three link shapes all occur."""
-    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    log = F.concat(F.lit("dbl-"), record("o_custkey"), F.lit("-"), F.lower("o_orderstatus"),
-                   F.lit(" v2 :: u"), (F.col("o_custkey") % 7).cast("string"), F.lit(" :: "),
-                   F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\n\n"),
-                   F.lit("No crew "), F.substring("o_orderpriority", 1, 1))
-    events = table(spark, sf_dir, "events")
+    read = lambda name: table(spark, sf_dir, name)
+    log = (f"concat('dbl-', {record('o_custkey')}, '-', lower(o_orderstatus), ' v2 :: u', o_custkey % 7, "
+           "' :: ', date_format(o_orderdate, 'yyyy-MM-dd'), '\n\n', 'No crew ', substr(o_orderpriority, 1, 1))")
+    line_id = f"concat('rec', {padded('l_orderkey', 10)}, {padded('l_linenumber', 4)})"
     return {
-        "Daily Ops": orders.select(
-            record("o_orderkey").alias("id"),
-            F.to_json(F.struct(F.col("o_orderpriority").alias("name"))).alias("Trip type"),
-            F.when(F.col("o_orderstatus") != "P", iso("o_orderdate")).alias("Trip start"),
-            F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("Trip end"),
-            F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"),
-            F.concat(F.lit(" "), "o_orderstatus", F.lit(" ")).alias("Status"),
-            F.col("o_totalprice").cast("string").alias("Guest count"),
-            linked("o_custkey").alias("Lead Guide (link)"),
-            F.when(F.col("o_orderstatus") == "F", log).alias("Acknowledged conflicts")),
-        "Movements": events.select(
-            record("event_id").alias("id"), iso("ts").alias("Start"),
-            F.to_json(F.array("event_type")).alias("Movement Type"),
-            F.concat(F.lit("rec"), F.lpad((F.col("user_id") % 25).cast("string"), 14, "0"),
-                     F.lit(", recnone")).alias("Origin"),
-            F.col("event_type").alias("Status"), F.col("value").cast("string").alias("Passengers")),
-        "Rig Assignments": lines.select(
-            F.concat(F.lit("rec"), padded("l_orderkey", 10), padded("l_linenumber", 4)).alias("id"),
-            F.to_json(F.array(record("l_orderkey"))).alias("Daily Op"),
-            linked("l_suppkey").alias("Driver"),
-            F.concat(record("l_partkey"), F.lit(" , "), record("l_suppkey")).alias("Vehicle")),
-        "Guides & Staff": table(spark, sf_dir, "supplier").select(
-            record("s_suppkey").alias("id"), F.col("s_name").alias("Name"),
-            F.to_json(F.array(F.col("s_nationkey").cast("string"))).alias("Location base")),
-        "Vehicles": table(spark, sf_dir, "part").select(
-            record("p_partkey").alias("id"), F.col("p_name").alias("Unit name"),
-            F.when(F.col("p_size") > 5, F.col("p_type")).alias("Type")),
-        "Locations": table(spark, sf_dir, "nation").select(
-            record("n_nationkey").alias("id"), F.col("n_name").alias("Name")),
-        "Routes": nation_pairs(spark, sf_dir).select(
-            F.concat(record("a"), padded("b", 4)).alias("id"), linked("a").alias("From"),
-            F.to_json(F.array(record("b"))).alias("To"),
-            F.when(F.col("b") % 4 != 3, (F.col("a") * 10.5 + F.col("b")).cast("string"))
-            .otherwise(F.lit("unknown")).alias("Drive minutes"),
-            (F.col("a") % 3).cast("string").alias("Sample count")),
+        "Daily Ops": cells(read("orders"), **{
+            "id": record("o_orderkey"), "Trip type": "to_json(named_struct('name', o_orderpriority))",
+            "Trip start": f"CASE WHEN o_orderstatus <> 'P' THEN {iso('o_orderdate')} END",
+            "Trip end": "date_format(o_orderdate, 'yyyy-MM-dd HH:mm')",
+            "Date": "date_format(o_orderdate, 'yyyy-MM-dd')", "Status": "concat(' ', o_orderstatus, ' ')",
+            "Guest count": "CAST(o_totalprice AS STRING)", "Lead Guide (link)": linked("o_custkey"),
+            "Acknowledged conflicts": f"CASE WHEN o_orderstatus = 'F' THEN {log} END"}),
+        "Movements": cells(read("events"), **{
+            "id": record("event_id"), "Start": iso("ts"), "Movement Type": "to_json(array(event_type))",
+            "Origin": f"concat({record('user_id % 25')}, ', recnone')", "Status": "event_type",
+            "Passengers": "CAST(value AS STRING)"}),
+        "Rig Assignments": cells(read("lineitem"), **{
+            "id": line_id, "Daily Op": f"to_json(array({record('l_orderkey')}))", "Driver": linked("l_suppkey"),
+            "Vehicle": f"concat({record('l_partkey')}, ' , ', {record('l_suppkey')})"}),
+        "Guides & Staff": cells(read("supplier"), **{
+            "id": record("s_suppkey"), "Name": "s_name",
+            "Location base": "to_json(array(CAST(s_nationkey AS STRING)))"}),
+        "Vehicles": cells(read("part"), **{
+            "id": record("p_partkey"), "Unit name": "p_name",
+            "Type": "CASE WHEN p_size > 5 THEN p_type END"}),
+        "Locations": cells(read("nation"), **{"id": record("n_nationkey"), "Name": "n_name"}),
+        "Routes": cells(nation_pairs(spark, sf_dir), **{
+            "id": f"concat({record('a')}, {padded('b', 4)})", "From": linked("a"),
+            "To": f"to_json(array({record('b')}))",
+            "Drive minutes": "CASE WHEN b % 4 <> 3 THEN CAST(a * 10.5D + b AS STRING) ELSE 'unknown' END",
+            "Sample count": "CAST(a % 3 AS STRING)"}),
     }
 
 
 # -- score sheets ----------------------------------------------------------------------------
 
 def known_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        F.concat(F.lit("K"), padded("p_partkey", 9)).alias("key_id"), F.col("p_type").alias("type"),
-        F.col("p_name").alias("statement"),
-        F.when(F.col("p_size") % 5 == 0, F.lit("Head")).otherwise(F.col("p_brand")).alias("source"),
-        F.when(F.col("p_size") <= 8, F.lit("seen; scope=interface")).alias("notes"))
+    return table(spark, sf_dir, "part").selectExpr(
+        f"concat('K', {padded('p_partkey', 9)}) AS key_id", "p_type AS type", "p_name AS statement",
+        "CASE WHEN p_size % 5 = 0 THEN 'Head' ELSE p_brand END AS source",
+        "CASE WHEN p_size <= 8 THEN 'seen; scope=interface' END AS notes")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("c-"), padded("o_orderkey", 10)).alias("candidate_id"),
-        F.concat(F.lit("p0"), F.substring("o_orderpriority", 1, 1)).alias("probe"),
-        F.col("o_orderpriority").alias("proposed_type"),
-        F.concat(F.lit("Order of "), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("statement"),
-        F.col("o_orderstatus").alias("status"))
+    return table(spark, sf_dir, "orders").selectExpr(
+        f"concat('c-', {padded('o_orderkey', 10)}) AS candidate_id",
+        "concat('p0', substr(o_orderpriority, 1, 1)) AS probe", "o_orderpriority AS proposed_type",
+        "concat('Order of ', date_format(o_orderdate, 'yyyy-MM-dd')) AS statement",
+        "o_orderstatus AS status")
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag, quantity = F.col("l_returnflag"), F.col("l_quantity")
-    candidate = F.when(F.col("l_tax") == 0.08, F.lit("gone-")).otherwise(F.lit("c-"))
-    key = (F.when((flag != "A") | (quantity == 1), F.lit("")).when(quantity == 50, F.lit("Kx"))
-           .otherwise(F.concat(F.lit("K"), padded("l_partkey", 9))))
-    verdict = (F.when(F.col("l_discount") == 0.1, F.lit(" ")).when(F.col("l_discount") == 0.09, F.lit("MAYBE"))
-               .when(flag == "A", F.lit("MATCH")).when(flag == "R", F.lit("NEW")).otherwise(F.lit("false")))
-    return table(spark, sf_dir, "lineitem").select(
-        line_key().alias("row_no"), F.concat(candidate, padded("l_orderkey", 10)).alias("candidate_id"),
-        key.alias("key_id"), verdict.alias("verdict"), F.col("l_linestatus").alias("note"))
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"{LINE_KEY} AS row_no",
+        f"concat(CASE WHEN l_tax = 0.08D THEN 'gone-' ELSE 'c-' END, {padded('l_orderkey', 10)}) AS candidate_id",
+        "CASE WHEN l_returnflag <> 'A' OR l_quantity = 1 THEN '' WHEN l_quantity = 50 THEN 'Kx' "
+        f"ELSE concat('K', {padded('l_partkey', 9)}) END AS key_id",
+        "CASE WHEN l_discount = 0.1D THEN ' ' WHEN l_discount = 0.09D THEN 'MAYBE' WHEN l_returnflag = 'A' "
+        "THEN 'MATCH' WHEN l_returnflag = 'R' THEN 'NEW' ELSE 'false' END AS verdict",
+        "l_linestatus AS note")
 
 
 # -- message log -----------------------------------------------------------------------------
 
 def event_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.col("value")
-    flag = lambda condition: F.when(condition, F.lit(1)).otherwise(F.lit(0))
-    number = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
-    return table(spark, sf_dir, "events").select(
-        "event_id", flag(value > 1).alias("entity_recoverable"),
-        flag(number < 80).alias("rule_recoverable"), flag(F.col("user_id") % 5 != 0).alias("actor_recoverable"),
-        flag(value < 40).alias("lead_time_recoverable"),
-        F.when(number < 50, F.lit("high")).when(number < 80, F.lit("medium")).otherwise(F.lit("low"))
-        .alias("confidence"),
-        F.concat("event_type", F.lit(" "), (number % 4).cast("string")).alias("recurring_kind"),
-        F.when(value < 40, value * 3).alias("lead_hours"), "event_type")
+    return (table(spark, sf_dir, "events")
+            .selectExpr("*", "try_variant_get(try_parse_json(props), '$.k', 'int') AS k")
+            .selectExpr(
+                "event_id", "event_type", "CAST(value > 1 AS INT) AS entity_recoverable",
+                "CAST(k < 80 AS INT) AS rule_recoverable", "CAST(user_id % 5 <> 0 AS INT) AS actor_recoverable",
+                "CAST(value < 40 AS INT) AS lead_time_recoverable",
+                "CASE WHEN k < 50 THEN 'high' WHEN k < 80 THEN 'medium' ELSE 'low' END AS confidence",
+                "concat(event_type, ' ', k % 4) AS recurring_kind",
+                "CASE WHEN value < 40 THEN value * 3 END AS lead_hours"))
 
 
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages per channel, a conversation; its kind is the language it opens in by length."""
-    role = F.col("role")
-    return (table(spark, sf_dir, "conversations").groupBy("conv_id")
-            .agg(F.count_if(role == "user").alias("human"),
-                 F.count_if((role == "user") & (F.length("text") > 60)).alias("operational"),
-                 F.count_if(role != "user").alias("automation"), F.count("*").alias("turns"))
-            .select(F.concat(F.lit("#c"), F.col("conv_id").cast("string")).alias("channel"),
-                    F.when(F.col("turns") > 4, F.lit("long")).when(F.col("turns") > 2, F.lit("short"))
-                    .otherwise(F.lit("single")).alias("kind"), "human", "operational", "automation"))
+    """Messages per channel. A channel is a conversation and its kind goes by the length."""
+    return (table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.expr("count_if(role = 'user') AS human"),
+        F.expr("count_if(role = 'user' AND length(text) > 60) AS operational"),
+        F.expr("count_if(role <> 'user') AS automation"), F.count("*").alias("turns"))
+        .selectExpr("concat('#c', conv_id) AS channel",
+                    "CASE WHEN turns > 4 THEN 'long' WHEN turns > 2 THEN 'short' ELSE 'single' END AS kind",
+                    "human", "operational", "automation"))

@@ -1,122 +1,154 @@
-"""Source cells to typed values.
+"""Source cells to typed values, as SQL expressions.
 
-A cell arrives as text. Linked and select cells may hold JSON text, which is read
-through VARIANT so that mixed shapes in one column need no schema.
+A cell arrives as text. Linked and select cells may hold JSON text, which is read through
+VARIANT so that mixed shapes in one column need no schema. Every function takes and returns
+SQL text: the expressions nest deeply, and one parse by Spark is cheaper to set up than a
+tree of Column calls.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-EMPTY_CELLS = ("", "null")
-
-# An override log line is "label :: who :: when"; a record id is "rec"
-# and 14 letters or digits, and a machine label may carry ids of jobs.
+# An override log line is "label :: who :: when"; a record id is "rec" and 14
+# letters or digits, and a machine label may carry ids of jobs.
 OVERRIDE_LINE = r"^(.*?)\s*::\s*(.*?)\s*::\s*(\S+)\s*$"
 EMBEDDED_RECORD = r"(?i)(mv_|op_)?rec[a-z0-9]{14}"
 UNLABELLED = "unlabelled"
-
+EMPTY_CELLS = "('', 'null')"
+
+# The timestamp layouts an export may use, tried in this order.
+TIMESTAMP_LAYOUTS = (
+    "yyyy-M-d'T'H:m:s.SSSSSS'Z'",
+    "yyyy-M-d'T'H:m:s'Z'",
+    "yyyy-M-d'T'H:m:s",
+    "yyyy-M-d H:m:s",
+    "yyyy-M-d H:m",
+    "yyyy-M-d",
+)
 
 # The characters Python counts as white space, which cells are stripped of.
 WHITE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
          "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
+NO_TEXT = "CAST(NULL AS STRING)"
+
 
-def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITE))
+def text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def blank_to_null(cell: Column) -> Column:
-    return F.when(~cell.isin(*EMPTY_CELLS), cell)
+def name(column: str) -> str:
+    """A quoted column name."""
+    return "`" + column.replace("`", "``") + "`"
 
 
-def cleaned(cell: Column) -> Column:
+def strip(cell: str) -> str:
+    return f"btrim({cell}, {text(WHITE)})"
+
+
+def cleaned(cell: str) -> str:
     """The text of a cell without white space around it; null when it holds nothing."""
-    return strip(blank_to_null(cell))
+    return strip(f"CASE WHEN {cell} NOT IN {EMPTY_CELLS} THEN {cell} END")
 
 
-def parsed(text: Column) -> Column:
+def parsed(cell: str) -> str:
     """The VARIANT behind a cell that looks like JSON; null for other text."""
-    return F.when(text.startswith("[") | text.startswith("{"), F.try_parse_json(text))
+    return f"CASE WHEN {cell} LIKE '[%' OR {cell} LIKE '{{%' THEN try_parse_json({cell}) END"
 
 
-def parse_int(text: Column) -> Column:
-    """Whole number, cut toward zero. Text that is no number gives null."""
-    return text.try_cast("double").try_cast("int")
+def with_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Clean the columns, and add what each parses to as ``<column>#json``.
 
+    Two projections, which the optimizer keeps apart because their results are used more
+    than once: a cell is cleaned once and parsed once.
+    """
+    rest = [name(c) for c in df.columns if c not in columns]
+    clean = df.selectExpr(*rest, *[f"{cleaned(name(c))} AS {name(c)}" for c in columns])
+    return clean.selectExpr("*", *[f"{parsed(name(c))} AS {name(c + '#json')}" for c in columns])
 
-def links(text: Column, json: Column) -> Column:
-    """The ids in a linked cell: a JSON list of objects or ids, or a comma list.
 
-    ``text`` and ``json`` are the cleaned cell and what ``parsed`` makes of it, as columns
-    of their own so that a cell is parsed once.
-    """
-    listed = F.transform(F.try_variant_get(json, "$", "array<variant>"), lambda v: F.coalesce(
-        F.try_variant_get(v, "$.id", "string"), _plain(v)))
-    written = F.transform(F.split(text, ","), strip)
-    return F.filter(F.coalesce(listed, written, F.array().cast("array<string>")),
-                    lambda x: x.isNotNull() & (x != ""))
+def parse_ts(cell: str) -> str:
+    """Wall-clock time of a cleaned cell, or null when no layout fits. A trailing Z is
+    dropped, not applied."""
+    tries = ", ".join(f"try_to_timestamp({cell}, {text(layout)})" for layout in TIMESTAMP_LAYOUTS)
+    return f"CAST(coalesce({tries}) AS TIMESTAMP_NTZ)"
 
 
-def first_link(text: Column, json: Column) -> Column:
-    return F.get(links(text, json), F.lit(0))
+def parse_date(cell: str) -> str:
+    return f"to_date({parse_ts(cell)})"
 
 
-def scalar(text: Column, json: Column) -> Column:
-    """A select or lookup cell as plain text: the name, else the id, of its first item."""
-    named = [F.nullif(F.try_variant_get(json, path, "string"), F.lit(""))
-             for path in ("$.name", "$.id", "$[0].name", "$[0].id", "$[0][0]")]
-    picked = F.coalesce(*named, _plain(F.try_variant_get(json, "$[0]", "variant")))
-    return F.nullif(F.when(json.isNull(), text).otherwise(blank_to_null(picked)), F.lit(""))
+def parse_int(cell: str) -> str:
+    """Whole number, cut toward zero. Text that is no number gives null."""
+    return f"try_cast(try_cast({cell} AS DOUBLE) AS INT)"
 
 
-def _plain(value: Column) -> Column:
+def _plain(value: str) -> str:
     """A VARIANT as text, unless it is an object or a list."""
-    return F.when(~F.to_json(value).rlike(r"^[\[{]"), F.try_variant_get(value, "$", "string"))
+    return (f"CASE WHEN NOT to_json({value}) RLIKE {text('^[' + chr(92) + '[{]')} "
+            f"THEN try_variant_get({value}, '$', 'string') END")
 
 
-def with_cells(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Clean the columns, and add what each parses to as ``<column>#json``.
+def links(column: str) -> str:
+    """The ids in a linked cell: a JSON list of objects or ids, or a comma list.
 
-    Two projections: the optimizer keeps them apart because their results are used more
-    than once.
+    The column and its ``#json`` come from ``with_cells``.
     """
-    clean = df.withColumns({c: cleaned(F.col(f"`{c}`")) for c in columns})
-    return clean.withColumns({f"{c}#json": parsed(F.col(f"`{c}`")) for c in columns})
+    listed = (f"transform(try_variant_get({name(column + '#json')}, '$', 'array<variant>'), "
+              f"v -> coalesce(try_variant_get(v, '$.id', 'string'), {_plain('v')}))")
+    written = f"transform(split({name(column)}, ','), x -> {strip('x')})"
+    return (f"filter(coalesce({listed}, {written}, CAST(array() AS ARRAY<STRING>)), "
+            "x -> x IS NOT NULL AND x <> '')")
+
+
+def first_link(column: str) -> str:
+    return f"get({links(column)}, 0)"
+
+
+def scalar(column: str) -> str:
+    """A select or lookup cell as plain text: the name, else the id, of its first item."""
+    json = name(column + "#json")
+    named = ", ".join(f"nullif(try_variant_get({json}, '{path}', 'string'), '')"
+                      for path in ("$.name", "$.id", "$[0].name", "$[0].id", "$[0][0]"))
+    first = _plain(f"try_variant_get({json}, '$[0]', 'variant')")
+    return (f"nullif(CASE WHEN {json} IS NULL THEN {name(column)} "
+            f"ELSE nullif(coalesce({named}, {first}), 'null') END, '')")
 
 
-def opaque_id(*parts: Column, prefix: str = "", length: int = 12) -> Column:
+def opaque_id(*parts: str, prefix: str = "", length: int = 12) -> str:
     """A stable id without content: a prefix of the sha-256 of the joined parts.
 
-    A missing part counts as the text ``None``; ``concat_ws`` alone would skip it and
-    give two different records one id.
+    A missing part counts as the text ``None``; ``concat_ws`` alone would skip it and give
+    two different records one id.
     """
-    known = [F.coalesce(p.cast("string"), F.lit("None")) for p in parts]
-    digest = F.sha2(F.concat_ws("\x1f", *known), 256)
-    return F.concat(F.lit(prefix), F.substring(digest, 1, length))
+    known = ", ".join(f"coalesce(CAST({p} AS STRING), 'None')" for p in parts)
+    return f"concat({text(prefix)}, substr(sha2(concat_ws(char(31), {known}), 256), 1, {length}))"
 
 
-def record_id(columns: list[Column], prefix: str = "") -> Column:
+def record_id(columns: list[str], prefix: str = "") -> str:
     """The first non-empty id column, prefixed; null when a record has none."""
-    ident = F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
-    return F.concat(F.lit(prefix), ident)
+    if not columns:
+        return NO_TEXT
+    ident = ", ".join(f"nullif({name(c)}, '')" for c in columns)
+    return f"concat({text(prefix)}, coalesce({ident}))"
 
 
-def label_class(label: Column) -> Column:
+def label_class(label: str) -> str:
     """Lower-case words of an override label, without embedded record ids and digits."""
-    bare = F.regexp_replace(F.lower(strip(label)), EMBEDDED_RECORD, "")
-    words = F.trim(F.regexp_replace(bare, "[^a-z]+", " "))
-    return F.coalesce(F.nullif(words, F.lit("")), F.lit(UNLABELLED))
+    bare = f"regexp_replace(lower({label}), {text(EMBEDDED_RECORD)}, '')"
+    return f"coalesce(nullif(trim(regexp_replace({bare}, '[^a-z]+', ' ')), ''), {text(UNLABELLED)})"
 
 
-def override_line(line: Column) -> Column:
+def override_line(line: str) -> str:
     """``struct(label, who, when)`` of one log line; a line of another form is all label."""
-    fits = line.rlike(OVERRIDE_LINE)
-    part = [F.when(fits, F.regexp_extract(line, OVERRIDE_LINE, i)) for i in (1, 2, 3)]
-    return F.struct(F.coalesce(part[0], line).alias("label"),
-                    part[1].alias("who"), part[2].alias("when"))
+    pattern = text(OVERRIDE_LINE)
+    part = [f"CASE WHEN {line} RLIKE {pattern} THEN regexp_extract({line}, {pattern}, {i}) END"
+            for i in (1, 2, 3)]
+    return f"named_struct('label', coalesce({part[0]}, {line}), 'who', {part[1]}, 'when', {part[2]})"
 
 
-def override_lines(cell: Column) -> Column:
+def override_lines(column: str) -> str:
     """The non-blank lines of an override log cell."""
-    return F.filter(F.transform(F.split(cell, "\n"), strip), lambda x: x != "")
+    return f"filter(transform(split({name(column)}, '\\n'), x -> {strip('x')}), x -> x <> '')"

@@ -1,77 +1,46 @@
-"""Timestamps without a zone: parsing, day and minute arithmetic, display text.
+"""Timestamps without a zone: day and minute arithmetic, display text.
 
-The epoch helpers read calendar fields of a TIMESTAMP_NTZ, so their results do not
-depend on the session time zone.
+The epoch helpers read calendar fields of a TIMESTAMP_NTZ, so their results do not depend
+on the session time zone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The timestamp layouts an export may use, tried in this order.
-TIMESTAMP_LAYOUTS = (
-    "yyyy-M-d'T'H:m:s.SSSSSS'Z'",
-    "yyyy-M-d'T'H:m:s'Z'",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d H:m",
-    "yyyy-M-d",
-)
-
 TIMESTAMP_TEXT = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?)?$"
 
 
-def parse_ts(text: Column) -> Column:
-    """Wall-clock time of a cleaned cell, or null when no layout fits. A trailing Z is dropped,
-    not applied."""
-    tries = [F.try_to_timestamp(text, F.lit(layout)) for layout in TIMESTAMP_LAYOUTS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
-
-
-def parse_date(text: Column) -> Column:
-    return F.to_date(parse_ts(text))
-
-
-def day(ts: Column) -> Column:
-    return F.to_date(ts)
+def epoch_minutes(ts: str) -> str:
+    return f"(unix_date(to_date({ts})) * 1440L + hour({ts}) * 60 + minute({ts}))"
 
 
-def epoch_minutes(ts: Column) -> Column:
-    return (F.unix_date(F.to_date(ts)).cast("bigint") * 1440
-            + F.hour(ts) * 60 + F.minute(ts))
+def epoch_seconds(ts: str) -> str:
+    return f"({epoch_minutes(ts)} * 60 + CAST(second({ts}) AS BIGINT))"
 
 
-def epoch_seconds(ts: Column) -> Column:
-    return epoch_minutes(ts) * 60 + F.second(ts)
-
-
-def minutes_between(start: Column, end: Column) -> Column:
+def minutes_between(start: str, end: str) -> Column:
     """How many minute marks lie between two times: 21:00:01 to 21:30:00 is 30."""
-    return epoch_minutes(end) - epoch_minutes(start)
+    return F.expr(f"{epoch_minutes(end)} - {epoch_minutes(start)}")
 
 
-def days_between(start: Column, end: Column) -> Column:
+def days_between(start: str, end: str) -> Column:
     """How many midnights lie between two times."""
-    return F.datediff(end, start)
+    return F.expr(f"datediff({end}, {start})")
 
 
-def within_day(ts: Column, date: str) -> Column:
+def within_day(ts: str, date: str) -> Column:
     """Range form of ``to_date(ts) = date``, so the filter reaches the file scan."""
-    first = F.lit(date).cast("date")
-    return ((ts >= first.cast("timestamp_ntz"))
-            & (ts < F.date_add(first, 1).cast("timestamp_ntz")))
-
-
-def weekday_minute(ts: Column) -> Column:
-    return F.date_format(ts, "EEE yyyy-MM-dd HH:mm")
+    return F.expr(f"{ts} >= CAST(DATE'{date}' AS TIMESTAMP_NTZ) "
+                  f"AND {ts} < CAST(date_add(DATE'{date}', 1) AS TIMESTAMP_NTZ)")
 
 
-def weekday_date(ts: Column) -> Column:
-    return F.date_format(ts, "EEE yyyy-MM-dd")
+def weekday_minute(ts: str) -> str:
+    return f"date_format({ts}, 'EEE yyyy-MM-dd HH:mm')"
 
 
-def with_weekday(text: Column) -> Column:
+def with_weekday(text: str) -> Column:
     """Put the day name before a text that is a bare timestamp; leave other text alone."""
-    date = F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd"))
-    return F.when(text.rlike(TIMESTAMP_TEXT) & date.isNotNull(),
-                  F.concat(F.date_format(date, "EEE"), F.lit(" "), text)).otherwise(text)
+    date = f"try_to_timestamp(substr({text}, 1, 10), 'yyyy-MM-dd')"
+    return F.expr(f"CASE WHEN {text} RLIKE r'{TIMESTAMP_TEXT}' AND {date} IS NOT NULL "
+                  f"THEN concat(date_format({date}, 'EEE'), ' ', {text}) ELSE {text} END")

@@ -1,10 +1,10 @@
-"""Ids, names and sentences people read."""
+"""Ids, names and sentences people read. Arguments and results are SQL text unless noted."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ruletrace.functions.clock import weekday_minute
+from ruletrace.functions.cells import NO_TEXT, text
 
 # Fallbacks for missing labels, and the link format of the source system.
 UNTYPED = "untyped"
@@ -15,73 +15,62 @@ RECORD_URL = "https://airtable.com/{base}/{table}/{record}"
 SLUG_LIMIT, SLUG_HEAD, SLUG_HASH = 48, 40, 7
 
 
-def slug(*parts: Column) -> Column:
+def slug(*parts: str) -> str:
     """A readable, stable piece of a candidate id; long ones end in a short hash."""
-    text = F.concat_ws("_", *[F.nullif(p.cast("string"), F.lit("")) for p in parts])
-    dashed = F.lower(F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9]+", "-"), "^-+|-+$", ""))
-    short = F.concat(F.substring(dashed, 1, SLUG_HEAD), F.lit("-"),
-                     F.substring(F.sha2(dashed, 256), 1, SLUG_HASH))
-    named = F.when(F.length(dashed) > SLUG_LIMIT, short).otherwise(dashed)
-    return F.coalesce(F.nullif(named, F.lit("")), F.lit("unnamed"))
+    joined = ", ".join(f"nullif(CAST({p} AS STRING), '')" for p in parts)
+    dashed = f"lower(btrim(regexp_replace(concat_ws('_', {joined}), '[^A-Za-z0-9]+', '-'), '-'))"
+    # Named once through a one-element list: the dashed text is used four times.
+    return (f"get(transform(array({dashed}), s -> CASE WHEN length(s) > {SLUG_LIMIT} "
+            f"THEN concat(substr(s, 1, {SLUG_HEAD}), '-', substr(sha2(s, 256), 1, {SLUG_HASH})) "
+            "WHEN s = '' THEN 'unnamed' ELSE s END), 0)")
 
 
-def candidate_id(probe: str, *parts: Column) -> Column:
-    return F.concat(F.lit(f"{probe}-"), slug(*parts))
+def candidate_id(probe: str, *parts: str) -> Column:
+    return F.expr(f"concat({text(probe + '-')}, {slug(*parts)})").alias("candidate_id")
 
 
-def quoted(text: Column) -> Column:
+def quoted(value: str) -> str:
     """Text in quotes inside a sentence: single quotes unless the text holds one."""
-    escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    has_single, has_double = F.contains(text, F.lit("'")), F.contains(text, F.lit('"'))
-    return (F.when(has_single & ~has_double, F.concat(F.lit('"'), escaped, F.lit('"')))
-            .otherwise(F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))))
+    escaped = f"replace({value}, '\\\\', '\\\\\\\\')"
+    return (f"CASE WHEN contains({value}, '\\'') AND NOT contains({value}, '\"') "
+            f"THEN concat('\"', {escaped}, '\"') "
+            f"ELSE concat('\\'', replace({escaped}, '\\'', '\\\\\\''), '\\'') END")
 
 
-def sentence(template: str, **values: Column) -> Column:
-    """Fill ``{name}`` slots of a template with column values."""
+def sentence(template: str, **values: str) -> str:
+    """Fill ``{name}`` slots of a template; a slot without a value names a column."""
     pieces, rest = [], template
     while "{" in rest:
         plain, _, tail = rest.partition("{")
-        name, _, rest = tail.partition("}")
-        pieces += [F.lit(plain), values[name].cast("string")]
-    return F.concat(*pieces, F.lit(rest))
+        slot, _, rest = tail.partition("}")
+        pieces += [text(plain), f"CAST({values.get(slot, slot)} AS STRING)"]
+    return f"concat({', '.join([*pieces, text(rest)])})"
 
 
-def rate4(part: Column, whole: Column) -> Column:
-    """A ratio kept to four places, ties to even."""
-    return F.bround(part / whole, 4)
+def job_label(work_type: str, start_ts: str) -> str:
+    return (f"concat(coalesce({work_type}, {text(UNTYPED)}), ' on ', "
+            f"coalesce(date_format({start_ts}, 'EEE yyyy-MM-dd HH:mm'), 'no start time'))")
 
 
-def job_label(work_type: Column, start_ts: Column) -> Column:
-    return F.concat(F.coalesce(work_type, F.lit(UNTYPED)), F.lit(" on "),
-                    F.coalesce(weekday_minute(start_ts), F.lit("no start time")))
-
-
-def source_of(entity_id: Column, other: str = "other") -> Column:
+def source_of(entity_id: str, other: str = "other") -> str:
     """Which source table a job id comes from, told by its prefix."""
-    return (F.when(entity_id.startswith("op_"), F.lit("Daily Ops"))
-            .when(entity_id.startswith("mv_"), F.lit("Movements"))
-            .otherwise(F.lit(other)))
+    return (f"CASE WHEN startswith({entity_id}, 'op_') THEN 'Daily Ops' "
+            f"WHEN startswith({entity_id}, 'mv_') THEN 'Movements' ELSE {text(other)} END")
 
 
-def scope_of(notes: Column) -> Column:
-    return F.when(F.contains(F.lower(F.coalesce(notes, F.lit(""))), F.lit("scope=interface")),
-                  F.lit("interface")).otherwise(F.lit("operating"))
+def scope_of(notes: str) -> str:
+    return (f"CASE WHEN contains(lower({notes}), 'scope=interface') THEN 'interface' "
+            "ELSE 'operating' END")
 
 
-def record_url(landing_id: Column, base: str, table_ids: dict[str, str]) -> Column:
+def record_url(landing_id: str, base: str, table_ids: dict[str, str]) -> str:
     """Link to the source record behind a landing id, or null when it has none.
 
     ``table_ids`` maps an id prefix such as ``op_`` to the table's id. It comes from the
-    source map, whose length is fixed by hand, so it travels as a literal map.
+    source map, whose length is fixed by hand, so it becomes a CASE.
     """
-    if not base or not table_ids:
-        return F.lit(None).cast("string")
-    pairs = [F.lit(x) for kv in table_ids.items() for x in kv]
-    prefix = F.concat(F.substring_index(landing_id, "_", 1), F.lit("_"))
-    table = F.element_at(F.create_map(*pairs), prefix)
-    record = F.regexp_extract(landing_id, r"^[^_]*_(rec.*)$", 1)
-    head, _, tail = RECORD_URL.partition("{table}")
-    middle = tail.partition("{record}")[0]
-    return F.when((record != "") & table.isNotNull(),
-                  F.concat(F.lit(head.format(base=base)), table, F.lit(middle), record))
+    links = [f"WHEN startswith({landing_id}, {text(prefix + 'rec')}) THEN concat("
+             + text(RECORD_URL.format(base=base, table=table, record=""))
+             + f", substr({landing_id}, {len(prefix) + 1}))"
+             for prefix, table in table_ids.items()]
+    return f"CASE {' '.join(links)} END" if base and links else NO_TEXT

@@ -30,7 +30,7 @@ def timed(assignments: DataFrame) -> DataFrame:
 
 
 def _length() -> Column:
-    return epoch_seconds(F.col("end_ts")) - epoch_seconds(F.col("start_ts"))
+    return F.expr(f"{epoch_seconds('end_ts')} - {epoch_seconds('start_ts')}")
 
 
 @dataclass(frozen=True)
@@ -70,34 +70,28 @@ def overlap_pairs(rows: DataFrame, shape: Shape, keep: list[str] | None = None,
     columns = list(dict.fromkeys(
         ["resource_id", "work_id", "assignment_id", "start_ts", "end_ts", *(keep or [])]))
     usual, long = shape.usual, shape.long
-    tiers = [0] if long <= LONG_SPAN * usual else [0, 1]
+    tiers = "array(0)" if long <= LONG_SPAN * usual else "array(0, 1)"
+    bucket = f"floor({{}} / CASE _tier WHEN 0 THEN {usual} ELSE {long} END)"
+    at, until = bucket.format(epoch_seconds("start_ts")), bucket.format(epoch_seconds("end_ts"))
 
     spans = timed(earlier if earlier is not None else rows).filter("start_ts < end_ts")
-    tier = F.when(_length() <= LONG_SPAN * usual, F.lit(0)).otherwise(F.lit(1))
-    width = F.when(F.col("_tier") == 0, F.lit(usual)).otherwise(F.lit(long))
-    spans = (spans.select(*columns).withColumn("_tier", tier)
-             .withColumn("_bucket", F.explode(F.sequence(
-                 F.floor(epoch_seconds(F.col("start_ts")) / width),
-                 F.floor(epoch_seconds(F.col("end_ts")) / width)))))
+    spans = (spans.select(*columns)
+             .withColumn("_tier", F.when(_length() <= LONG_SPAN * usual, 0).otherwise(1))
+             .selectExpr("*", f"explode(sequence({at}, {until})) AS _bucket"))
     starts = (timed(later if later is not None else rows).select(*columns)
-              .withColumn("_tier", F.explode(F.array(*[F.lit(t) for t in tiers])))
-              .withColumn("_bucket", F.floor(epoch_seconds(F.col("start_ts")) / width)))
-
-    x, y = spans.alias("x"), starts.alias("y")
-    c = F.col
-    first = ((c("x.start_ts") < c("y.start_ts"))
-             | ((c("x.start_ts") == c("y.start_ts"))
-                & (c("x.assignment_id") < c("y.assignment_id"))))
-    met = x.join(y, (c("x.resource_id") == c("y.resource_id")) & (c("x._tier") == c("y._tier"))
-                 & (c("x._bucket") == c("y._bucket")) & first
-                 & (c("y.start_ts") < c("x.end_ts")) & (c("x.start_ts") < c("y.end_ts"))
-                 & (c("x.work_id") != c("y.work_id")))
-    x_first = c("x.assignment_id") < c("y.assignment_id")
+              .selectExpr("*", f"explode({tiers}) AS _tier").selectExpr("*", f"{at} AS _bucket"))
+
+    # The smaller assignment id is a; whichever booking begins earlier stays x.
+    met = spans.alias("x").join(starts.alias("y"), F.expr(
+        "x.resource_id = y.resource_id AND x._tier = y._tier AND x._bucket = y._bucket "
+        "AND y.start_ts < x.end_ts AND x.start_ts < y.end_ts AND x.work_id <> y.work_id "
+        "AND (x.start_ts < y.start_ts "
+        "     OR (x.start_ts = y.start_ts AND x.assignment_id < y.assignment_id))"))
+    x_is_a = "x.assignment_id < y.assignment_id"
     names = [n for n in columns if n != "resource_id"]
-    return met.select(
-        c("x.resource_id").alias("resource_id"),
-        *[F.when(x_first, c(f"x.{n}")).otherwise(c(f"y.{n}")).alias(f"a_{n}") for n in names],
-        *[F.when(x_first, c(f"y.{n}")).otherwise(c(f"x.{n}")).alias(f"b_{n}") for n in names])
+    return met.selectExpr("x.resource_id AS resource_id",
+                          *[f"if({x_is_a}, x.{n}, y.{n}) AS a_{n}" for n in names],
+                          *[f"if({x_is_a}, y.{n}, x.{n}) AS b_{n}" for n in names])
 
 
 def _sweep(rows: DataFrame, keep: list[str], limit: int | None = None) -> DataFrame:
@@ -106,27 +100,21 @@ def _sweep(rows: DataFrame, keep: list[str], limit: int | None = None) -> DataFr
     ``running`` is how many are under way at the event, ``begun`` how many have begun.
     Both are taken over the whole resource and then over the same job, and subtracted.
     """
-    def event(ts: str, mark: int, step: int, entry: int) -> Column:
-        return F.struct(F.col(ts).alias("at"), F.lit(mark).alias("mark"),
-                        F.lit(step).cast("bigint").alias("step"),
-                        F.lit(entry).cast("bigint").alias("entry"))
+    def event(ts: str, mark: int, step: int, entry: int) -> str:
+        return f"named_struct('at', {ts}, 'mark', {mark}, 'step', {step}L, 'entry', {entry}L)"
 
+    both = f"array({event('start_ts', START, 1, 1)}, {event('end_ts', END, -1, 0)})"
+    moment = f"array({event('start_ts', MOMENT, 0, 1)})"
     events = (timed(rows).filter("work_id IS NOT NULL AND start_ts <= end_ts")
-              .select("resource_id", "work_id", "assignment_id", *keep,
-                      F.explode(F.when(F.col("start_ts") < F.col("end_ts"),
-                                       F.array(event("start_ts", START, 1, 1),
-                                               event("end_ts", END, -1, 0)))
-                                .otherwise(F.array(event("start_ts", MOMENT, 0, 1)))).alias("e"))
-              .select("resource_id", "work_id", "assignment_id", *keep,
-                      "e.at", "e.mark", "e.step", "e.entry"))
+              .selectExpr("resource_id", "work_id", "assignment_id", *keep,
+                          f"inline(if(start_ts < end_ts, {both}, {moment}))"))
     order = ["at", "mark", "assignment_id"]
     events = sums_before(events, ["resource_id"], order,
                          {"_run": "step", "_beg": "entry"}, limit)
     events = sums_before(events, ["resource_id", "work_id"], order,
                          {"_run_same": "step", "_beg_same": "entry"}, limit)
-    return (events.withColumn("running", F.col("_run") - F.col("_run_same"))
-            .withColumn("begun", F.col("_beg") - F.col("_beg_same"))
-            .drop("_run", "_beg", "_run_same", "_beg_same", "step", "entry"))
+    return events.selectExpr("resource_id", "work_id", *keep, "at", "mark",
+                             "_run - _run_same AS running", "_beg - _beg_same AS begun")
 
 
 def _backwards(rows: DataFrame) -> DataFrame:

@@ -119,13 +119,13 @@ def exclusivity_candidates(landing: Landing, guards: Guards = Guards()) -> DataF
             *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
               for c in ("a_start", "a_end", "b_start", "b_end")]))).alias("examples")))
     shown = F.transform("examples", lambda x: x.dropFields("position"))
-    worded = F.when(F.col("overlapping_pairs") > 0, sentence(
-        text.OVERLAP_SOMETIMES, kind=F.col("kind"), pairs=F.col("overlapping_pairs"),
-        resources=F.col("resources_with_an_overlap"))).otherwise(sentence(
-            text.OVERLAP_NEVER, kind=F.col("kind"), assignments=F.col("assignments_over_floor")))
+    sometimes = sentence(text.OVERLAP_SOMETIMES, pairs="overlapping_pairs",
+                         resources="resources_with_an_overlap")
+    never = sentence(text.OVERLAP_NEVER, assignments="assignments_over_floor")
+    worded = F.expr(f"CASE WHEN overlapping_pairs > 0 THEN {sometimes} ELSE {never} END")
     return found.join(examples, "kind", "left").select(
         F.lit(PROBE).alias("probe"),
-        candidate_id(PROBE, F.lit("exclusivity"), F.col("kind")).alias("candidate_id"),
+        candidate_id(PROBE, "'exclusivity'", "kind"),
         F.lit("exclusivity").alias("proposed_type"), worded.alias("statement"),
         F.to_json(F.struct("overlapping_pairs", "resources_with_an_overlap",
                            F.coalesce(shown, F.array()).alias("examples"))).alias("evidence"),
@@ -144,7 +144,7 @@ def gaps(landing: Landing, min_assignments: int) -> DataFrame:
     follow = next_in_group(rows, ["resource_id"], ["start_ts", "assignment_id"],
                            {"next_start": "start_ts"})
     return (follow.filter("next_start IS NOT NULL")
-            .withColumn("gap_minutes", minutes_between(F.col("end_ts"), F.col("next_start")))
+            .withColumn("gap_minutes", minutes_between("end_ts", "next_start"))
             .filter("gap_minutes >= 0"))
 
 
@@ -178,14 +178,12 @@ def turnaround_candidates(landing: Landing, guards: Guards = Guards()) -> DataFr
     # 24 bins per kind by construction.
     head = (histogram(counts, ["kind"], "gap_minutes", text.GAP_BIN_MINUTES, text.GAP_HEAD_BINS)
             .groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("edge", "n"))).alias("bins")))
-    slots = dict(kind=F.col("kind"), edge=F.col("edge"), pairs=F.col("observations"),
-                 kept=F.col("observations") - F.col("below"), below=F.col("below"),
-                 least=F.col("least"))
-    worded = F.when(F.col("floor") == "hard", sentence(text.FLOOR_HARD, **slots)).otherwise(
-        sentence(text.FLOOR_SOFT, **slots))
+    hard = sentence(text.FLOOR_HARD, pairs="observations")
+    soft = sentence(text.FLOOR_SOFT, pairs="observations", kept="(observations - below)")
+    worded = F.expr(f"CASE floor WHEN 'hard' THEN {hard} ELSE {soft} END")
     return found.join(head, "kind").select(
         F.lit(PROBE).alias("probe"),
-        candidate_id(PROBE, F.lit("turnaround"), F.col("kind")).alias("candidate_id"),
+        candidate_id(PROBE, "'turnaround'", "kind"),
         F.lit("turnaround").alias("proposed_type"), worded.alias("statement"),
         F.to_json(F.struct(
             F.col("edge").alias("proposed_minimum_minutes"), "floor",
@@ -213,7 +211,7 @@ def tight_gaps(landing: Landing, under: int = 30, kind: str = "",
                            {"next_start": "start_ts", "next_work": "work_id", "next_role": "role"})
     # Few gaps are this short, so the jobs are named after the cut.
     tight = (follow.filter("next_start IS NOT NULL")
-             .withColumn("gap_minutes", minutes_between(F.col("end_ts"), F.col("next_start")))
+             .withColumn("gap_minutes", minutes_between("end_ts", "next_start"))
              .filter((F.col("gap_minutes") >= 0) & (F.col("gap_minutes") < under)))
     jobs = landing.work.select("work_id", F.coalesce("work_type", F.lit("untyped")).alias("work_type"))
     return (tight

@@ -69,28 +69,25 @@ def unjudged(found: DataFrame, verdicts: DataFrame, redo: bool = False) -> DataF
 
 def names_of_ids(landing: Landing, override_labels: DataFrame | None = None) -> DataFrame:
     """What a person would call each landing id: (id, label)."""
-    res = landing.resources.select(
-        F.col("resource_id").alias("id"),
-        F.when(F.coalesce("kind", F.lit("")) != "",
-               F.concat(F.coalesce("name", F.lit("None")), F.lit(" ("), "kind", F.lit(")")))
-        .otherwise(F.coalesce("name", F.lit("None"))).alias("label"))
-    jobs = landing.work.select(F.col("work_id").alias("id"),
-                               job_label(F.nullif(F.col("work_type"), F.lit("")), F.col("start_ts"))
-                               .alias("label"))
-    places = landing.locations.select(F.col("location_id").alias("id"),
-                                      F.coalesce("name", F.lit("None")).alias("label"))
+    res = landing.resources.selectExpr(
+        "resource_id AS id", "concat(coalesce(name, 'None'), "
+        "CASE WHEN kind <> '' THEN concat(' (', kind, ')') ELSE '' END) AS label")
+    work_type = "nullif(work_type, '')"
+    jobs = landing.work.selectExpr("work_id AS id",
+                                   f"{job_label(work_type, 'start_ts')} AS label")
+    places = landing.locations.selectExpr("location_id AS id", "coalesce(name, 'None') AS label")
     named = res.unionByName(jobs).unionByName(places)
     if override_labels is not None:
-        named = named.unionByName(override_labels.select(F.col("field").alias("id"), "label"))
+        named = named.unionByName(override_labels.selectExpr("field AS id", "label"))
     return named
 
 
 def described(values: DataFrame, names: DataFrame, base: str = "",
               table_ids: dict[str, str] | None = None) -> DataFrame:
     """Evidence values, in column ``value``, with label and link; a plain time gets its weekday."""
-    url = record_url(F.col("value"), base, table_ids or {})
-    named = F.concat("label", F.coalesce(F.concat(F.lit("  "), url),
-                                         F.concat(F.lit("  ["), "value", F.lit("]"))))
+    url = record_url("value", base, table_ids or {})
     return (values.join(names, F.col("value") == F.col("id"), "left")
-            .withColumn("shown", F.when(F.col("label").isNotNull(), named)
-                        .otherwise(with_weekday(F.col("value")))).drop("id"))
+            .withColumn("plain", with_weekday("value"))
+            .withColumn("shown", F.expr(f"CASE WHEN label IS NULL THEN plain ELSE concat(label, "
+                                        f"coalesce(concat('  ', {url}), concat('  [', value, ']'))) END"))
+            .drop("id", "plain"))

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ruletrace.functions.clock import day
 from ruletrace.functions.labels import candidate_id, sentence
 from ruletrace.guards import Guards
 from ruletrace.operators.distribution import counted, right_edge
@@ -27,15 +26,15 @@ def measured(landing: Landing, dimension: str) -> DataFrame:
         return (assignments.filter("work_id IS NOT NULL").groupBy("work_id")
                 .agg(F.countDistinct("resource_id").alias("v")))
     if dimension == "work_per_day":
-        return (work.filter("start_ts IS NOT NULL").groupBy(day(F.col("start_ts")).alias("d"))
+        return (work.filter("start_ts IS NOT NULL").groupBy(F.to_date("start_ts").alias("d"))
                 .agg(F.count("*").alias("v")))
     if dimension == "work_per_resource_per_day":
         return (assignments.filter("start_ts IS NOT NULL")
-                .groupBy("resource_id", day(F.col("start_ts")).alias("d"))
+                .groupBy("resource_id", F.to_date("start_ts").alias("d"))
                 .agg(F.countDistinct("work_id").alias("v")))
     if dimension == "work_per_location_per_day":
         return (work.filter("start_ts IS NOT NULL AND location_id IS NOT NULL")
-                .groupBy("location_id", day(F.col("start_ts")).alias("d"))
+                .groupBy("location_id", F.to_date("start_ts").alias("d"))
                 .agg(F.count("*").alias("v")))
     raise ValueError(f"unknown dimension {dimension!r}. Known: {', '.join(sorted(DIMENSIONS))}")
 
@@ -64,15 +63,13 @@ def ceiling_candidates(landing: Landing, guards: Guards = Guards()) -> DataFrame
     # different values a dimension takes, not the number of rows.
     listed = counts.groupBy("dimension").agg(F.array_sort(F.collect_list(
         F.struct(F.col("v").alias("value"), F.col("n").alias("count")))).alias("distribution"))
-    phrase = F.element_at(F.create_map(*[F.lit(x) for kv in text.CEILING_PHRASES.items()
-                                         for x in kv]), F.col("dimension"))
-    slots = dict(phrase=phrase, top=F.col("observed_max"), at_max=F.col("count_at_max"),
-                 observations=F.col("observations"))
-    worded = F.when(F.col("shape") == "cliff", sentence(text.CEILING_CLIFF, **slots)).otherwise(
-        sentence(text.CEILING_TAPER, **slots))
+    phrase = " ".join(f"WHEN '{d}' THEN '{p}'" for d, p in text.CEILING_PHRASES.items())
+    slots = dict(phrase=f"CASE dimension {phrase} END", top="observed_max", at_max="count_at_max")
+    worded = F.expr(f"CASE shape WHEN 'cliff' THEN {sentence(text.CEILING_CLIFF, **slots)} "
+                    f"ELSE {sentence(text.CEILING_TAPER, **slots)} END")
     return _shapes(counts, guards).join(listed, "dimension").select(
         F.lit(PROBE).alias("probe"),
-        candidate_id(PROBE, F.lit("ceiling"), F.col("dimension")).alias("candidate_id"),
+        candidate_id(PROBE, "'ceiling'", "dimension"),
         F.lit("capacity").alias("proposed_type"), worded.alias("statement"),
         F.to_json(F.struct(
             "dimension", "observed_max", "shape", "count_at_max",

@@ -11,7 +11,7 @@ from ruletrace.sources.landing import Landing
 
 def jobs_on(landing: Landing, date: str) -> DataFrame:
     places = landing.locations.select("location_id", F.col("name").alias("place"))
-    return (landing.work.filter(within_day(F.col("start_ts"), date))
+    return (landing.work.filter(within_day("start_ts", date))
             .join(places, "location_id", "left")
             .select("work_id", F.coalesce("work_type", F.lit(UNTYPED)).alias("work_type"),
                     "start_ts", "end_ts", "customer_count", "status",

@@ -63,9 +63,9 @@ def change_rows(landing: Landing, field: str) -> DataFrame:
     return (changes_of(landing, field).withColumnRenamed("entity_id", "work_id")
             .join(jobs, "work_id", "left")
             .select("changed_at", F.coalesce("changed_by", F.lit("unknown")).alias("changed_by"),
-                    "work_id", source_of(F.col("work_id"), "?").alias("source"),
+                    "work_id", F.expr(source_of("work_id", "?")).alias("source"),
                     F.coalesce("work_type", F.lit(UNTYPED)).alias("work_type"), "start_ts",
-                    days_between(F.col("changed_at"), F.col("start_ts")).alias("lead_days"),
+                    days_between("changed_at", "start_ts").alias("lead_days"),
                     "customer_count", "old_value", "new_value")
             .orderBy("changed_at", "work_id"))
 
@@ -125,7 +125,7 @@ def top_resources(landing: Landing, field: str, size: int = 8) -> DataFrame:
 
 
 def jobs_by_source(landing: Landing, field: str) -> DataFrame:
-    source = source_of(F.col("entity_id")).alias("source")
+    source = F.expr(source_of("entity_id")).alias("source")
     return changes_of(landing, field).groupBy(source).agg(F.count("*").alias("changes"))
 
 

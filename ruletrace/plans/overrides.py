@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ruletrace.functions.clock import day, days_between
-from ruletrace.functions.labels import UNRECORDED, candidate_id, rate4, sentence
+from ruletrace.functions.clock import days_between
+from ruletrace.functions.labels import UNRECORDED, candidate_id, sentence
 from ruletrace.guards import Guards
 from ruletrace.operators.distribution import spread
 from ruletrace.plans import statements as text
@@ -49,10 +49,10 @@ def lead_days(landing: Landing) -> DataFrame:
     """
     stamped = landing.changes.filter("entity_table = 'work' AND changed_at IS NOT NULL")
     per_job = (stamped.groupBy(*KEYS, F.col("entity_id").alias("work_id"),
-                               day(F.col("changed_at")).alias("changed_on"))
+                               F.to_date("changed_at").alias("changed_on"))
                .agg(F.count("*").alias("n")))
     jobs = landing.work.filter("start_ts IS NOT NULL").select("work_id", "start_ts")
-    days = days_between(F.col("changed_on"), F.to_date("start_ts")).cast("bigint")
+    days = days_between("changed_on", "start_ts").cast("bigint")
     return (per_job.join(jobs, "work_id").groupBy(*KEYS, days.alias("lead_days"))
             .agg(F.sum("n").alias("n")))
 
@@ -75,17 +75,15 @@ def override_candidates(landing: Landing, guards: Guards = Guards()) -> DataFram
     lead = lead_times(landing).select(*KEYS, F.struct(
         "n", "min_days", "median_days", "max_days", "same_day_or_later").alias("lead"))
     found = ranked.join(people, KEYS, "left").join(lead, KEYS, "left")
-    when = F.when(F.col("lead").isNotNull(), sentence(
-        text.OVERRIDE_WHEN, median=F.col("lead.median_days"),
-        late=F.col("lead.same_day_or_later"))).otherwise(F.lit(""))
+    typical = sentence(text.OVERRIDE_WHEN, median="lead.median_days", late="lead.same_day_or_later")
+    worded = sentence(text.OVERRIDE, table="entity_table",
+                      when=f"CASE WHEN lead IS NULL THEN '' ELSE {typical} END")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return found.select(
         F.lit(PROBE).alias("probe"),
-        candidate_id(PROBE, F.lit("override"), F.col("entity_table"), F.col("field"))
-        .alias("candidate_id"),
+        candidate_id(PROBE, "'override'", "entity_table", "field"),
         F.lit("any").alias("proposed_type"),
-        sentence(text.OVERRIDE, field=F.col("field"), entities=F.col("entities"),
-                 table=F.col("entity_table"), events=F.col("events"), when=when).alias("statement"),
+        F.expr(worded).alias("statement"),
         F.to_json(F.struct(
             "entity_table", "field", F.col("rank").alias("rank_by_frequency"), "events",
             F.col("entities").alias("distinct_entities"), F.col("actors").alias("distinct_actors"),
@@ -96,5 +94,5 @@ def override_candidates(landing: Landing, guards: Guards = Guards()) -> DataFram
             F.col("all_changes").alias("change_rows_total"),
             F.col("events").alias("events_for_this_field"),
             F.lit(guards.min_change_events).alias("min_events_per_field"),
-            rate4(F.col("events"), F.col("all_changes")).alias("share_of_all_overrides")))
+            F.bround(F.col("events") / F.col("all_changes"), 4).alias("share_of_all_overrides")))
         .alias("confidence_inputs"))

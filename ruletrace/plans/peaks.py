@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ruletrace.functions.clock import day, weekday_date, weekday_minute
+from ruletrace.functions.clock import weekday_minute
 from ruletrace.functions.labels import UNTYPED
 from ruletrace.sources.landing import Landing
 
@@ -13,9 +13,9 @@ from ruletrace.sources.landing import Landing
 LISTED_ROWS = 10_000
 
 
-def _job(label_of: str = "") -> Column:
-    start = F.coalesce(weekday_minute(F.col(f"{label_of}start_ts")), F.lit("no start"))
-    return F.concat(F.coalesce(F.col(f"{label_of}work_type"), F.lit(UNTYPED)), F.lit("  "), start)
+def _job() -> Column:
+    return F.expr(f"concat(coalesce(work_type, '{UNTYPED}'), '  ', "
+                  f"coalesce({weekday_minute('start_ts')}, 'no start'))")
 
 
 def _type() -> Column:
@@ -47,19 +47,19 @@ def top_groups(landing: Landing, dimension: str, size: int = 5) -> DataFrame:
     """(grp, n) of the top groups, with the columns that identify a group."""
     work = landing.work
     if dimension == "work_per_day":
-        groups = (work.filter("start_ts IS NOT NULL").groupBy(day(F.col("start_ts")).alias("day"))
+        groups = (work.filter("start_ts IS NOT NULL").groupBy(F.to_date("start_ts").alias("day"))
                   .agg(F.count("*").alias("n")).withColumn("grp", F.col("day").cast("string")))
     elif dimension == "work_per_location_per_day":
-        groups = (_placed(landing).groupBy("place", day(F.col("start_ts")).alias("day"))
+        groups = (_placed(landing).groupBy("place", F.to_date("start_ts").alias("day"))
                   .agg(F.count("*").alias("n"))
                   .withColumn("grp", F.concat("place", F.lit("  "), F.col("day").cast("string"))))
     elif dimension == "work_per_resource_per_day":
         # Same-named resources of a kind fall together, as they do for a reader.
         groups = (_crewed(landing).filter("start_ts IS NOT NULL")
-                  .groupBy("resource", "kind", day(F.col("start_ts")).alias("day"))
+                  .groupBy("resource", "kind", F.to_date("start_ts").alias("day"))
                   .agg(F.countDistinct("work_id").alias("n"))
                   .withColumn("grp", F.concat("resource", F.lit("  ("), "kind", F.lit(")  "),
-                                              weekday_date(F.col("day")))))
+                                              F.date_format("day", "EEE yyyy-MM-dd"))))
     elif dimension == "customers_per_work":
         groups = work.filter("customer_count IS NOT NULL").select(
             _job().alias("grp"), F.col("customer_count").cast("bigint").alias("n"), "work_id")
@@ -79,15 +79,15 @@ def peak_rows(landing: Landing, dimension: str, size: int = 5) -> DataFrame:
     top = F.broadcast(top_groups(landing, dimension, size))
     at = F.col("start_ts").alias("at")
     if dimension == "work_per_day":
-        rows = landing.work.withColumn("day", day(F.col("start_ts")))
+        rows = landing.work.withColumn("day", F.to_date("start_ts"))
         return rows.join(top, "day").select("grp", "n", _type().alias("item"), at,
                                             F.col("work_id").alias("id"))
     if dimension == "work_per_location_per_day":
-        rows = _placed(landing).withColumn("day", day(F.col("start_ts")))
+        rows = _placed(landing).withColumn("day", F.to_date("start_ts"))
         return rows.join(top, ["place", "day"]).select("grp", "n", _type().alias("item"), at,
                                                        F.col("work_id").alias("id"))
     if dimension == "work_per_resource_per_day":
-        rows = (_crewed(landing).withColumn("day", day(F.col("start_ts")))
+        rows = (_crewed(landing).withColumn("day", F.to_date("start_ts"))
                 .join(top, ["resource", "kind", "day"])
                 .join(landing.work.select("work_id", "work_type"), "work_id", "left"))
         item = F.concat(_type(), F.lit(" "),

@@ -70,9 +70,9 @@ def population(landing: Landing, guards: Guards = Guards()) -> DataFrame:
         "field", "partition", *parts, "partitions_over_row_floor", "rows_in_work", "populated")
 
 
-def _slots(side: Column, name: str) -> dict[str, Column]:
-    return {name: quoted(side["value"]), f"{name}_rows": side["rows"],
-            f"{name}_filled": side["filled"]}
+def _slots(side: str) -> dict[str, str]:
+    return {side: quoted(f"{side}.value"), f"{side}_rows": f"{side}.rows",
+            f"{side}_filled": f"{side}.filled"}
 
 
 def _rounded(side: Column, *names: str) -> list[Column]:
@@ -88,16 +88,13 @@ def population_candidates(landing: Landing, guards: Guards = Guards()) -> DataFr
         .alias("all_partitions"))
     found = sharpest_pairs(rates).join(every, ["field", "partition"])
     high, low = F.col("high"), F.col("low")
-    named = dict(field=F.col("field"), partition=F.col("partition"))
     volumes = [F.col("rows_in_work"), F.col("populated").alias("rows_with_this_field_populated")]
     floor = F.lit(guards.min_instances_per_work_type).alias("min_partition_rows")
     required = found.select(
         F.lit(PROBE).alias("probe"),
-        candidate_id(PROBE, F.lit("population"), F.col("field"), F.lit("by"),
-                     F.col("partition")).alias("candidate_id"),
+        candidate_id(PROBE, "'population'", "field", "'by'", "partition"),
         F.lit("dependency").alias("proposed_type"),
-        sentence(text.DEPENDENCY, **named, **_slots(high, "high"), **_slots(low, "low"))
-        .alias("statement"),
+        F.expr(sentence(text.DEPENDENCY, **_slots("high"), **_slots("low"))).alias("statement"),
         F.to_json(F.struct(
             "field", "partition",
             F.struct(*_rounded(high, "value", "rows", "filled")).alias("required_in"),
@@ -110,10 +107,9 @@ def population_candidates(landing: Landing, guards: Guards = Guards()) -> DataFr
         .alias("confidence_inputs"))
     exempt = found.select(
         F.lit(PROBE).alias("probe"),
-        candidate_id(PROBE, F.lit("exemption"), F.col("field"), F.lit("by"), F.col("partition"),
-                     low["value"]).alias("candidate_id"),
+        candidate_id(PROBE, "'exemption'", "field", "'by'", "partition", "low.value"),
         F.lit("exemption").alias("proposed_type"),
-        sentence(text.EXEMPTION, **named, **_slots(low, "low")).alias("statement"),
+        F.expr(sentence(text.EXEMPTION, **_slots("low"))).alias("statement"),
         F.to_json(F.struct("field", "partition", low["value"].alias("partition_value"),
                            *_rounded(low, "rows", "filled"))).alias("evidence"),
         F.to_json(F.struct(*volumes, low["rows"].alias("rows_in_this_partition"), floor))

@@ -87,7 +87,7 @@ def recovery(key: DataFrame, judged: DataFrame) -> DataFrame:
             .select("key_id", "statement",
                     blank(_text("type"), "(untyped)").alias("type"),
                     blank(F.lower(_text("source")), "(unrecorded)").alias("source"),
-                    scope_of(F.col("notes")).alias("scope"),
+                    F.expr(scope_of("notes")).alias("scope"),
                     F.coalesce("hit", F.lit(0)).cast("bigint").alias("hit")))
 
 

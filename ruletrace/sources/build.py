@@ -9,10 +9,10 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ruletrace.functions import cells
-from ruletrace.functions.clock import parse_ts
+from ruletrace.functions.cells import NO_TEXT, name, text
 from ruletrace.sources.landing import Landing, conform, empty
 from ruletrace.sources.mapping import ID_COLUMNS, columns_of, specs
 from ruletrace.sources.profiles import PROFILES, Profile, thin
@@ -24,183 +24,166 @@ FLAGGED, ACKNOWLEDGED = "flagged", "acknowledged"
 Records = dict[str, DataFrame]
 
 
-def _cell(df: DataFrame, name: str | None) -> Column:
-    """A source column, or null when the map or the export has none."""
-    if name is None or name not in df.columns:
-        return F.lit(None).cast("string")
-    return F.col(f"`{name}`")
+class Source:
+    """One spec of the map over its source rows, with cleaned cells.
 
+    Every cell is asked for by its key in the spec; what the map or the export lacks is null.
+    """
 
-def _id(df: DataFrame, prefix: str) -> Column:
-    return cells.record_id([_cell(df, c) for c in ID_COLUMNS], prefix)
+    def __init__(self, spec: dict, df: DataFrame):
+        used = [c for c in columns_of(spec) if c in df.columns and c != spec.get("ack_column")]
+        self.spec, self.rows = spec, cells.with_cells(df, used)
+        self._has = set(used) | set(ID_COLUMNS) & set(df.columns)
 
+    def has(self, column: str | None) -> bool:
+        return column in self._has
 
-def _union(frames: list[DataFrame], spark: SparkSession, table: str) -> DataFrame:
-    if not frames:
-        return empty(spark, table)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    def cell(self, key: str) -> str:
+        column = self.spec.get(key)
+        return name(column) if self.has(column) else NO_TEXT
 
+    def scalar(self, key: str) -> str:
+        column = self.spec.get(key)
+        return cells.scalar(column) if self.has(column) else NO_TEXT
 
-def _links(df: DataFrame, name: str | None) -> Column:
-    return cells.links(_cell(df, name), _json(df, name))
+    def first_link(self, key: str) -> str:
+        column = self.spec.get(key)
+        return cells.first_link(column) if self.has(column) else NO_TEXT
 
+    def record_id(self, prefix_key: str) -> str:
+        return cells.record_id([c for c in ID_COLUMNS if self.has(c)], self.spec.get(prefix_key, ""))
 
-def _scalar(df: DataFrame, name: str | None) -> Column:
-    if name is None or name not in df.columns:
-        return F.lit(None).cast("string")
-    return cells.scalar(_cell(df, name), _json(df, name))
+    def source_id(self) -> str:
+        return "id" if self.has("id") else NO_TEXT
 
+    def select(self, **columns: str) -> DataFrame:
+        return self.rows.selectExpr(*[f"{sql} AS {out}" for out, sql in columns.items()],
+                                    f"{self.source_id()} AS source_id")
 
-def _json(df: DataFrame, name: str | None) -> Column:
-    return _cell(df, None if name is None else f"{name}#json").cast("variant")
 
+def _sources(source_map: dict, table: str, records: Records, profile: Profile) -> list[Source]:
+    return [Source(spec, records[spec["table"]])
+            for landing_table, spec in specs(source_map, profile.skip_source_tables)
+            if landing_table == table and spec["table"] in records]
 
-def _of(source_map: dict, table: str, records: Records, profile: Profile):
-    """(spec, its source rows with cleaned cells) for each source of a landing table."""
-    for landing_table, spec in specs(source_map, profile.skip_source_tables):
-        if landing_table == table and spec["table"] in records:
-            df = records[spec["table"]]
-            used = [c for c in columns_of(spec) if c in df.columns and c != spec.get("ack_column")]
-            yield spec, cells.with_cells(df, used)
+
+def _union(frames: list[DataFrame], spark: SparkSession, table: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames) if frames else empty(spark, table)
 
 
-def work(spark, records: Records, source_map: dict, profile: Profile) -> DataFrame:
+def work(sources: list[Source], spark: SparkSession) -> DataFrame:
     frames = []
-    for spec, df in _of(source_map, "work", records, profile):
-        cell = lambda key: _cell(df, spec.get(key))
-        if "work_type_link" in spec:
-            work_type = F.get(_links(df, spec["work_type_link"]), F.lit(0))
-        else:
-            work_type = _scalar(df, spec.get("work_type"))
-        if "location_link" in spec:
-            location = F.concat(F.lit("lc_"), F.get(_links(df, spec["location_link"]), F.lit(0)))
-        else:
-            location = _scalar(df, spec.get("location_id"))
-        frames.append(df.select(
-            _id(df, spec.get("id_prefix", "")).alias("work_id"),
-            work_type.alias("work_type"),
-            F.coalesce(parse_ts(cell("start_ts")), parse_ts(cell("fallback_date"))).alias("start_ts"),
-            parse_ts(cell("end_ts")).alias("end_ts"),
-            location.alias("location_id"),
-            _scalar(df, spec.get("status")).alias("status"),
-            cells.parse_int(cell("customer_count")).alias("customer_count"),
-            _cell(df, "id").alias("source_id")).filter("work_id IS NOT NULL"))
+    for s in sources:
+        linked_type, linked_place = "work_type_link" in s.spec, "location_link" in s.spec
+        frames.append(s.select(
+            work_id=s.record_id("id_prefix"),
+            work_type=s.first_link("work_type_link") if linked_type else s.scalar("work_type"),
+            start_ts=f"coalesce({cells.parse_ts(s.cell('start_ts'))}, "
+                     f"{cells.parse_ts(s.cell('fallback_date'))})",
+            end_ts=cells.parse_ts(s.cell("end_ts")),
+            location_id=(f"concat('lc_', {s.first_link('location_link')})" if linked_place
+                         else s.scalar("location_id")),
+            status=s.scalar("status"), customer_count=cells.parse_int(s.cell("customer_count")))
+            .filter("work_id IS NOT NULL"))
     return _union(frames, spark, "work")
 
 
-def resources(spark, records: Records, source_map: dict, profile: Profile) -> DataFrame:
+def resources(sources: list[Source], spark: SparkSession, profile: Profile) -> DataFrame:
     frames = []
-    for spec, df in _of(source_map, "resources", records, profile):
-        literal = F.lit(spec.get("kind")).cast("string")
+    for s in sources:
+        literal = text(s.spec["kind"]) if s.spec.get("kind") else NO_TEXT
         if profile.collapse_resource_kind:
-            kind = F.coalesce(literal, F.lit(spec.get("kind_fallback")).cast("string"))
+            fallback = s.spec.get("kind_fallback")
+            kind = f"coalesce({literal}, {text(fallback) if fallback else NO_TEXT})"
         else:
-            kind = F.coalesce(_scalar(df, spec.get("kind_column")), literal)
-        frames.append(df.select(
-            _id(df, spec.get("id_prefix", "")).alias("resource_id"), kind.alias("kind"),
-            _scalar(df, spec.get("name")).alias("name"),
-            _scalar(df, spec.get("home_location_id")).alias("home_location_id"),
-            _cell(df, "id").alias("source_id")).filter("resource_id IS NOT NULL"))
+            kind = f"coalesce({s.scalar('kind_column')}, {literal})"
+        frames.append(s.select(resource_id=s.record_id("id_prefix"), kind=kind, name=s.scalar("name"),
+                               home_location_id=s.scalar("home_location_id"))
+                      .filter("resource_id IS NOT NULL"))
     return _union(frames, spark, "resources")
 
 
-def assignments(spark, records: Records, source_map: dict, profile: Profile,
-                work_rows: DataFrame) -> DataFrame:
+def assignments(sources: list[Source], spark: SparkSession, work_rows: DataFrame) -> DataFrame:
     """One row per (job, resource, role) from every link column, with the job's window.
 
     A resource can reach a job through several source tables. Those rows share the id, and
     the first source in map order, then the first record id, names the source.
     """
-    def prefixed(prefix: str, found: Column) -> Column:
-        return F.transform(found, lambda x: F.concat(F.lit(prefix), x))
-
-    def as_role(role: str, ids: Column) -> Column:
-        return F.transform(ids, lambda x: F.named_struct(F.lit("resource_id"), x, F.lit("role"), F.lit(role)))
-
     frames = []
-    for ordinal, (spec, df) in enumerate(_of(source_map, "assignments", records, profile)):
-        jobs = [prefixed(p, _links(df, c)) for c, p in spec.get("work_link", {}).items()
-                if c in df.columns]
-        if spec.get("work_prefix"):
-            jobs.insert(0, F.array(_id(df, spec["work_prefix"])))
-        crew = [as_role(c, prefixed(p, _links(df, c))) for c, p in spec["roles"].items()
-                if c in df.columns]
-        if not jobs or not crew:
-            continue
-        frames.append(df.select(F.explode(F.concat(*jobs)).alias("work_id"),
-                                F.concat(*crew).alias("crew"), _cell(df, "id").alias("source_id"))
-                      .filter("work_id IS NOT NULL")
-                      .select("work_id", F.explode("crew").alias("c"), "source_id")
-                      .select("work_id", "c.resource_id", "c.role",
-                              F.lit(ordinal).alias("ordinal"), "source_id"))
+    for ordinal, s in enumerate(sources):
+        jobs = [f"transform({cells.links(c)}, x -> concat({text(prefix)}, x))"
+                for c, prefix in s.spec.get("work_link", {}).items() if s.has(c)]
+        if s.spec.get("work_prefix"):
+            jobs.insert(0, f"array({s.record_id('work_prefix')})")
+        crew = [f"transform({cells.links(c)}, x -> named_struct('resource_id', "
+                f"concat({text(prefix)}, x), 'role', {text(c)}))"
+                for c, prefix in s.spec["roles"].items() if s.has(c)]
+        if jobs and crew:
+            frames.append(s.select(work_id=f"explode(concat({', '.join(jobs)}))",
+                                   crew=f"concat({', '.join(crew)})")
+                          .filter("work_id IS NOT NULL")
+                          .selectExpr("work_id", "inline(crew)", "source_id", f"{ordinal} AS ordinal"))
     if not frames:
         return empty(spark, "assignments")
     first = (_union(frames, spark, "assignments").groupBy("work_id", "resource_id", "role")
              .agg(F.min(F.struct("ordinal", "source_id")).alias("first")))
     window = work_rows.select("work_id", "start_ts", "end_ts")
-    return (first.join(window, "work_id", "left")
-            .select(cells.opaque_id(F.col("work_id"), F.col("resource_id"), F.col("role"),
-                                    prefix="as_").alias("assignment_id"),
-                    "resource_id", "work_id", "role", "start_ts", "end_ts",
-                    F.col("first.source_id").alias("source_id")))
-
-
-def locations(spark, records: Records, source_map: dict, profile: Profile) -> DataFrame:
-    frames = [df.select(_id(df, spec.get("id_prefix", "")).alias("location_id"),
-                        _scalar(df, spec.get("name")).alias("name"))
-              .filter("location_id IS NOT NULL")
-              for spec, df in _of(source_map, "locations", records, profile)]
+    ident = cells.opaque_id("work_id", "resource_id", "role", prefix="as_")
+    return first.join(window, "work_id", "left").selectExpr(
+        f"{ident} AS assignment_id", "resource_id", "work_id", "role", "start_ts", "end_ts",
+        "first.source_id AS source_id")
+
+
+def locations(sources: list[Source], spark: SparkSession) -> DataFrame:
+    frames = [s.select(location_id=s.record_id("id_prefix"), name=s.scalar("name"))
+              .filter("location_id IS NOT NULL") for s in sources]
     return _union(frames, spark, "locations")
 
 
-def location_travel(spark, records: Records, source_map: dict, profile: Profile) -> DataFrame:
+def location_travel(sources: list[Source], spark: SparkSession) -> DataFrame:
     frames = []
-    for spec, df in _of(source_map, "location_travel", records, profile):
-        end = lambda key: F.concat(F.lit(spec["id_prefix"]), F.get(_links(df, spec[key]), F.lit(0)))
-        samples = cells.parse_int(_cell(df, spec.get("sample_count")))
-        frames.append(df.select(
-            end("from_link").alias("from_id"), end("to_link").alias("to_id"),
-            cells.parse_int(_cell(df, spec.get("minutes"))).alias("minutes"),
-            (F.coalesce(samples, F.lit(0)) == 0).alias("is_estimate"))
+    for s in sources:
+        prefix = text(s.spec["id_prefix"])
+        samples = cells.parse_int(s.cell("sample_count"))
+        frames.append(s.select(
+            from_id=f"concat({prefix}, {s.first_link('from_link')})",
+            to_id=f"concat({prefix}, {s.first_link('to_link')})",
+            minutes=cells.parse_int(s.cell("minutes")), is_estimate=f"coalesce({samples}, 0) = 0")
             .filter("from_id IS NOT NULL AND to_id IS NOT NULL AND minutes IS NOT NULL"))
     return _union(frames, spark, "location_travel")
 
 
-def override_events(records: Records, source_map: dict, profile: Profile,
+def override_events(source_map: dict, records: Records, profile: Profile,
                     reveal_labels: bool) -> DataFrame | None:
     """Every line of every override log, with its label class and opaque field id."""
     frames = []
-    for spec, df in _of(source_map, "changes", records, profile):
-        if spec["ack_column"] not in df.columns:
-            continue
-        line = cells.override_lines(_cell(df, spec["ack_column"]))
-        frames.append(df.select(_id(df, spec.get("entity_prefix", "")).alias("entity_id"),
-                                _cell(df, "id").alias("source_id"),
-                                F.explode(line).alias("line")))
+    for s in _sources(source_map, "changes", records, profile):
+        if s.spec["ack_column"] in s.rows.columns:
+            frames.append(s.select(entity_id=s.record_id("entity_prefix"),
+                                   line=f"explode({cells.override_lines(s.spec['ack_column'])})"))
     if not frames:
         return None
-    split = (reduce(DataFrame.unionByName, frames)
-             .select("entity_id", "source_id", cells.override_line(F.col("line")).alias("e"))
-             .select("entity_id", "source_id", cells.label_class(F.col("e.label")).alias("label"),
-                     "e.who", "e.when"))
-    field = F.col("label") if reveal_labels else cells.opaque_id(F.col("label"), prefix="ovr_")
-    return split.withColumn("field", field)
+    field = "label" if reveal_labels else cells.opaque_id("label", prefix="ovr_")
+    return (reduce(DataFrame.unionByName, frames)
+            .selectExpr("entity_id", "source_id", f"{cells.override_line('line')} AS e")
+            .selectExpr("entity_id", "source_id", f"{cells.label_class('e.label')} AS label",
+                        "e.who", "e.when")
+            .selectExpr("*", f"{field} AS field"))
 
 
-def changes(spark, events: DataFrame | None) -> DataFrame:
+def changes(spark: SparkSession, events: DataFrame | None) -> DataFrame:
     """The override log as changes from flagged to acknowledged.
 
     The same person clearing the same label on the same job and day is one change.
     """
     if events is None:
         return empty(spark, "changes")
-    return (events.select(
-        cells.opaque_id(F.col("entity_id"), F.col("field"), F.col("who"), F.col("when"),
-                        prefix="ch_").alias("change_id"),
-        F.lit("work").alias("entity_table"), "entity_id", "field",
-        F.lit(FLAGGED).alias("old_value"), F.lit(ACKNOWLEDGED).alias("new_value"),
-        parse_ts(F.col("when")).alias("changed_at"), F.col("who").alias("changed_by"), "source_id")
-        .dropDuplicates(["change_id"]))
+    ident = cells.opaque_id("entity_id", "field", "who", "when", prefix="ch_")
+    return events.selectExpr(
+        f"{ident} AS change_id", "'work' AS entity_table", "entity_id", "field",
+        f"'{FLAGGED}' AS old_value", f"'{ACKNOWLEDGED}' AS new_value",
+        f"{cells.parse_ts('when')} AS changed_at", "who AS changed_by", "source_id",
+    ).dropDuplicates(["change_id"])
 
 
 def labels(events: DataFrame | None, spark: SparkSession) -> DataFrame:
@@ -210,23 +193,32 @@ def labels(events: DataFrame | None, spark: SparkSession) -> DataFrame:
     return events.select("field", "label").distinct()
 
 
-def build(spark: SparkSession, records: Records, source_map: dict,
-          extracted_at: datetime, profile: Profile = PROFILES["full"],
-          reveal_labels: bool = False) -> tuple[Landing, DataFrame]:
-    """The six landing tables under a profile, and the override labels. All lazy."""
-    work_rows = work(spark, records, source_map, profile)
-    events = override_events(records, source_map, profile, reveal_labels)
-    stamp = {"source_system": F.lit(SOURCE_SYSTEM),
-             "extracted_at": F.lit(extracted_at.isoformat()).cast("timestamp_ntz")}
-    stamped = {
-        "work": work_rows,
-        "resources": resources(spark, records, source_map, profile),
-        "assignments": assignments(spark, records, source_map, profile, work_rows),
-        "changes": changes(spark, events),
-    }
-    tables = {name: conform(df.withColumns(stamp), name) for name, df in stamped.items()}
-    tables["locations"] = conform(locations(spark, records, source_map, profile), "locations")
-    tables["location_travel"] = conform(
-        location_travel(spark, records, source_map, profile), "location_travel")
-    known = events if "changes" not in profile.drop_tables else None
-    return thin(Landing(**tables), profile), labels(known, spark)
+def override_labels(spark: SparkSession, records: Records, source_map: dict,
+                    profile: Profile = PROFILES["full"]) -> DataFrame:
+    if "changes" in profile.drop_tables:
+        return labels(None, spark)
+    return labels(override_events(source_map, records, profile, False), spark)
+
+
+def build(spark: SparkSession, records: Records, source_map: dict, extracted_at: datetime,
+          profile: Profile = PROFILES["full"], reveal_labels: bool = False) -> Landing:
+    """The six landing tables under a profile. All lazy."""
+    def sources(table: str) -> list[Source]:
+        return _sources(source_map, table, records, profile)
+
+    def stamped(df: DataFrame, table: str) -> DataFrame:
+        return conform(df.selectExpr("*", f"'{SOURCE_SYSTEM}' AS source_system",
+                                     f"TIMESTAMP_NTZ'{extracted_at.isoformat(' ')}' AS extracted_at"),
+                       table)
+
+    full = Landing(
+        work=lambda: stamped(work(sources("work"), spark), "work"),
+        resources=lambda: stamped(resources(sources("resources"), spark, profile), "resources"),
+        assignments=lambda: stamped(
+            assignments(sources("assignments"), spark, full.work), "assignments"),
+        changes=lambda: stamped(changes(spark, override_events(
+            source_map, records, profile, reveal_labels)), "changes"),
+        locations=lambda: conform(locations(sources("locations"), spark), "locations"),
+        location_travel=lambda: conform(
+            location_travel(sources("location_travel"), spark), "location_travel"))
+    return thin(full, profile)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,8 +28,9 @@ PRIMARY_KEYS = {"work": "work_id", "resources": "resource_id", "assignments": "a
                 "locations": "location_id", "changes": "change_id"}
 
 
-@dataclass(frozen=True)
 class Landing:
+    """The tables by name. A table given as a function is set up when a plan asks for it."""
+
     work: DataFrame
     resources: DataFrame
     assignments: DataFrame
@@ -37,8 +38,26 @@ class Landing:
     location_travel: DataFrame
     changes: DataFrame
 
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise AttributeError(name)
+        table = self._tables[name]
+        if not isinstance(table, DataFrame):
+            table = self._tables[name] = table()
+        return table
+
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in TABLES}
+
+    def replaced(self, **tables: DataFrame | Callable[[], DataFrame]) -> Landing:
+        return Landing(**{**self._tables, **tables})
+
+
+def types_of(table: str) -> dict[str, str]:
+    return dict(part.strip().split(" ") for part in SCHEMAS[table].split(","))
 
 
 def empty(spark: SparkSession, table: str) -> DataFrame:
@@ -47,27 +66,27 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """The table's columns in order and type; a column the frame lacks becomes null."""
-    wanted = [part.strip().split(" ") for part in SCHEMAS[table].split(",")]
-    return df.select(*[(F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
-                       for name, kind in wanted])
+    has = set(df.columns)
+    return df.selectExpr(*[f"CAST({name if name in has else 'NULL'} AS {kind}) AS {name}"
+                           for name, kind in types_of(table).items()])
 
 
 def read_landing(spark: SparkSession, path: str) -> Landing:
     """Landing tables as ``write_landing`` left them."""
-    return Landing(**{t: conform(spark.read.parquet(f"{path}/{t}"), t) for t in TABLES})
+    return Landing(**{t: spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}") for t in TABLES})
 
 
 def volumes(landing: Landing) -> DataFrame:
     """Row count of each landing table."""
-    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("landing_table"), "rows")
+    counts = [df.agg(F.count("*").alias("rows")).selectExpr(f"'{name}' AS landing_table", "rows")
               for name, df in landing.tables().items()]
     return reduce(DataFrame.unionByName, counts)
 
 
 def repeated_keys(landing: Landing) -> DataFrame:
     """Primary key values that occur more than once; empty for sound tables."""
-    checks = [landing.tables()[t].groupBy(F.col(key).alias("key"))
+    checks = [getattr(landing, t).groupBy(F.col(key).alias("key"))
               .agg(F.count("*").alias("rows")).filter("rows > 1")
-              .select(F.lit(t).alias("landing_table"), "key", "rows")
+              .selectExpr(f"'{t}' AS landing_table", "key", "rows")
               for t, key in PRIMARY_KEYS.items()]
     return reduce(DataFrame.unionByName, checks)

@@ -88,13 +88,14 @@ def load(spark: SparkSession, export_dir: str, out: str, profile: str = "full",
     present = {t: df.select(*[c for c in df.columns if (t, c) not in missing])
                for t, df in staged.items()}
     stamp = extracted_at or datetime.now(timezone.utc).replace(microsecond=0, tzinfo=None)
-    landing, labels = builders.build(spark, present, source_map, stamp, chosen, reveal_labels)
+    landing = builders.build(spark, present, source_map, stamp, chosen, reveal_labels)
     if landing.work.isEmpty() and landing.resources.isEmpty():
         raise EmptyExport(f"Export {export_dir} carried no work rows and no resources. "
                           "Nothing was loaded.")
     write_landing(landing, out)
     if labels_path and not reveal_labels:
-        labels.write.mode("overwrite").parquet(labels_path)
+        (builders.override_labels(spark, present, source_map, chosen)
+         .write.mode("overwrite").parquet(labels_path))
 
     overrides = [(s["table"], s["ack_column"]) for t, s in specs(source_map, chosen.skip_source_tables)
                  if t == "changes"]

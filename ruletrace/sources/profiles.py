@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ruletrace.sources.landing import Landing, SCHEMAS, empty
+from ruletrace.sources.landing import Landing, empty, types_of
 
 
 @dataclass(frozen=True)
@@ -45,11 +45,13 @@ def get_profile(name: str) -> Profile:
 
 def thin(landing: Landing, profile: Profile) -> Landing:
     """Empty the dropped tables and null the dropped columns. A dropped table is not computed."""
-    out = {}
-    for name, df in landing.tables().items():
-        if name in profile.drop_tables:
-            df = empty(df.sparkSession, name)
-        kinds = dict(part.strip().split(" ") for part in SCHEMAS[name].split(","))
-        gone = profile.drop_columns.get(name, ())
-        out[name] = df.withColumns({c: F.lit(None).cast(kinds[c]) for c in gone})
-    return Landing(**out)
+    def without(name: str, columns: tuple[str, ...]) -> DataFrame:
+        kinds = types_of(name)
+        return getattr(landing, name).withColumns(
+            {c: F.lit(None).cast(kinds[c]) for c in columns})
+
+    changed = {name: lambda name=name, columns=columns: without(name, columns)
+               for name, columns in profile.drop_columns.items()}
+    spark = SparkSession.active()
+    changed.update({name: lambda name=name: empty(spark, name) for name in profile.drop_tables})
+    return landing.replaced(**changed)
