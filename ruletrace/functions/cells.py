@@ -17,15 +17,10 @@ EMBEDDED_RECORD = r"(?i)(mv_|op_)?rec[a-z0-9]{14}"
 UNLABELLED = "unlabelled"
 EMPTY_CELLS = "('', 'null')"
 
-# The timestamp layouts an export may use, tried in this order.
-TIMESTAMP_LAYOUTS = (
-    "yyyy-M-d'T'H:m:s.SSSSSS'Z'",
-    "yyyy-M-d'T'H:m:s'Z'",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d H:m",
-    "yyyy-M-d",
-)
+# The forms a timestamp may have. A date; a date, a T and a time, which may end
+# in Z and before that in a fraction; or a date, a space and a time with or without seconds.
+TIMESTAMP = (r"^\d{4}-\d{1,2}-\d{1,2}(T\d{1,2}:\d{1,2}:\d{1,2}((\.\d{1,6})?Z)?"
+             r"| \d{1,2}:\d{1,2}(:\d{1,2})?)?$")
 
 # The characters Python counts as white space, which cells are stripped of.
 WHITE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
@@ -70,10 +65,12 @@ def with_cells(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def parse_ts(cell: str) -> str:
-    """Wall-clock time of a cleaned cell, or null when no layout fits. A trailing Z is
-    dropped, not applied."""
-    tries = ", ".join(f"try_to_timestamp({cell}, {text(layout)})" for layout in TIMESTAMP_LAYOUTS)
-    return f"CAST(coalesce({tries}) AS TIMESTAMP_NTZ)"
+    """Wall-clock time of a cleaned cell, or null when it has no known form.
+
+    A trailing Z is dropped, not applied, so no time zone takes part.
+    """
+    return (f"CASE WHEN {cell} RLIKE {text(TIMESTAMP)} "
+            f"THEN try_cast(rtrim('Z', {cell}) AS TIMESTAMP_NTZ) END")
 
 
 def parse_date(cell: str) -> str:
@@ -96,10 +93,14 @@ def links(column: str) -> str:
 
     The column and its ``#json`` come from ``with_cells``.
     """
-    listed = (f"transform(try_variant_get({name(column + '#json')}, '$', 'array<variant>'), "
-              f"v -> coalesce(try_variant_get(v, '$.id', 'string'), {_plain('v')}))")
+    json = name(column + "#json")
+    # As text, an object keeps its JSON form and any other item its value.
+    listed = (f"transform(try_variant_get({json}, '$', 'array<string>'), x -> CASE WHEN x LIKE '{{%' "
+              "THEN coalesce(try_variant_get(try_parse_json(x), '$.id', 'string'), "
+              "CASE WHEN try_parse_json(x) IS NULL THEN x END) ELSE x END)")
     written = f"transform(split({name(column)}, ','), x -> {strip('x')})"
-    return (f"filter(coalesce({listed}, {written}, CAST(array() AS ARRAY<STRING>)), "
+    return (f"filter(CASE WHEN {name(column)} IS NULL THEN CAST(array() AS ARRAY<STRING>) "
+            f"WHEN {json} IS NULL THEN {written} ELSE coalesce({listed}, {written}) END, "
             "x -> x IS NOT NULL AND x <> '')")
 
 

@@ -113,25 +113,29 @@ def assignments(sources: list[Source], spark: SparkSession, work_rows: DataFrame
     for ordinal, s in enumerate(sources):
         jobs = [f"transform({cells.links(c)}, x -> concat({text(prefix)}, x))"
                 for c, prefix in s.spec.get("work_link", {}).items() if s.has(c)]
-        if s.spec.get("work_prefix"):
-            jobs.insert(0, f"array({s.record_id('work_prefix')})")
+        own = s.record_id("work_prefix") if s.spec.get("work_prefix") else None
         crew = [f"transform({cells.links(c)}, x -> named_struct('resource_id', "
                 f"concat({text(prefix)}, x), 'role', {text(c)}))"
                 for c, prefix in s.spec["roles"].items() if s.has(c)]
-        if jobs and crew:
-            frames.append(s.select(work_id=f"explode(concat({', '.join(jobs)}))",
-                                   crew=f"concat({', '.join(crew)})")
-                          .filter("work_id IS NOT NULL")
-                          .selectExpr("work_id", "inline(crew)", "source_id", f"{ordinal} AS ordinal"))
+        if not (jobs or own) or not crew:
+            continue
+        if jobs and own:
+            jobs.insert(0, f"array({own})")
+        # The outer forms: for the others the optimizer infers filters that repeat the
+        # whole cell expression. Rows without a job or a resource are dropped after.
+        work_id = f"explode_outer(concat({', '.join(jobs)}))" if jobs else own
+        frames.append(s.select(work_id=work_id, crew=f"concat({', '.join(crew)})")
+                      .selectExpr("work_id", "inline_outer(crew)", "source_id", f"{ordinal} AS ordinal")
+                      .filter("work_id IS NOT NULL AND resource_id IS NOT NULL"))
     if not frames:
         return empty(spark, "assignments")
-    first = (_union(frames, spark, "assignments").groupBy("work_id", "resource_id", "role")
-             .agg(F.min(F.struct("ordinal", "source_id")).alias("first")))
-    window = work_rows.select("work_id", "start_ts", "end_ts")
+    # The id is a hash of the three, so it groups alike and sorts by its first bytes.
     ident = cells.opaque_id("work_id", "resource_id", "role", prefix="as_")
-    return first.join(window, "work_id", "left").selectExpr(
-        f"{ident} AS assignment_id", "resource_id", "work_id", "role", "start_ts", "end_ts",
-        "first.source_id AS source_id")
+    first = (_union(frames, spark, "assignments").selectExpr("*", f"{ident} AS assignment_id")
+             .groupBy("assignment_id")
+             .agg(F.min(F.struct("ordinal", "source_id", "work_id", "resource_id", "role")).alias("first"))
+             .select("assignment_id", "first.*"))
+    return first.join(work_rows.select("work_id", "start_ts", "end_ts"), "work_id", "left")
 
 
 def locations(sources: list[Source], spark: SparkSession) -> DataFrame:
@@ -160,7 +164,8 @@ def override_events(source_map: dict, records: Records, profile: Profile,
     for s in _sources(source_map, "changes", records, profile):
         if s.spec["ack_column"] in s.rows.columns:
             frames.append(s.select(entity_id=s.record_id("entity_prefix"),
-                                   line=f"explode({cells.override_lines(s.spec['ack_column'])})"))
+                                   line=f"explode_outer({cells.override_lines(s.spec['ack_column'])})")
+                          .filter("line IS NOT NULL"))
     if not frames:
         return None
     field = "label" if reveal_labels else cells.opaque_id("label", prefix="ovr_")
