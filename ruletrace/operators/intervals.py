@@ -142,10 +142,15 @@ def overlap_counts(rows: DataFrame, shape: Shape, keys: list[str], limit: int |
     return swept.groupBy("resource_id", *keys).agg(F.sum("pairs").alias("pairs"))
 
 
-def first_overlap_times(rows: DataFrame, keys: list[str]) -> DataFrame:
+def first_overlap_times(rows: DataFrame, shape: Shape, keys: list[str]) -> DataFrame:
     """Start times of bookings that begin while another job runs, for finding early examples."""
-    return (_sweep(rows, keys).filter((F.col("mark") != END) & (F.col("running") > 0))
-            .select("resource_id", *keys, F.col("at")))
+    times = (_sweep(rows, keys).filter((F.col("mark") != END) & (F.col("running") > 0))
+             .select("resource_id", *keys, "at"))
+    if shape.backwards:
+        joined = overlap_pairs(rows, shape, keep=keys, later=_backwards(rows))
+        times = times.unionByName(joined.selectExpr(
+            "resource_id", *[f"a_{k} AS {k}" for k in keys], "greatest(a_start_ts, b_start_ts) AS at"))
+    return times
 
 
 def overlapping_work(rows: DataFrame, shape: Shape, limit: int | None = None) -> DataFrame:

@@ -40,9 +40,14 @@ def kind_volumes(landing: Landing, guards: Guards = Guards()) -> DataFrame:
 
 
 def eligible_bookings(landing: Landing, min_assignments: int, *also: str) -> DataFrame:
-    """Timed bookings of resources with enough of them, and the kind of the resource."""
-    enough = booked_resources(landing).filter(F.col("bookings") >= min_assignments)
-    return timed(landing.assignments).join(enough.select("resource_id", "kind", *also), "resource_id")
+    """Timed bookings of resources with enough of them, and the kind of the resource.
+
+    Windows per resource follow, so the bookings are shuffled by resource in any case. With
+    the resources hashed in each partition the join rides on that shuffle and sorts nothing.
+    """
+    enough = (booked_resources(landing).filter(F.col("bookings") >= min_assignments)
+              .select("resource_id", "kind", *also).hint("shuffle_hash"))
+    return timed(landing.assignments).join(enough, "resource_id")
 
 
 def overlaps(landing: Landing, guards: Guards = Guards()) -> DataFrame:
@@ -88,7 +93,8 @@ def overlap_examples(landing: Landing, guards: Guards = Guards(),
     and a pair beyond it cannot come before them. Only those bookings are joined.
     """
     rows = eligible_bookings(landing, guards.min_assignments_per_resource)
-    times = first_overlap_times(rows, ["kind"])
+    shape = shape_of(landing.assignments)
+    times = first_overlap_times(rows, shape, ["kind"])
     early = (times.withColumn("rn", F.row_number().over(
                  Window.partitionBy("kind", "resource_id").orderBy("at")))
              .filter(F.col("rn") <= size)
@@ -97,7 +103,7 @@ def overlap_examples(landing: Landing, guards: Guards = Guards(),
                   Window.partitionBy("kind").orderBy("resource_id")))
               .filter(F.col("rn") <= size).select("resource_id", "until"))
     near = rows.join(chosen, "resource_id")
-    pairs = overlap_pairs(rows, shape_of(landing.assignments), keep=["kind"], later=near.drop("until"),
+    pairs = overlap_pairs(rows, shape, keep=["kind"], later=near.drop("until"),
                           earlier=near.filter(F.col("start_ts") <= F.col("until")).drop("until"))
     order = ["resource_id", "a_start_ts", "b_start_ts", "a_work_id", "b_work_id",
              "a_assignment_id", "b_assignment_id"]

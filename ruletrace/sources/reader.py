@@ -118,3 +118,11 @@ def read_table(spark: SparkSession, folder: str, table: str, columns: list[str])
     df = _csv(spark, path)
     return df.select(*[(F.col(f"`{n}`") if n in df.columns else F.lit(None).cast("string")).alias(n)
                        for n in names])
+
+
+def write_table(df: DataFrame, folder: str, table: str) -> None:
+    """Write a source table for ``read_table``, in record id order, one record per line.
+
+    Two writes of unchanged records then hold the same lines in the same order.
+    """
+    df.orderBy("id").write.mode("overwrite").json(f"{folder}/{table}.json")

@@ -1,6 +1,9 @@
 import json
 
+import pytest
+
 from frames import at, booking, landing, resource
+from test_operators import brute_pairs, random_bookings
 from ruletrace.guards import Guards
 from ruletrace.plans import (bookings, candidates, ceilings, days, override_detail, overrides, peaks,
                              population)
@@ -73,6 +76,23 @@ def test_examples_come_in_order_and_stop_at_the_limit(spark):
     assert got[1:] == [(i + 1, "r1", "w00", f"w{i:02d}") for i in range(1, 10)]
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_examples_against_all_pairs(spark, seed):
+    rows = random_bookings(seed, backwards=True)
+    resources = [resource(f"r{i}", "van" if i % 2 else "bus") for i in range(5)]
+    kinds = {r["resource_id"]: r["kind"] for r in resources}
+    want = {}
+    for a, b in brute_pairs(rows):
+        want.setdefault(kinds[a["resource_id"]], []).append(
+            (a["resource_id"], a["start_ts"], b["start_ts"], a["work_id"], b["work_id"]))
+    t = landing(spark, resources=resources, assignments=rows)
+    for kind, pairs in want.items():
+        got = bookings.overlap_examples(t, FEW, 7).filter(f"kind = '{kind}'").orderBy("position").collect()
+        assert [(r.resource_id, r.a_start, r.b_start, r.work_id_a, r.work_id_b) for r in got] == sorted(pairs)[:7]
+    totals = {r.kind: r.overlapping_pairs for r in bookings.exclusivity(t, FEW).collect()}
+    assert totals == {kind: len(pairs) for kind, pairs in want.items()}
+
+
 def jobs(values, **more):
     return [dict(work_id=f"op_{n}", work_type=more.get("work_type", "trip"), start_ts=at(n * 1440),
                  end_ts=at(n * 1440 + 60), location_id="lc_1", status=s, customer_count=c)

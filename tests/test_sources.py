@@ -11,6 +11,7 @@ from ruletrace.sources.load import EmptyExport, load
 from ruletrace.sources.landing import repeated_keys
 from ruletrace.sources.mapping import DEFAULT_MAP, table_ids, wanted_columns
 from ruletrace.sources.profiles import get_profile
+from ruletrace.sources.reader import read_table, write_table
 from ruletrace.sources.screen import DeniedSource, check_names
 
 A, B = "rec" + "A" * 14, "rec" + "B" * 14
@@ -113,6 +114,18 @@ def export(tmp_path):
     return folder
 
 
+def test_written_tables_read_back_in_id_order(spark, export, tmp_path):
+    columns = ["Trip type", "Lead Guide (link)", "Acknowledged conflicts"]
+    df = read_table(spark, str(export), "Daily Ops", columns)
+    write_table(df.select("id", *columns).filter("id IS NOT NULL"), str(tmp_path), "Daily Ops")
+    lines = [json.loads(line)["id"] for part in sorted((tmp_path / "Daily Ops.json").glob("part-*"))
+             for line in part.read_text().splitlines()]
+    assert lines == ["rec1", "rec2"]
+    again = read_table(spark, str(tmp_path), "Daily Ops", columns).select("id", *columns)
+    assert sorted(again.collect()) == sorted(df.select("id", *columns).filter("id IS NOT NULL").collect())
+    assert read_table(spark, str(export), "Boats", ["Location"]).count() == 0
+
+
 def test_load_full(spark, export, tmp_path):
     out, names = str(tmp_path / "landing"), str(tmp_path / "labels")
     report = load(spark, str(export), out, extracted_at=datetime(2026, 7, 1), labels_path=names)
