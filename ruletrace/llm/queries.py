@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from ruletrace.llm import license_scan, quality_rules, toxicity, url_filter
+from ruletrace.llm import decontamination, license_scan, packing, quality_rules, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_license_scan": license_scan.op6_license_scan,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE = {"op9_quality_rules": quality_rules.ORACLE}
+ORACLE = {"op1_warc": warc.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
