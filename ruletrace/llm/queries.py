@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ruletrace.llm import decontamination, license_scan, packing, quality_rules, toxicity, url_filter, warc
+from ruletrace.llm import decontamination, license_scan, packing, quality_rules, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_simhash": simhash.op5_simhash,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_decontamination": decontamination.op7_decontamination,
     "op9_quality_rules": quality_rules.op9_quality_rules,
