@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ruletrace.llm import decontamination, license_scan, packing, quality_rules, simhash, toxicity, url_filter, warc
+from ruletrace.llm import decontamination, license_scan, packing, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_simhash": simhash.op5_simhash,

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from ruletrace.llm.common import (ALNUM_WORDS, LOWERED, byte_column, crc_mod, doc_slices, prefix_sums, span_hash, table,
                                   utf8, word_spans)
 
-#: Rows learned from: all toxic ones and as many clean ones, each at most so many, smallest hashes first;
-#: and of each text of the sample at most the first so many bytes, cut at a word.
-TRAIN_ROWS, TRAIN_BYTES = 1500, 6000
+#: Rows learned from: at most so many toxic and so many clean ones, smallest hashes of the id first, among
+#: those whose text has at most so many bytes. They are read whole.
+TRAIN_ROWS, TRAIN_BYTES = 1200, 20_000
 PREFIXES = (3, 4, 5, 6, 8)
 BUCKETS = 1 << 18
 THRESHOLD, SPAN_LIMIT = 0.3, 0.5
@@ -125,11 +125,11 @@ class Chain:
 
 def _standing_out(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Log odds, by feature, of toxic documents among those that have it."""
-    rows = np.repeat(doc, features.shape[1])
-    flat = features.ravel()
-    seen = np.unique(np.stack([flat[flat >= 0], rows[flat >= 0]]), axis=1)
-    n = np.bincount(seen[0], minlength=BUCKETS)
-    k = np.bincount(seen[0], weights=toxic[seen[1]], minlength=BUCKETS)
+    n, k = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for column in features.T:  # each kind of feature has buckets of its own but for collisions
+        seen = np.unique(column[column >= 0] * np.int64(len(toxic)) + doc[column >= 0])
+        n += np.bincount(seen // len(toxic), minlength=BUCKETS)
+        k += np.bincount(seen // len(toxic), weights=toxic[seen % len(toxic)], minlength=BUCKETS)
     share = toxic.mean()
     return np.log((k + share) / (n - k + 1 - share)) - np.log(share / (1 - share))
 
@@ -188,16 +188,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_bytes
              .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
              .where(crc_mod(F.col("doc_id"), 4) != 2))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text")) \
+        .where(F.octet_length("text") <= most_bytes)
+    known = texts.select("doc_id").join(marks, "doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = marks.where("toxic = 1").orderBy(*order).limit(most).unionByName(
-        marks.where("toxic = 0").orderBy(*order).limit(most))
-    # At most 2 x most ids: a side of a proven size.
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(utf8(F.col("text")), 1, most_bytes).alias("text"))
-            .join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect())
-    texts = []
-    for r in rows:
-        t = bytes(r["text"])
-        texts.append(t if len(t) < most_bytes else t[:max(t.rfind(b" "), t.rfind(b"\n"), 0)])
+    picked = known.where("toxic = 1").orderBy(*order).limit(most).unionByName(
+        known.where("toxic = 0").orderBy(*order).limit(most))
+    # At most 2 x most ids: a side of a proven size, and so is what comes to the driver.
+    rows = (texts.join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id")
+            .dropDuplicates(["doc_id"]).orderBy("doc_id").collect())
+    texts = [bytes(r["text"]) for r in rows]
     return fit(texts, np.array([r["toxic"] for r in rows], float))
 
 
