@@ -31,7 +31,7 @@ from ruletrace.llm.common import (ALNUM_WORDS, LOWERED, byte_column, crc_mod, do
 TRAIN_ROWS, TRAIN_BYTES = 1200, 20_000
 PREFIXES = (3, 4, 5, 6, 8)
 BUCKETS = 1 << 18
-THRESHOLD, SPAN_LIMIT = 0.3, 0.5
+THRESHOLD, SPAN_LIMIT, STANDS_OUT = 0.3, 0.5, 0.75
 
 
 def token_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,14 +124,16 @@ class Chain:
 
 
 def _standing_out(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Log odds, by feature, of toxic documents among those that have it."""
+    """Lower bound, by feature, of the log odds of toxic documents among those that have it."""
     n, k = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for column in features.T:  # each kind of feature has buckets of its own but for collisions
         seen = np.unique(column[column >= 0] * np.int64(len(toxic)) + doc[column >= 0])
         n += np.bincount(seen // len(toxic), minlength=BUCKETS)
         k += np.bincount(seen // len(toxic), weights=toxic[seen % len(toxic)], minlength=BUCKETS)
     share = toxic.mean()
-    return np.log((k + share) / (n - k + 1 - share)) - np.log(share / (1 - share))
+    # Two standard errors less, so that rare features do not stand out by chance.
+    odds = np.log((k + share) / (n - k + 1 - share)) - np.log(share / (1 - share))
+    return odds - 2 * np.sqrt(1 / (k + share) + 1 / (n - k + 1 - share))
 
 
 def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 60, penalty: float = 0.02) -> Chain | None:
@@ -143,7 +145,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 60, penalty: float
     _, _, features, firsts = token_features(raw, offsets)
     doc = np.repeat(np.arange(len(texts)), np.diff(firsts))
     odds = np.append(_standing_out(features, doc, toxic), -np.inf)[features].max(1)
-    tags = (odds >= 2.5) & (toxic[doc] == 1)
+    tags = (odds >= STANDS_OUT) & (toxic[doc] == 1)
 
     chain = Chain(np.zeros(BUCKETS), -3.0, 1.0, 0.0, 1.0, 0.0)
     used = np.unique(features[features >= 0])
