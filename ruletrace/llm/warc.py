@@ -32,7 +32,7 @@ from ruletrace.llm.common import settled, shared_path, table, utf8
 
 LEAST_BYTES = 1000
 FILE_BYTES = 256 << 20   # an archive is closed when it has so many bytes
-STRETCH = 64 << 20       # index rows of one stretch of a file are read by one task
+STRETCH = 8 << 20       # index rows of one stretch of a file are read by one task
 GAP, READ_BYTES = 64 << 10, 8 << 20
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
@@ -166,9 +166,11 @@ def read(selected: DataFrame, payload: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
 
+    # Index rows are few bytes for what they make a task read, so the number of tasks comes from the lengths.
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     return (selected.select("file", "offset", "length")
-            .repartition(F.col("file"), F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
-            .mapInArrow(run, READ))
+            .repartition(1 + 2 * int(size) // STRETCH, F.col("file"), F.floor(F.col("offset") / STRETCH))
+            .sortWithinPartitions("file", "offset").mapInArrow(run, READ))
 
 
 def op1_warc(spark, sf_dir):
