@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ruletrace.llm import decontamination, license_scan, packing, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
+from ruletrace.llm import decontamination, language_model, license_scan, packing, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_lm_scoring": language_model.op8_lm_scoring,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
 }
