@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from ruletrace.llm.common import (ALNUM_WORDS, LOWERED, byte_column, chained, doc_slices, prefix_sums, span_hash, table,
+from ruletrace.llm.common import (ALNUM_WORDS, LOWERED, byte_column, chained, doc_slices, fresh, prefix_sums, span_hash, table,
                                   utf8, word_spans)
 
 MIN_MATCH, MIN_COVER = 5, 0.5
@@ -198,9 +198,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MI
                       min_cover: float = MIN_COVER) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns."""
     names, schema = docs.columns, StructType(docs.schema.fields)
-    mark = "_bytes"
-    while mark in names:
-        mark += "_"
+    mark = fresh(docs, "_bytes")
     for items in item_blocks(benchmark, min_match, min_cover):
         block = docs.sparkSession.sparkContext.broadcast(items)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ruletrace.llm.common import settled, table, utf8
+from ruletrace.llm.common import fresh, settled, table, utf8
 from ruletrace.llm.components import components
 
 WIDTH, SEED, SHINGLES = 3, 42, 1 << 16
@@ -179,15 +179,17 @@ def simhash_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The row of ``docs`` with the smallest doc_id of each group, with all its columns.
 
-    Of rows that repeat that id one stays; of a group without ids, one row.
+    Of rows that repeat that id the one with the smallest text stays. Rows without id cannot be named
+    in a group, and all stay.
     """
-    groups = simhash_groups(docs, width)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
-        .groupBy(F.col("doc_id").alias("_kept"), F.col("fingerprint")).count().groupBy("_kept").count().select("_kept")
-    stays = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_kept"]), "left_semi")
+    named = docs.where(F.col("doc_id").isNotNull())
+    own, place = fresh(docs, "_kept"), fresh(docs, "_place")
+    keep = simhash_groups(named, width).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    stays = named.join(settled(keep, "kept-ids"), F.col("doc_id") == F.col(own), "left_semi")
     # Ids are keys, so this window has one row for each; it only matters where an id is repeated.
-    return stays.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))) \
-        .where("_place = 1").drop("_place")
+    stays = stays.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))) \
+        .where(F.col(place) == 1).drop(place)
+    return stays.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op5_simhash(spark, sf_dir):

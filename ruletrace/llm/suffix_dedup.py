@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from ruletrace.llm.common import (byte_column, doc_slices, mixed, prefix_sums, settled, span_hash, table, utf8)
+from ruletrace.llm.common import (byte_column, doc_slices, fresh, mixed, prefix_sums, settled, span_hash, table, utf8)
 
 LENGTH, GRAM = 100, 24
 PIECES = (16, 4, 1)
@@ -177,9 +177,7 @@ def ordered_id():
 
 def _with_runs(docs: DataFrame, length: int, q: int) -> DataFrame:
     """docs with its bytes and the repeated runs of each document, in columns that clash with none."""
-    clash = {c.lower() for c in docs.columns}
-    names = [next(n for n in (f"_{x}{'_' * k}" for k in range(99)) if n not in clash) for x in ("doc", "place", "bytes", "utf8")]
-    own, place, every, text = names
+    own, place, every, text = (fresh(docs, f"_{x}") for x in ("doc", "place", "hash", "utf8"))
     found = repeated_runs(docs, length, q).groupBy(F.col("doc").alias(own)).agg(
         F.collect_list("place").alias(place), F.collect_list("bytes").alias(every))
     return docs.withColumn(text, utf8(F.col("text"))).join(found, ordered_id() == F.col(own), "left") \

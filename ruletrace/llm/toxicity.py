@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ruletrace.llm.common import (ALNUM_WORDS, LOWERED, byte_column, crc_mod, doc_slices, prefix_sums, span_hash, table,
+from ruletrace.llm.common import (ALNUM_WORDS, LOWERED, byte_column, crc_mod, doc_slices, fresh, prefix_sums, span_hash, table,
                                   utf8, word_spans)
 
 #: Rows learned from: at most so many toxic and so many clean ones, smallest hashes of the id first, among
@@ -255,9 +255,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     names = docs.columns
-    mark = "_bytes"
-    while mark in names:
-        mark += "_"
+    mark = fresh(docs, "_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lo, hi, scores, _ in score_batches(shared.value, batches, len(names)):
