@@ -1,10 +1,11 @@
 """SimHash fingerprints, and near-duplicate groups found with Golay-code fuzzy hashing.
 
 Method: the 64 bits are cut into three segments of 21, 21 and 22 bits, each filled up to a word of the
-(23, 12) Golay code. Decoding a segment and its one-bit neighbours gives one codeword index or six.
-Words at most two bits apart share an index, so by the pigeonhole principle two fingerprints at
-most three bits apart either share an index in all three segments, or have all errors in one segment
-and agree in the other two. Joins on these keys give candidates, whose distance is then verified.
+(23, 12) Golay code. Decoding a segment and its one-bit neighbours gives one codeword index or six;
+two segments at most one bit apart meet where one gives all of its indices and the other the index of
+itself. By the pigeonhole principle two fingerprints three bits apart either differ by one bit in every
+segment, or agree in one segment and differ by at most one bit in another. The keys are made for these
+two cases. Joins on them give candidates, whose distance is then verified.
 
 Copies are brought together first (one row per fingerprint). Links of at most two bits are taken
 from fingerprints with a common one-bit neighbour: at most 65 fingerprints meet there, and a star joins
@@ -30,6 +31,7 @@ from ruletrace.llm.common import fresh, settled, table, utf8
 from ruletrace.llm.components import components
 
 WIDTH, SEED, SHINGLES = 3, 42, 1 << 16
+TASK_ROWS = 1 << 14
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 
@@ -106,31 +108,44 @@ def indices(segment: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all keys: three shared indices, or two equal segments."""
+def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, role) of all keys; two fingerprints meet where one has role 1 and the other role 2.
+
+    All segments one bit apart at most: role 1 has all indices of the first two segments and the own one
+    of the third, role 2 the other way round. One segment equal: role 1 has all indices of another
+    segment, role 2 the own one.
+    """
     parts = [(fps >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
-    a, b, c = (indices(p, n) for p, (_, n) in zip(parts, SEGMENTS, strict=True))
-    grid = (a[:, :, None, None] << 24) | (b[:, None, :, None] << 12) | c[:, None, None, :]
-    good = (a >= 0)[:, :, None, None] & (b >= 0)[:, None, :, None] & (c >= 0)[:, None, None, :]
-    rows = np.nonzero(good)[0]
-    exact = [(i << 60) | (x << 22) | y for i, (x, y) in
-             enumerate(((parts[0], parts[1]), (parts[0], parts[2]), (parts[1], parts[2])), 1)]
-    every = np.arange(len(fps))
-    return np.concatenate([rows, every, every, every]), np.concatenate([grid[good], *exact])
+    near = [indices(p, n) for p, (_, n) in zip(parts, SEGMENTS, strict=True)]
+    own = [decoded(p) for p in parts]
+    out: list[tuple[np.ndarray, np.ndarray, int]] = []
+
+    def add(keys: np.ndarray, good: np.ndarray, role: int) -> None:
+        out.append((np.nonzero(good)[0], keys[good], role))
+
+    add((near[0][:, :, None] << 24) | (near[1][:, None, :] << 12) | own[2][:, None, None],
+        (near[0] >= 0)[:, :, None] & (near[1] >= 0)[:, None, :], 1)
+    add((own[0] << 24 | own[1] << 12)[:, None] | near[2], near[2] >= 0, 2)
+    for case, (a, b) in enumerate(((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)), 1):
+        equal = (case << 40 | parts[a] << 12)[:, None]
+        add(equal | near[b], near[b] >= 0, 1)
+        add(equal | own[b][:, None], np.ones((len(fps), 1), bool), 2)
+    return (np.concatenate([r for r, _, _ in out]), np.concatenate([k for _, k, _ in out]),
+            np.concatenate([np.full(len(r), role, np.int32) for r, _, role in out]))
 
 
 def keyed(fps: DataFrame) -> DataFrame:
-    """key, fp and label for every key of every fingerprint (columns fp and label)."""
+    """key, role, fp and label for every key of every fingerprint (columns fp and label)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, label = (batch.column(i).to_numpy() for i in (0, 1))
-            for lo in range(0, len(fp), 1024):
-                rows, keys = golay_keys(fp[lo:lo + 1024].view(np.uint64))
+            for lo in range(0, len(fp), 2048):
+                rows, keys, roles = golay_keys(fp[lo:lo + 2048].view(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(fp[lo:lo + 1024][rows]), pa.array(label[lo:lo + 1024][rows])],
-                    ["key", "fp", "label"])
+                    [pa.array(keys), pa.array(roles), pa.array(fp[lo:lo + 2048][rows]), pa.array(label[lo:lo + 2048][rows])],
+                    ["key", "role", "fp", "label"])
 
-    return fps.select("fp", "label").mapInArrow(run, "key long, fp long, label long")
+    return fps.select("fp", "label").mapInArrow(run, "key long, role int, fp long, label long")
 
 
 # ---- groups ---------------------------------------------------------------------------------------
@@ -151,16 +166,23 @@ def _labelled(fps: DataFrame, roots: DataFrame, label: str) -> DataFrame:
         .withColumn(label, F.coalesce("root", label)).drop("node", "root")
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """Few bytes make many keys, so the number of tasks comes from the rows."""
+    return fps.repartition(1 + fps.count() // TASK_ROWS, "fp")
+
+
 def grouped(rows: DataFrame) -> DataFrame:
     """fp and component_id of every fingerprint in ``rows`` (doc_id, fp)."""
     fps = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprints")
-    labelled = settled(_labelled(fps.withColumn("label", F.col("fp")), components(near_stars(fps)), "label"), "labels")
-    keys = keyed(labelled)
-    open_keys = settled(keys.groupBy(F.col("key").alias("open")).agg(F.min("label").alias("a"), F.max("label").alias("b"))
-                        .where("a <> b").select("open"), "open-keys")
-    members = settled(keys.join(open_keys, F.col("key") == F.col("open"), "left_semi"), "members")
-    other = members.select("key", F.col("fp").alias("fp_b"), F.col("label").alias("label_b"))
-    links = members.join(other, "key").where("label < label_b AND bit_count(fp ^ fp_b) <= 3")
+    stars = components(near_stars(_spread(fps)))
+    labelled = settled(_labelled(fps.withColumn("label", F.col("fp")), stars, "label"), "labels")
+    keys = keyed(_spread(labelled))
+    open_keys = settled(keys.groupBy(F.col("key").alias("open")).agg(
+        F.min("label").alias("a"), F.max("label").alias("b"), F.bit_or("role").alias("roles"))
+        .where("a <> b AND roles = 3").select("open"), "open-keys")
+    members = settled(keys.join(open_keys.hint("merge"), F.col("key") == F.col("open"), "left_semi"), "members")
+    other = members.where("role = 2").select("key", F.col("fp").alias("fp_b"), F.col("label").alias("label_b"))
+    links = members.where("role = 1").join(other, "key").where("label <> label_b AND bit_count(fp ^ fp_b) <= 3")
     roots = components(links.select(F.col("label").alias("a"), F.col("label_b").alias("b")).distinct())
     final = settled(_labelled(labelled, roots, "label"), "labels")
     least = final.groupBy(F.col("label").alias("of")).agg(F.min("least_id").alias("component_id"))
