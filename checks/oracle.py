@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-LINE = """concat_ws('-', lpad(l_orderkey::VARCHAR, 10, '0'), lpad(l_linenumber::VARCHAR, 2, '0'),
-  lpad(l_suppkey::VARCHAR, 8, '0'), lpad(l_partkey::VARCHAR, 9, '0'),
-  strftime(l_shipdate, '%Y%m%d'), lpad(l_quantity::INT::VARCHAR, 3, '0'))"""
+
+def padded(column: str, width: int) -> str:
+    text = f"({column})::VARCHAR"
+    return f"lpad({text}, greatest({width}, length({text}))::INT, '0')"
+
+
+LINE = f"""concat_ws('-', {padded('l_orderkey', 10)}, {padded('l_linenumber', 2)},
+  {padded('l_suppkey', 8)}, {padded('l_partkey', 9)},
+  strftime(l_shipdate, '%Y%m%d'), {padded('l_quantity::INT', 3)})"""
 
 WORK = """work AS (
   SELECT 'op_' || o.o_orderkey AS work_id, o_orderpriority AS work_type, o_orderdate AS start_ts,
@@ -34,26 +40,37 @@ CHANGES = f"""changes AS (
          l_shipdate AS changed_at, CASE WHEN l_discount > 0 THEN 'u' || (l_suppkey % 7) END AS changed_by
   FROM lineitem WHERE l_returnflag <> 'N')"""
 ALL = [WORK, RESOURCES, ASSIGNMENTS, LOCATIONS, TRAVEL, CHANGES]
-KEYS = """known_rules AS (
-  SELECT 'K' || lpad(p_partkey::VARCHAR, 9, '0') AS key_id, p_type AS type, p_name AS statement,
+KEYS = f"""known_rules AS (
+  SELECT 'K' || {padded('p_partkey', 9)} AS key_id, p_type AS type, p_name AS statement,
          CASE WHEN p_size % 5 = 0 THEN 'head' ELSE lower(p_brand) END AS source,
          CASE WHEN p_size <= 8 THEN 'interface' ELSE 'operating' END AS scope FROM part)"""
-FOUND = """found AS (
-  SELECT 'c-' || lpad(o_orderkey::VARCHAR, 10, '0') AS candidate_id,
+
+
+def _found(name: str, prefix: str) -> str:
+    return f"""{name} AS (
+  SELECT {prefix} || {padded('o_orderkey', 10)} AS candidate_id,
          'p0' || substr(o_orderpriority, 1, 1) AS probe, o_orderpriority AS proposed_type,
-         'Order of ' || strftime(o_orderdate, '%Y-%m-%d') AS statement, o_orderstatus AS status
-  FROM orders)"""
-VERDICTS = f"""verdicts AS (
+         'Order of ' || strftime(o_orderdate, '%Y-%m-%d') AS statement FROM orders)"""
+
+
+def _verdicts(name: str, prefix: str, verdict: str) -> str:
+    return f"""{name} AS (
   SELECT {LINE} AS row_no,
-         CASE WHEN l_tax = 0.08 THEN 'gone-' ELSE 'c-' END || lpad(l_orderkey::VARCHAR, 10, '0') AS candidate_id,
+         CASE WHEN l_tax = 0.08 THEN 'gone-' ELSE {prefix} END || {padded('l_orderkey', 10)} AS candidate_id,
          CASE WHEN l_returnflag <> 'A' OR l_quantity = 1 THEN '' WHEN l_quantity = 50 THEN 'Kx'
-              ELSE 'K' || lpad(l_partkey::VARCHAR, 9, '0') END AS key_id,
-         CASE WHEN l_discount = 0.1 THEN '' WHEN l_discount = 0.09 THEN 'MAYBE'
-              WHEN l_returnflag = 'A' THEN 'MATCH' WHEN l_returnflag = 'R' THEN 'NEW' ELSE 'FALSE' END AS verdict,
-         l_linestatus AS note
+              ELSE 'K' || {padded('l_partkey', 9)} END AS key_id,
+         {verdict} AS verdict, CASE WHEN l_tax > 0.04 THEN l_linestatus ELSE '' END AS note
   FROM lineitem)"""
 
 
+FOURTH = "CASE WHEN {}_orderkey % 4 = 3 THEN 'd-' ELSE 'c-' END"
+FOUND, FOUND_LEAN = _found("found", "'c-'"), _found("found_lean", FOURTH.format("o"))
+VERDICTS = _verdicts("verdicts", "'c-'", """CASE WHEN l_discount = 0.1 THEN '' WHEN l_discount = 0.09 THEN 'MAYBE'
+              WHEN l_returnflag = 'A' THEN 'MATCH' WHEN l_returnflag = 'R' THEN 'NEW' ELSE 'FALSE' END""")
+VERDICTS_LEAN = _verdicts("verdicts_lean", FOURTH.format("l"), """CASE WHEN l_linestatus <> 'F' THEN 'FALSE'
+              WHEN l_returnflag = 'A' THEN 'MATCH' ELSE 'NEW' END""")
+
+
 def judged(name: str = "judged", found: str = "found", given: str = "verdicts") -> str:
     return f"""{name}_rows AS (
   SELECT v.*, CASE WHEN f.candidate_id IS NULL THEN 'unknown candidate'
@@ -159,34 +176,48 @@ SHAPES = """shapes AS (
         FROM (SELECT *, max(v) OVER (PARTITION BY dimension) AS top FROM distribution) GROUP BY 1)
   WHERE observations >= 50)"""
 
+# For each dimension: the groups (key columns, grp, n) and the rows in them (key columns, item, at_ts, id).
+DAY_OF = "strftime(start_ts, '%a %Y-%m-%d')"
+CREWED = """SELECT coalesce(r.name, resource_id) AS who, coalesce(kind, 'unknown') AS kind, a.* FROM assignments a
+  LEFT JOIN resources r USING (resource_id)"""
+JOB = "coalesce(work_type, 'untyped') || '  ' || coalesce(strftime(start_ts, '%a %Y-%m-%d %H:%M'), 'no start')"
 PEAKS = {
-    "work_per_day": """
-      SELECT start_ts::DATE::VARCHAR AS grp, count(*) AS n,
-             string_agg(work_type, ', ' ORDER BY start_ts, work_id) AS detail
-      FROM work GROUP BY 1 ORDER BY n DESC, grp LIMIT 5""",
-    "work_per_location_per_day": """
-      SELECT l.name || '  ' || start_ts::DATE AS grp, count(*) AS n,
-             string_agg(work_type, ', ' ORDER BY start_ts, work_id) AS detail
-      FROM work JOIN locations l USING (location_id) GROUP BY 1 ORDER BY n DESC, grp LIMIT 5""",
-    "work_per_resource_per_day": """
-      SELECT grp, count(DISTINCT work_id) AS n, string_agg(DISTINCT item, ' | ' ORDER BY item) AS detail
-      FROM (SELECT r.name || '  (' || kind || ')  ' || strftime(a.start_ts, '%a %Y-%m-%d') AS grp, work_id,
-                   coalesce(w.work_type, 'untyped') || ' ' || strftime(a.start_ts, '%H:%M') || ' as ' || role AS item
-            FROM assignments a LEFT JOIN resources r USING (resource_id) LEFT JOIN work w USING (work_id))
-      GROUP BY 1 ORDER BY n DESC, grp LIMIT 5""",
-    "customers_per_work": """
-      SELECT work_type || '  ' || strftime(start_ts, '%a %Y-%m-%d %H:%M') AS grp,
-             customer_count::BIGINT AS n, work_id AS detail
-      FROM work WHERE customer_count IS NOT NULL ORDER BY n DESC, grp, work_id LIMIT 5""",
-    "resources_per_work": """
-      SELECT grp, n, detail FROM (
-        SELECT work_type || '  ' || strftime(w.start_ts, '%a %Y-%m-%d %H:%M') AS grp, w.work_id,
-               count(DISTINCT a.resource_id) AS n,
-               string_agg(DISTINCT coalesce(r.name, a.resource_id), ', ' ORDER BY coalesce(r.name, a.resource_id)) AS detail
-        FROM assignments a JOIN work w USING (work_id) LEFT JOIN resources r USING (resource_id)
-        GROUP BY 1, 2) ORDER BY n DESC, grp, work_id LIMIT 5""",
+    "work_per_day": (["day"], "SELECT start_ts::DATE AS day, day::VARCHAR AS grp, count(*) AS n FROM work GROUP BY 1",
+                     "SELECT start_ts::DATE AS day, work_type AS item, start_ts AS at_ts, work_id AS id FROM work"),
+    "work_per_location_per_day": (
+        ["place", "day"],
+        """SELECT name AS place, start_ts::DATE AS day, place || '  ' || day AS grp, count(*) AS n
+           FROM work JOIN locations USING (location_id) GROUP BY 1, 2""",
+        """SELECT name AS place, start_ts::DATE AS day, work_type AS item, start_ts AS at_ts, work_id AS id
+           FROM work JOIN locations USING (location_id)"""),
+    "work_per_resource_per_day": (
+        ["who", "kind", "day"],
+        f"""SELECT who, kind, start_ts::DATE AS day, any_value(who || '  (' || kind || ')  ' || {DAY_OF}) AS grp,
+           count(DISTINCT work_id) AS n FROM ({CREWED}) GROUP BY 1, 2, 3""",
+        f"""SELECT who, kind, c.start_ts::DATE AS day, coalesce(work_type, 'untyped') || ' ' || strftime(c.start_ts, '%H:%M')
+           || ' as ' || role AS item, c.start_ts AS at_ts, work_id AS id FROM ({CREWED}) c LEFT JOIN work USING (work_id)"""),
+    "customers_per_work": (
+        ["work_id"], f"SELECT work_id, {JOB} AS grp, customer_count::BIGINT AS n FROM work WHERE customer_count IS NOT NULL",
+        "SELECT work_id, work_id AS item, start_ts AS at_ts, work_id AS id FROM work"),
+    "resources_per_work": (
+        ["work_id"],
+        f"""SELECT work_id, {JOB} AS grp, n FROM work JOIN (
+           SELECT work_id, count(DISTINCT resource_id) AS n FROM assignments GROUP BY 1) USING (work_id)""",
+        f"SELECT work_id, who AS item, start_ts AS at_ts, work_id AS id FROM ({CREWED})"),
 }
 
+
+def peak(dimension: str, body: str, size: int = 5) -> str:
+    keys, groups, rows = PEAKS[dimension]
+    order = ", ".join(["n DESC", "grp", *keys])
+    return sql(body, WORK, ASSIGNMENTS, RESOURCES, LOCATIONS, f"grps AS ({groups})", f"members AS ({rows})",
+               f"top AS (SELECT *, row_number() OVER (ORDER BY {order}) AS position FROM grps ORDER BY {order} LIMIT {size})",
+               f"shown AS (SELECT grp, n, position, item, at_ts, id FROM members JOIN top USING ({', '.join(keys)}))")
+
+
+PEAK_ROWS = "SELECT grp, n, position, item, strftime(at_ts, '%Y-%m-%d %H:%M:%S') AS \"at\", id FROM shown"
+PEAK_ITEMS = "SELECT grp, n, position, item, count(*) AS times FROM shown GROUP BY 1, 2, 3, 4"
+
 FIELDS = ("work_type", "start_ts", "end_ts", "location_id", "status", "customer_count")
 FILL = "fills AS (" + " UNION ALL ".join(
     f"""SELECT '{p}' AS partition, coalesce({p}::VARCHAR, '(blank)') AS value, '{f}' AS field,
@@ -237,7 +268,7 @@ sizes AS (SELECT (SELECT count(*) FROM touched) AS touched_jobs,
 
 
 def record(column: str) -> str:
-    return f"('rec' || lpad(({column})::VARCHAR, 14, '0'))"
+    return f"('rec' || {padded(column, 14)})"
 
 
 def opaque(prefix: str, *parts: str) -> str:
@@ -256,11 +287,11 @@ LANDED_CREW = f"""crew AS (
   SELECT 'op_' || {record('o_orderkey')} AS work_id, 'gs_' || {record('o_custkey')} AS resource_id,
          'Lead Guide (link)' AS role, {record('o_orderkey')} AS source_id FROM orders
   UNION ALL SELECT 'op_' || {record('l_orderkey')}, 'gs_' || {record('l_suppkey')}, 'Driver',
-         'rec' || lpad(l_orderkey::VARCHAR, 10, '0') || lpad(l_linenumber::VARCHAR, 4, '0') FROM lineitem
+         'rec' || {padded('l_orderkey', 10)} || {padded('l_linenumber', 4)} FROM lineitem
   UNION ALL SELECT 'op_' || {record('l_orderkey')}, 'vh_' || {record('l_partkey')}, 'Vehicle',
-         'rec' || lpad(l_orderkey::VARCHAR, 10, '0') || lpad(l_linenumber::VARCHAR, 4, '0') FROM lineitem
+         'rec' || {padded('l_orderkey', 10)} || {padded('l_linenumber', 4)} FROM lineitem
   UNION ALL SELECT 'op_' || {record('l_orderkey')}, 'vh_' || {record('l_suppkey')}, 'Vehicle',
-         'rec' || lpad(l_orderkey::VARCHAR, 10, '0') || lpad(l_linenumber::VARCHAR, 4, '0') FROM lineitem)"""
+         'rec' || {padded('l_orderkey', 10)} || {padded('l_linenumber', 4)} FROM lineitem)"""
 LOG = f"""log AS (
   SELECT 'op_' || {record('o_orderkey')} AS entity_id, {record('o_orderkey')} AS source_id,
          'dbl ' || lower(o_orderstatus) || ' v' AS label, 'u' || (o_custkey % 7) AS who, o_orderdate AS seen,
@@ -297,11 +328,8 @@ GAP_MEASURES = ("messages", "events", "high", "high_per_100", "all_per_100", "en
                 "lead_time")
 
 SCORE = [KEYS, FOUND, VERDICTS, judged()]
-DELTA = [KEYS, FOUND, VERDICTS,
-         "rich_found AS (SELECT * FROM found WHERE status <> 'O')",
-         "lean_found AS (SELECT * FROM found WHERE status <> 'P')",
-         "lean_verdicts AS (SELECT * FROM verdicts WHERE note = 'F')",
-         judged("rich", "rich_found"), judged("lean", "lean_found", "lean_verdicts")]
+DELTA = [KEYS, FOUND, VERDICTS, FOUND_LEAN, VERDICTS_LEAN, judged("rich"),
+         judged("lean", "found_lean", "verdicts_lean")]
 
 STATEMENTS = f"""
   SELECT 'p03' AS probe, 'p03-exclusivity-' || replace(lower(kind), ' ', '-') AS candidate_id, 'exclusivity' AS proposed_type,
@@ -340,7 +368,8 @@ ORACLE: dict[str, str] = {
     # bookings
     "overlap_pairs": sql(f"""SELECT kind, resource_id, a_work_id, b_work_id, a_assignment_id, b_assignment_id,
         {ts('a_start', 'a_start_ts')}, {ts('a_end', 'a_end_ts')}, {ts('b_start', 'b_start_ts')},
-        {ts('b_end', 'b_end_ts')} FROM pairs""", *BOOKED, PAIRS),
+        {ts('b_end', 'b_end_ts')} FROM pairs
+        WHERE DATE '1997-05-28' IN (a_start::DATE, b_start::DATE)""", *BOOKED, PAIRS),
     "overlap_job_pairs": sql("""SELECT kind, count(*) AS overlapping_pairs, count(DISTINCT resource_id || ' '
         || least(a_work_id, b_work_id) || ' ' || greatest(a_work_id, b_work_id)) AS distinct_job_pairs
         FROM pairs GROUP BY 1""", *BOOKED, PAIRS),
@@ -371,11 +400,10 @@ ORACLE: dict[str, str] = {
     # ceilings and peaks
     **{f"ceiling_{d}": sql(f"SELECT * FROM shapes WHERE dimension = '{d}'", WORK, ASSIGNMENTS,
                            DISTRIBUTION, SHAPES) for d in DISTRIBUTIONS},
-    **{f"peak_{d}": sql(body, WORK, ASSIGNMENTS, RESOURCES, LOCATIONS) for d, body in PEAKS.items()},
+    **{f"peak_{d}": peak(d, PEAK_ITEMS) for d in PEAKS},
+    **{f"peak_rows_{d}": peak(d, PEAK_ROWS) for d in PEAKS},
     "ceiling_distribution": sql("SELECT * FROM distribution", WORK, ASSIGNMENTS, DISTRIBUTION),
-    "peak_rows_per_day": sql(f"""SELECT d::VARCHAR AS grp, n, work_type AS item, {ts('start_ts', 'at')}, work_id AS id
-        FROM work JOIN (SELECT start_ts::DATE AS d, count(*) AS n FROM work GROUP BY 1 ORDER BY n DESC, d LIMIT 3)
-        ON start_ts::DATE = d""", WORK),
+    "peak_rows_per_day": peak("work_per_day", PEAK_ROWS, 3),
 
     # population
     "fill_rates": sql("SELECT partition, value, field, rows, filled, fill_rate FROM rates", WORK, FILL),
@@ -437,8 +465,8 @@ ORACLE: dict[str, str] = {
          ("location_travel", "0 * count(*)"), ("changes", "0 * count(*)"))), *ALL),
     "lean_fill": sql("""SELECT status, count(*) AS rows, 0::BIGINT AS location_id,
         count(customer_count) AS customer_count FROM work GROUP BY 1""", WORK),
-    "landing_repeated_keys": sql("""SELECT 'assignments' AS landing_table, substr(assignment_id, 1, 13) AS key,
-        count(*) AS rows FROM assignments GROUP BY 2 HAVING count(*) > 1""", ASSIGNMENTS),
+    "landing_repeated_keys": """SELECT 'assignments' AS landing_table, sha256(text) AS key, count(*) AS rows
+        FROM documents GROUP BY 2 HAVING count(*) > 1""",
     "day_sheet": sql(f"""SELECT w.work_id, work_type, {ts('w.start_ts')}, {ts('w.end_ts')}, customer_count::DOUBLE AS customer_count, status,
         coalesce(l.name, '') AS place, r.name AS resource, r.kind, a.role
         FROM work w LEFT JOIN locations l USING (location_id) LEFT JOIN assignments a ON a.work_id = w.work_id
@@ -521,9 +549,12 @@ ORACLE: dict[str, str] = {
         CASE WHEN problem = 'verdicts disagree' THEN first_verdict END AS first_verdict
         FROM judged WHERE problem IS NOT NULL""",
         KEYS, FOUND, VERDICTS, judged().replace("SELECT r.*, CASE WHEN fault", "SELECT r.*, first_verdict, CASE WHEN fault", 1)),
-    "score_new_finds": sql("""SELECT candidate_id, proposed_type, statement, note, min(row_no) AS row_no
+    "score_new_finds": sql("""SELECT candidate_id, proposed_type, statement, note, row_no FROM (
+        SELECT candidate_id, proposed_type, statement, note, min(row_no) AS row_no,
+               max(note) OVER (PARTITION BY candidate_id) AS any_note
         FROM judged JOIN found USING (candidate_id) WHERE problem IS NULL AND verdict = 'NEW'
-        GROUP BY 1, 2, 3, 4""", *SCORE),
+        GROUP BY 1, 2, 3, 4) WHERE note <> '' OR any_note = ''""", *SCORE),
+    "score_covered_keys": sql("SELECT key_id, candidate_id FROM judged_matched WHERE key_id <> ''", *SCORE),
     "score_unrecovered": sql("SELECT key_id, type, statement FROM judged_recovery WHERE hit = 0", *SCORE),
     "score_multi_cover": sql("SELECT candidate_id, keys FROM judged_each WHERE keys > 1", *SCORE),
     "candidates_per_probe": sql("SELECT probe, count(*) AS candidates FROM found GROUP BY 1", FOUND),
@@ -548,10 +579,13 @@ ORACLE: dict[str, str] = {
           WHERE key_id NOT IN (SELECT key_id FROM lean_matched)
           UNION ALL SELECT key_id, candidate_id, 'gained' FROM lean_matched
           WHERE key_id NOT IN (SELECT key_id FROM rich_matched)) USING (key_id)""", *DELTA),
-    "delta_candidates": sql("""SELECT candidate_id, CASE status WHEN 'P' THEN 'rich' ELSE 'lean' END AS only_in
-        FROM found WHERE status IN ('P', 'O')""", FOUND),
-    "delta_probes": sql("""SELECT probe, count(*) FILTER (status <> 'O') AS rich_candidates,
-        count(*) FILTER (status <> 'P') AS lean_candidates FROM found GROUP BY 1""", FOUND),
+    "delta_candidates": sql("""SELECT candidate_id, 'rich' AS only_in FROM found
+        WHERE candidate_id NOT IN (SELECT candidate_id FROM found_lean)
+        UNION ALL SELECT candidate_id, 'lean' FROM found_lean
+        WHERE candidate_id NOT IN (SELECT candidate_id FROM found)""", FOUND, FOUND_LEAN),
+    "delta_probes": sql("""SELECT probe, r.n AS rich_candidates, l.n AS lean_candidates
+        FROM (SELECT probe, count(*) AS n FROM found GROUP BY 1) r
+        JOIN (SELECT probe, count(*) AS n FROM found_lean GROUP BY 1) l USING (probe)""", FOUND, FOUND_LEAN),
     "delta_volumes": sql(" UNION ALL ".join(
         f"SELECT '{t}' AS landing_table, count(*) AS rich_rows, {k} * count(*) AS lean_rows FROM {t}"
         for t, k in (("work", 1), ("resources", 1), ("assignments", 1), ("locations", 1),
@@ -567,8 +601,10 @@ ORACLE: dict[str, str] = {
         f"SELECT '{m}' AS measure, a.{m}::DOUBLE AS first, b.{m}::DOUBLE AS second, b.{m}::DOUBLE - a.{m}::DOUBLE AS gap FROM one a, two b"
         for m in GAP_MEASURES) + f""" UNION ALL SELECT 'high_per_100_base', a.high * 100 / ({HUMAN})::BIGINT,
         b.high * 100 / ({HUMAN})::BIGINT, b.high * 100 / ({HUMAN})::BIGINT - a.high * 100 / ({HUMAN})::BIGINT FROM one a, two b""",
-        SHEET, VOLUME, f"one AS ({rates(chr(40) + 'SELECT * FROM sheet WHERE event_type <> ' + chr(39) + 'error' + chr(39) + ')', HUMAN)})",
-        f"two AS ({rates('sheet', 'SELECT sum(operational + automation) FROM volume')})"),
+        SHEET, VOLUME, f"one AS ({rates('sheet', HUMAN)})", """again AS (
+          SELECT * REPLACE ((lead_hours > 6)::INT AS entity, (confidence = 'high')::INT AS rule,
+                            if(event_type = 'error', 'low', confidence) AS confidence) FROM sheet)""",
+        f"two AS ({rates('again', 'SELECT sum(operational + automation) FROM volume')})"),
     "recurring_kinds": sql('SELECT recurring_kind, count(*) AS "count" FROM sheet GROUP BY 1', SHEET),
     "volume_rollup": sql("""SELECT kind, channel, sum(human)::BIGINT AS human, sum(operational)::BIGINT AS operational,
         sum(automation)::BIGINT AS automation, count(DISTINCT channel) AS channels,

@@ -14,7 +14,7 @@ from ruletrace.plans import (bookings, candidates, ceilings, compare, days, mess
                              overrides, peaks, population, scoring)
 from ruletrace.sources import build
 from ruletrace.sources.integrity import latest_digests
-from ruletrace.sources.landing import Landing, repeated_keys, volumes
+from ruletrace.sources.landing import Landing, conform, repeated_keys, volumes
 from ruletrace.sources.mapping import DEFAULT_MAP
 from ruletrace.sources.profiles import PROFILES, thin
 from ruletrace.sources.screen import denied
@@ -49,7 +49,7 @@ def bare(spark: SparkSession, sf_dir: str) -> Landing:
 
 @query
 def overlap_pairs(spark, sf_dir):
-    return bookings.overlaps(bare(spark, sf_dir)).select(
+    return bookings.overlaps_on(bare(spark, sf_dir), DAY).select(
         "kind", "resource_id", "a_work_id", "b_work_id", "a_assignment_id", "b_assignment_id",
         *[stamp(c) for c in ("a_start_ts", "a_end_ts", "b_start_ts", "b_end_ts")])
 
@@ -119,8 +119,14 @@ def _ceiling(dimension: str) -> None:
                           *filter(None, [needs.get(dimension)]))
         return peaks.peaks(t, dimension, 5)
 
+    def rows(spark, sf_dir):
+        needs = {"customers_per_work": "customer_count", "work_per_location_per_day": "location_id"}
+        t = views.landing(spark, sf_dir, "work_type", "start_ts", *filter(None, [needs.get(dimension)]))
+        return peaks.peak_rows(t, dimension, 5).select("grp", "n", "position", "item", stamp("at"), "id")
+
     QUERIES[f"ceiling_{dimension}"] = run
     QUERIES[f"peak_{dimension}"] = peak
+    QUERIES[f"peak_rows_{dimension}"] = rows
 
 
 for _dimension in ceilings.DIMENSIONS:
@@ -140,7 +146,7 @@ def ceiling_distribution(spark, sf_dir):
 @query
 def peak_rows_per_day(spark, sf_dir):
     return peaks.peak_rows(bare(spark, sf_dir), "work_per_day", 3).select(
-        "grp", "n", "item", stamp("at"), "id")
+        "grp", "n", "position", "item", stamp("at"), "id")
 
 
 # -- population ------------------------------------------------------------------------------
@@ -254,9 +260,11 @@ def lean_fill(spark, sf_dir):
 
 @query
 def landing_repeated_keys(spark, sf_dir):
+    """Copies of a text share the key made from it."""
     t = bare(spark, sf_dir)
-    by_line = t.assignments.withColumn("assignment_id", F.substring("assignment_id", 1, 13))
-    return repeated_keys(t.replaced(assignments=by_line))
+    texts = conform(views.table(spark, sf_dir, "documents").selectExpr(
+        "sha2(text, 256) AS assignment_id", "source AS resource_id", "lang AS role"), "assignments")
+    return repeated_keys(t.replaced(assignments=texts))
 
 
 @query
@@ -459,6 +467,11 @@ def score_multi_cover(spark, sf_dir):
     return scoring.multi_cover(_score(spark, sf_dir)[2])
 
 
+@query
+def score_covered_keys(spark, sf_dir):
+    return scoring.covered_keys(_score(spark, sf_dir)[2])
+
+
 @query
 def candidates_per_probe(spark, sf_dir):
     return candidates.per_probe(views.found(spark, sf_dir))
@@ -477,9 +490,8 @@ def verdict_sheet(spark, sf_dir):
 
 def _runs(spark, sf_dir) -> tuple[scoring.Run, scoring.Run, DataFrame]:
     full = views.landing(spark, sf_dir, "start_ts")
-    found, given = views.found(spark, sf_dir), views.verdicts(spark, sf_dir)
-    rich = scoring.Run("full", found.filter("status <> 'O'"), given, volumes(full))
-    lean = scoring.Run("lean", found.filter("status <> 'P'"), given.filter("note = 'F'"),
+    rich = scoring.Run("full", views.found(spark, sf_dir), views.verdicts(spark, sf_dir), volumes(full))
+    lean = scoring.Run("lean", views.found_lean(spark, sf_dir), views.verdicts_lean(spark, sf_dir),
                        volumes(thin(full, PROFILES["lean"])))
     return rich, lean, views.known_rules(spark, sf_dir)
 
@@ -545,10 +557,10 @@ def recoverability_rates(spark, sf_dir):
 
 @query
 def recoverability_gap(spark, sf_dir):
-    sheet = views.event_sheet(spark, sf_dir)
     human = _messages(spark, sf_dir, "operational")
-    first = messages.recoverability(sheet.filter("event_type <> 'error'"), human)
-    second = messages.recoverability(sheet, _messages(spark, sf_dir, "operational", "automation"))
+    first = messages.recoverability(views.event_sheet(spark, sf_dir), human)
+    second = messages.recoverability(views.event_sheet_again(spark, sf_dir),
+                                     _messages(spark, sf_dir, "operational", "automation"))
     return messages.pass_gap(first, second, human)
 
 

@@ -10,15 +10,13 @@ different jobs overlap when each starts before the other ends.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from math import ceil
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ruletrace.functions.clock import epoch_seconds
-from ruletrace.operators.ordered import sums_before
+from ruletrace.operators.ordered import PIECE, PIECE_SECONDS, sums_before
 
-LONG_SPAN = 32   # a booking this many mean lengths long goes to the wide buckets
+# Bucket widths for bookings of up to that length: one hour, and then eight times as long each.
+TIERS = [3600 * 8 ** k for k in range(8)]
 
 # Event order at one instant: an end comes before a moment without length, and that before
 # a start, because touching windows do not overlap.
@@ -33,53 +31,29 @@ def _length() -> Column:
     return F.expr(f"{epoch_seconds('end_ts')} - {epoch_seconds('start_ts')}")
 
 
-@dataclass(frozen=True)
-class Shape:
-    """What one look at the bookings tells about how to join them.
-
-    ``usual`` and ``long`` are bucket widths in seconds. With the mean length as width,
-    cutting bookings into buckets gives about two rows per booking over the whole table;
-    what is far longer gets buckets as wide as the longest. ``backwards`` says that some
-    booking ends before it starts.
-    """
-
-    usual: int
-    long: int
-    backwards: bool
-
-
-def shape_of(assignments: DataFrame) -> Shape:
-    forward = F.when(F.col("start_ts") < F.col("end_ts"), _length())
-    mean, longest, backwards = assignments.select("start_ts", "end_ts").agg(
-        F.avg(forward), F.max(forward),
-        F.coalesce(F.bool_or(F.col("end_ts") < F.col("start_ts")), F.lit(False))).first()
-    usual = max(1, ceil(mean or 1))
-    return Shape(usual, max(usual, int(longest or 1)), backwards)
-
-
-def overlap_pairs(rows: DataFrame, shape: Shape, keep: list[str] | None = None,
+def overlap_pairs(rows: DataFrame, keep: list[str] | None = None,
                   earlier: DataFrame | None = None,
                   later: DataFrame | None = None) -> DataFrame:
     """Each overlapping pair once, ``a_*`` holding the smaller assignment id.
 
-    In a pair the later start lies inside the earlier booking. So bookings are cut into time
-    buckets, starts fall into one bucket, and (resource, bucket) is an equi-join key: a busy
-    resource spreads over its buckets, and adaptive execution splits a bucket that is still
-    too big. ``earlier`` and ``later`` narrow the two roles to fewer bookings.
+    In a pair the later start lies inside the earlier booking. A booking goes to the tier of its
+    length, whose time buckets are at least as wide, so it lies in two buckets at most; a start looks
+    into one bucket of every tier. (resource, tier, bucket) is the equi-join key: a busy resource
+    spreads over its buckets, one very long booking fills only buckets of its own tier, and adaptive
+    execution splits a bucket that is still too big. ``earlier`` and ``later`` narrow the two roles.
     """
     columns = list(dict.fromkeys(
         ["resource_id", "work_id", "assignment_id", "start_ts", "end_ts", *(keep or [])]))
-    usual, long = shape.usual, shape.long
-    tiers = "array(0)" if long <= LONG_SPAN * usual else "array(0, 1)"
-    bucket = f"floor({{}} / CASE _tier WHEN 0 THEN {usual} ELSE {long} END)"
-    at, until = bucket.format(epoch_seconds("start_ts")), bucket.format(epoch_seconds("end_ts"))
+    width = f"element_at(array({', '.join(f'{w}L' for w in TIERS)}), _tier)"
+    at, until = (f"floor({epoch_seconds(c)} / {width})" for c in ("start_ts", "end_ts"))
+    steps = " ".join(f"WHEN _length <= {w} THEN {k}" for k, w in enumerate(TIERS[:-1], 1))
 
     spans = timed(earlier if earlier is not None else rows).filter("start_ts < end_ts")
-    spans = (spans.select(*columns)
-             .withColumn("_tier", F.when(_length() <= LONG_SPAN * usual, 0).otherwise(1))
+    spans = (spans.select(*columns, _length().alias("_length"))
+             .withColumn("_tier", F.expr(f"CASE {steps} ELSE {len(TIERS)} END"))
              .selectExpr("*", f"explode(sequence({at}, {until})) AS _bucket"))
     starts = (timed(later if later is not None else rows).select(*columns)
-              .selectExpr("*", f"explode({tiers}) AS _tier").selectExpr("*", f"{at} AS _bucket"))
+              .selectExpr("*", f"explode(sequence(1, {len(TIERS)})) AS _tier").selectExpr("*", f"{at} AS _bucket"))
 
     # The smaller assignment id is a; whichever booking begins earlier stays x.
     met = spans.alias("x").join(starts.alias("y"), F.expr(
@@ -94,25 +68,29 @@ def overlap_pairs(rows: DataFrame, shape: Shape, keep: list[str] | None = None,
                           *[f"if({x_is_a}, y.{n}, x.{n}) AS b_{n}" for n in names])
 
 
-def _sweep(rows: DataFrame, keep: list[str], limit: int | None = None) -> DataFrame:
-    """Start and end events, each with two counts over the bookings of other jobs.
-
-    ``running`` is how many are under way at the event, ``begun`` how many have begun.
-    Both are taken over the whole resource and then over the same job, and subtracted.
-    """
+def _events(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Start and end events of bookings: what they add to the running ones, and to the begun ones."""
     def event(ts: str, mark: int, step: int, entry: int) -> str:
         return f"named_struct('at', {ts}, 'mark', {mark}, 'step', {step}L, 'entry', {entry}L)"
 
     both = f"array({event('start_ts', START, 1, 1)}, {event('end_ts', END, -1, 0)})"
     moment = f"array({event('start_ts', MOMENT, 0, 1)})"
-    events = (timed(rows).filter("work_id IS NOT NULL AND start_ts <= end_ts")
-              .selectExpr("resource_id", "work_id", "assignment_id", *keep,
-                          f"inline(if(start_ts < end_ts, {both}, {moment}))"))
-    order = ["at", "mark", "assignment_id"]
-    events = sums_before(events, ["resource_id"], order,
-                         {"_run": "step", "_beg": "entry"}, limit)
-    events = sums_before(events, ["resource_id", "work_id"], order,
-                         {"_run_same": "step", "_beg_same": "entry"}, limit)
+    return (timed(rows).filter("work_id IS NOT NULL AND start_ts <= end_ts")
+            .selectExpr("resource_id", "work_id", "assignment_id", *keep,
+                        f"inline(if(start_ts < end_ts, {both}, {moment}))"))
+
+
+ORDER = ["at", "mark", "assignment_id"]
+
+
+def _sweep(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Events, each with two counts over the bookings of other jobs.
+
+    ``running`` is how many are under way at the event, ``begun`` how many have begun.
+    Both are taken over the whole resource and then over the same job, and subtracted.
+    """
+    events = sums_before(_events(rows, keep), ["resource_id"], ORDER, {"_run": "step", "_beg": "entry"})
+    events = sums_before(events, ["resource_id", "work_id"], ORDER, {"_run_same": "step", "_beg_same": "entry"})
     return events.selectExpr("resource_id", "work_id", *keep, "at", "mark",
                              "_run - _run_same AS running", "_beg - _beg_same AS begun")
 
@@ -126,34 +104,51 @@ def _backwards(rows: DataFrame) -> DataFrame:
     return timed(rows).filter("work_id IS NOT NULL AND end_ts < start_ts")
 
 
-def overlap_counts(rows: DataFrame, shape: Shape, keys: list[str], limit: int | None = None) -> DataFrame:
+def _running_pairs(events: DataFrame, keys: list[str], also: list[str]) -> DataFrame:
+    """Per group, the bookings under way at each beginning, summed: (keys, also, pairs).
+
+    Counted inside each piece of time first; what runs on from earlier pieces is one number per
+    piece and counts once for each beginning in it. No event is joined with anything.
+    """
+    inside = Window.partitionBy(*keys, PIECE).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.col("mark") != END
+    pieces = (events.withColumn(PIECE, F.expr(f"floor({epoch_seconds('at')} / {PIECE_SECONDS})"))
+              .withColumn("_run", F.coalesce(F.sum("step").over(inside), F.lit(0)))
+              .groupBy(*keys, *also, PIECE)
+              .agg(F.sum(F.when(begins, F.col("_run")).otherwise(0)).alias("_own"),
+                   F.count_if(begins).alias("_begins"), F.sum("step").alias("_net"))
+              .withColumn("_before", F.coalesce(F.sum("_net").over(along), F.lit(0))))
+    return pieces.groupBy(*keys, *also).agg(
+        F.sum(F.col("_own") + F.col("_begins") * F.col("_before")).alias("pairs"))
+
+
+def overlap_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Overlapping pairs per resource, as (resource_id, keys, pairs); zero rows included.
 
-    ``keys`` are further columns that depend on the resource alone.
+    ``keys`` are further columns that depend on the resource alone. Pairs of one job with itself
+    are counted too and taken off again.
     """
-    swept = _sweep(rows, keys, limit).select(
-        "resource_id", *keys,
-        F.when(F.col("mark") != END, F.col("running")).otherwise(F.lit(0)).alias("pairs"))
-    if shape.backwards:
-        joined = overlap_pairs(rows, shape, keep=keys, later=_backwards(rows)).select(
-            "resource_id", *[F.col(f"a_{k}").alias(k) for k in keys],
-            F.lit(1).cast("bigint").alias("pairs"))
-        swept = swept.unionByName(joined)
-    return swept.groupBy("resource_id", *keys).agg(F.sum("pairs").alias("pairs"))
-
-
-def first_overlap_times(rows: DataFrame, shape: Shape, keys: list[str]) -> DataFrame:
+    own = ["resource_id", *keys]
+    every = _running_pairs(_events(rows, keys), ["resource_id"], keys)
+    same = (_running_pairs(_events(rows, keys), ["resource_id", "work_id"], keys).filter("pairs > 0")
+            .select(*own, (-F.col("pairs")).alias("pairs")))
+    joined = overlap_pairs(rows, keep=keys, later=_backwards(rows)).select(
+        "resource_id", *[F.col(f"a_{k}").alias(k) for k in keys], F.lit(1).cast("bigint").alias("pairs"))
+    return (every.unionByName(same).unionByName(joined)
+            .groupBy(*own).agg(F.sum("pairs").alias("pairs")))
+
+
+def first_overlap_times(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Start times of bookings that begin while another job runs, for finding early examples."""
     times = (_sweep(rows, keys).filter((F.col("mark") != END) & (F.col("running") > 0))
              .select("resource_id", *keys, "at"))
-    if shape.backwards:
-        joined = overlap_pairs(rows, shape, keep=keys, later=_backwards(rows))
-        times = times.unionByName(joined.selectExpr(
-            "resource_id", *[f"a_{k} AS {k}" for k in keys], "greatest(a_start_ts, b_start_ts) AS at"))
-    return times
+    joined = overlap_pairs(rows, keep=keys, later=_backwards(rows))
+    return times.unionByName(joined.selectExpr(
+        "resource_id", *[f"a_{k} AS {k}" for k in keys], "greatest(a_start_ts, b_start_ts) AS at"))
 
 
-def overlapping_work(rows: DataFrame, shape: Shape, limit: int | None = None) -> DataFrame:
+def overlapping_work(rows: DataFrame) -> DataFrame:
     """The jobs holding a resource that is also on an overlapping job, each once.
 
     A booking overlaps what runs at its start plus what begins before its end. The second
@@ -163,11 +158,8 @@ def overlapping_work(rows: DataFrame, shape: Shape, limit: int | None = None) ->
     share = (F.when(F.col("mark") == START, F.col("running") - F.col("begun"))
              .when(F.col("mark") == END, F.col("begun"))
              .otherwise(F.col("running")))
-    shares = _sweep(rows, [], limit).select("work_id", share.alias("share"))
-    if shape.backwards:
-        met = overlap_pairs(rows, shape, later=_backwards(rows))
-        one = F.lit(1).cast("bigint").alias("share")
-        shares = (shares.unionByName(met.select(F.col("a_work_id").alias("work_id"), one))
-                  .unionByName(met.select(F.col("b_work_id").alias("work_id"), one)))
-    return (shares.groupBy("work_id").agg(F.sum("share").alias("overlaps"))
-            .filter("overlaps > 0"))
+    met = overlap_pairs(rows, later=_backwards(rows))
+    both = met.select(F.explode(F.array("a_work_id", "b_work_id")).alias("work_id"),
+                      F.lit(1).cast("bigint").alias("share"))
+    return (_sweep(rows, []).select("work_id", share.alias("share")).unionByName(both)
+            .groupBy("work_id").agg(F.sum("share").alias("overlaps")).filter("overlaps > 0"))

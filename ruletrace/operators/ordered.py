@@ -1,113 +1,56 @@
 """Next-row and running-sum windows that do not depend on group size.
 
-A plain window puts each group into one task. That is the cheapest plan while groups are
-moderate, so it is used whenever a size check says so. Groups above ``HOT_GROUP_ROWS`` are
-cut out and spread: the rows are range partitioned on (group, order), which splits a group
-at any row, every piece is windowed on its own, and one carried value per piece links it to
-its neighbour. The carried values are one row per (piece, group).
+Every group is cut into pieces along time: the calendar span of ``PIECE_SECONDS`` that a row's first
+order column lies in. Rows are windowed inside a piece, and one carried row per (group, piece), taken by
+an aggregate that combines map-side, links a piece to its neighbours. A busy group so spreads over its
+pieces, and what is windowed over a whole group is one small row per piece.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ruletrace.session import ensure_checkpoint_dir
-
-HOT_GROUP_ROWS = 5_000_000
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
+from ruletrace.functions.clock import epoch_seconds
 
+PIECE_SECONDS = 7 * 24 * 3600
 PIECE = "_piece"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Bytes of all inputs of a plan, from file sizes; no data is read.
-
-    The sum over the inputs is taken because the optimizer's figure for a join is the
-    product of its sides.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes())
-               for i in range(leaves.size()))
-
-
-def has_hot_group(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
-    limit = HOT_GROUP_ROWS if limit is None else limit
-    if limit >= HOT_GROUP_ROWS and estimated_bytes(df) <= SMALL_INPUT_BYTES:
-        return False
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return largest is not None and largest > limit
-
-
-def _by_size(df: DataFrame, keys: list[str], limit: int | None,
-             plain: Callable[[DataFrame], DataFrame],
-             pieced: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    limit = HOT_GROUP_ROWS if limit is None else limit
-    if not has_hot_group(df, keys, limit):
-        return plain(df)
-    # At most (all rows / limit) groups are hot, so this list stays short; adaptive
-    # execution broadcasts it only if its measured size allows.
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > limit)
-    total = sizes.agg(F.sum("_rows")).first()[0]
-    hot = sizes.select(*keys)
-    spread = pieced(df.join(hot, keys, "left_semi"), max(2, ceil(2 * total / limit)))
-    return plain(df.join(hot, keys, "left_anti")).unionByName(spread)
-
-
-def _pieces(df: DataFrame, keys: list[str], order: list[str], count: int) -> DataFrame:
-    """Rows with a piece number that grows along (keys, order) and never mixes ranges."""
-    ensure_checkpoint_dir(df.sparkSession)
-    # The piece number is read by two branches, so it is fixed on disk once; a lost
-    # executor then cannot recompute it differently for one of them.
-    return (df.repartitionByRange(count, *keys, *order)
-            .withColumn(PIECE, F.spark_partition_id()).checkpoint())
+def _cut(df: DataFrame, order: list[str]) -> DataFrame:
+    return df.withColumn(PIECE, F.expr(f"floor({epoch_seconds(order[0])} / {PIECE_SECONDS})"))
 
 
-def next_in_group(df: DataFrame, keys: list[str], order: list[str],
-                  take: dict[str, str], limit: int | None = None) -> DataFrame:
-    """Add, per output name, the value the next row of the group has (null on the last)."""
+def next_in_group(df: DataFrame, keys: list[str], order: list[str], take: dict[str, str]) -> DataFrame:
+    """Add, per output name, the value the next row of the group has (null on the last).
 
-    def plain(rows: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return rows.withColumns({out: F.lead(col).over(w) for out, col in take.items()})
-
-    def pieced(rows: DataFrame, count: int) -> DataFrame:
-        cut = _pieces(rows, keys, order, count)
-        inside = Window.partitionBy(PIECE, *keys).orderBy(*order)
-        carried = F.struct(*[F.col(c).alias(o) for o, c in take.items()])
-        heads = (cut.groupBy(PIECE, *keys).agg(F.min_by(carried, F.struct(*order)).alias("_head"))
-                 .withColumn("_head", F.lead("_head").over(Window.partitionBy(*keys).orderBy(PIECE))))
-        return (cut.withColumn("_own", F.lead(carried).over(inside))
-                .join(heads, [PIECE, *keys], "left")
-                .withColumn("_next", F.coalesce("_own", "_head"))
-                .withColumns({out: F.col(f"_next.{out}") for out in take})
-                .drop("_own", "_head", "_next", PIECE))
-
-    return _by_size(df, keys, limit, plain, pieced)
-
-
-def sums_before(df: DataFrame, keys: list[str], order: list[str],
-                sums: dict[str, str], limit: int | None = None) -> DataFrame:
+    ``order`` starts with a timestamp; keys and that timestamp are never null.
+    """
+    cut = _cut(df, order)
+    carried = F.struct(*[F.col(c).alias(o) for o, c in take.items()])
+    if set(take.values()) == {order[0]}:  # the first row's value is the least one
+        head = F.struct(*[F.min(order[0]).alias(o) for o in take])
+    else:
+        head = F.min_by(carried, F.struct(*order))
+    along = Window.partitionBy(*keys).orderBy(PIECE)
+    heads = (cut.groupBy(*keys, PIECE).agg(head.alias("_head"))
+             .withColumn("_head", F.lead("_head").over(along)))
+    inside = Window.partitionBy(*keys, PIECE).orderBy(*order)
+    return (cut.withColumn("_own", F.lead(carried).over(inside)).join(heads, [*keys, PIECE])
+            .withColumn("_next", F.coalesce("_own", "_head"))
+            .withColumns({out: F.col(f"_next.{out}") for out in take})
+            .drop("_own", "_head", "_next", PIECE))
+
+
+def sums_before(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
     """Add, per output name, the sum of a column over the earlier rows of the group."""
-
-    def before(w) -> dict[str, Column]:
+    def before(w, columns: dict[str, str]) -> dict[str, Column]:
         frame = w.rowsBetween(Window.unboundedPreceding, -1)
-        return {out: F.coalesce(F.sum(col).over(frame), F.lit(0)) for out, col in sums.items()}
-
-    def plain(rows: DataFrame) -> DataFrame:
-        return rows.withColumns(before(Window.partitionBy(*keys).orderBy(*order)))
-
-    def pieced(rows: DataFrame, count: int) -> DataFrame:
-        cut = _pieces(rows, keys, order, count)
-        totals = cut.groupBy(PIECE, *keys).agg(*[F.sum(c).alias(f"_{o}") for o, c in sums.items()])
-        along = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.withColumns(
-            {f"_{o}": F.coalesce(F.sum(f"_{o}").over(along), F.lit(0)) for o in sums})
-        return (cut.withColumns(before(Window.partitionBy(PIECE, *keys).orderBy(*order)))
-                .join(offsets, [PIECE, *keys], "left")
-                .withColumns({o: F.col(o) + F.col(f"_{o}") for o in sums})
-                .drop(PIECE, *[f"_{o}" for o in sums]))
-
-    return _by_size(df, keys, limit, plain, pieced)
+        return {out: F.coalesce(F.sum(col).over(frame), F.lit(0)) for out, col in columns.items()}
+
+    cut = _cut(df, order)
+    totals = cut.groupBy(*keys, PIECE).agg(*[F.sum(c).alias(f"_{o}") for o, c in sums.items()])
+    offsets = totals.withColumns(before(Window.partitionBy(*keys).orderBy(PIECE), {f"_{o}": f"_{o}" for o in sums}))
+    return (cut.withColumns(before(Window.partitionBy(*keys, PIECE).orderBy(*order), sums))
+            .join(offsets, [*keys, PIECE])
+            .withColumns({o: F.col(o) + F.col(f"_{o}") for o in sums})
+            .drop(PIECE, *[f"_{o}" for o in sums]))

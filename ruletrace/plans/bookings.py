@@ -7,13 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ruletrace.functions.clock import minutes_between
+from ruletrace.functions.clock import minutes_between, within_day
 from ruletrace.functions.labels import candidate_id, sentence
 from ruletrace.guards import Guards
 from ruletrace.operators.distribution import histogram, left_edge
-from ruletrace.operators.intervals import (first_overlap_times, overlap_counts, overlap_pairs,
-                                           shape_of, timed)
-from ruletrace.operators.ordered import next_in_group, sums_before
+from ruletrace.operators.intervals import first_overlap_times, overlap_counts, overlap_pairs, timed
+from ruletrace.operators.ordered import next_in_group
 from ruletrace.plans import statements as text
 from ruletrace.sources.landing import Landing
 
@@ -42,32 +41,52 @@ def kind_volumes(landing: Landing, guards: Guards = Guards()) -> DataFrame:
 def eligible_bookings(landing: Landing, min_assignments: int, *also: str) -> DataFrame:
     """Timed bookings of resources with enough of them, and the kind of the resource.
 
-    Windows per resource follow, so the bookings are shuffled by resource in any case. With
-    the resources hashed in each partition the join rides on that shuffle and sorts nothing.
+    Each side is shuffled as it is, so adaptive execution may split a resource that most bookings have.
     """
     enough = (booked_resources(landing).filter(F.col("bookings") >= min_assignments)
-              .select("resource_id", "kind", *also).hint("shuffle_hash"))
+              .select("resource_id", "kind", *also))
     return timed(landing.assignments).join(enough, "resource_id")
 
 
-def overlaps(landing: Landing, guards: Guards = Guards()) -> DataFrame:
-    """Every pair of overlapping bookings of one eligible resource."""
+def overlaps_on(landing: Landing, date: str, guards: Guards = Guards()) -> DataFrame:
+    """Every pair of overlapping bookings of one eligible resource that has a booking begin on the day.
+
+    All pairs of a table would be quadratic in a busy resource; counts and examples need none of them.
+    """
     rows = eligible_bookings(landing, guards.min_assignments_per_resource)
-    pairs = overlap_pairs(rows, shape_of(landing.assignments), keep=["kind"])
+    near = rows.filter(within_day("start_ts", date))
+    pairs = overlap_pairs(rows, keep=["kind"], later=near).unionByName(
+        overlap_pairs(rows, keep=["kind"], earlier=near)).distinct()
     return pairs.withColumnRenamed("a_kind", "kind").drop("b_kind")
 
 
 def job_pairs(landing: Landing, guards: Guards = Guards()) -> DataFrame:
     """Overlaps per kind as booking pairs and as distinct pairs of jobs.
 
-    Two roles of one resource on a job make two booking pairs but one pair of jobs.
+    Two roles of one resource on a job make two booking pairs but one pair of jobs. A job with one
+    window on a resource is in a pair of jobs as often as in a pair of windows, so those are counted by
+    the sweep; only jobs with several windows are joined.
     """
-    jobs = (overlaps(landing, guards)
-            .groupBy("kind", "resource_id", F.least("a_work_id", "b_work_id").alias("job_1"),
-                     F.greatest("a_work_id", "b_work_id").alias("job_2"))
-            .agg(F.count("*").alias("n")))
-    return jobs.groupBy("kind").agg(F.sum("n").alias("overlapping_pairs"),
-                                    F.count("*").alias("distinct_job_pairs"))
+    rows = eligible_bookings(landing, guards.min_assignments_per_resource)
+    windows = (rows.filter("work_id IS NOT NULL").groupBy("kind", "resource_id", "work_id", "start_ts", "end_ts")
+               .agg(F.min("assignment_id").alias("assignment_id")))
+    several = (windows.groupBy("resource_id", F.col("work_id").alias("_work")).agg(F.count("*").alias("_n"))
+               .filter("_n > 1").withColumnRenamed("resource_id", "_resource").drop("_n"))
+    again = (F.col("resource_id") == F.col("_resource")) & (F.col("work_id") == F.col("_work"))
+    single, many = windows.join(several, again, "left_anti"), windows.join(several, again, "left_semi")
+    counted = (overlap_counts(rows, ["kind"]).select("kind", F.col("pairs").alias("overlapping_pairs"),
+                                                     F.lit(0).cast("bigint").alias("distinct_job_pairs"))
+               .unionByName(overlap_counts(single, ["kind"]).select(
+                   "kind", F.lit(0).cast("bigint").alias("overlapping_pairs"), F.col("pairs").alias("distinct_job_pairs"))))
+    joined = (overlap_pairs(windows, keep=["kind"], later=many)
+              .unionByName(overlap_pairs(windows, keep=["kind"], earlier=many))
+              .select(F.col("a_kind").alias("kind"), "resource_id", F.least("a_work_id", "b_work_id").alias("job_1"),
+                      F.greatest("a_work_id", "b_work_id").alias("job_2")).distinct()
+              .select("kind", F.lit(0).cast("bigint").alias("overlapping_pairs"),
+                      F.lit(1).cast("bigint").alias("distinct_job_pairs")))
+    return (counted.unionByName(joined).groupBy("kind")
+            .agg(F.sum("overlapping_pairs").alias("overlapping_pairs"),
+                 F.sum("distinct_job_pairs").alias("distinct_job_pairs")).filter("overlapping_pairs > 0"))
 
 
 def exclusivity(landing: Landing, guards: Guards = Guards()) -> DataFrame:
@@ -76,7 +95,7 @@ def exclusivity(landing: Landing, guards: Guards = Guards()) -> DataFrame:
         (F.col("resources_over_floor") > 0)
         & (F.col("assignments_over_floor") >= guards.min_observations))
     rows = eligible_bookings(landing, guards.min_assignments_per_resource)
-    found = (overlap_counts(rows, shape_of(landing.assignments), ["kind"]).groupBy("kind")
+    found = (overlap_counts(rows, ["kind"]).groupBy("kind")
              .agg(F.sum("pairs").alias("overlapping_pairs"),
                   F.count_if(F.col("pairs") > 0).alias("resources_with_an_overlap")))
     return (volumes.join(found, "kind", "left")
@@ -93,8 +112,7 @@ def overlap_examples(landing: Landing, guards: Guards = Guards(),
     and a pair beyond it cannot come before them. Only those bookings are joined.
     """
     rows = eligible_bookings(landing, guards.min_assignments_per_resource)
-    shape = shape_of(landing.assignments)
-    times = first_overlap_times(rows, shape, ["kind"])
+    times = first_overlap_times(rows, ["kind"])
     early = (times.withColumn("rn", F.row_number().over(
                  Window.partitionBy("kind", "resource_id").orderBy("at")))
              .filter(F.col("rn") <= size)
@@ -103,7 +121,7 @@ def overlap_examples(landing: Landing, guards: Guards = Guards(),
                   Window.partitionBy("kind").orderBy("resource_id")))
               .filter(F.col("rn") <= size).select("resource_id", "until"))
     near = rows.join(chosen, "resource_id")
-    pairs = overlap_pairs(rows, shape, keep=["kind"], later=near.drop("until"),
+    pairs = overlap_pairs(rows, keep=["kind"], later=near.drop("until"),
                           earlier=near.filter(F.col("start_ts") <= F.col("until")).drop("until"))
     order = ["resource_id", "a_start_ts", "b_start_ts", "a_work_id", "b_work_id",
              "a_assignment_id", "b_assignment_id"]
@@ -157,13 +175,13 @@ def gaps(landing: Landing, min_assignments: int) -> DataFrame:
 def gap_counts(landing: Landing, min_assignments: int) -> DataFrame:
     """How often each gap length occurs per kind.
 
-    ``resources`` counts the resources whose first gap it is, so it sums to the number of
+    ``resources`` counts the resources whose least gap it is, so it sums to the number of
     resources that have any gap, without a second pass over the bookings.
     """
-    one = gaps(landing, min_assignments).withColumn("one", F.lit(1).cast("bigint"))
-    placed = sums_before(one, ["resource_id"], ["start_ts", "assignment_id"], {"earlier": "one"})
-    return placed.groupBy("kind", "gap_minutes").agg(
-        F.count("*").alias("n"), F.count_if(F.col("earlier") == 0).alias("resources"))
+    counts = (gaps(landing, min_assignments).groupBy("kind", "resource_id", "gap_minutes").agg(F.count("*").alias("_n"))
+              .withColumn("_least", F.min("gap_minutes").over(Window.partitionBy("resource_id"))))
+    return counts.groupBy("kind", "gap_minutes").agg(
+        F.sum("_n").alias("n"), F.count_if(F.col("gap_minutes") == F.col("_least")).alias("resources"))
 
 
 def turnaround(landing: Landing, guards: Guards = Guards()) -> DataFrame:

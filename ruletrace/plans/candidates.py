@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ruletrace.functions.cells import strip
 from ruletrace.functions.clock import with_weekday
 from ruletrace.functions.labels import job_label, record_url
 from ruletrace.guards import Guards
@@ -42,6 +44,8 @@ def write_run(landing: Landing, profile: Profile, path: str, guards: Guards = Gu
     found = candidates(landing, guards, probes)
     found.select(named, "*").write.mode("overwrite").json(f"{path}/candidates")
     volumes(landing).select(named, "*").write.mode("overwrite").json(f"{path}/volumes")
+    spark = found.sparkSession
+    spark.createDataFrame([{"profile": profile.label, **asdict(guards)}]).write.mode("overwrite").json(f"{path}/guards")
     written = found.sparkSession.read.json(f"{path}/candidates")
     blank = found.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in VERDICT_COLUMNS))
     write_verdicts(verdict_sheet(written, blank), f"{path}/verdicts")
@@ -49,8 +53,8 @@ def write_run(landing: Landing, profile: Profile, path: str, guards: Guards = Gu
 
 def verdict_sheet(found: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Each candidate with its verdict rows, or one blank row, in candidate order."""
-    given = verdicts.filter(F.trim(F.coalesce("verdict", F.lit(""))) != "")
-    rows = given.select(*VERDICT_COLUMNS)
+    given = verdicts.filter(F.expr(f"{strip('coalesce(verdict, \'\')')} <> ''"))
+    rows = given.select("candidate_id", "key_id", *[F.expr(strip(c)).alias(c) for c in ("verdict", "note")])
     return (found.select(*ORDER).join(rows, "candidate_id", "left").orderBy(*ORDER, "key_id")
             .select(*VERDICT_COLUMNS).fillna(""))
 
@@ -63,7 +67,7 @@ def unjudged(found: DataFrame, verdicts: DataFrame, redo: bool = False) -> DataF
     """Candidates still waiting for a verdict; with ``redo`` all of them."""
     if redo:
         return found
-    judged = verdicts.filter(F.trim(F.coalesce("verdict", F.lit(""))) != "").select("candidate_id")
+    judged = verdicts.filter(F.expr(f"{strip('coalesce(verdict, \'\')')} <> ''")).select("candidate_id")
     return found.join(judged, "candidate_id", "left_anti")
 
 

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ruletrace.functions.clock import weekday_minute
 from ruletrace.functions.labels import UNTYPED
 from ruletrace.sources.landing import Landing
 
-# A listing is one text value, built in one task. Groups above this size get no listing;
-# ``peak_rows`` gives their rows as rows.
-LISTED_ROWS = 10_000
-
-
 def _job() -> Column:
     return F.expr(f"concat(coalesce(work_type, '{UNTYPED}'), '  ', "
                   f"coalesce({weekday_minute('start_ts')}, 'no start'))")
@@ -37,14 +32,16 @@ def _crewed(landing: Landing) -> DataFrame:
 
 
 def _top(groups: DataFrame, size: int) -> DataFrame:
-    """The first groups by count; ties by label, then by whatever else tells groups apart."""
+    """The first groups by count, numbered; ties by label, then by whatever else tells groups apart."""
     rest = [c for c in groups.columns if c not in ("grp", "n")]
-    return groups.orderBy(F.desc_nulls_last("n"), F.asc_nulls_last("grp"),
-                          *[F.asc_nulls_last(c) for c in rest]).limit(size)
+    order = [F.desc_nulls_last("n"), F.asc_nulls_last("grp"), *[F.asc_nulls_last(c) for c in rest]]
+    # The window has the ``size`` rows that are left.
+    return groups.orderBy(*order).limit(size).withColumn(
+        "position", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 def top_groups(landing: Landing, dimension: str, size: int = 5) -> DataFrame:
-    """(grp, n) of the top groups, with the columns that identify a group."""
+    """(grp, n, position) of the top groups, with the columns that identify a group."""
     work = landing.work
     if dimension == "work_per_day":
         groups = (work.filter("start_ts IS NOT NULL").groupBy(F.to_date("start_ts").alias("day"))
@@ -74,17 +71,17 @@ def top_groups(landing: Landing, dimension: str, size: int = 5) -> DataFrame:
 
 
 def peak_rows(landing: Landing, dimension: str, size: int = 5) -> DataFrame:
-    """Every row behind the top groups, as (grp, n, item, at, id)."""
+    """Every row behind the top groups, as (grp, n, position, item, at, id)."""
     # As many rows as were asked for, so it is broadcast by construction.
     top = F.broadcast(top_groups(landing, dimension, size))
     at = F.col("start_ts").alias("at")
     if dimension == "work_per_day":
         rows = landing.work.withColumn("day", F.to_date("start_ts"))
-        return rows.join(top, "day").select("grp", "n", _type().alias("item"), at,
+        return rows.join(top, "day").select("grp", "n", "position", _type().alias("item"), at,
                                             F.col("work_id").alias("id"))
     if dimension == "work_per_location_per_day":
         rows = _placed(landing).withColumn("day", F.to_date("start_ts"))
-        return rows.join(top, ["place", "day"]).select("grp", "n", _type().alias("item"), at,
+        return rows.join(top, ["place", "day"]).select("grp", "n", "position", _type().alias("item"), at,
                                                        F.col("work_id").alias("id"))
     if dimension == "work_per_resource_per_day":
         rows = (_crewed(landing).withColumn("day", F.to_date("start_ts"))
@@ -93,30 +90,17 @@ def peak_rows(landing: Landing, dimension: str, size: int = 5) -> DataFrame:
         item = F.concat(_type(), F.lit(" "),
                         F.coalesce(F.date_format("start_ts", "HH:mm"), F.lit("")),
                         F.lit(" as "), "role")
-        return rows.select("grp", "n", item.alias("item"), at, F.col("work_id").alias("id"))
+        return rows.select("grp", "n", "position", item.alias("item"), at, F.col("work_id").alias("id"))
     if dimension == "customers_per_work":
         rows = landing.work.select("work_id", "start_ts").join(top, "work_id")
-        return rows.select("grp", "n", F.col("work_id").alias("item"), at,
+        return rows.select("grp", "n", "position", F.col("work_id").alias("item"), at,
                            F.col("work_id").alias("id"))
     rows = _crewed(landing).join(top, "work_id")
-    return rows.select("grp", "n", F.col("resource").alias("item"), at, F.col("work_id").alias("id"))
+    return rows.select("grp", "n", "position", F.col("resource").alias("item"), at, F.col("work_id").alias("id"))
 
 
 def peaks(landing: Landing, dimension: str, size: int = 5) -> DataFrame:
-    """The top groups with a listing of what is in them."""
-    by_start = dimension in ("work_per_day", "work_per_location_per_day")
-    listing = ("listagg(item, ', ') WITHIN GROUP (ORDER BY item_order)" if by_start else
-               f"listagg(DISTINCT item, '{' | ' if 'resource_per' in dimension else ', '}')"
-               " WITHIN GROUP (ORDER BY item)")
-    rows = peak_rows(landing, dimension, size).filter(F.col("n") <= LISTED_ROWS)
-    if by_start:
-        rows = rows.withColumn("item_order", F.concat(
-            F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" "), "id"))
-    key = ["grp", "id"] if dimension.endswith("per_work") else ["grp"]
-    detail = rows.groupBy(*key).agg(F.expr(listing).alias("detail"))
-    top = top_groups(landing, dimension, size)
-    if "id" in key:
-        detail = detail.withColumnRenamed("id", "work_id")
-        key = ["grp", "work_id"]
-    return (top.join(F.broadcast(detail), key, "left")
-            .orderBy(F.desc("n"), *key).select("grp", "n", "detail"))
+    """What is in the top groups: each different item once, with how often it occurs, as
+    (grp, n, position, item, times)."""
+    return peak_rows(landing, dimension, size).groupBy("grp", "n", "position", "item").agg(
+        F.count("*").alias("times"))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ruletrace.functions.cells import strip
 from ruletrace.functions.labels import scope_of
 
 VERDICTS = ("MATCH", "NEW", "FALSE")
@@ -23,7 +24,8 @@ DISAGREES = "verdicts disagree"
 
 
 def _text(name: str) -> Column:
-    return F.trim(F.coalesce(F.col(name), F.lit("")))
+    """A cell without any white space around it; null is empty."""
+    return F.expr(strip(f"coalesce({name}, '')"))
 
 
 def judged_rows(found: DataFrame, key: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -37,16 +39,20 @@ def judged_rows(found: DataFrame, key: DataFrame, verdicts: DataFrame) -> DataFr
         F.upper(_text("verdict")).alias("verdict"), _text("note").alias("note")).filter(
         "candidate_id <> ''")
     known = found.select("candidate_id").distinct().withColumn("known", F.lit(True))
-    keyed = key.select("key_id").distinct().withColumn("keyed", F.lit(True))
     verdict, key_id = F.col("verdict"), F.col("key_id")
-    checked = (rows.join(known, "candidate_id", "left").join(keyed, "key_id", "left")
-               .filter("known IS NULL OR verdict <> ''")
+    # Most rows name no key. They need no look at the keys, and would all meet in one place.
+    keyed = (rows.filter("key_id <> ''").select("key_id").distinct()
+             .join(key.select("key_id").distinct(), "key_id", "left_semi").withColumn("keyed", F.lit(True)))
+    looked_up = (rows.withColumn("_looked_up", F.nullif(key_id, F.lit(""))).join(known, "candidate_id", "left")
+                 .join(keyed.withColumnRenamed("key_id", "_key"), F.coalesce(
+                     "_looked_up", F.concat(F.lit("\0"), "row_no")) == F.col("_key"), "left"))
+    checked = (looked_up.filter("known IS NULL OR verdict <> ''")
                .withColumn("problem",
                            F.when(F.col("known").isNull(), F.lit(UNKNOWN_CANDIDATE))
                            .when(~verdict.isin(*VERDICTS), F.lit(BAD_VERDICT))
                            .when((verdict == "MATCH") & (key_id == ""), F.lit(MATCH_WITHOUT_KEY))
                            .when((key_id != "") & F.col("keyed").isNull(), F.lit(UNKNOWN_KEY)))
-               .drop("known", "keyed"))
+               .drop("known", "keyed", "_key", "_looked_up"))
     # The first verdict is an aggregate, so a candidate with very many rows is reduced
     # map-side instead of being sorted in one task.
     first = (checked.filter("problem IS NULL").groupBy("candidate_id")
@@ -123,8 +129,7 @@ def headline(found: DataFrame, key: DataFrame, judged: DataFrame) -> DataFrame:
     verdicts = by.agg(count("MATCH").alias("matched"), count("NEW").alias("novelty"),
                       count("FALSE").alias("false"), F.count("*").alias("scored"))
     total = found.agg(F.count("*")).scalar()
-    # Both sides are one aggregated row.
-    both = keys.withColumn("_one", F.lit(1)).join(verdicts.withColumn("_one", F.lit(1)), "_one")
+    both = verdicts.withColumn("_keys", keys.select(F.struct("*")).scalar()).select("*", "_keys.*")
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return (both.withColumn("candidates", total)
             .select("recall_hit", "recall_total",
@@ -136,10 +141,16 @@ def headline(found: DataFrame, key: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def new_finds(found: DataFrame, judged: DataFrame) -> DataFrame:
-    """Candidates judged a real rule the key did not hold, with their distinct notes as rows."""
+    """Candidates judged a real rule the key did not hold, with their distinct notes as rows.
+
+    A blank note is listed only for a candidate without any other.
+    """
     notes = (sound(judged).filter("verdict = 'NEW'").groupBy("candidate_id", "note")
              .agg(F.min("row_no").alias("row_no")))
-    return (found.join(notes, "candidate_id")
+    worded = notes.filter("note <> ''").select("candidate_id").distinct()
+    shown = notes.filter("note <> ''").unionByName(
+        notes.filter("note = ''").join(worded, "candidate_id", "left_anti"))
+    return (found.join(shown, "candidate_id")
             .select("candidate_id", "proposed_type", "statement", "note", "row_no")
             .orderBy("candidate_id", "row_no"))
 
@@ -155,6 +166,11 @@ def multi_cover(judged: DataFrame) -> DataFrame:
     return per_candidate(judged).filter("keys > 1").select("candidate_id", "keys")
 
 
+def covered_keys(judged: DataFrame) -> DataFrame:
+    """The key rows each matching candidate covers, one row each."""
+    return matched_keys(judged).filter("key_id <> ''").orderBy("candidate_id", "key_id")
+
+
 @dataclass(frozen=True)
 class Run:
     """One run to compare: its profile, candidates, verdict rows and input volumes."""

@@ -2,11 +2,12 @@ import json
 
 import pytest
 
+from checks import oracle, views
 from frames import at, booking, landing, resource
 from test_operators import brute_pairs, random_bookings
 from ruletrace.guards import Guards
 from ruletrace.plans import (bookings, candidates, ceilings, days, override_detail, overrides, peaks,
-                             population)
+                             population, scoring)
 
 FEW = Guards(min_assignments_per_resource=2, min_instances_per_work_type=3,
              min_populated_rows_per_field=3, min_observations=3, min_change_events=2)
@@ -169,12 +170,35 @@ def test_day_sheet_keeps_jobs_without_crew(spark):
     assert days.day_sheet(t, "2026-06-01").first().resource is None
 
 
-def test_peak_listing_gives_way_to_rows(spark, monkeypatch):
-    t = landing(spark, work=[dict(j, start_ts=at(i)) for i, j in enumerate(jobs([("done", 1)] * 4))])
-    assert peaks.peaks(t, "work_per_day").first().detail == "trip, trip, trip, trip"
-    monkeypatch.setattr(peaks, "LISTED_ROWS", 3)
-    assert peaks.peaks(t, "work_per_day").first().detail is None
-    assert peaks.peak_rows(t, "work_per_day").count() == 4
+def test_peaks_of_any_size_are_whole(spark):
+    """A top group of more than ten thousand rows keeps them all."""
+    many = landing(spark, work=[dict(j, start_ts=at(i % 900)) for i, j in enumerate(jobs([("done", 1)] * 10_050))])
+    assert peaks.peak_rows(many, "work_per_day").count() == 10_050
+    assert [tuple(r) for r in peaks.peaks(many, "work_per_day").collect()] == [("2026-06-01", 10_050, 1, "trip", 10_050)]
+
+
+def test_long_keys_stay_whole(spark):
+    keys = [9_999_999_999_999, 9_999_999_999_998, 7]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = [r[0] for r in rows.selectExpr(f"{views.padded('k', 10)} AS p").collect()]
+    assert got == ["9999999999999", "9999999999998", "0000000007"]
+    import duckdb
+    sql = f"SELECT {oracle.padded('k', 10)} FROM (SELECT unnest({keys}) AS k)"
+    assert [r[0] for r in duckdb.sql(sql).fetchall()] == got
+
+
+def test_verdicts_are_read_without_the_white_space_around_them(spark):
+    found = spark.createDataFrame([("c1", "p", "t", "s"), ("c2", "p", "t", "s")],
+                                  "candidate_id string, probe string, proposed_type string, statement string")
+    key = spark.createDataFrame([("k1",)], "key_id string")
+    given = spark.createDataFrame([("1", "c1\t", " k1\n", "MATCH\t", "x"), ("2", "c2", "\xa0", "\u3000new", " "),
+                                   ("3", "c2", "", "NEW", "seen")],
+                                  "row_no string, candidate_id string, key_id string, verdict string, note string")
+    judged = scoring.judged_rows(found, key, given)
+    assert scoring.problems(judged).count() == 0
+    assert [tuple(r) for r in scoring.covered_keys(judged).collect()] == [("k1", "c1")]
+    assert [r.note for r in scoring.new_finds(found, judged).collect()] == ["seen"]
+    assert candidates.unjudged(found, given.filter("row_no > '1'")).count() == 1
 
 
 def test_candidates_are_ordered_and_repeatable(spark):
