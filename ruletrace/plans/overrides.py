@@ -67,6 +67,13 @@ def lead_times(landing: Landing) -> DataFrame:
                     F.col("greatest").alias("max_days"), "same_day_or_later"))
 
 
+def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left join on the keys; a missing key meets a missing one."""
+    named = right.withColumnsRenamed({k: f"_{k}" for k in KEYS})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS]
+    return left.join(named, same, "left").drop(*[f"_{k}" for k in KEYS])
+
+
 def override_candidates(landing: Landing, guards: Guards = Guards()) -> DataFrame:
     ranked = override_rank(landing, guards)
     # One entry per person and field, after counting.
@@ -74,7 +81,7 @@ def override_candidates(landing: Landing, guards: Guards = Guards()) -> DataFram
         F.struct((-F.col("events")).alias("order"), "changed_by", "events"))).alias("people"))
     lead = lead_times(landing).select(*KEYS, F.struct(
         "n", "min_days", "median_days", "max_days", "same_day_or_later").alias("lead"))
-    found = ranked.join(people, KEYS, "left").join(lead, KEYS, "left")
+    found = _beside(_beside(ranked, people), lead)
     typical = sentence(text.OVERRIDE_WHEN, median="lead.median_days", late="lead.same_day_or_later")
     worded = sentence(text.OVERRIDE, table="entity_table",
                       when=f"CASE WHEN lead IS NULL THEN '' ELSE {typical} END")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ruletrace.functions import cells
 from ruletrace.functions.cells import NO_TEXT, name, text
@@ -129,13 +129,15 @@ def assignments(sources: list[Source], spark: SparkSession, work_rows: DataFrame
                       .filter("work_id IS NOT NULL AND resource_id IS NOT NULL"))
     if not frames:
         return empty(spark, "assignments")
-    # The id is a hash of the three, so it groups alike and sorts by its first bytes.
+    # The windows are looked up first: what then picks the first row of each (job, resource, role) rides
+    # on the same shuffle, and only rows that are kept get their id hashed.
+    first = F.row_number().over(Window.partitionBy("work_id", "resource_id", "role")
+                                .orderBy("ordinal", "source_id"))
     ident = cells.opaque_id("work_id", "resource_id", "role", prefix="as_")
-    first = (_union(frames, spark, "assignments").selectExpr("*", f"{ident} AS assignment_id")
-             .groupBy("assignment_id")
-             .agg(F.min(F.struct("ordinal", "source_id", "work_id", "resource_id", "role")).alias("first"))
-             .select("assignment_id", "first.*"))
-    return first.join(work_rows.select("work_id", "start_ts", "end_ts"), "work_id", "left")
+    return (_union(frames, spark, "assignments")
+            .join(work_rows.select("work_id", "start_ts", "end_ts"), "work_id", "left")
+            .withColumn("_place", first).filter("_place = 1").drop("_place")
+            .selectExpr("*", f"{ident} AS assignment_id"))
 
 
 def locations(sources: list[Source], spark: SparkSession) -> DataFrame:
@@ -206,8 +208,10 @@ def override_labels(spark: SparkSession, records: Records, source_map: dict,
 
 
 def build(spark: SparkSession, records: Records, source_map: dict, extracted_at: datetime,
-          profile: Profile = PROFILES["full"], reveal_labels: bool = False) -> Landing:
-    """The six landing tables under a profile. All lazy."""
+          profile: Profile = PROFILES["full"], reveal_labels: bool = False,
+          logs: Records | None = None) -> Landing:
+    """The six landing tables under a profile. All lazy. ``logs`` has the override logs where
+    ``records`` does not."""
     def sources(table: str) -> list[Source]:
         return _sources(source_map, table, records, profile)
 
@@ -222,7 +226,7 @@ def build(spark: SparkSession, records: Records, source_map: dict, extracted_at:
         assignments=lambda: stamped(
             assignments(sources("assignments"), spark, full.work), "assignments"),
         changes=lambda: stamped(changes(spark, override_events(
-            source_map, records, profile, reveal_labels)), "changes"),
+            source_map, records if logs is None else logs, profile, reveal_labels)), "changes"),
         locations=lambda: conform(locations(sources("locations"), spark), "locations"),
         location_travel=lambda: conform(
             location_travel(sources("location_travel"), spark), "location_travel"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ruletrace.sources.reader import path_exists
+from ruletrace.functions.cells import strip
+from ruletrace.sources.reader import path_exists, qualified
 
 UNCHANGED, CHANGED, MISSING = "unchanged", "changed", "missing"
 
@@ -16,7 +17,7 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
           .csv(path))
-    text = F.concat_ws("", *[F.trim(f"`{c}`") for c in df.columns])
+    text = F.concat_ws("", *[F.expr(strip(f"`{c}`")) for c in df.columns])
     return (df.withColumn("row_no", F.monotonically_increasing_id())
             .filter(F.length(text) > 0))
 
@@ -47,16 +48,16 @@ def latest_digests(manifest: DataFrame) -> DataFrame:
     entry = (manifest.filter(F.col("value").rlike(r"^[0-9a-f]{64}\s+\S"))
              .select("row_no", F.regexp_extract("value", r"^([0-9a-f]{64})\s+(\S+)", 1).alias("recorded"),
                      F.regexp_extract("value", r"^([0-9a-f]{64})\s+(\S+)", 2).alias("path")))
-    last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("row_no")))
-    return entry.withColumn("rn", last).filter("rn = 1").select("path", "recorded")
+    return entry.groupBy("path").agg(F.max_by("recorded", "row_no").alias("recorded"))
 
 
 def manifest_state(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
-    """Each listed file: unchanged, changed, or missing under ``folder``."""
+    """Each listed file: unchanged, changed, or missing under ``folder``, at its path below it."""
     lines = spark.read.text(manifest).withColumn("row_no", F.monotonically_increasing_id())
-    found = file_digests(spark, folder).withColumn("name", F.substring_index("path", "/", -1))
-    listed = latest_digests(lines).withColumn("name", F.substring_index("path", "/", -1))
-    return (listed.join(found.select("name", "digest"), "name", "left")
+    top = qualified(spark, folder).rstrip("/") + "/"
+    found = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+             .select(F.expr(f"substring(path, {len(top) + 1})").alias("path"), F.sha2("content", 256).alias("digest")))
+    return (latest_digests(lines).join(found, "path", "left")
             .select("path", "recorded", "digest",
                     F.when(F.col("digest").isNull(), F.lit(MISSING))
                     .when(F.col("digest") == F.col("recorded"), F.lit(UNCHANGED))

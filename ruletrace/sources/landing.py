@@ -83,10 +83,10 @@ def volumes(landing: Landing) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def repeated_keys(landing: Landing) -> DataFrame:
-    """Primary key values that occur more than once; empty for sound tables."""
+def repeated_keys(landing: Landing, *tables: str) -> DataFrame:
+    """Primary key values that occur more than once, in the named tables or all; empty for sound ones."""
     checks = [getattr(landing, t).groupBy(F.col(key).alias("key"))
               .agg(F.count("*").alias("rows")).filter("rows > 1")
               .selectExpr(f"'{t}' AS landing_table", "key", "rows")
-              for t, key in PRIMARY_KEYS.items()]
+              for t, key in PRIMARY_KEYS.items() if not tables or t in tables]
     return reduce(DataFrame.unionByName, checks)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import SparkSession
+
 # Source tables, their columns and the landing id prefixes.
 DEFAULT_MAP = {
     "work": [
@@ -62,8 +64,9 @@ ID_COLUMNS = ("id", "Record ID", "record_id")
 
 
 def load_map(path: str) -> dict:
-    with open(path, encoding="utf-8") as handle:
-        return {k: v for k, v in json.load(handle).items() if isinstance(v, list)}
+    """A source map from any path Spark reads."""
+    held = SparkSession.active().read.option("wholetext", True).text(path).first()[0]
+    return {k: v for k, v in json.loads(held).items() if isinstance(v, list)}
 
 
 def specs(source_map: dict, skip: tuple[str, ...] = ()):

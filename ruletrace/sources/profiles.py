@@ -16,7 +16,6 @@ from ruletrace.sources.landing import Landing, empty, types_of
 @dataclass(frozen=True)
 class Profile:
     label: str
-    description: str
     skip_source_tables: tuple[str, ...] = ()
     drop_tables: tuple[str, ...] = ()
     drop_columns: dict[str, tuple[str, ...]] = field(default_factory=dict)
@@ -25,11 +24,9 @@ class Profile:
 
 # The two profiles runs are compared on.
 PROFILES = {
-    "full": Profile("full", "Everything the export carries. The operator's own instrumented base."),
+    "full": Profile("full"),
     "lean": Profile(
         "lean",
-        "What a typical operation would plausibly produce: transaction records for work, "
-        "assignment records with times, and locations.",
         skip_source_tables=("Movements", "Rig Assignments"),
         drop_tables=("location_travel", "changes"),
         drop_columns={"work": ("location_id",), "resources": ("home_location_id",)},

@@ -25,6 +25,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark names it in its ``path`` columns."""
+    fs, target = _file_system(spark, path)
+    return fs.makeQualified(target).toString()
+
+
 def list_names(spark: SparkSession, folder: str) -> list[str]:
     """Names of what an export folder holds."""
     fs, target = _file_system(spark, folder)
@@ -44,15 +50,18 @@ def table_path(spark: SparkSession, folder: str, table: str) -> tuple[str, str]
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    # Override logs are quoted cells of several lines.
-    return (spark.read.option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+    # Override logs are quoted cells of several lines. A part file whose header names other columns, or
+    # the same in another order, stops the load: its cells must not be read by position.
+    return (spark.read.option("header", True).option("multiLine", True).option("enforceSchema", False)
+            .option("mode", "FAILFAST").option("escape", '"').csv(path))
 
 
 def _is_json_lines(spark: SparkSession, path: str) -> bool:
     """One record per line? Those files can be split among tasks, a JSON list cannot."""
-    first = spark.read.text(path).filter(F.trim("value") != "").first()
-    text = first[0].strip() if first else ""
+    # Of a list on one line only the two ends are looked at; it does not come to the driver.
+    first = spark.read.text(path).filter(F.trim("value") != "").select(
+        F.concat(F.substring(F.ltrim("value"), 1, 2), F.right(F.rtrim("value"), F.lit(2)))).first()
+    text = first[0] if first else ""
     return text.startswith("{") and text.endswith("}") and len(text) > 2
 
 
@@ -68,8 +77,9 @@ def _json(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     flat = T.StructType([T.StructField(c, T.StringType())
                          for c in dict.fromkeys([*ID_COLUMNS, *columns, *ENVELOPES])])
     schema = T.StructType([*flat.fields, T.StructField("records", T.ArrayType(flat))])
+    # A record cut off or otherwise malformed stops the load; it must not vanish.
     raw = (spark.read.schema(schema).option("multiLine", not _is_json_lines(spark, path))
-           .json(path))
+           .option("mode", "FAILFAST").json(path))
     own = F.array(F.struct(*[F.col(f"`{f.name}`") for f in flat.fields]))
     rec = raw.select(F.explode(F.coalesce("records", own)).alias("rec"))
     envelope = F.try_parse_json(F.coalesce(*[F.col(f"rec.{e}") for e in ENVELOPES]))
@@ -89,7 +99,8 @@ def carried_columns(spark: SparkSession, folder: str, table: str) -> set[str]:
     kind, path = found
     if kind == "csv":
         return set(_csv(spark, path).columns)
-    schema = (spark.read.option("multiLine", not _is_json_lines(spark, path)).json(path).schema)
+    schema = (spark.read.option("multiLine", not _is_json_lines(spark, path)).option("mode", "FAILFAST")
+              .json(path).schema)
     names: set[str] = set()
 
     def walk(struct: T.StructType) -> None:

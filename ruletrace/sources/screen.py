@@ -47,8 +47,13 @@ def normalised(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", " "))
 
 
+def folded(name: str) -> str:
+    """Accents apart from their letters, so that an accented spelling is seen through."""
+    return unicodedata.normalize("NFKD", name)
+
+
 def denied(names: DataFrame, name: str = "name") -> DataFrame:
-    """Every (name, rule) violation: equal to a denied table or holding a denied piece."""
+    """Every (name, rule) violation: equal to a denied table or holding a denied piece. Names come ``folded``."""
     spark = names.sparkSession
     # The rule list is the constants above, so it is broadcast by construction.
     rules = spark.createDataFrame(
@@ -62,8 +67,7 @@ def denied(names: DataFrame, name: str = "name") -> DataFrame:
 
 def check_names(spark: SparkSession, names: list[str]) -> int:
     """Raise with all violations, not just the first; returns how many names were checked."""
-    folded = [(unicodedata.normalize("NFKD", n),) for n in names]
-    found = denied(spark.createDataFrame(folded, "name string"))
+    found = denied(spark.createDataFrame([(folded(n),) for n in names], "name string"))
     rows = found.orderBy("name", "rule").collect()
     if rows:
         listed = "\n".join(f"  {r['name']!r} normalises to {r['norm']!r}, which "
@@ -73,7 +77,7 @@ def check_names(spark: SparkSession, names: list[str]) -> int:
 
 
 def unlisted_override_columns(columns: DataFrame) -> DataFrame:
-    """Mapped override columns, as (source_table, column), that the sensitive list lacks."""
+    """Mapped override columns, as (source_table, column), that the sensitive list lacks. Columns come ``folded``."""
     listed = columns.sparkSession.createDataFrame(
         [(f,) for f in SENSITIVE_FIELDS], "norm string")
     return (columns.withColumn("norm", normalised(F.col("column")))

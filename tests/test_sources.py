@@ -7,9 +7,10 @@ import pytest
 from ruletrace.functions import cells, labels
 from ruletrace.plans import candidates
 from ruletrace.sources import integrity
-from ruletrace.sources.load import EmptyExport, load
-from ruletrace.sources.landing import repeated_keys
-from ruletrace.sources.mapping import DEFAULT_MAP, table_ids, wanted_columns
+from ruletrace.sources.integrity import manifest_state
+from ruletrace.sources.load import EmptyExport, RepeatedKeys, load
+from ruletrace.sources.landing import TABLES, repeated_keys
+from ruletrace.sources.mapping import DEFAULT_MAP, load_map, table_ids, wanted_columns
 from ruletrace.sources.profiles import get_profile
 from ruletrace.sources.reader import read_table, write_table
 from ruletrace.sources.screen import DeniedSource, check_names
@@ -211,11 +212,67 @@ def test_blank_rows_and_digests(spark, tmp_path):
 
 def test_manifest_takes_the_latest_entry(spark, tmp_path):
     folder = tmp_path / "files"
-    folder.mkdir()
-    (folder / "a.csv").write_text("a")
-    (folder / "b.csv").write_text("b")
+    (folder / "p").mkdir(parents=True)
+    (folder / "p" / "a.csv").write_text("a")
+    (folder / "p" / "b.csv").write_text("b")
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     manifest = tmp_path / "sums.txt"
     manifest.write_text(f"{sha('old')}  p/a.csv\n{sha('x')}  p/b.csv\n{sha('c')}  p/c.csv\n# remark\n{sha('a')}  p/a.csv\n")
     got = {r.path: r.state for r in integrity.manifest_state(spark, str(manifest), str(folder)).collect()}
     assert got == {"p/a.csv": "unchanged", "p/b.csv": "changed", "p/c.csv": "missing"}
+
+
+def one_table(tmp_path, name, text):
+    folder = tmp_path / "bad"
+    folder.mkdir()
+    (folder / name).write_text(text)
+    return str(folder)
+
+
+def test_a_record_that_is_cut_off_stops_the_load(spark, tmp_path):
+    folder = one_table(tmp_path, "Locations.json", '{"id":"a","Name":"one"}\n{"id":"b","Name":"tw')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_table(spark, folder, "Locations", ["Name"]).collect()
+
+
+def test_csv_parts_are_not_read_by_position(spark, tmp_path):
+    parts = tmp_path / "Locations.csv"
+    parts.mkdir()
+    (parts / "part-0.csv").write_text("id,Name,Town\n1,n,t\n")
+    (parts / "part-1.csv").write_text("id,Town,Name\n2,t,n\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_table(spark, str(tmp_path), "Locations", ["Name", "Town"]).collect()
+
+
+def test_repeated_ids_are_refused_before_anything_is_written(spark, tmp_path):
+    folder = one_table(tmp_path, "Daily Ops.csv", "id,Status\nrec1,a\nrec1,b\nrec2,c\n")
+    with pytest.raises(RepeatedKeys, match="op_rec1 .2 rows"):
+        load(spark, folder, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_labels_lie_nowhere_but_at_their_path(spark, export, tmp_path):
+    out, staging, apart = tmp_path / "out", tmp_path / "staging", tmp_path / "apart"
+    load(spark, str(export), str(out), labels_path=str(apart), staging=str(staging))
+    assert sorted(p.name for p in out.iterdir()) == sorted(TABLES)
+    labels = {r.label for r in spark.read.parquet(str(apart)).collect()}
+    assert labels
+    for folder in (out, staging):
+        for table in folder.iterdir():
+            for row in spark.read.parquet(str(table)).collect():
+                assert not any(isinstance(v, str) and any(x in v for x in labels) for v in row)
+
+
+def test_a_map_is_read_through_spark(spark, tmp_path):
+    (tmp_path / "map.json").write_text('{"work": [{"table": "T"}], "note": "x"}')
+    assert load_map(f"file://{tmp_path}/map.json") == {"work": [{"table": "T"}]}
+
+
+def test_files_of_one_name_are_told_apart_by_folder(spark, tmp_path):
+    for where in ("p", "q"):
+        (tmp_path / "data" / where).mkdir(parents=True)
+        (tmp_path / "data" / where / "x.csv").write_text(where)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    (tmp_path / "manifest").write_text(f"{sha('p')}  p/x.csv\n{sha('p')}  q/x.csv\n{sha('p')}  x.csv\n")
+    got = {r.path: r.state for r in manifest_state(spark, str(tmp_path / "manifest"), str(tmp_path / "data")).collect()}
+    assert got == {"p/x.csv": "unchanged", "q/x.csv": "changed", "x.csv": "missing"}
