@@ -364,6 +364,14 @@ STATEMENTS = f"""
          || ' of them on the day or after. What is the system getting wrong that keeps needing this?'
   FROM ranked JOIN leads USING (entity_table, field)"""
 
+
+def dashed(head: str, value: str) -> str:
+    return f"'{head}' || trim(regexp_replace(lower({value}), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+REQUIRED = dashed("p05-population-", "field || '-by-' || partition")
+OVERRIDE = dashed("p08-override-", "entity_table || '-' || field")
+
 ORACLE: dict[str, str] = {
     # bookings
     "overlap_pairs": sql(f"""SELECT kind, resource_id, a_work_id, b_work_id, a_assignment_id, b_assignment_id,
@@ -595,6 +603,44 @@ ORACLE: dict[str, str] = {
     "candidate_statements": sql(STATEMENTS, *ALL, ELIGIBLE, PAIRS, GAPS, BINS, FLOORS, DISTRIBUTION, SHAPES,
                                 FILL, SHARP, FILL_WORDS, RANK, LEADS),
 
+    # evidence
+    "evidence_exclusivity": sql(f"""SELECT {dashed('p03-exclusivity-', 'kind')} AS candidate_id,
+        coalesce(overlapping_pairs, 0) AS overlapping_pairs, coalesce(resources_with_an_overlap, 0) AS resources_with_an_overlap,
+        assignments_over_floor, resources_over_floor, resources_total,
+        CASE WHEN overlapping_pairs > 0 THEN 'sometimes' ELSE 'never' END AS overlap
+        FROM kind_volumes LEFT JOIN (SELECT kind, count(*) AS overlapping_pairs,
+          count(DISTINCT resource_id) AS resources_with_an_overlap FROM pairs GROUP BY 1) USING (kind)
+        WHERE resources_over_floor > 0 AND assignments_over_floor >= 50""", *BOOKED, PAIRS, VOLUMES),
+    "evidence_overlap_examples": sql(f"""SELECT {dashed('p03-exclusivity-', 'kind')} AS candidate_id, position::INT AS position,
+        resource_id, a_work_id AS work_id_a, b_work_id AS work_id_b, {ts('a_start')}, {ts('a_end')}, {ts('b_start')}, {ts('b_end')}
+        FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY resource_id, a_start, b_start, a_work_id,
+          b_work_id, a_assignment_id, b_assignment_id) AS position FROM pairs) WHERE position <= 10""", *BOOKED, PAIRS),
+    "evidence_turnaround": sql(f"""SELECT {dashed('p03-turnaround-', 'kind')} AS candidate_id, edge AS proposed_minimum_minutes,
+        floor, below AS gaps_below_the_edge, least AS observed_min_gap, upper_median AS observed_median_gap,
+        observations AS consecutive_pairs, resources_contributing FROM turnaround""", *GAPPED, BINS, FLOORS),
+    "evidence_gap_bins": sql(f"""SELECT {dashed('p03-turnaround-', 'kind')} AS candidate_id, e AS edge, coalesce(n, 0) AS n
+        FROM (SELECT kind, unnest(generate_series(0, least(max(edge), 115), 5)) AS e FROM bins
+              WHERE kind IN (SELECT kind FROM turnaround) GROUP BY 1)
+        LEFT JOIN (SELECT kind, edge AS e, n FROM bins) USING (kind, e)""", *GAPPED, BINS, FLOORS),
+    "evidence_ceiling": sql(f"""SELECT {dashed('p04-ceiling-', 'dimension')} AS candidate_id, observed_max, shape, count_at_max,
+        count_below_max, round_even(share_at_max, 4) AS share_at_max, round_even(max_over_peak, 4) AS max_over_peak,
+        observations, distinct_values FROM shapes""", WORK, ASSIGNMENTS, DISTRIBUTION, SHAPES),
+    "evidence_ceiling_values": sql(f"""SELECT {dashed('p04-ceiling-', 'dimension')} AS candidate_id, v AS value, n AS "count"
+        FROM distribution WHERE dimension IN (SELECT dimension FROM shapes)""", WORK, ASSIGNMENTS, DISTRIBUTION, SHAPES),
+    "evidence_fill": sql(" UNION ALL ".join(f"""SELECT {i} AS candidate_id, field, partition, high_value, high_rows, high_filled,
+        round_even(high_fill_rate, 4) AS high_fill_rate, low_value, low_rows, low_filled,
+        round_even(low_fill_rate, 4) AS low_fill_rate, partitions_over_row_floor, rows_in_work, populated FROM sharp"""
+        for i in (REQUIRED, dashed('p05-exemption-', "field || '-by-' || partition || '-' || low_value"))), WORK, FILL, SHARP),
+    "evidence_fill_values": sql(f"""SELECT {REQUIRED} AS candidate_id, value, rows, filled, round_even(fill_rate, 4) AS fill_rate
+        FROM rates JOIN (SELECT field, partition FROM sharp) USING (field, partition)""", WORK, FILL, SHARP),
+    "evidence_override": sql(f"""SELECT {OVERRIDE} AS candidate_id, rank AS rank_by_frequency, events, entities, actors,
+        {ts('first_seen')}, {ts('last_seen')}, all_changes, round_even(events / all_changes, 4) AS share_of_all_overrides,
+        n, min_days, median_days, max_days, same_day_or_later
+        FROM ranked LEFT JOIN leads USING (entity_table, field)""", WORK, CHANGES, RANK, LEADS),
+    "evidence_override_people": sql(f"""SELECT {OVERRIDE} AS candidate_id, coalesce(changed_by, '(unrecorded)') AS changed_by,
+        count(*) AS events FROM changes WHERE old_value IS NOT NULL AND field IN (SELECT field FROM ranked)
+        GROUP BY 1, 2""", CHANGES, RANK),
+
     # messages
     "recoverability_rates": sql(rates("sheet", HUMAN), SHEET, VOLUME),
     "recoverability_gap": sql(" UNION ALL ".join(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from checks import views
 from ruletrace.functions import cells, clock, labels
 from ruletrace.operators.distribution import histogram
-from ruletrace.plans import (bookings, candidates, ceilings, compare, days, messages, override_detail,
+from ruletrace.plans import (bookings, candidates, ceilings, compare, days, evidence, messages, override_detail,
                              overrides, peaks, population, scoring)
 from ruletrace.sources import build
 from ruletrace.sources.integrity import latest_digests
@@ -537,6 +537,20 @@ def candidate_statements(spark, sf_dir):
         "probe", "candidate_id", "proposed_type", "statement")
 
 
+def _evidence(name: str, *stamps: str) -> None:
+    def run(spark, sf_dir):
+        rows = getattr(evidence, name)(views.landing(spark, sf_dir))
+        return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in stamps})
+
+    QUERIES[f"evidence_{name}"] = run
+
+
+for _name, *_stamps in (("exclusivity",), ("overlap_examples", "a_start", "a_end", "b_start", "b_end"), ("turnaround",),
+                        ("gap_bins",), ("ceiling",), ("ceiling_values",), ("fill",), ("fill_values",),
+                        ("override", "first_seen", "last_seen"), ("override_people",)):
+    _evidence(_name, *_stamps)
+
+
 @query
 def candidate_documents(spark, sf_dir):
     return candidates.candidates(views.landing(spark, sf_dir))
