@@ -503,6 +503,12 @@ ORACLE: dict[str, str] = {
         resource_id, work_id, role, {ts('start_ts')}, {ts('end_ts')}, c.source_id
         FROM (SELECT work_id, resource_id, role, min(source_id) AS source_id FROM crew GROUP BY 1, 2, 3) c
         LEFT JOIN landed_work w USING (work_id)""", LANDED_WORK, LANDED_CREW),
+    "landed_work_lean": sql(f"""SELECT work_id, work_type, {ts('start_ts')}, {ts('end_ts')}, NULL::VARCHAR AS location_id, status,
+        customer_count::DOUBLE AS customer_count FROM landed_work WHERE starts_with(work_id, 'op_')""", LANDED_WORK),
+    "landed_assignments_lean": sql(f"""SELECT {opaque('as_', 'work_id', 'resource_id', 'role')} AS assignment_id,
+        resource_id, work_id, role, {ts('start_ts')}, {ts('end_ts')}, c.source_id
+        FROM (SELECT * FROM crew WHERE role = 'Lead Guide (link)') c
+        LEFT JOIN landed_work w USING (work_id)""", LANDED_WORK, LANDED_CREW),
     "landed_locations": sql(f"SELECT 'lc_' || {record('n_nationkey')} AS location_id, n_name AS name FROM nation"),
     "landed_travel": sql(f"""SELECT 'lc_' || {record('a.n_nationkey')} AS from_id, 'lc_' || {record('b.n_nationkey')} AS to_id,
         trunc(a.n_nationkey * 10.5 + b.n_nationkey)::INT AS minutes, (a.n_nationkey % 3 = 0)::INT AS is_estimate

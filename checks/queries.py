@@ -321,6 +321,20 @@ def landed_assignments(spark, sf_dir):
         "source_id")
 
 
+@query
+def landed_work_lean(spark, sf_dir):
+    """Movements are left out as a whole, and places are blank."""
+    return _landed(spark, sf_dir, "lean").work.select(
+        "work_id", "work_type", stamp("start_ts"), stamp("end_ts"), "location_id", "status", number("customer_count"))
+
+
+@query
+def landed_assignments_lean(spark, sf_dir):
+    """Only the crew that the jobs themselves name."""
+    return _landed(spark, sf_dir, "lean").assignments.select(
+        "assignment_id", "resource_id", "work_id", "role", stamp("start_ts"), stamp("end_ts"), "source_id")
+
+
 @query
 def landed_locations(spark, sf_dir):
     return _landed(spark, sf_dir).locations
