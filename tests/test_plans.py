@@ -6,7 +6,7 @@ from checks import oracle, views
 from frames import at, booking, landing, resource
 from test_operators import brute_pairs, random_bookings
 from ruletrace.guards import Guards
-from ruletrace.plans import (bookings, candidates, ceilings, days, override_detail, overrides, peaks,
+from ruletrace.plans import (bookings, candidates, ceilings, days, evidence, override_detail, overrides, peaks,
                              population, scoring)
 
 FEW = Guards(min_assignments_per_resource=2, min_instances_per_work_type=3,
@@ -219,3 +219,31 @@ def test_evidence_gets_names(spark):
     assert shown == {"gs_recA": "Ann (person)  https://airtable.com/app1/tbl1/recA",
                      "2026-06-23": "Tue 2026-06-23", "op_0": "trip on Mon 2026-06-01 00:00  [op_0]",
                      "2026-13-45": "2026-13-45"}
+
+
+def test_evidence_of_planted_findings(spark):
+    """never and sometimes, hard and soft, cliff and taper, and both readings of a field."""
+    soft = spaced(45, 200, "bus", 500)
+    soft[100]["end_ts"] = soft[101]["start_ts"]  # one gap of no length among 199
+    clash = [booking(900 + i, "ann", f"x{i}", i * 10, i * 10 + 15) for i in range(60)]
+    work = jobs([("done", 18)] * 60 + [("done", 4)] * 30 + [("open", None)] * 20)
+    t = landing(spark, resources=[resource("van"), resource("bus", "bus"), resource("ann", "person")],
+                assignments=spaced(45, 61) + soft + clash, work=work, changes=[change(i, "ovr_a") for i in range(3)])
+    overlap = {r.candidate_id: r for r in evidence.exclusivity(t).collect()}
+    assert overlap["p03-exclusivity-van"].overlap == "never" and overlap["p03-exclusivity-van"].overlapping_pairs == 0
+    assert overlap["p03-exclusivity-person"].overlap == "sometimes" and overlap["p03-exclusivity-person"].overlapping_pairs == 59
+    floors = {r.candidate_id: (r.proposed_minimum_minutes, r.floor, r.gaps_below_the_edge) for r in evidence.turnaround(t).collect()}
+    assert floors == {"p03-turnaround-van": (45, "hard", 0), "p03-turnaround-bus": (45, "soft", 1)}
+    bins = [(r.edge, r.n) for r in evidence.gap_bins(t).filter("candidate_id LIKE '%bus'").orderBy("edge").collect()]
+    assert len(bins) == 10 and bins[0] == (0, 1) and bins[-1] == (45, 198)
+    edge = {r.candidate_id: r for r in evidence.ceiling(t).collect()}
+    guests = edge["p04-ceiling-customers-per-work"]
+    assert (guests["shape"], guests.share_at_max, guests.max_over_peak) == ("cliff", 0.6667, 1.0)
+    values = evidence.ceiling_values(t).filter("candidate_id = 'p04-ceiling-customers-per-work'")
+    assert sorted((r["value"], r["count"]) for r in values.collect()) == [(4, 30), (18, 60)]
+    filled = {r.candidate_id: r for r in evidence.fill(t).collect()}
+    assert set(filled) == {"p05-population-customer-count-by-status", "p05-exemption-customer-count-by-status-open"}
+    assert {r.low_fill_rate for r in filled.values()} == {0.0} and {r.high_fill_rate for r in filled.values()} == {1.0}
+    row = one(evidence.override(t))
+    assert (row["events"], row["share_of_all_overrides"], row["median_days"]) == (3, 1.0, 0)
+    assert [(r.changed_by, r.events) for r in evidence.override_people(t).collect()] == [("u1", 3)]
