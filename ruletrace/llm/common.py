@@ -73,7 +73,7 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     work before are given up as soon as the table stands.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP)
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)

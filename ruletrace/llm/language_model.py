@@ -392,8 +392,11 @@ def train(docs: DataFrame, mu: float = MU) -> Model:
 
 # ---- scoring -------------------------------------------------------------------------------------------
 
-QUERY = "shard int, batch string, ids binary, sizes binary, words binary, word binary, context binary, local binary"
-SUMS = ["known", "base", "score"]
+# What a batch of texts asks a shard: which of its texts have tokens there and how many (docs, sizes, n), and
+# the tokens. One row of a batch also has the texts' ids and what was scored on the spot.
+QUERY = ("shard int, batch string, ids binary, local binary, n int, docs binary, sizes binary, words binary, "
+         "word binary, context binary")
+ANSWER = "batch string, ids binary, local binary, n int, docs binary, known binary, base binary, score binary"
 
 
 def _sum(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -428,13 +431,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for k, i in _by_shard(shard[rest], shards):
                 at = rest[i]  # tokens of a text stay together
                 own, code = np.unique(word[at], return_inverse=True)
-                sizes = zlib.compress(np.bincount(doc[at], minlength=n_docs).astype(np.int32).tobytes(), 1)
-                rows.append([k, name, ids, sizes, own.tobytes(), _small(code), _forty(before[at]), None])
+                docs_in, sizes = np.unique(doc[at], return_counts=True)
+                rows.append([k, name, None, None, len(docs_in), _small(docs_in), _small(sizes), own.tobytes(), _small(code),
+                             _forty(before[at])])
             if not rows:
-                none = zlib.compress(np.zeros(n_docs, np.int32).tobytes(), 1)
-                rows.append([0, name, ids, none, b"", b"", b"", None])
-            rows[0][-1] = local.tobytes()
-            types = [pa.int32(), pa.string(), *[pa.binary()] * 6]
+                rows.append([0, name, None, None, 0, b"", b"", b"", b"", b""])
+            rows[0][2:4] = ids, local.tobytes()
+            types = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int32(), *[pa.binary()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
                                              [c.split(" ")[0] for c in QUERY.split(", ")])
 
@@ -442,29 +445,31 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         trie = Trie.read(rows["file"].iloc[0]) if isinstance(rows["file"].iloc[0], str) else None
         out = []
         for r in rows.itertuples():
-            sizes = np.frombuffer(zlib.decompress(r.sizes), np.int32)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
+            doc = np.repeat(np.arange(r.n), _large(r.sizes, r.n))
             own = np.frombuffer(r.words, np.uint64)
             code = _large(r.word, len(doc))
             node = trie.word(own) if trie else np.full(len(own), -1, np.int64)
             count = np.zeros(len(own))
             count[node >= 0] = trie.counts[node[node >= 0]] if trie else 0
             tail = (heads.value.word(own) < 0)[code] if len(own) else np.zeros(0, bool)
-            sums = np.zeros((4, len(sizes)))
-            sums[1] = _sum(doc, tail & (count > 0)[code], len(sizes))
-            sums[2] = _sum(doc, np.where(tail, numbers.base(count)[code], 0.0), len(sizes))
-            sums[3] = _sum(doc, np.where(tail, numbers.alone(count, own == END)[code], 0.0), len(sizes))
+            known = _sum(doc, tail & (count > 0)[code], r.n).astype(np.int64)
+            base = _sum(doc, np.where(tail, numbers.base(count)[code], 0.0), r.n)
+            score = _sum(doc, np.where(tail, numbers.alone(count, own == END)[code], 0.0), r.n)
             if trie:
-                sums[3] += _sum(doc, trie.gain(node[code], _from_forty(r.context)), len(sizes))
-            if r.local is not None:
-                sums += np.frombuffer(r.local).reshape(4, -1)
-            out.append((r.batch, r.ids, sums.tobytes()))
-        return pd.DataFrame(out, columns=["batch", "ids", "sums"])
+                score += _sum(doc, trie.gain(node[code], _from_forty(r.context)), r.n)
+            out.append((r.batch, r.ids, r.local, r.n, r.docs, _small(known), base.tobytes(), score.tobytes()))
+        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in ANSWER.split(", ")])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = np.frombuffer(zlib.decompress(rows["ids"].iloc[0]), np.int64)
+        whole = rows[rows["local"].notna()].iloc[0]
+        ids = np.frombuffer(zlib.decompress(whole["ids"]), np.int64)
         ids, valid = ids[:len(ids) // 2], ids[len(ids) // 2:].astype(bool)
-        sums = sum(np.frombuffer(x).reshape(4, -1) for x in rows["sums"])
+        sums = np.frombuffer(whole["local"]).reshape(4, -1).copy()
+        for r in rows.itertuples():
+            docs_in = _large(r.docs, r.n)
+            sums[1, docs_in] += _large(r.known, r.n)
+            sums[2, docs_in] += np.frombuffer(r.base)
+            sums[3, docs_in] += np.frombuffer(r.score)
         return pd.DataFrame({"doc_id": pd.array(np.where(valid, ids, 0), "Int64").copy() if valid.all() else
                              pd.array([int(i) if v else pd.NA for i, v in zip(ids, valid, strict=True)], "Int64"),
                              "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64),
@@ -472,7 +477,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text")).mapInArrow(ask, QUERY)
     answers = asked.join(model.files, F.col("shard") == F.col("of"), "left").drop("of") \
-        .groupBy("shard").applyInPandas(answer, "batch string, ids binary, sums binary")
+        .groupBy("shard").applyInPandas(answer, ANSWER)
     return settled(answers, "answers").groupBy("batch").applyInPandas(
         add, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
