@@ -31,6 +31,8 @@ from ruletrace.llm.common import (ALNUM_WORDS, LOWERED, byte_column, crc_mod, do
 TRAIN_ROWS, TRAIN_BYTES = 1200, 20_000
 PREFIXES = (3, 4, 5, 6, 8)
 BUCKETS = 1 << 18
+#: Texts of so many bytes advance together through the chain; more would need fewer steps but more memory.
+CHAIN_BYTES = 8 << 20
 THRESHOLD, SPAN_LIMIT, STANDS_OUT = 0.3, 0.5, 0.75
 
 
@@ -215,15 +217,20 @@ def score_batches(chain: Chain | None, batches: Iterator[pa.RecordBatch], text:
     """(batch, lo, hi, scores, spans per row) for runs of rows; column ``text`` holds bytes."""
     for batch in batches:
         raw, offsets = byte_column(batch.column(text))
-        for lo, hi in doc_slices(offsets):
+        for lo, hi in doc_slices(offsets, CHAIN_BYTES):
             if chain is None:
                 yield batch, lo, hi, np.zeros(hi - lo), [[] for _ in range(lo, hi)]
                 continue
-            part = offsets[lo:hi + 1] - offsets[lo]
-            starts, ends, features, firsts = token_features(raw[offsets[lo]:offsets[hi]], part)
-            p, all_clean, _ = chain.marginals(chain.emissions(features), firsts)
+            found = []
+            for a, b in doc_slices(offsets[lo:hi + 1]):
+                part = offsets[lo + a:lo + b + 1]
+                starts, ends, features, firsts = token_features(raw[part[0]:part[-1]], part - part[0])
+                found.append((starts + part[0], ends + part[0], chain.emissions(features), np.diff(firsts)))
+            starts, ends, emission, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+            firsts = np.concatenate([[0], np.cumsum(sizes)])
+            p, all_clean, _ = chain.marginals(emission, firsts)
             spans = [_spans(starts[a:b] - o, ends[a:b] - o, p[a:b], limit) if (p[a:b] >= limit).any() else []
-                     for a, b, o in zip(firsts[:-1], firsts[1:], part[:-1], strict=True)]
+                     for a, b, o in zip(firsts[:-1], firsts[1:], offsets[lo:hi], strict=True)]
             yield batch, lo, hi, chain.score(all_clean), spans
 
 
