@@ -3,7 +3,8 @@
 Method: words, and pairs of a word with the word before it, are counted over the training rows. A trie
 holds the words in its first level and, below each word, the contexts it was seen after. Both levels are
 monotone sequences in Elias-Fano code, as are the pointers from words to their contexts; pairs carry an
-8-bit quantised gain in log probability over the word alone. A lookup is a successor search: of the word
+8-bit quantised gain in log probability over the word alone, in steps that reach the largest gain the training
+rows can give. A lookup is a successor search: of the word
 in the first level, then of the context among those of that word only. Levels are files in the shared
 folder, one for each shard, and are memory-mapped where the file system allows it.
 
@@ -42,6 +43,7 @@ from ruletrace.llm.warc import opened
 
 MU, HEADS = 2.0, 1 << 15
 SHARD_BYTES, BATCH_BYTES = 16 << 20, 8 << 20
+#: Smallest step of a quantised gain; 255 steps reach the largest gain (``Numbers.step``).
 STEP = 1 / 32
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 CONTEXT = np.uint64((1 << 40) - 1)
@@ -114,20 +116,25 @@ class EliasFano:
 class Trie:
     """Words with counts; below each word its contexts with quantised gains."""
 
-    def __init__(self, words: EliasFano, counts: np.ndarray, pointers: EliasFano, contexts: EliasFano, gains: np.ndarray):
+    def __init__(self, words: EliasFano, counts: np.ndarray, pointers: EliasFano, contexts: EliasFano, gains: np.ndarray,
+                 step: float):
         self.words, self.counts, self.pointers, self.contexts, self.gains = words, counts, pointers, contexts, gains
+        self.step = step
         for level in (words, pointers, contexts):
             level.select()
 
     @staticmethod
-    def rows(words: np.ndarray, counts: np.ndarray, firsts: np.ndarray, contexts: np.ndarray, gains: np.ndarray) -> dict:
+    def rows(words: np.ndarray, counts: np.ndarray, firsts: np.ndarray, contexts: np.ndarray, gains: np.ndarray,
+             step: float) -> dict:
         """Cells of a trie from sorted words, first context of each (and the end), and contexts sorted by word."""
         node = np.repeat(np.arange(len(words), dtype=np.uint64), np.diff(firsts))
         levels = {"words": EliasFano.of(words), "pointers": EliasFano.of(firsts.astype(np.uint64)),
                   "contexts": EliasFano.of((node << np.uint64(40)) | contexts)}
         cells = {f"{k}_{c}": v for k, level in levels.items() for c, v in level.dump().items()}
-        gains = np.minimum(np.rint(gains / STEP), 255).astype(np.uint8)
-        return cells | {"counts": counts.astype("<u4").tobytes(), "gains": gains.tobytes()}
+        gains = np.rint(gains / step)
+        assert not len(gains) or gains.max() <= 255, "a gain is over the largest one"
+        return cells | {"counts": counts.astype("<u4").tobytes(), "gains": gains.astype(np.uint8).tobytes(),
+                        "step": np.array([step], "<f8").tobytes()}
 
     @classmethod
     def read(cls, path: str) -> Trie:
@@ -138,7 +145,7 @@ class Trie:
         levels = [EliasFano.load(cell[f"{k}_low"].as_buffer(), cell[f"{k}_high"].as_buffer(), cell[f"{k}_n"].as_py())
                   for k in ("words", "pointers", "contexts")]
         return cls(levels[0], np.frombuffer(cell["counts"].as_buffer(), "<u4"), levels[1], levels[2],
-                   np.frombuffer(cell["gains"].as_buffer(), np.uint8))
+                   np.frombuffer(cell["gains"].as_buffer(), np.uint8), float(np.frombuffer(cell["step"].as_buffer(), "<f8")[0]))
 
     @staticmethod
     def write(folder: str, cells: dict) -> str:
@@ -160,7 +167,7 @@ class Trie:
         known = np.flatnonzero(node >= 0)
         lo, hi = (self.pointers.at(node[known] + k).astype(np.int64) for k in (0, 1))
         at = self.contexts.find((node[known].astype(np.uint64) << np.uint64(40)) | context[known], lo, hi)
-        out[known[at >= 0]] = self.gains[at[at >= 0]] * STEP
+        out[known[at >= 0]] = self.gains[at[at >= 0]] * self.step
         return out
 
 
@@ -249,6 +256,11 @@ class Numbers:
     def gain(self, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.log10(1 + pair * self.total / (self.mu * (count + 0.1)))
 
+    @property
+    def step(self) -> float:
+        """What 255 of reach the gain of any pair, which is seen no more often than its word."""
+        return max(STEP, float(np.log10(1 + self.total / self.mu)) / 255)
+
 
 def _batches(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYTES):
     for batch in batches:
@@ -381,7 +393,7 @@ def train(docs: DataFrame, mu: float = MU) -> Model:
         totals = np.bincount(node, weights=count, minlength=len(known))
         head = heads.value.word(known)
         totals[head >= 0] = heads.value.word_counts[head[head >= 0]]
-        cells = Trie.rows(known, totals, firsts, pair & CONTEXT, numbers.gain(count, totals[node]))
+        cells = Trie.rows(known, totals, firsts, pair & CONTEXT, numbers.gain(count, totals[node]), numbers.step)
         return pd.DataFrame({"of": [int(rows["shard"].iloc[0])], "file": [Trie.write(folder, cells)]})
 
     model.files = settled(texts.mapInArrow(
