@@ -4,9 +4,12 @@ Method: two tags (clean, toxic) in a chain over the words of a text. A word's fe
 form and prefixes. Token labels come from the labelled documents: a word is tagged toxic in a toxic
 document where its form or a prefix of it stands out among toxic documents; words of clean documents are
 clean. Weights and transitions are fitted by penalised maximum likelihood (forward-backward gradients)
-on a bounded sample of labelled rows. Forward-backward marginals then tag every text: the document
-score is the chance that at least one word is toxic, calibrated on the same sample, and words with a
-marginal of at least ``span_limit`` are merged into offending spans (byte offsets).
+on a bounded sample of labelled rows. Forward-backward marginals then tag every text: its evidence is that of
+the ``WINDOW`` neighbouring words with most of it, so that clean words do not add up, and words with a
+marginal of at least ``span_limit`` are merged into offending spans (byte offsets). The document score is
+logistic in the evidence and the logarithm of the length (a longer text has more windows to be the strongest
+by chance). It is calibrated on the same sample, each half by a chain of the other half, and on texts
+joined from it: clean ones are a longer clean text, and with a toxic one among them a toxic text.
 
 Defined results: null and empty texts have no words, no span and the calibrated score of no evidence.
 Without labelled rows of both classes every score is 0. Repeated rows get equal scores, each its own
@@ -27,8 +30,11 @@ from ruletrace.llm.common import (ALNUM_WORDS, LOWERED, byte_column, crc_mod, do
                                   utf8, word_spans)
 
 #: Rows learned from: at most so many toxic and so many clean ones, smallest hashes of the id first, among
-#: those whose text has at most so many bytes. They are read whole.
-TRAIN_ROWS, TRAIN_BYTES = 1200, 20_000
+#: those whose texts have so many bytes in all, for each class. Texts of any length are read whole; one that does
+#: not fit in what is left is passed over.
+TRAIN_ROWS, TRAIN_BYTES = 1200, 8 << 20
+#: Words over which evidence adds up, and how many texts are joined for the calibration of long ones.
+WINDOW, JOINED = 256, (4, 16, 64, 256)
 PREFIXES = (3, 4, 5, 6, 8)
 BUCKETS = 1 << 18
 #: Texts of so many bytes advance together through the chain; more would need fewer steps but more memory.
@@ -62,6 +68,7 @@ class Chain:
     stay_toxic: float
     slope: float
     shift: float
+    length: float = 0.0
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
         return self.bias + np.append(self.weights, 0.0)[features].sum(1)
@@ -118,11 +125,20 @@ class Chain:
         self._clean_pairs[last] = 0
         return p, all_clean, pairs
 
-    def score(self, all_clean: np.ndarray) -> np.ndarray:
-        """Chance of a toxic document from log P(no word toxic): logistic in the log odds of any toxic word."""
-        x = np.minimum(all_clean, -1e-12)
-        odds = np.log(-np.expm1(x)) - x
-        return 1 / (1 + np.exp(-np.clip(self.slope * odds + self.shift, -500, 500)))
+    def score(self, found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Chance of a toxic document from the evidence of its strongest window and its number of words."""
+        odds = self.slope * found + self.length * np.log1p(sizes) + self.shift
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+
+def evidence(p: np.ndarray, firsts: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Most evidence that ``window`` neighbouring words of each text have: the sum of -log(1 - p)."""
+    sums = np.concatenate([[0.0], np.cumsum(-np.log1p(-np.minimum(p, 1 - 1e-12)))])
+    out = np.zeros(len(firsts) - 1)
+    for i, (a, b) in enumerate(zip(firsts[:-1], firsts[1:], strict=True)):
+        w = min(window, b - a)
+        out[i] = (sums[a + w:b + 1] - sums[a:b + 1 - w]).max()
+    return out
 
 
 def _standing_out(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -139,7 +155,70 @@ def _standing_out(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> n
 
 
 def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 60, penalty: float = 0.02) -> Chain | None:
-    """The chain fitted on labelled texts; None unless both classes are there."""
+    """The chain fitted and calibrated on labelled texts; None unless both classes are there."""
+    chain = _fitted(texts, toxic, rounds, penalty)
+    if chain is None:
+        return None
+    half = np.random.default_rng(0).permutation(len(texts)) % 2
+    marginals: list[np.ndarray] = [np.zeros(0)] * len(texts)
+    for k in (0, 1):
+        # A chain finds more in texts it was fitted on than in others.
+        other = _fitted([t for t, h in zip(texts, half, strict=True) if h != k], toxic[half != k], rounds, penalty) or chain
+        own = np.flatnonzero(half == k)
+        for lo, hi in doc_slices(np.concatenate([[0], np.cumsum([len(texts[i]) for i in own])]), CHAIN_BYTES):
+            some = own[lo:hi]
+            offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in some])])
+            _, _, features, firsts = token_features(np.frombuffer(b"".join(texts[i] for i in some), np.uint8), offsets)
+            p, _, _ = other.marginals(other.emissions(features), firsts)
+            for i, a, b in zip(some, firsts[:-1], firsts[1:], strict=True):
+                marginals[i] = p[a:b]
+    _calibrate(chain, marginals, toxic)
+    return chain
+
+
+def _calibrate(chain: Chain, marginals: list[np.ndarray], toxic: np.ndarray) -> None:
+    rng = np.random.default_rng(1)
+    clean, bad = np.flatnonzero(toxic == 0), np.flatnonzero(toxic == 1)
+    parts, label, weight = [[i] for i in range(len(toxic))], list(toxic), [1.0] * len(toxic)
+    for k in JOINED:
+        order = rng.permutation(clean)
+        for lo in range(0, len(order) - k + 1, k):
+            joined = order[lo:lo + k].tolist()
+            # Weights keep the share of toxic texts at any length.
+            parts += [joined, [*joined[:k // 2], int(rng.choice(bad)), *joined[k // 2 + 1:]]]
+            label += [0.0, 1.0]
+            weight += [1.0, len(bad) / len(clean)]
+    found, sizes = np.zeros(len(parts)), np.zeros(len(parts))
+    for i, of in enumerate(parts):
+        p = np.concatenate([marginals[j] for j in of])
+        found[i], sizes[i] = evidence(p, np.array([0, len(p)]))[0], len(p)
+    label, weight = np.array(label), np.array(weight)
+    x = np.stack([found, np.log1p(sizes), np.ones(len(parts))], 1)
+    for free in ([0, 1, 2], [0, 2]):  # length never speaks for toxic
+        keep, ridge, start = x[:, free], np.array([0.1, 0.1, 1e-3])[free], np.array([1.0, 0.0, 0.0])[free]
+
+        def loss(at: np.ndarray, keep=keep, ridge=ridge, start=start) -> float:
+            z = keep @ at
+            return float((weight * (np.logaddexp(0.0, z) - label * z)).sum() + (ridge * (at - start) ** 2).sum() / 2)
+
+        at = start
+        for _ in range(100):  # logistic calibration by Newton steps, lightly penalised, halved until they gain
+            q = 1 / (1 + np.exp(-np.clip(keep @ at, -500, 500)))
+            g = keep.T @ (weight * (label - q)) - ridge * (at - start)
+            h = keep.T @ (keep * (weight * q * (1 - q))[:, None]) + np.diag(ridge)
+            step = np.linalg.solve(h, g)
+            while np.abs(step).max() > 1e-9 and loss(at + step) > loss(at):
+                step = step / 2
+            at = at + step
+            if np.abs(step).max() <= 1e-9:
+                break
+        if len(free) == 2 or at[1] <= 0:
+            break
+    chain.slope, chain.shift = float(max(at[0], 0.0)), float(at[-1])
+    chain.length = float(at[1]) if len(free) == 3 else 0.0
+
+
+def _fitted(texts: list[bytes], toxic: np.ndarray, rounds: int, penalty: float) -> Chain | None:
     if not len(texts) or toxic.min() == toxic.max():
         return None
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -171,18 +250,6 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 60, penalty: float
         chain.bias += step[0]
         chain.stay_clean += step[1]
         chain.stay_toxic += step[2]
-    _, all_clean, _ = chain.marginals(chain.emissions(features), firsts)
-    x = np.minimum(all_clean, -1e-12)
-    x = np.clip(np.log(-np.expm1(x)) - x, -30, 30)
-    s, c = 1.0, 0.0
-    for _ in range(200):  # logistic calibration by Newton steps, lightly penalised
-        q = 1 / (1 + np.exp(-(s * x + c)))
-        w = q * (1 - q) + 1e-6
-        g = np.array([((toxic - q) * x).sum() - 0.1 * (s - 1), (toxic - q).sum()])
-        h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
-        d = np.linalg.solve(h, g)
-        s, c = s + np.clip(d[0], -1, 1), c + np.clip(d[1], -1, 1)
-    chain.slope, chain.shift = float(max(s, 0.0)), float(c)
     return chain
 
 
@@ -192,15 +259,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_bytes
              .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
              .where(crc_mod(F.col("doc_id"), 4) != 2))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text")) \
-        .where(F.octet_length("text") <= most_bytes)
-    known = texts.select("doc_id").join(marks, "doc_id")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.where("toxic = 1").orderBy(*order).limit(most).unionByName(
-        known.where("toxic = 0").orderBy(*order).limit(most))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
+    # Of texts that repeat an id the longest one tells the size, so that what is collected is within the bound.
+    known = texts.groupBy("doc_id").agg(F.max(F.octet_length("text").cast("long")).alias("size")).join(marks, "doc_id")
+    order, picked = [F.xxhash64("doc_id"), F.col("doc_id")], []
+    for toxic in (1, 0):
+        left = most_bytes
+        for r in known.where(F.col("toxic") == toxic).where(F.col("size") <= most_bytes).orderBy(*order).limit(most).collect():
+            if r["size"] <= left:
+                left -= r["size"]
+                picked.append((r["doc_id"], r["toxic"]))
+    picked = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
     # At most 2 x most ids: a side of a proven size, and so is what comes to the driver.
-    rows = (texts.join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id")
-            .dropDuplicates(["doc_id"]).orderBy("doc_id").collect())
+    rows = (texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect())
     texts = [bytes(r["text"]) for r in rows]
     return fit(texts, np.array([r["toxic"] for r in rows], float))
 
@@ -228,10 +299,10 @@ def score_batches(chain: Chain | None, batches: Iterator[pa.RecordBatch], text:
                 found.append((starts + part[0], ends + part[0], chain.emissions(features), np.diff(firsts)))
             starts, ends, emission, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
             firsts = np.concatenate([[0], np.cumsum(sizes)])
-            p, all_clean, _ = chain.marginals(emission, firsts)
+            p, _, _ = chain.marginals(emission, firsts)
             spans = [_spans(starts[a:b] - o, ends[a:b] - o, p[a:b], limit) if (p[a:b] >= limit).any() else []
                      for a, b, o in zip(firsts[:-1], firsts[1:], offsets[lo:hi], strict=True)]
-            yield batch, lo, hi, chain.score(all_clean), spans
+            yield batch, lo, hi, chain.score(evidence(p, firsts), sizes), spans
 
 
 SPANS = "array<struct<start: long, stop: long, p: double>>"
