@@ -19,15 +19,15 @@ null mark are not learned from; a document with several marks counts as toxic if
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ruletrace.llm.common import (ALNUM_WORDS, LOWERED, byte_column, crc_mod, doc_slices, fresh, prefix_sums, span_hash, table,
-                                  utf8, word_spans)
+from ruletrace.llm.common import (ALNUM_WORDS, LOWERED, byte_column, crc_mod, doc_slices, prefix_sums, span_hash, table, utf8, word_spans)
 
 #: Rows learned from: at most so many toxic and so many clean ones, smallest hashes of the id first, among
 #: those whose texts have so many bytes in all, for each class. Texts of any length are read whole; one that does
@@ -38,7 +38,7 @@ WINDOW, JOINED = 256, (4, 16, 64, 256)
 PREFIXES = (3, 4, 5, 6, 8)
 BUCKETS = 1 << 18
 #: Texts of so many bytes advance together through the chain; more would need fewer steps but more memory.
-CHAIN_BYTES = 8 << 20
+CHAIN_BYTES = 2 << 20
 THRESHOLD, SPAN_LIMIT, STANDS_OUT = 0.3, 0.5, 0.75
 
 
@@ -71,12 +71,20 @@ class Chain:
     length: float = 0.0
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
-        return self.bias + np.append(self.weights, 0.0)[features].sum(1)
+        weights, out = np.append(self.weights, 0.0), np.full(len(features), self.bias)
+        for column in features.T:
+            out += weights[column]
+        return out
 
-    def marginals(self, emission: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def toxic(self, emission: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """P(toxic) per word, and nothing else."""
+        return self.marginals(emission, firsts, whole=False)[0]
+
+    def marginals(self, emission: np.ndarray, firsts: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P(toxic) per word, log P(no word toxic) per text, and P(toxic, toxic) of each word and the next.
 
-        All texts advance together, word by word, longest first, so a step is one array operation.
+        All texts advance together, word by word, longest first, so a step is one array operation. Without
+        ``whole`` only the first is worked out, with a third of the memory, and the others are empty.
         """
         n_docs, n = len(firsts) - 1, len(emission)
         sizes = np.diff(firsts)
@@ -95,7 +103,8 @@ class Chain:
             if t:
                 x = ratio[:k]
                 to_clean, to_toxic = np.logaddexp(a, x), np.logaddexp(0.0, x + b)
-                log_z[:k] += to_clean
+                if whole:
+                    log_z[:k] += to_clean
                 ratio[:k] = to_toxic - to_clean + emission[i]
             else:
                 ratio[:k] = emission[i]
@@ -108,7 +117,9 @@ class Chain:
             y = back[:k] + emission[i + 1]
             back[:k] = np.logaddexp(0.0, y + b) - np.logaddexp(a, y)
             backward[i] = back[:k]
-        p = 1 / (1 + np.exp(-np.clip(forward + backward, -500, 500)))
+        p = _chance(np.add(forward, backward, out=forward))
+        if not whole:
+            return p, log_z, log_z
         all_clean = np.empty(n_docs)
         all_clean[order] = a * np.maximum(sizes[order] - 1, 0) - log_z
         pairs = np.zeros(n)
@@ -127,8 +138,15 @@ class Chain:
 
     def score(self, found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Chance of a toxic document from the evidence of its strongest window and its number of words."""
-        odds = self.slope * found + self.length * np.log1p(sizes) + self.shift
-        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        return _chance(self.slope * found + self.length * np.log1p(sizes) + self.shift)
+
+
+def _chance(odds: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-odds)), made in place."""
+    np.negative(np.clip(odds, -500, 500, out=odds), out=odds)
+    np.exp(odds, out=odds)
+    odds += 1
+    return np.reciprocal(odds, out=odds)
 
 
 def evidence(p: np.ndarray, firsts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -154,25 +172,58 @@ def _standing_out(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> n
     return odds - 2 * np.sqrt(1 / (k + share) + 1 / (n - k + 1 - share))
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 60, penalty: float = 0.02) -> Chain | None:
-    """The chain fitted and calibrated on labelled texts; None unless both classes are there."""
-    chain = _fitted(texts, toxic, rounds, penalty)
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
+def fit_one(which: int, texts: list[bytes], toxic: np.ndarray, rounds: int = 60, penalty: float = 0.02) -> tuple[Chain | None, dict[int, np.ndarray]]:
+    """Chain 0 is fitted on all texts. Chains 1 and 2 are fitted on half of them and give P(toxic) of the words of the other half.
+
+    A chain finds more in texts it was fitted on than in others, so the calibration reads those of the other half.
+    """
+    if which == 0:
+        return _fitted(texts, toxic, rounds, penalty), {}
+    half = np.random.default_rng(0).permutation(len(texts)) % 2 + 1
+    chain = _fitted([t for t, h in zip(texts, half, strict=True) if h != which], toxic[half != which], rounds, penalty)
     if chain is None:
+        return None, {}
+    own, marginals = np.flatnonzero(half == which), {}
+    for lo, hi in doc_slices(_joined([texts[i] for i in own])[1], CHAIN_BYTES):
+        _, _, features, firsts = token_features(*_joined([texts[i] for i in own[lo:hi]]))
+        p = chain.toxic(chain.emissions(features), firsts)
+        marginals |= {int(i): p[x:y].copy() for i, x, y in zip(own[lo:hi], firsts[:-1], firsts[1:], strict=True)}
+    return chain, marginals
+
+
+def fit(texts: list[bytes], toxic: np.ndarray, spark: SparkSession | None = None) -> Chain | None:
+    """The chain fitted and calibrated on labelled texts; None unless both classes are there.
+
+    With ``spark`` each of the three chains is fitted by a task of its own; what a task reads is the sample, whose size is
+    bounded by parameters.
+    """
+    if not len(texts) or toxic.min() == toxic.max():
         return None
-    half = np.random.default_rng(0).permutation(len(texts)) % 2
-    marginals: list[np.ndarray] = [np.zeros(0)] * len(texts)
-    for k in (0, 1):
-        # A chain finds more in texts it was fitted on than in others.
-        other = _fitted([t for t, h in zip(texts, half, strict=True) if h != k], toxic[half != k], rounds, penalty) or chain
-        own = np.flatnonzero(half == k)
-        for lo, hi in doc_slices(np.concatenate([[0], np.cumsum([len(texts[i]) for i in own])]), CHAIN_BYTES):
-            some = own[lo:hi]
-            offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in some])])
-            _, _, features, firsts = token_features(np.frombuffer(b"".join(texts[i] for i in some), np.uint8), offsets)
-            p, _, _ = other.marginals(other.emissions(features), firsts)
-            for i, a, b in zip(some, firsts[:-1], firsts[1:], strict=True):
-                marginals[i] = p[a:b]
-    _calibrate(chain, marginals, toxic)
+    if spark is None:
+        parts = [fit_one(which, texts, toxic) for which in range(3)]
+    else:
+        shared = spark.sparkContext.broadcast((texts, toxic))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for which in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([which]), pa.array([pickle.dumps(fit_one(which, *shared.value))])],
+                                                     ["which", "fitted"])
+
+        rows = spark.range(0, 3, 1, 3).mapInArrow(run, "which long, fitted binary").collect()
+        parts = [pickle.loads(bytes(r["fitted"])) for r in sorted(rows, key=lambda r: r["which"])]
+        shared.destroy()
+    chain, marginals = parts[0][0], parts[1][1] | parts[2][1]
+    if len(marginals) < len(texts):  # a half with texts of one class only fits no chain
+        for lo, hi in doc_slices(_joined(texts)[1], CHAIN_BYTES):
+            _, _, features, firsts = token_features(*_joined(texts[lo:hi]))
+            p = chain.toxic(chain.emissions(features), firsts)
+            marginals = {lo + k: p[x:y].copy() for k, (x, y) in enumerate(zip(firsts[:-1], firsts[1:], strict=True))} | marginals
+    _calibrate(chain, [marginals[i] for i in range(len(texts))], toxic)
     return chain
 
 
@@ -225,13 +276,14 @@ def _fitted(texts: list[bytes], toxic: np.ndarray, rounds: int, penalty: float)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     _, _, features, firsts = token_features(raw, offsets)
     doc = np.repeat(np.arange(len(texts)), np.diff(firsts))
-    odds = np.append(_standing_out(features, doc, toxic), -np.inf)[features].max(1)
+    standing, odds = np.append(_standing_out(features, doc, toxic), -np.inf), np.full(len(features), -np.inf)
+    for column in features.T:
+        np.maximum(odds, standing[column], out=odds)
     tags = (odds >= STANDS_OUT) & (toxic[doc] == 1)
+    del odds
 
     chain = Chain(np.zeros(BUCKETS), -3.0, 1.0, 0.0, 1.0, 0.0)
-    used = np.unique(features[features >= 0])
-    rows, flat = np.repeat(np.arange(len(doc)), features.shape[1]), features.ravel()
-    rows, flat = rows[flat >= 0], flat[flat >= 0]
+    used = np.flatnonzero(np.bincount(features.ravel() + 1, minlength=BUCKETS + 1)[1:])
     next_same = np.append(doc[1:] == doc[:-1], False)
     both = np.append(tags[1:] & tags[:-1], False) & next_same
     neither = np.append(~tags[1:] & ~tags[:-1], False) & next_same
@@ -241,7 +293,10 @@ def _fitted(texts: list[bytes], toxic: np.ndarray, rounds: int, penalty: float)
     for _ in range(rounds):
         p, _, pairs = chain.marginals(chain.emissions(features), firsts)
         off = tags - p
-        slope = np.bincount(flat, weights=off[rows], minlength=BUCKETS)[used] - penalty * chain.weights[used]
+        slope = -penalty * chain.weights
+        for column in features.T:  # number -1, no feature, comes first and goes
+            slope += np.bincount(column + 1, weights=off, minlength=BUCKETS + 1)[1:]
+        slope = slope[used]
         past = 0.9 * past + 0.1 * slope ** 2
         chain.weights[used] += 0.3 * slope / np.sqrt(past)
         rest = np.array([off.sum(), neither.sum() - chain._clean_pairs.sum(), both.sum() - pairs.sum()]) / n
@@ -250,6 +305,7 @@ def _fitted(texts: list[bytes], toxic: np.ndarray, rounds: int, penalty: float)
         chain.bias += step[0]
         chain.stay_clean += step[1]
         chain.stay_toxic += step[2]
+    del chain._clean_pairs  # one number a word, which scoring does not need
     return chain
 
 
@@ -273,7 +329,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_bytes
     # At most 2 x most ids: a side of a proven size, and so is what comes to the driver.
     rows = (texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect())
     texts = [bytes(r["text"]) for r in rows]
-    return fit(texts, np.array([r["toxic"] for r in rows], float))
+    return fit(texts, np.array([r["toxic"] for r in rows], float), docs.sparkSession)
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray, p: np.ndarray, limit: float) -> list[tuple[int, int, float]]:
@@ -284,25 +340,29 @@ def _spans(starts: np.ndarray, ends: np.ndarray, p: np.ndarray, limit: float) ->
     return out
 
 
-def score_batches(chain: Chain | None, batches: Iterator[pa.RecordBatch], text: int, limit: float = SPAN_LIMIT):
-    """(batch, lo, hi, scores, spans per row) for runs of rows; column ``text`` holds bytes."""
-    for batch in batches:
-        raw, offsets = byte_column(batch.column(text))
-        for lo, hi in doc_slices(offsets, CHAIN_BYTES):
-            if chain is None:
-                yield batch, lo, hi, np.zeros(hi - lo), [[] for _ in range(lo, hi)]
-                continue
-            found = []
-            for a, b in doc_slices(offsets[lo:hi + 1]):
-                part = offsets[lo + a:lo + b + 1]
-                starts, ends, features, firsts = token_features(raw[part[0]:part[-1]], part - part[0])
-                found.append((starts + part[0], ends + part[0], chain.emissions(features), np.diff(firsts)))
-            starts, ends, emission, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
-            firsts = np.concatenate([[0], np.cumsum(sizes)])
-            p, _, _ = chain.marginals(emission, firsts)
+def score_texts(chain: Chain | None, texts: pa.Array, limit: float | None = SPAN_LIMIT):
+    """(lo, hi, scores, spans per row) for runs of rows of a column of bytes or strings; without ``limit`` no spans."""
+    raw, offsets = byte_column(texts)
+    for lo, hi in doc_slices(offsets, CHAIN_BYTES):
+        if chain is None:
+            yield lo, hi, np.zeros(hi - lo), [[] for _ in range(lo, hi)]
+            continue
+        found = []
+        for a, b in doc_slices(offsets[lo:hi + 1]):
+            part = offsets[lo + a:lo + b + 1]
+            starts, ends, features, firsts = token_features(raw[part[0]:part[-1]], part - part[0])
+            where = (starts + part[0], ends + part[0]) if limit is not None else ()
+            found.append((chain.emissions(features), np.diff(firsts), *where))
+        emission, sizes, *where = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        firsts = np.concatenate([[0], np.cumsum(sizes)])
+        p = chain.toxic(emission, firsts)
+        spans = None
+        if limit is not None:
+            starts, ends = where
             spans = [_spans(starts[a:b] - o, ends[a:b] - o, p[a:b], limit) if (p[a:b] >= limit).any() else []
                      for a, b, o in zip(firsts[:-1], firsts[1:], offsets[lo:hi], strict=True)]
-            yield batch, lo, hi, chain.score(evidence(p, firsts), sizes), spans
+        yield lo, hi, chain.score(evidence(p, firsts), sizes), spans
 
 
 SPANS = "array<struct<start: long, stop: long, p: double>>"
@@ -315,12 +375,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, chain: Chain | None = None) ->
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # of fixed size: BUCKETS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, lo, hi, scores, spans in score_batches(shared.value, batches, 2):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(scores),
-                 pa.array((scores >= THRESHOLD).astype(np.int32)),
-                 pa.array([[dict(start=a, stop=b, p=p) for a, b, p in s] for s in spans], SPAN_TYPE)],
-                ["doc_id", "held_out", "score", "predicted", "spans"])
+        for batch in batches:
+            for lo, hi, scores, spans in score_texts(shared.value, batch.column(2)):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(scores),
+                     pa.array((scores >= THRESHOLD).astype(np.int32)),
+                     pa.array([[dict(start=a, stop=b, p=p) for a, b, p in s] for s in spans], SPAN_TYPE)],
+                    ["doc_id", "held_out", "score", "predicted", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"),
                        utf8(F.col("text")).alias("text")).mapInArrow(
@@ -328,19 +389,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, chain: Chain | None = None) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
-    from pyspark.sql.types import StructType
+    """The rows of ``docs`` that score below the threshold, with all their columns.
 
+    Only texts go to Python and only scores come back; the rows themselves wait in the JVM.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    names = docs.columns
-    mark = fresh(docs, "_bytes")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, lo, hi, scores, _ in score_batches(shared.value, batches, len(names)):
-            part = batch.slice(lo, hi - lo).filter(pa.array(scores < THRESHOLD))
-            yield part.select(names)
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        runs = [scores for _, _, scores, _ in score_texts(shared.value, texts, None)]
+        return pa.array(np.concatenate([np.zeros(0), *runs]))
 
-    return docs.withColumn(mark, utf8(F.col("text"))).mapInArrow(run, StructType(docs.schema.fields))
+    return docs.where(score(F.col("text")) < THRESHOLD)
 
 
 def op10_toxicity(spark, sf_dir):

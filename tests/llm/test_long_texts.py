@@ -51,7 +51,7 @@ def test_long_texts_are_learned_from(spark):
     seen = []
     fit = toxicity.fit
     try:
-        toxicity.fit = lambda texts, toxic: seen.append(texts)
+        toxicity.fit = lambda texts, toxic, spark: seen.append(texts)
         labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
         toxicity.train(docs(spark, rows), labels)
         toxicity.train(docs(spark, rows), labels, most_bytes=50_000)
@@ -59,3 +59,11 @@ def test_long_texts_are_learned_from(spark):
         toxicity.fit = fit
     assert sum(len(t) > 20_000 for t in seen[0]) >= 4
     assert all(1 <= sum(len(t) for t in s) <= 2 * b for s, b in zip(seen, (toxicity.TRAIN_BYTES, 50_000)))
+
+
+def test_fit_in_tasks_equals_fit_here(spark):
+    rows, marks = toxic_rows(120)
+    texts, toxic = [r[1].encode() for r in rows], np.array([m[2] for m in marks], float)
+    here, there = toxicity.fit(texts, toxic), toxicity.fit(texts, toxic, spark)
+    assert (here.weights == there.weights).all()
+    assert (here.bias, here.slope, here.length, here.shift) == (there.bias, there.slope, there.length, there.shift)
