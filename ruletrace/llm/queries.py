@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ruletrace.llm import decontamination, language_model, license_scan, packing, quality_rules, simhash, suffix_dedup, toxicity, url_filter, warc
+from ruletrace.llm import (bpe, decontamination, language_model, license_scan, merkle, packing, quality_rules, simhash, suffix_dedup,
+                           toxicity, url_filter, warc)
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +16,8 @@ QUERIES = {
     "op8_lm_scoring": language_model.op8_lm_scoring,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_bpe": bpe.op11_bpe,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
-ORACLE = {"op1_warc": warc.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
+ORACLE = {"op1_warc": warc.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
