@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ruletrace.llm import (bpe, decontamination, language_model, license_scan, merkle, packing, quality_rules, simhash, suffix_dedup,
-                           toxicity, url_filter, warc)
+from ruletrace.llm import (bpe, collocations, decontamination, language_model, license_scan, merkle, packing, quality_rules, simhash,
+                           suffix_dedup, toxicity, url_filter, warc)
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -18,6 +18,8 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_bpe": bpe.op11_bpe,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_collocations": collocations.op13_collocations,
 }
 
-ORACLE = {"op1_warc": warc.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
+ORACLE = {"op1_warc": warc.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op12_merkle_manifest": merkle.ORACLE,
+          "op13_collocations": collocations.ORACLE}
