@@ -36,9 +36,9 @@ TRAVEL = """location_travel AS (
 CHANGES = f"""changes AS (
   SELECT 'ch_' || {LINE} AS change_id, 'work' AS entity_table, 'op_' || l_orderkey AS entity_id,
          'ovr_' || l_returnflag || l_linestatus AS field,
-         CASE WHEN l_tax > 0 THEN 'flagged' END AS old_value, 'acknowledged' AS new_value,
+         CASE WHEN l_returnflag <> 'N' AND l_tax > 0 THEN 'flagged' END AS old_value, 'acknowledged' AS new_value,
          l_shipdate AS changed_at, CASE WHEN l_discount > 0 THEN 'u' || (l_suppkey % 7) END AS changed_by
-  FROM lineitem WHERE l_returnflag <> 'N')"""
+  FROM lineitem)"""
 ALL = [WORK, RESOURCES, ASSIGNMENTS, LOCATIONS, TRAVEL, CHANGES]
 KEYS = f"""known_rules AS (
   SELECT 'K' || {padded('p_partkey', 9)} AS key_id, p_type AS type, p_name AS statement,

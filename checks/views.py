@@ -88,11 +88,11 @@ def location_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returned lines only: a line nobody sent back overrides nothing."""
-    return conform(table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'N'").selectExpr(
+    """Every line is a change; one that nobody sent back had no value before, and overrides nothing."""
+    return conform(table(spark, sf_dir, "lineitem").selectExpr(
         f"concat('ch_', {LINE_KEY}) AS change_id", "'work' AS entity_table",
         "concat('op_', l_orderkey) AS entity_id", "concat('ovr_', l_returnflag, l_linestatus) AS field",
-        "CASE WHEN l_tax > 0 THEN 'flagged' END AS old_value", "'acknowledged' AS new_value",
+        "CASE WHEN l_returnflag <> 'N' AND l_tax > 0 THEN 'flagged' END AS old_value", "'acknowledged' AS new_value",
         "l_shipdate AS changed_at",
         "CASE WHEN l_discount > 0 THEN concat('u', l_suppkey % 7) END AS changed_by"), "changes")
 

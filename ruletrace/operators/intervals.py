@@ -10,17 +10,20 @@ different jobs overlap when each starts before the other ends.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ruletrace.functions.clock import epoch_seconds
-from ruletrace.operators.ordered import PIECE, PIECE_SECONDS, sums_before
+from ruletrace.operators.ordered import PIECE, PIECE_SECONDS
+from ruletrace.session import settled
 
 # Bucket widths for bookings of up to that length: one hour, and then eight times as long each.
 TIERS = [3600 * 8 ** k for k in range(8)]
 
 # Event order at one instant: an end comes before a moment without length, and that before
-# a start, because touching windows do not overlap.
-END, MOMENT, START = 0, 1, 2
+# a start, because touching windows do not overlap. The others take no part.
+END, MOMENT, START, BACKWARDS, OUTSIDE = 0, 1, 2, 3, 4
 
 
 def timed(assignments: DataFrame) -> DataFrame:
@@ -69,97 +72,156 @@ def overlap_pairs(rows: DataFrame, keep: list[str] | None = None,
 
 
 def _events(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """Start and end events of bookings: what they add to the running ones, and to the begun ones."""
+    """Events of bookings, with the piece of time they lie in: what they add to the running ones, and to the begun ones.
+
+    A booking that ends before it starts, and one without times or resource, adds nothing; its one event only says that it is there.
+    """
     def event(ts: str, mark: int, step: int, entry: int) -> str:
         return f"named_struct('at', {ts}, 'mark', {mark}, 'step', {step}L, 'entry', {entry}L)"
 
     both = f"array({event('start_ts', START, 1, 1)}, {event('end_ts', END, -1, 0)})"
-    moment = f"array({event('start_ts', MOMENT, 0, 1)})"
-    return (timed(rows).filter("work_id IS NOT NULL AND start_ts <= end_ts")
-            .selectExpr("resource_id", "work_id", "assignment_id", *keep,
-                        f"inline(if(start_ts < end_ts, {both}, {moment}))"))
+    shape = (f"CASE WHEN resource_id IS NULL OR start_ts IS NULL OR end_ts IS NULL THEN array({event('CAST(NULL AS TIMESTAMP_NTZ)', OUTSIDE, 0, 0)}) "
+             f"WHEN start_ts < end_ts THEN {both} WHEN start_ts = end_ts THEN array({event('start_ts', MOMENT, 0, 1)}) "
+             f"ELSE array({event('end_ts', BACKWARDS, 0, 0)}) END")
+    return (rows.filter("work_id IS NOT NULL")
+            .selectExpr("resource_id", "work_id", "assignment_id", *keep, f"inline({shape})")
+            .withColumn(PIECE, F.expr(f"floor({epoch_seconds('at')} / {PIECE_SECONDS})")))
 
 
 ORDER = ["at", "mark", "assignment_id"]
+BEGINS = f"mark IN ({MOMENT}, {START})"
 
 
-def _sweep(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """Events, each with two counts over the bookings of other jobs.
+def _counted(events: DataFrame) -> DataFrame:
+    """Events, each with two counts over the bookings of other jobs, taken inside the event's piece of time.
 
-    ``running`` is how many are under way at the event, ``begun`` how many have begun.
-    Both are taken over the whole resource and then over the same job, and subtracted.
+    ``running`` is how many are under way at the event, ``begun`` how many have begun. Both are taken over the whole
+    resource and over the same job, and subtracted; (resource, piece) deals the rows for both windows.
     """
-    events = sums_before(_events(rows, keep), ["resource_id"], ORDER, {"_run": "step", "_beg": "entry"})
-    events = sums_before(events, ["resource_id", "work_id"], ORDER, {"_run_same": "step", "_beg_same": "entry"})
-    return events.selectExpr("resource_id", "work_id", *keep, "at", "mark",
-                             "_run - _run_same AS running", "_beg - _beg_same AS begun")
+    whole = Window.partitionBy("resource_id", PIECE).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("resource_id", PIECE, "work_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    return (events.withColumns({"_run": before("step", whole), "_beg": before("entry", whole)})
+            .withColumns({"running": F.col("_run") - before("step", same), "begun": F.col("_beg") - before("entry", same)})
+            .drop("_run", "_beg"))
 
 
-def _backwards(rows: DataFrame) -> DataFrame:
-    """Bookings that end before they start.
+@dataclass(frozen=True)
+class Sweep:
+    """What one pass over start and end events leaves: a row per resource, job and piece of time.
 
-    A sweep cannot place them, yet they overlap a booking that encloses them, so they are
-    joined instead.
+    ``net`` and ``entries`` sum what the events add, ``pairs`` the bookings of other jobs under way at each beginning and
+    ``share`` what the job overlaps, both counted inside the piece. What runs on from earlier pieces is linear in these sums, so no
+    event is joined with anything. ``keys`` are columns that depend on the resource alone.
     """
-    return timed(rows).filter("work_id IS NOT NULL AND end_ts < start_ts")
 
+    rows: DataFrame
+    keys: list[str]
+    table: DataFrame
+    backwards: bool     # whether any booking ends before it starts; a sweep cannot place those, so they are joined
+
+    def carried(self) -> DataFrame:
+        """The table with what the same job has running and begun in earlier pieces."""
+        along = Window.partitionBy("resource_id", "work_id").orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+        return self.table.withColumns({"same_net": F.coalesce(F.sum("net").over(along), F.lit(0)),
+                                       "same_entries": F.coalesce(F.sum("entries").over(along), F.lit(0))})
+
+    def pieces(self) -> DataFrame:
+        """Per resource and piece: the pairs that begin in it, and what was running and had begun before."""
+        along = Window.partitionBy("resource_id").orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+        own = F.sum(F.col("pairs") - F.col("entries") * F.col("same_net"))
+        return (self.carried().groupBy("resource_id", *self.keys, PIECE)
+                .agg(own.alias("_own"), F.sum("entries").alias("_entries"), F.sum("net").alias("_net"))
+                .withColumns({"before": F.coalesce(F.sum("_net").over(along), F.lit(0)),
+                              "begun_before": F.coalesce(F.sum("_entries").over(along), F.lit(0))})
+                .select("resource_id", *self.keys, PIECE, "before", "begun_before",
+                        (F.col("_own") + F.col("_entries") * F.col("before")).alias("pairs")))
+
+    def backward_pairs(self) -> DataFrame | None:
+        if not self.backwards:
+            return None
+        return overlap_pairs(self.rows, keep=self.keys, later=timed(self.rows).filter("work_id IS NOT NULL AND end_ts < start_ts"))
+
+
+def sweep(rows: DataFrame, keys: list[str] | None = None) -> Sweep:
+    """Read the bookings once; the table is written to the shared folder, for all that is read off it."""
+    keys = keys or []
+    share = (F.when(F.col("mark") == START, F.col("running") - F.col("begun"))
+             .when(F.col("mark") == END, F.col("begun")).when(F.col("mark") == MOMENT, F.col("running")).otherwise(0))
+    table = settled(_counted(_events(rows, keys)).groupBy("resource_id", "work_id", *keys, PIECE).agg(
+        F.sum("step").alias("net"), F.sum("entry").alias("entries"),
+        F.sum(F.when(F.expr(BEGINS), F.col("running")).otherwise(0)).alias("pairs"), F.sum(share).alias("share"),
+        F.count_if(F.col("mark") == BACKWARDS).alias("backwards")), "sweep")
+    return Sweep(rows, keys, table, not table.filter("backwards > 0").isEmpty())
 
-def _running_pairs(events: DataFrame, keys: list[str], also: list[str]) -> DataFrame:
-    """Per group, the bookings under way at each beginning, summed: (keys, also, pairs).
 
-    Counted inside each piece of time first; what runs on from earlier pieces is one number per
-    piece and counts once for each beginning in it. No event is joined with anything.
-    """
-    inside = Window.partitionBy(*keys, PIECE).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    along = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
-    begins = F.col("mark") != END
-    pieces = (events.withColumn(PIECE, F.expr(f"floor({epoch_seconds('at')} / {PIECE_SECONDS})"))
-              .withColumn("_run", F.coalesce(F.sum("step").over(inside), F.lit(0)))
-              .groupBy(*keys, *also, PIECE)
-              .agg(F.sum(F.when(begins, F.col("_run")).otherwise(0)).alias("_own"),
-                   F.count_if(begins).alias("_begins"), F.sum("step").alias("_net"))
-              .withColumn("_before", F.coalesce(F.sum("_net").over(along), F.lit(0))))
-    return pieces.groupBy(*keys, *also).agg(
-        F.sum(F.col("_own") + F.col("_begins") * F.col("_before")).alias("pairs"))
-
-
-def overlap_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Overlapping pairs per resource, as (resource_id, keys, pairs); zero rows included.
-
-    ``keys`` are further columns that depend on the resource alone. Pairs of one job with itself
-    are counted too and taken off again.
+def overlap_counts(swept: Sweep) -> DataFrame:
+    """Overlapping pairs per resource, as (resource_id, keys, pairs); zero rows included."""
+    counts = swept.pieces().select("resource_id", *swept.keys, "pairs")
+    if (joined := swept.backward_pairs()) is not None:
+        counts = counts.unionByName(joined.select(
+            "resource_id", *[F.col(f"a_{k}").alias(k) for k in swept.keys], F.lit(1).cast("bigint").alias("pairs")))
+    return (counts.filter("resource_id IS NOT NULL").groupBy("resource_id", *swept.keys).agg(F.sum("pairs").alias("pairs")))
+
+
+def first_overlaps(swept: Sweep, size: int) -> DataFrame:
+    """The first ``size`` resources of each key with an overlap, as (resource_id, last, until).
+
+    At least ``size`` pairs, or all there are, lie within the pieces up to ``last``, and within the times up to ``until`` where that is
+    known; without ``last`` all do.
     """
-    own = ["resource_id", *keys]
-    every = _running_pairs(_events(rows, keys), ["resource_id"], keys)
-    same = (_running_pairs(_events(rows, keys), ["resource_id", "work_id"], keys).filter("pairs > 0")
-            .select(*own, (-F.col("pairs")).alias("pairs")))
-    joined = overlap_pairs(rows, keep=keys, later=_backwards(rows)).select(
-        "resource_id", *[F.col(f"a_{k}").alias(k) for k in keys], F.lit(1).cast("bigint").alias("pairs"))
-    return (every.unionByName(same).unionByName(joined)
-            .groupBy(*own).agg(F.sum("pairs").alias("pairs")))
-
-
-def first_overlap_times(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Start times of bookings that begin while another job runs, for finding early examples."""
-    times = (_sweep(rows, keys).filter((F.col("mark") != END) & (F.col("running") > 0))
-             .select("resource_id", *keys, "at"))
-    joined = overlap_pairs(rows, keep=keys, later=_backwards(rows))
-    return times.unionByName(joined.selectExpr(
-        "resource_id", *[f"a_{k} AS {k}" for k in keys], "greatest(a_start_ts, b_start_ts) AS at"))
-
-
-def overlapping_work(rows: DataFrame) -> DataFrame:
-    """The jobs holding a resource that is also on an overlapping job, each once.
-
-    A booking overlaps what runs at its start plus what begins before its end. The second
-    part is the begun count at its end less the one at its start, so each event carries its
-    share and the shares of a job are summed: no pair is ever formed.
+    pieces = swept.pieces().select("resource_id", *swept.keys, PIECE, "pairs", "before")
+    if (joined := swept.backward_pairs()) is not None:
+        at = F.expr(f"floor({epoch_seconds('greatest(a_start_ts, b_start_ts)')} / {PIECE_SECONDS})")
+        pieces = (pieces.unionByName(joined.select(
+            "resource_id", *[F.col(f"a_{k}").alias(k) for k in swept.keys], at.alias(PIECE), F.lit(1).cast("bigint").alias("pairs"),
+            F.lit(None).cast("bigint").alias("before")))
+            .groupBy("resource_id", *swept.keys, PIECE).agg(F.sum("pairs").alias("pairs"), F.max("before").alias("before")))
+    along = Window.partitionBy("resource_id").orderBy(PIECE)
+    full = F.sum("pairs").over(along) >= size
+    chosen = (pieces.withColumn("_full", full).groupBy("resource_id", *swept.keys)
+              .agg(F.sum("pairs").alias("pairs"), F.min(F.when(F.col("_full"), F.struct(PIECE, "before"))).alias("_last"))
+              .filter("pairs > 0")
+              .withColumn("rn", F.row_number().over(Window.partitionBy(*swept.keys or [F.lit(0)]).orderBy("resource_id")))
+              .filter(F.col("rn") <= size))
+    # A few resources a key by construction, so what follows reads one piece of each.
+    chosen = settled(chosen.select("resource_id", F.col(f"_last.{PIECE}").alias("last"), F.col("_last.before").alias("before")), "first")
+    where = chosen.filter("last IS NOT NULL").withColumnsRenamed({"resource_id": "_of"})
+    here = _counted(_events(swept.rows, []).join(where, (F.col("resource_id") == F.col("_of")) & (F.col(PIECE) == F.col("last"))))
+    same = (swept.table.join(where, (F.col("resource_id") == F.col("_of")) & (F.col(PIECE) < F.col("last")))
+            .groupBy(F.col("resource_id").alias("_r"), F.col("work_id").alias("_w")).agg(F.sum("net").alias("_same")))
+    running = F.col("running") + F.coalesce("before", F.lit(0)) - F.coalesce("_same", F.lit(0))
+    times = (here.join(same, (F.col("resource_id") == F.col("_r")) & (F.col("work_id") == F.col("_w")), "left")
+             .filter(F.expr(BEGINS) & (running > 0))
+             .withColumn("rn", F.row_number().over(Window.partitionBy("resource_id").orderBy("at"))).filter(F.col("rn") <= size)
+             .groupBy(F.col("resource_id").alias("_of")).agg(F.max("at").alias("_at"), F.count("*").alias("_n")))
+    return (chosen.join(times, F.col("resource_id") == F.col("_of"), "left")
+            .select("resource_id", "last", F.when(F.col("_n") >= size, F.col("_at")).alias("until")))
+
+
+def within_first(start: str = "start_ts") -> Column:
+    """Whether a booking begins early enough to be in the first pairs, beside the columns of ``first_overlaps``."""
+    return F.expr(f"CASE WHEN until IS NOT NULL THEN {start} <= until WHEN last IS NOT NULL "
+                  f"THEN floor({epoch_seconds(start)} / {PIECE_SECONDS}) <= last ELSE true END")
+
+
+def work_overlaps(swept: Sweep) -> DataFrame:
+    """Per job the bookings of other jobs that its resources' bookings overlap, counted at both; zero rows included.
+
+    A booking overlaps what runs at its start plus what begins before its end. The second part is the begun count at
+    its end less the one at its start, so each event carries its share and the shares of a job are summed: no pair is ever formed.
     """
-    share = (F.when(F.col("mark") == START, F.col("running") - F.col("begun"))
-             .when(F.col("mark") == END, F.col("begun"))
-             .otherwise(F.col("running")))
-    met = overlap_pairs(rows, later=_backwards(rows))
-    both = met.select(F.explode(F.array("a_work_id", "b_work_id")).alias("work_id"),
-                      F.lit(1).cast("bigint").alias("share"))
-    return (_sweep(rows, []).select("work_id", share.alias("share")).unionByName(both)
-            .groupBy("work_id").agg(F.sum("share").alias("overlaps")).filter("overlaps > 0"))
+    before = swept.pieces().select(F.col("resource_id").alias("_r"), F.col(PIECE).alias("_p"), "before", "begun_before")
+    share = (F.col("share") + F.col("entries") * (F.col("before") - F.col("same_net"))
+             - F.col("net") * (F.col("begun_before") - F.col("same_entries")))
+    shares = (swept.carried().join(before, (F.col("resource_id") == F.col("_r")) & (F.col(PIECE) == F.col("_p")), "left")
+              .select("work_id", F.coalesce(share, F.lit(0)).alias("share")))
+    if (joined := swept.backward_pairs()) is not None:
+        shares = shares.unionByName(joined.select(F.explode(F.array("a_work_id", "b_work_id")).alias("work_id"),
+                                                  F.lit(1).cast("bigint").alias("share")))
+    return shares.groupBy("work_id").agg(F.sum("share").alias("overlaps"))
+
+
+def overlapping_work(swept: Sweep) -> DataFrame:
+    """The jobs holding a resource that is also on an overlapping job, each once."""
+    return work_overlaps(swept).filter("overlaps > 0")

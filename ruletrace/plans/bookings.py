@@ -11,9 +11,11 @@ from ruletrace.functions.clock import minutes_between, within_day
 from ruletrace.functions.labels import candidate_id, sentence
 from ruletrace.guards import Guards
 from ruletrace.operators.distribution import histogram, left_edge
-from ruletrace.operators.intervals import first_overlap_times, overlap_counts, overlap_pairs, timed
+from ruletrace.operators.intervals import Sweep, first_overlaps, overlap_counts, overlap_pairs, sweep, timed, within_first
 from ruletrace.operators.ordered import next_in_group
 from ruletrace.plans import statements as text
+from ruletrace.plans.facts import Facts, facts
+from ruletrace.session import settled
 from ruletrace.sources.landing import Landing
 
 PROBE = "p03"
@@ -25,6 +27,12 @@ def booked_resources(landing: Landing) -> DataFrame:
     Counting before the join leaves one row per resource to match, however many bookings
     the busiest one has.
     """
+    if isinstance(landing, Facts):
+        return landing.once("booked", lambda: settled(_booked_resources(landing), "booked"))
+    return _booked_resources(landing)
+
+
+def _booked_resources(landing: Landing) -> DataFrame:
     counts = timed(landing.assignments).groupBy("resource_id").agg(F.count("*").alias("bookings"))
     known = landing.resources.filter("kind IS NOT NULL").select("resource_id", "kind", "name")
     return counts.join(known, "resource_id")
@@ -41,19 +49,33 @@ def kind_volumes(landing: Landing, guards: Guards = Guards()) -> DataFrame:
 def eligible_bookings(landing: Landing, min_assignments: int, *also: str) -> DataFrame:
     """Timed bookings of resources with enough of them, and the kind of the resource.
 
-    Each side is shuffled as it is, so adaptive execution may split a resource that most bookings have.
+    Each side is shuffled as it is, so adaptive execution may split a resource that most bookings have. Facts hold
+    them written down, with all that the plans need of them.
     """
+    if isinstance(landing, Facts):
+        return landing.once(f"bookings-{min_assignments}", lambda: settled(_eligible(landing, min_assignments, "name").select(
+            "resource_id", "work_id", "assignment_id", "role", "start_ts", "end_ts", "kind", "name"), "bookings"))
+    return _eligible(landing, min_assignments, *also)
+
+
+def _eligible(landing: Landing, min_assignments: int, *also: str) -> DataFrame:
     enough = (booked_resources(landing).filter(F.col("bookings") >= min_assignments)
               .select("resource_id", "kind", *also))
     return timed(landing.assignments).join(enough, "resource_id")
 
 
+def _swept(landing: Facts, guards: Guards) -> Sweep:
+    """The sweep over all eligible bookings, once for counts, examples and existence."""
+    least = guards.min_assignments_per_resource
+    return landing.once(f"sweep-{least}", lambda: sweep(eligible_bookings(landing, least), ["kind"]))
+
+
 def overlaps_on(landing: Landing, date: str, guards: Guards = Guards()) -> DataFrame:
     """Every pair of overlapping bookings of one eligible resource that has a booking begin on the day.
 
     All pairs of a table would be quadratic in a busy resource; counts and examples need none of them.
     """
-    rows = eligible_bookings(landing, guards.min_assignments_per_resource)
+    rows = eligible_bookings(facts(landing), guards.min_assignments_per_resource)
     near = rows.filter(within_day("start_ts", date))
     pairs = overlap_pairs(rows, keep=["kind"], later=near).unionByName(
         overlap_pairs(rows, keep=["kind"], earlier=near)).distinct()
@@ -67,16 +89,18 @@ def job_pairs(landing: Landing, guards: Guards = Guards()) -> DataFrame:
     window on a resource is in a pair of jobs as often as in a pair of windows, so those are counted by
     the sweep; only jobs with several windows are joined.
     """
+    landing = facts(landing)
     rows = eligible_bookings(landing, guards.min_assignments_per_resource)
     windows = (rows.filter("work_id IS NOT NULL").groupBy("kind", "resource_id", "work_id", "start_ts", "end_ts")
                .agg(F.min("assignment_id").alias("assignment_id")))
+    windows = settled(windows, "windows")
     several = (windows.groupBy("resource_id", F.col("work_id").alias("_work")).agg(F.count("*").alias("_n"))
                .filter("_n > 1").withColumnRenamed("resource_id", "_resource").drop("_n"))
     again = (F.col("resource_id") == F.col("_resource")) & (F.col("work_id") == F.col("_work"))
     single, many = windows.join(several, again, "left_anti"), windows.join(several, again, "left_semi")
-    counted = (overlap_counts(rows, ["kind"]).select("kind", F.col("pairs").alias("overlapping_pairs"),
+    counted = (overlap_counts(_swept(landing, guards)).select("kind", F.col("pairs").alias("overlapping_pairs"),
                                                      F.lit(0).cast("bigint").alias("distinct_job_pairs"))
-               .unionByName(overlap_counts(single, ["kind"]).select(
+               .unionByName(overlap_counts(sweep(single, ["kind"])).select(
                    "kind", F.lit(0).cast("bigint").alias("overlapping_pairs"), F.col("pairs").alias("distinct_job_pairs"))))
     joined = (overlap_pairs(windows, keep=["kind"], later=many)
               .unionByName(overlap_pairs(windows, keep=["kind"], earlier=many))
@@ -91,11 +115,11 @@ def job_pairs(landing: Landing, guards: Guards = Guards()) -> DataFrame:
 
 def exclusivity(landing: Landing, guards: Guards = Guards()) -> DataFrame:
     """Per kind with enough bookings: how many pairs overlap and how many resources do it."""
+    landing = facts(landing)
     volumes = kind_volumes(landing, guards).filter(
         (F.col("resources_over_floor") > 0)
         & (F.col("assignments_over_floor") >= guards.min_observations))
-    rows = eligible_bookings(landing, guards.min_assignments_per_resource)
-    found = (overlap_counts(rows, ["kind"]).groupBy("kind")
+    found = (overlap_counts(_swept(landing, guards)).groupBy("kind")
              .agg(F.sum("pairs").alias("overlapping_pairs"),
                   F.count_if(F.col("pairs") > 0).alias("resources_with_an_overlap")))
     return (volumes.join(found, "kind", "left")
@@ -107,22 +131,14 @@ def overlap_examples(landing: Landing, guards: Guards = Guards(),
     """The first overlapping pairs of each kind, by resource, start times and jobs.
 
     The order starts with the resource, and each resource with an overlap gives at least one
-    example, so the first ``size`` such resources of a kind hold them all. Within a resource,
-    ``size`` bookings that begin during another one fix a time by which as many pairs exist,
-    and a pair beyond it cannot come before them. Only those bookings are joined.
+    example, so the first ``size`` such resources of a kind hold them all. Within a resource
+    the sweep tells a time by which as many pairs exist, and a pair beyond it cannot come before them. Only
+    those bookings are joined.
     """
+    landing = facts(landing)
     rows = eligible_bookings(landing, guards.min_assignments_per_resource)
-    times = first_overlap_times(rows, ["kind"])
-    early = (times.withColumn("rn", F.row_number().over(
-                 Window.partitionBy("kind", "resource_id").orderBy("at")))
-             .filter(F.col("rn") <= size)
-             .groupBy("kind", "resource_id").agg(F.max("at").alias("until")))
-    chosen = (early.withColumn("rn", F.row_number().over(
-                  Window.partitionBy("kind").orderBy("resource_id")))
-              .filter(F.col("rn") <= size).select("resource_id", "until"))
-    near = rows.join(chosen, "resource_id")
-    pairs = overlap_pairs(rows, keep=["kind"], later=near.drop("until"),
-                          earlier=near.filter(F.col("start_ts") <= F.col("until")).drop("until"))
+    near = settled(rows.join(first_overlaps(_swept(landing, guards), size), "resource_id"), "near")
+    pairs = overlap_pairs(rows, keep=["kind"], later=near, earlier=near.filter(within_first()))
     order = ["resource_id", "a_start_ts", "b_start_ts", "a_work_id", "b_work_id",
              "a_assignment_id", "b_assignment_id"]
     return (pairs.withColumn("position", F.row_number().over(
@@ -135,6 +151,7 @@ def overlap_examples(landing: Landing, guards: Guards = Guards(),
 
 
 def exclusivity_candidates(landing: Landing, guards: Guards = Guards()) -> DataFrame:
+    landing = facts(landing)
     found = exclusivity(landing, guards)
     # At most ten examples per kind by construction, so this list is short.
     examples = (overlap_examples(landing, guards).groupBy("kind").agg(
@@ -163,7 +180,7 @@ def exclusivity_candidates(landing: Landing, guards: Guards = Guards()) -> DataF
 
 def gaps(landing: Landing, min_assignments: int) -> DataFrame:
     """Minutes from the end of each booking to the resource's next start, never negative."""
-    rows = eligible_bookings(landing, min_assignments).select(
+    rows = eligible_bookings(facts(landing), min_assignments).select(
         "kind", "resource_id", "assignment_id", "start_ts", "end_ts")
     follow = next_in_group(rows, ["resource_id"], ["start_ts", "assignment_id"],
                            {"next_start": "start_ts"})
@@ -178,6 +195,12 @@ def gap_counts(landing: Landing, min_assignments: int) -> DataFrame:
     ``resources`` counts the resources whose least gap it is, so it sums to the number of
     resources that have any gap, without a second pass over the bookings.
     """
+    if isinstance(landing, Facts):
+        return landing.once(f"gaps-{min_assignments}", lambda: settled(_gap_counts(landing, min_assignments), "gaps"))
+    return _gap_counts(landing, min_assignments)
+
+
+def _gap_counts(landing: Landing, min_assignments: int) -> DataFrame:
     counts = (gaps(landing, min_assignments).groupBy("kind", "resource_id", "gap_minutes").agg(F.count("*").alias("_n"))
               .withColumn("_least", F.min("gap_minutes").over(Window.partitionBy("resource_id"))))
     return counts.groupBy("kind", "gap_minutes").agg(
@@ -197,7 +220,7 @@ def _floors(counts: DataFrame, guards: Guards) -> DataFrame:
 
 
 def turnaround_candidates(landing: Landing, guards: Guards = Guards()) -> DataFrame:
-    counts = gap_counts(landing, guards.min_assignments_per_resource)
+    counts = gap_counts(facts(landing), guards.min_assignments_per_resource)
     found = _floors(counts, guards)
     # 24 bins per kind by construction.
     head = (histogram(counts, ["kind"], "gap_minutes", text.GAP_BIN_MINUTES, text.GAP_HEAD_BINS)
@@ -226,7 +249,7 @@ def turnaround_candidates(landing: Landing, guards: Guards = Guards()) -> DataFr
 def tight_gaps(landing: Landing, under: int = 30, kind: str = "",
                min_assignments: int = Guards.min_assignments_per_resource) -> DataFrame:
     """The shortest turnarounds by name: who, which job ended, which one started."""
-    rows = eligible_bookings(landing, min_assignments, "name").select(
+    rows = eligible_bookings(facts(landing), min_assignments, "name").select(
         F.coalesce("name", "resource_id").alias("name"), "kind", "resource_id", "assignment_id",
         "work_id", "role", "start_ts", "end_ts")
     if kind:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ruletrace.functions.clock import days_between
 from ruletrace.functions.labels import UNTYPED, source_of
-from ruletrace.operators.intervals import overlapping_work
+from ruletrace.operators.intervals import sweep, work_overlaps
 from ruletrace.plans import days, statements as text
 from ruletrace.sources.landing import Landing
 
@@ -140,12 +140,17 @@ def repeated_jobs(landing: Landing, field: str) -> DataFrame:
 
 
 def overlap_rate(landing: Landing, field: str) -> DataFrame:
-    """Jobs holding a resource that is also on an overlapping job: touched ones against all."""
-    overlapping = overlapping_work(landing.assignments)
+    """Jobs holding a resource that is also on an overlapping job: touched ones against all.
+
+    One sweep over the assignments names every job with crew, and whether it overlaps; it meets the touched jobs and the
+    table of jobs once.
+    """
+    crewed = work_overlaps(sweep(landing.assignments)).select("work_id", (F.col("overlaps") > 0).alias("overlapping"))
     touched = touched_jobs(landing, field).withColumn("touched", F.lit(True))
-    counts = overlapping.join(touched, "work_id", "left").agg(
-        F.count_if("touched").alias("overlap_here"), F.count("*").alias("overlap_everywhere"))
-    return (counts.withColumn("touched_jobs", _touched(landing, field))
-            .withColumn("all_jobs", _staffed(landing))
+    known = landing.work.select("work_id").distinct().withColumn("known", F.lit(True))
+    both = crewed.join(touched, "work_id", "full").join(known, "work_id", "left")
+    return (both.agg(F.count_if(F.col("touched") & F.col("overlapping")).alias("overlap_here"),
+                     F.count_if("overlapping").alias("overlap_everywhere"), F.count_if("touched").alias("touched_jobs"),
+                     F.count_if(F.col("known") & F.col("overlapping").isNotNull()).alias("all_jobs"))
             .withColumn("share_here", F.col("overlap_here") / F.col("touched_jobs"))
             .withColumn("share_everywhere", F.col("overlap_everywhere") / F.col("all_jobs")))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Partition counts are left to adaptive execution: it starts from the cluster's own
 # spark.sql.shuffle.partitions and coalesces, so no number is baked in here.
@@ -38,8 +39,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="ruletrace-checkpoint-")
     spark.sparkContext.setCheckpointDir(shared)
     return shared
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The frame written once to the shared folder and read back: what several plans read is made one time,
+    and files outlive the executors that wrote them."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

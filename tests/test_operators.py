@@ -4,7 +4,7 @@ import pytest
 
 from frames import at, booking, frame
 from ruletrace.operators import distribution as d
-from ruletrace.operators.intervals import overlap_counts, overlap_pairs, overlapping_work
+from ruletrace.operators.intervals import overlap_counts, overlap_pairs, overlapping_work, sweep
 from ruletrace.operators.ordered import next_in_group, sums_before
 
 
@@ -79,17 +79,17 @@ def test_overlaps_against_all_pairs(spark, seed, backwards):
     per_resource = {}
     for a, _ in pairs:
         per_resource[a["resource_id"]] = per_resource.get(a["resource_id"], 0) + 1
-    got = overlap_counts(df, []).filter("pairs > 0")
+    got = overlap_counts(sweep(df)).filter("pairs > 0")
     assert rows(got, "resource_id", "pairs") == sorted(per_resource.items())
 
     jobs = {x["work_id"] for pair in pairs for x in pair}
-    assert [r[0] for r in rows(overlapping_work(df), "work_id")] == sorted(jobs)
+    assert [r[0] for r in rows(overlapping_work(sweep(df)), "work_id")] == sorted(jobs)
 
 
 def test_touching_windows_do_not_overlap(spark):
     df = frame(spark, "assignments", [booking(1, "r", "w1", 0, 60), booking(2, "r", "w2", 60, 90)])
     assert overlap_pairs(df).count() == 0
-    assert overlap_counts(df, []).filter("pairs > 0").count() == 0
+    assert overlap_counts(sweep(df)).filter("pairs > 0").count() == 0
 
 
 def counts(spark, values):
