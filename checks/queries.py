@@ -442,20 +442,25 @@ def _score(spark, sf_dir):
     return found, key, scoring.judged_rows(found, key, views.verdicts(spark, sf_dir))
 
 
+def _tally(spark, sf_dir):
+    found, key = views.found(spark, sf_dir), views.known_rules(spark, sf_dir)
+    return found, key, scoring.tally(found, key, views.verdicts(spark, sf_dir))
+
+
 @query
 def score_headline(spark, sf_dir):
-    return scoring.headline(*_score(spark, sf_dir))
+    return scoring.headline(*_tally(spark, sf_dir))
 
 
 @query
 def score_recall(spark, sf_dir):
-    _, key, judged = _score(spark, sf_dir)
+    _, key, judged = _tally(spark, sf_dir)
     return scoring.recall_by(scoring.recovery(key, judged))
 
 
 @query
 def score_memory_split(spark, sf_dir):
-    _, key, judged = _score(spark, sf_dir)
+    _, key, judged = _tally(spark, sf_dir)
     return scoring.memory_split(scoring.recovery(key, judged))
 
 
@@ -472,18 +477,18 @@ def score_new_finds(spark, sf_dir):
 
 @query
 def score_unrecovered(spark, sf_dir):
-    _, key, judged = _score(spark, sf_dir)
+    _, key, judged = _tally(spark, sf_dir)
     return scoring.unrecovered(key, judged)
 
 
 @query
 def score_multi_cover(spark, sf_dir):
-    return scoring.multi_cover(_score(spark, sf_dir)[2])
+    return scoring.multi_cover(_tally(spark, sf_dir)[2])
 
 
 @query
 def score_covered_keys(spark, sf_dir):
-    return scoring.covered_keys(_score(spark, sf_dir)[2])
+    return scoring.covered_keys(_tally(spark, sf_dir)[2])
 
 
 @query

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ruletrace.plans import scoring
 from ruletrace.plans.scoring import Run
+from ruletrace.session import settled
 
 
 def same_profile(rich: Run, lean: Run) -> bool:
@@ -32,42 +33,50 @@ def probe_delta(rich: Run, lean: Run) -> DataFrame:
     return _beside(*counts, ["probe"])
 
 
-def _judged(run: Run, key: DataFrame) -> DataFrame:
-    return scoring.judged_rows(run.candidates, key, run.verdicts)
+RUNS = ("rich", "lean")
+
+
+def _both(rich: DataFrame, lean: DataFrame) -> DataFrame:
+    """Rows of both runs in one frame, told apart by ``run``."""
+    return rich.withColumn("run", F.lit("rich")).unionByName(lean.withColumn("run", F.lit("lean")))
+
+
+def _found(rich: Run, lean: Run) -> DataFrame:
+    return _both(*[r.candidates.select("candidate_id") for r in (rich, lean)])
+
+
+def _judged(rich: Run, lean: Run, key: DataFrame) -> DataFrame:
+    """The verdicts of both runs judged together: each run's sheet is read once."""
+    columns = ["row_no", "candidate_id", "key_id", "verdict", "note"]
+    given = _both(*[r.verdicts.select(*columns) for r in (rich, lean)])
+    return scoring.tally(_found(rich, lean), key, given, ("run",))
 
 
 def headline_delta(rich: Run, lean: Run, key: DataFrame) -> DataFrame:
     """recall, precision, novelty and candidates of both runs, and the change, as rows."""
-    def measures(run: Run, side: str) -> DataFrame:
-        head = scoring.headline(run.candidates, key, _judged(run, key))
-        return (head.select("recall", "precision", F.col("novelty").cast("double").alias("novelty"),
-                            F.col("candidates").cast("double").alias("candidates"))
-                .unpivot([], ["recall", "precision", "novelty", "candidates"], "measure", side))
-
-    return (measures(rich, "rich").join(measures(lean, "lean"), "measure")
+    measures = scoring.headline_measures(_found(rich, lean), key, _judged(rich, lean, key), RUNS)
+    return (measures.groupBy("measure").agg(*[F.max(F.when(F.col("run") == r, F.col("value"))).alias(r) for r in RUNS])
             .withColumn("change", F.col("lean") - F.col("rich")))
 
 
 def survival(rich: Run, lean: Run, key: DataFrame) -> DataFrame:
     """Per constraint type and per source, whether what the richer run found is still found."""
-    sides = [scoring.recall_by(scoring.recovery(key, _judged(r, key)))
-             .filter("bucket IN ('type', 'source')") for r in (rich, lean)]
-    both = _beside(*sides, ["bucket", "value"])
+    both = (scoring.recall_by(scoring.recovery(key, _judged(rich, lean, key), RUNS), RUNS)
+            .filter("bucket IN ('type', 'source')"))
     a, b = F.col("rich_recovered"), F.col("lean_recovered")
     verdict = (F.when((a > 0) & (b >= a), F.lit("yes")).when((a > 0) & (b > 0), F.lit("partly"))
                .when(a > 0, F.lit("lost entirely")).when(b > 0, F.lit("only in the leaner run"))
                .otherwise(F.lit("neither run found it")))
-    return both.select("bucket", "value", "rich_recovered", "lean_recovered",
-                       F.greatest("rich_total", "lean_total").alias("total"),
-                       verdict.alias("survives"))
+    return both.select("bucket", "value", "rich_recovered", "lean_recovered", "total", verdict.alias("survives"))
 
 
 def moved_keys(rich: Run, lean: Run, key: DataFrame) -> DataFrame:
     """Key rows recovered by one run only, one row per candidate that found them."""
-    a, b = [scoring.matched_keys(_judged(r, key)) for r in (rich, lean)]
-    lost = a.join(b.select("key_id"), "key_id", "left_anti").withColumn("moved", F.lit("lost"))
-    gained = b.join(a.select("key_id"), "key_id", "left_anti").withColumn("moved", F.lit("gained"))
-    rows = lost.unionByName(gained).withColumnRenamed("candidate_id", "found_by")
+    matched = settled(scoring.matched_keys(_judged(rich, lean, key)), "matched")
+    once = (matched.groupBy("key_id").agg(F.min("run").alias("_run"), F.max("run").alias("_other"))
+            .filter("_run = _other").select("key_id"))
+    moved = F.when(F.col("run") == "rich", F.lit("lost")).otherwise(F.lit("gained"))
+    rows = matched.join(once, "key_id").select("key_id", F.col("candidate_id").alias("found_by"), moved.alias("moved"))
     return key.select("key_id", "type", "statement").join(rows, "key_id")
 
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ruletrace.functions.cells import strip
 from ruletrace.functions.labels import scope_of
+from ruletrace.session import settled
 
 VERDICTS = ("MATCH", "NEW", "FALSE")
 
@@ -28,41 +29,65 @@ def _text(name: str) -> Column:
     return F.expr(strip(f"coalesce({name}, '')"))
 
 
-def judged_rows(found: DataFrame, key: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Verdict rows with the first rule each breaks in ``problem``, null for a sound row.
-
-    A row without candidate or verdict is not a verdict and is left out. A candidate's first
-    sound row fixes its verdict, and later rows that differ are problems.
-    """
+def _checked(found: DataFrame, key: DataFrame, verdicts: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Verdict rows with the first rule each breaks by itself in ``problem``; read once."""
     rows = verdicts.select(
-        "row_no", _text("candidate_id").alias("candidate_id"), _text("key_id").alias("key_id"),
+        *by, "row_no", _text("candidate_id").alias("candidate_id"), _text("key_id").alias("key_id"),
         F.upper(_text("verdict")).alias("verdict"), _text("note").alias("note")).filter(
         "candidate_id <> ''")
-    known = found.select("candidate_id").distinct().withColumn("known", F.lit(True))
+    known = found.select(*by, "candidate_id").distinct().withColumn("known", F.lit(True))
     verdict, key_id = F.col("verdict"), F.col("key_id")
-    # Most rows name no key. They need no look at the keys, and would all meet in one place.
-    keyed = (rows.filter("key_id <> ''").select("key_id").distinct()
-             .join(key.select("key_id").distinct(), "key_id", "left_semi").withColumn("keyed", F.lit(True)))
-    looked_up = (rows.withColumn("_looked_up", F.nullif(key_id, F.lit(""))).join(known, "candidate_id", "left")
-                 .join(keyed.withColumnRenamed("key_id", "_key"), F.coalesce(
-                     "_looked_up", F.concat(F.lit("\0"), "row_no")) == F.col("_key"), "left"))
-    checked = (looked_up.filter("known IS NULL OR verdict <> ''")
-               .withColumn("problem",
-                           F.when(F.col("known").isNull(), F.lit(UNKNOWN_CANDIDATE))
-                           .when(~verdict.isin(*VERDICTS), F.lit(BAD_VERDICT))
-                           .when((verdict == "MATCH") & (key_id == ""), F.lit(MATCH_WITHOUT_KEY))
-                           .when((key_id != "") & F.col("keyed").isNull(), F.lit(UNKNOWN_KEY)))
-               .drop("known", "keyed", "_key", "_looked_up"))
+    keyed = key.select(F.col("key_id").alias("_key")).distinct().withColumn("keyed", F.lit(True))
+    # Most rows name no key. They find none, and would all meet in one place.
+    named = F.coalesce(F.nullif(key_id, F.lit("")), F.concat(F.lit("\0"), F.col("row_no").cast("string")))
+    looked_up = rows.join(known, [*by, "candidate_id"], "left").join(keyed, named == F.col("_key"), "left")
+    return (looked_up.filter("known IS NULL OR verdict <> ''")
+            .withColumn("problem",
+                        F.when(F.col("known").isNull(), F.lit(UNKNOWN_CANDIDATE))
+                        .when(~verdict.isin(*VERDICTS), F.lit(BAD_VERDICT))
+                        .when((verdict == "MATCH") & (key_id == ""), F.lit(MATCH_WITHOUT_KEY))
+                        .when((key_id != "") & F.col("keyed").isNull(), F.lit(UNKNOWN_KEY)))
+            .drop("known", "keyed", "_key"))
+
+
+def judged_rows(found: DataFrame, key: DataFrame, verdicts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Verdict rows with the first rule each breaks in ``problem``, null for a sound row.
+
+    A row without candidate or verdict is not a verdict and is left out. A candidate's first
+    sound row fixes its verdict, and later rows that differ are problems. ``by`` names columns that tell
+    several runs in one frame apart.
+    """
+    checked, each = _checked(found, key, verdicts, by), [*by, "candidate_id"]
     # The first verdict is an aggregate, so a candidate with very many rows is reduced
     # map-side instead of being sorted in one task.
-    first = (checked.filter("problem IS NULL").groupBy("candidate_id")
+    first = (checked.filter("problem IS NULL").groupBy(*each)
              .agg(F.min_by("verdict", "row_no").alias("first_verdict")))
-    return (checked.join(first, "candidate_id", "left")
+    return (checked.join(first, each, "left")
             .withColumn("problem", F.when(
-                F.col("problem").isNull() & (verdict != F.col("first_verdict")), F.lit(DISAGREES))
+                F.col("problem").isNull() & (F.col("verdict") != F.col("first_verdict")), F.lit(DISAGREES))
                 .otherwise(F.col("problem"))))
 
 
+def tally(found: DataFrame, key: DataFrame, verdicts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The sound verdicts as (by, candidate_id, verdict, key_id), each once, from one look at the verdict rows.
+
+    Equal rows are reduced map-side first. What is left of a candidate is at most one row per verdict and known rule, and
+    a window over those finds the verdict that came first.
+    """
+    each = [*by, "candidate_id"]
+    few = (_checked(found, key, verdicts, by).filter("problem IS NULL").groupBy(*each, "verdict", "key_id")
+           .agg(F.min("row_no").alias("row_no")))
+    first = F.first("verdict").over(Window.partitionBy(*each).orderBy("row_no"))
+    return few.withColumn("_first", first).filter("verdict = _first").drop("row_no", "_first")
+
+
+def _tally(judged: DataFrame) -> DataFrame:
+    """Judged rows as a tally; a tally stays what it is."""
+    if "problem" not in judged.columns:
+        return judged
+    return sound(judged).drop("row_no", "note", "problem", "first_verdict").distinct()
+
+
 def problems(judged: DataFrame) -> DataFrame:
     return judged.filter("problem IS NOT NULL").select(
         "row_no", "candidate_id", "key_id", "verdict", "problem",
@@ -74,39 +99,45 @@ def sound(judged: DataFrame) -> DataFrame:
 
 
 def matched_keys(judged: DataFrame) -> DataFrame:
-    """(key_id, candidate_id) of every sound match."""
-    return sound(judged).filter("verdict = 'MATCH'").select("key_id", "candidate_id").distinct()
+    """(key_id, candidate_id) of every sound match, and what tells runs apart; from judged rows or a tally."""
+    return _tally(judged).filter("verdict = 'MATCH'").drop("verdict")
 
 
-def per_candidate(judged: DataFrame) -> DataFrame:
+def per_candidate(judged: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The verdict of each judged candidate, once, with how many key rows it names."""
-    return sound(judged).groupBy("candidate_id").agg(
+    return _tally(judged).groupBy(*by, "candidate_id").agg(
         F.min("verdict").alias("verdict"),
         F.countDistinct(F.when(F.col("key_id") != "", F.col("key_id"))).alias("keys"))
 
 
-def recovery(key: DataFrame, judged: DataFrame) -> DataFrame:
-    """Key rows with their buckets and whether a candidate recovered them."""
-    hit = matched_keys(judged).select("key_id").distinct().withColumn("hit", F.lit(1))
+def _hit(name: str) -> Column:
+    return F.coalesce(name, F.lit(0)).cast("bigint").alias(name)
+
+
+def recovery(key: DataFrame, judged: DataFrame, runs: tuple[str, ...] = ()) -> DataFrame:
+    """Key rows with their buckets and whether a candidate recovered them, in ``hit`` or in a column for each of the runs."""
+    matched = matched_keys(judged)
+    sides = [F.max((F.col("run") == r).cast("int")).alias(r) for r in runs] or [F.max(F.lit(1)).alias("hit")]
+    hits = matched.groupBy("key_id").agg(*sides)
     blank = lambda c, fill: F.coalesce(F.nullif(c, F.lit("")), F.lit(fill))
-    return (key.join(hit, "key_id", "left")
+    return (key.join(hits, "key_id", "left")
             .select("key_id", "statement",
                     blank(_text("type"), "(untyped)").alias("type"),
                     blank(F.lower(_text("source")), "(unrecorded)").alias("source"),
-                    F.expr(scope_of("notes")).alias("scope"),
-                    F.coalesce("hit", F.lit(0)).cast("bigint").alias("hit")))
+                    F.expr(scope_of("notes")).alias("scope"), *[_hit(r) for r in runs or ("hit",)]))
 
 
-def recall_by(recovered: DataFrame) -> DataFrame:
-    """Recovered rows and totals by type, by source, by scope and over all, in one pass."""
+def recall_by(recovered: DataFrame, runs: tuple[str, ...] = ()) -> DataFrame:
+    """Recovered rows and totals by type, by source, by scope and over all, in one pass over any number of runs."""
+    sums = [F.sum(r).alias(f"{r}_recovered") for r in runs] or [F.sum("hit").alias("recovered")]
     return (recovered.groupingSets([["type"], ["source"], ["scope"], []], "type", "source", "scope")
-            .agg(F.sum("hit").alias("recovered"), F.count("*").alias("total"),
+            .agg(*sums, F.count("*").alias("total"),
                  F.grouping("type").alias("_t"), F.grouping("source").alias("_s"),
                  F.grouping("scope").alias("_o"))
             .select(F.when(F.col("_t") == 0, F.lit("type")).when(F.col("_s") == 0, F.lit("source"))
                     .when(F.col("_o") == 0, F.lit("scope")).otherwise(F.lit("all")).alias("bucket"),
                     F.coalesce("type", "source", "scope", F.lit("all")).alias("value"),
-                    "recovered", "total"))
+                    *[f"{r}_recovered" for r in runs] or ["recovered"], "total"))
 
 
 def memory_split(recovered: DataFrame) -> DataFrame:
@@ -116,28 +147,54 @@ def memory_split(recovered: DataFrame) -> DataFrame:
         F.sum("hit").alias("recovered"), F.count("*").alias("total"))
 
 
-def headline(found: DataFrame, key: DataFrame, judged: DataFrame) -> DataFrame:
-    """One row of totals. Unjudged candidates count against precision."""
-    recovered = recovery(key, judged)
+def _ratio(part: Column, whole: Column) -> Column:
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+
+
+def _counts_of(name: str) -> list[Column]:
+    """Recovered key rows of operating scope, and of any, by the hits in a column."""
     operating = F.col("scope") == "operating"
-    keys = recovered.agg(
-        F.count_if(operating & (F.col("hit") == 1)).alias("recall_hit"),
-        F.count_if(operating).alias("recall_total"),
-        F.coalesce(F.sum("hit"), F.lit(0)).alias("recall_all_hit"), F.count("*").alias("key_rows"))
-    by = per_candidate(judged)
+    return [F.count_if(operating & (F.col(name) == 1)).alias("recall_hit"), F.count_if(operating).alias("recall_total"),
+            F.coalesce(F.sum(name), F.lit(0)).alias("recall_all_hit"), F.count("*").alias("key_rows")]
+
+
+def _verdict_counts() -> list[Column]:
     count = lambda v: F.count_if(F.col("verdict") == v)
-    verdicts = by.agg(count("MATCH").alias("matched"), count("NEW").alias("novelty"),
-                      count("FALSE").alias("false"), F.count("*").alias("scored"))
+    return [count("MATCH").alias("matched"), count("NEW").alias("novelty"), count("FALSE").alias("false"),
+            F.count("*").alias("scored")]
+
+
+def headline(found: DataFrame, key: DataFrame, judged: DataFrame) -> DataFrame:
+    """One row of totals. Unjudged candidates count against precision."""
+    judged = settled(_tally(judged), "tally")  # read for keys and for candidates
+    keys = recovery(key, judged).agg(*_counts_of("hit"))
+    verdicts = per_candidate(judged).agg(*_verdict_counts())
     total = found.agg(F.count("*")).scalar()
     both = verdicts.withColumn("_keys", keys.select(F.struct("*")).scalar()).select("*", "_keys.*")
-    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return (both.withColumn("candidates", total)
             .select("recall_hit", "recall_total",
-                    ratio(F.col("recall_hit"), F.col("recall_total")).alias("recall"),
-                    ratio(F.col("recall_all_hit"), F.col("key_rows")).alias("recall_all"),
+                    _ratio(F.col("recall_hit"), F.col("recall_total")).alias("recall"),
+                    _ratio(F.col("recall_all_hit"), F.col("key_rows")).alias("recall_all"),
                     "matched", "novelty", "false", "scored",
                     (F.col("candidates") - F.col("scored")).alias("unscored"), "candidates",
-                    ratio(F.col("matched") + F.col("novelty"), F.col("candidates")).alias("precision")))
+                    _ratio(F.col("matched") + F.col("novelty"), F.col("candidates")).alias("precision")))
+
+
+def headline_measures(found: DataFrame, key: DataFrame, judged: DataFrame, runs: tuple[str, ...]) -> DataFrame:
+    """recall, precision, novelty and candidates per run, as (run, measure, value); ``found`` and the tally carry ``run``."""
+    judged = settled(judged, "tally")
+    recovered = recovery(key, judged, runs)
+    recall = recovered.agg(*[F.struct(*_counts_of(r)).alias(r) for r in runs])
+    recall = recall.select(F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.col(f"{r}.recall_hit"), F.col(f"{r}.recall_total"))
+                                               for r in runs])).alias("r")).select("r.*")
+    verdicts = per_candidate(judged, ("run",)).groupBy("run").agg(*_verdict_counts())
+    produced = found.groupBy("run").agg(F.count("*").alias("candidates"))
+    both = recall.join(verdicts, "run", "left").join(produced, "run", "left").fillna(0)
+    return both.select(
+        "run", _ratio(F.col("recall_hit"), F.col("recall_total")).alias("recall"),
+        _ratio(F.col("matched") + F.col("novelty"), F.col("candidates")).alias("precision"),
+        F.col("novelty").cast("double").alias("novelty"), F.col("candidates").cast("double").alias("candidates"),
+    ).unpivot(["run"], ["recall", "precision", "novelty", "candidates"], "measure", "value")
 
 
 def new_finds(found: DataFrame, judged: DataFrame) -> DataFrame:
