@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ruletrace.functions.clock import epoch_seconds
+from ruletrace.session import settled
 
 PIECE_SECONDS = 7 * 24 * 3600
 PIECE = "_piece"
@@ -54,3 +55,24 @@ def sums_before(df: DataFrame, keys: list[str], order: list[str], sums: dict[str
             .join(offsets, [*keys, PIECE])
             .withColumns({o: F.col(o) + F.col(f"_{o}") for o in sums})
             .drop(PIECE, *[f"_{o}" for o in sums]))
+
+
+PLACE_BITS = 33  # of monotonically_increasing_id
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Add each row's number in the order, from 1, without sorting all rows in one task.
+
+    Rows are dealt by ranges of the order and numbered inside them; one count per range, of which there are as many
+    as shuffle partitions, tells how many come before.
+    """
+    dealt = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    parts = dealt.groupBy(F.shiftright("_id", PLACE_BITS).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    before, starts = 0, []
+    for part in parts:
+        starts.append((part["part"], before))
+        before += part["n"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "_part long, _before long"))
+    inside = F.col("_id").bitwiseAND((1 << PLACE_BITS) - 1)
+    return (dealt.withColumn("_part", F.shiftright("_id", PLACE_BITS)).join(offsets, "_part")
+            .withColumn(name, F.col("_before") + inside + 1).select(*df.columns, name))

@@ -12,8 +12,10 @@ from ruletrace.functions.clock import with_weekday
 from ruletrace.functions.labels import job_label, record_url
 from ruletrace.guards import Guards
 from ruletrace.plans import bookings, ceilings, overrides, population
+from ruletrace.plans.facts import run_facts
 from ruletrace.sources.landing import Landing, volumes
 from ruletrace.sources.profiles import Profile
+from ruletrace.sources.sink import write_ordered
 
 ORDER = ["probe", "proposed_type", "candidate_id"]
 PROBES = {
@@ -27,7 +29,8 @@ VERDICT_COLUMNS = ["candidate_id", "key_id", "verdict", "note"]
 
 def candidates(landing: Landing, guards: Guards = Guards(),
                probes: list[str] | None = None) -> DataFrame:
-    """Candidates of the chosen probes, all by default, in a total order."""
+    """Candidates of the chosen probes, all by default, in a total order. The probes share the facts of the run."""
+    landing = run_facts(landing)
     chosen = [probe for name in PROBES if not probes or name in probes for probe in PROBES[name]]
     return reduce(DataFrame.unionByName, [p(landing, guards) for p in chosen]).orderBy(*ORDER)
 
@@ -38,12 +41,13 @@ def per_probe(found: DataFrame) -> DataFrame:
 
 def write_run(landing: Landing, profile: Profile, path: str, guards: Guards = Guards(),
               probes: list[str] | None = None) -> None:
-    """Candidates, input volumes and a blank verdict sheet. No clock is read, so a rerun on
-    the same input writes the same rows."""
+    """Candidates, input volumes and a blank verdict sheet. No clock is read, and candidates and volumes go to files with
+    fixed names in a total order, so a rerun on the same input writes the same bytes."""
     named = F.lit(profile.label).alias("profile")
+    landing = run_facts(landing)
     found = candidates(landing, guards, probes)
-    found.select(named, "*").write.mode("overwrite").json(f"{path}/candidates")
-    volumes(landing).select(named, "*").write.mode("overwrite").json(f"{path}/volumes")
+    write_ordered(found.select(named, "*"), [F.col(c) for c in ORDER], f"{path}/candidates")
+    write_ordered(volumes(landing).select(named, "*"), [F.col("landing_table")], f"{path}/volumes")
     spark = found.sparkSession
     spark.createDataFrame([{"profile": profile.label, **asdict(guards)}]).write.mode("overwrite").json(f"{path}/guards")
     written = found.sparkSession.read.json(f"{path}/candidates")

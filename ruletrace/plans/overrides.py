@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ruletrace.functions.clock import days_between
 from ruletrace.functions.labels import UNRECORDED, candidate_id, sentence
 from ruletrace.guards import Guards
 from ruletrace.operators.distribution import spread
+from ruletrace.operators.ordered import numbered
 from ruletrace.plans import statements as text
+from ruletrace.plans.facts import Facts
+from ruletrace.session import settled
 from ruletrace.sources.landing import Landing
 
 PROBE = "p08"
@@ -22,17 +25,23 @@ def changed_after_set(landing: Landing) -> DataFrame:
 def override_rank(landing: Landing, guards: Guards = Guards()) -> DataFrame:
     """Overridden fields with enough events, most frequent first.
 
-    The rank runs over the distinct fields, after counting. ``all_changes`` counts every
+    The rank runs over the distinct fields, after counting, by ranges of their order. ``all_changes`` counts every
     change, also those that were never set before.
     """
+    if isinstance(landing, Facts):
+        return landing.once(f"rank-{guards.min_change_events}", lambda: settled(_override_rank(landing, guards), "rank"))
+    return _override_rank(landing, guards)
+
+
+def _override_rank(landing: Landing, guards: Guards) -> DataFrame:
     events = changed_after_set(landing).groupBy(*KEYS).agg(
         F.count("*").alias("events"), F.countDistinct("entity_id").alias("entities"),
         F.countDistinct("changed_by").alias("actors"),
         F.min("changed_at").alias("first_seen"), F.max("changed_at").alias("last_seen"))
     total = landing.changes.agg(F.count("*")).scalar()
-    rank = F.row_number().over(Window.orderBy(F.desc("events"), *KEYS))
-    return (events.filter(F.col("events") >= guards.min_change_events)
-            .withColumn("rank", rank).withColumn("all_changes", total))
+    enough = events.filter(F.col("events") >= guards.min_change_events)
+    order = [F.desc("events"), *[F.col(k).asc_nulls_first() for k in KEYS]]
+    return numbered(enough, order, "rank").withColumn("all_changes", total)
 
 
 def override_actors(landing: Landing) -> DataFrame:

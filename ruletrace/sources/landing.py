@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ruletrace.sources.files import path_exists, read_text, remove, replace_text
+
 STAMP = "source_system string, source_id string, extracted_at timestamp_ntz"
 
 SCHEMAS = {
@@ -71,9 +75,40 @@ def conform(df: DataFrame, table: str) -> DataFrame:
                            for name, kind in types_of(table).items()])
 
 
+CURRENT = "current.json"
+
+
+def loads(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the published loads under ``path``, the newest first."""
+    noted = f"{path}/{CURRENT}"
+    return json.loads(read_text(spark, noted))["loads"] if path_exists(spark, noted) else []
+
+
+def write_landing(landing: Landing, path: str, keep: int = 2) -> None:
+    """Write the six tables to a folder of their own below ``path``, then publish them as one.
+
+    What readers are shown is named by one small file that is replaced last, in one step. A load that fails leaves the
+    one before as it was. ``keep`` loads stay, for readers that are still on the one before.
+    """
+    spark = landing.work.sparkSession
+    before, load = loads(spark, path), f"load-{uuid4().hex}"
+    try:
+        for name, df in landing.tables().items():
+            df.write.parquet(f"{path}/{load}/{name}")
+    except BaseException:
+        remove(spark, f"{path}/{load}")
+        raise
+    kept = [load, *before][:max(1, keep)]
+    replace_text(spark, f"{path}/{CURRENT}", json.dumps({"loads": kept}))
+    for old in {load, *before} - set(kept):
+        remove(spark, f"{path}/{old}")
+
+
 def read_landing(spark: SparkSession, path: str) -> Landing:
-    """Landing tables as ``write_landing`` left them."""
-    return Landing(**{t: spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}") for t in TABLES})
+    """The landing tables of the last published load, or those of a folder that holds just tables."""
+    published = loads(spark, path)
+    folder = f"{path}/{published[0]}" if published else path
+    return Landing(**{t: spark.read.schema(SCHEMAS[t]).parquet(f"{folder}/{t}") for t in TABLES})
 
 
 def volumes(landing: Landing) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ruletrace.session import ensure_checkpoint_dir
 from ruletrace.sources import build as builders
-from ruletrace.sources.landing import Landing, read_landing, repeated_keys, volumes
+from ruletrace.sources.landing import Landing, read_landing, repeated_keys, volumes, write_landing
 from ruletrace.sources.mapping import DEFAULT_MAP, specs, wanted_columns
 from ruletrace.sources.profiles import Profile, get_profile
 from ruletrace.sources.reader import carried_columns, list_names, read_table
@@ -39,11 +39,6 @@ class LoadReport:
     unlisted_override_columns: list[tuple[str, str]]
 
 
-def write_landing(landing: Landing, path: str) -> None:
-    for name, df in landing.tables().items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
 def column_report(staged: dict[str, DataFrame], carried: dict[str, set[str]],
                   source_map: dict, profile: Profile):
     """Mapped columns that are absent, and those that are present but never filled."""
@@ -74,7 +69,8 @@ def load(spark: SparkSession, export_dir: str, out: str, profile: str = "full",
          source_map: dict | None = None, reveal_labels: bool = False,
          extracted_at: datetime | None = None, labels_path: str | None = None,
          staging: str | None = None) -> LoadReport:
-    """Screen, read, build, write. ``out`` gets one folder per landing table and nothing else.
+    """Screen, read, build, write. ``out`` gets a folder of the load, with one folder per landing table and nothing else,
+    and the file that names it; readers of ``out`` see a load as a whole.
 
     Source files are text and feed several landing tables, so each is parsed once into ``staging``,
     by default a new folder where cut lineage goes, and the builders read those columns. Override

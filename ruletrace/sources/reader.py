@@ -10,30 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ruletrace.sources.files import file_system, path_exists
 from ruletrace.sources.mapping import ID_COLUMNS
 
 ENVELOPES = ("fields", "cellValuesByFieldId")
 
 
-def _file_system(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _file_system(spark, path)
-    return fs.exists(target)
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path as Spark names it in its ``path`` columns."""
-    fs, target = _file_system(spark, path)
-    return fs.makeQualified(target).toString()
-
-
 def list_names(spark: SparkSession, folder: str) -> list[str]:
     """Names of what an export folder holds."""
-    fs, target = _file_system(spark, folder)
+    fs, target = file_system(spark, folder)
     if not fs.exists(target):
         raise FileNotFoundError(f"Export directory not found: {folder}")
     return sorted(s.getPath().getName() for s in fs.listStatus(target)

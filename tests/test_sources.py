@@ -1,19 +1,22 @@
 import hashlib
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from ruletrace.functions import cells, labels
 from ruletrace.plans import candidates
 from ruletrace.sources import integrity
 from ruletrace.sources.integrity import manifest_state
 from ruletrace.sources.load import EmptyExport, RepeatedKeys, load
-from ruletrace.sources.landing import TABLES, repeated_keys
+from ruletrace.sources.landing import TABLES, loads, read_landing, repeated_keys, write_landing
 from ruletrace.sources.mapping import DEFAULT_MAP, load_map, table_ids, wanted_columns
-from ruletrace.sources.profiles import get_profile
+from ruletrace.sources.profiles import PROFILES, get_profile, thin
 from ruletrace.sources.reader import read_table, write_table
 from ruletrace.sources.screen import DeniedSource, check_names
+from ruletrace.sources.sink import write_ordered
 
 A, B = "rec" + "A" * 14, "rec" + "B" * 14
 
@@ -254,6 +257,9 @@ def test_repeated_ids_are_refused_before_anything_is_written(spark, tmp_path):
 def test_labels_lie_nowhere_but_at_their_path(spark, export, tmp_path):
     out, staging, apart = tmp_path / "out", tmp_path / "staging", tmp_path / "apart"
     load(spark, str(export), str(out), labels_path=str(apart), staging=str(staging))
+    (name,) = loads(spark, str(out))
+    assert {p.name for p in out.iterdir() if not p.name.startswith(".")} == {name, "current.json"}
+    out = out / name
     assert sorted(p.name for p in out.iterdir()) == sorted(TABLES)
     labels = {r.label for r in spark.read.parquet(str(apart)).collect()}
     assert labels
@@ -276,3 +282,62 @@ def test_files_of_one_name_are_told_apart_by_folder(spark, tmp_path):
     (tmp_path / "manifest").write_text(f"{sha('p')}  p/x.csv\n{sha('p')}  q/x.csv\n{sha('p')}  x.csv\n")
     got = {r.path: r.state for r in manifest_state(spark, str(tmp_path / "manifest"), str(tmp_path / "data")).collect()}
     assert got == {"p/x.csv": "unchanged", "q/x.csv": "changed", "x.csv": "missing"}
+
+
+class Broken(Exception):
+    pass
+
+
+def test_a_load_that_fails_leaves_the_one_before(spark, export, tmp_path):
+    out = str(tmp_path / "landing")
+    load(spark, str(export), out, extracted_at=datetime(2026, 7, 1))
+    before = {t: sorted(map(repr, df.collect())) for t, df in read_landing(spark, out).tables().items()}
+    seen = []
+
+    def broken():
+        seen.append(True)
+        raise Broken
+
+    # The fourth table cannot be made.
+    with pytest.raises(Broken):
+        write_landing(thin(read_landing(spark, out), PROFILES["lean"]).replaced(locations=broken), out)
+    assert seen and {t: sorted(map(repr, df.collect())) for t, df in read_landing(spark, out).tables().items()} == before
+    assert len(loads(spark, out)) == 1 and len(list(Path(out).glob("load-*"))) == 1
+
+
+def test_loads_are_published_as_one_and_few_are_kept(spark, export, tmp_path):
+    out = str(tmp_path / "landing")
+    first = load(spark, str(export), out, extracted_at=datetime(2026, 7, 1)).landing
+    load(spark, str(export), out, "lean", extracted_at=datetime(2026, 7, 1))
+    assert first.changes.count() == 2 and read_landing(spark, out).changes.count() == 0
+    load(spark, str(export), out, "lean", extracted_at=datetime(2026, 7, 1))
+    assert len(loads(spark, out)) == 2 and len(list(Path(out).glob("load-*"))) == 2
+
+
+def test_digests_of_files_of_many_lines(spark, tmp_path):
+    """Files read in several splits, with and without a last line break, a mark, line breaks of two bytes, or any line."""
+    folder = tmp_path / "files"
+    folder.mkdir()
+    line = b"x" * 70 + b"\r\n"
+    contents = {"long.csv": line * 40_000 + b"end", "mark.csv": b"\xef\xbb\xbfa\n\nb\n", "two marks": b"\xef\xbb\xbf\xef\xbb\xbf",
+                "none": b"", "blank": b"\n", "odd %20 name": b"\xff\x00\n\xfe", "bare": b"\xef\xbb\xbf"}
+    for name, data in contents.items():
+        (folder / name).write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        got = {r["path"].rpartition("/")[2]: r["digest"] for r in integrity.file_digests(spark, str(folder)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {name: hashlib.sha256(data).hexdigest() for name, data in contents.items()}
+
+
+def test_two_runs_write_the_same_bytes(spark, tmp_path):
+    rows = spark.range(1000, numPartitions=7).selectExpr("id % 10 AS a", "id AS b", "repeat('é', int(id % 9)) AS c")
+    for run, parts in (("one", 7), ("two", 3)):
+        write_ordered(rows.repartition(parts), [F.col("a"), F.col("b")], str(tmp_path / run), 300)
+    one, two = ({p.name: p.read_bytes() for p in (tmp_path / r).iterdir() if not p.name.startswith(".")} for r in ("one", "two"))
+    assert one == two and sorted(one) == ["_SHA256SUMS", *[f"part-0000{i}.json" for i in range(4)]]
+    assert one["_SHA256SUMS"].decode().split()[::2] == [hashlib.sha256(one[f"part-0000{i}.json"]).hexdigest() for i in range(4)]
+    assert [r["b"] for r in spark.read.json(str(tmp_path / "one" / "part-00000.json")).collect()][:3] == [0, 10, 20]
+    write_ordered(rows.limit(0), [F.col("a")], str(tmp_path / "one"), 300)
+    assert (tmp_path / "one" / "part-00000.json").read_bytes() == b""
