@@ -39,6 +39,9 @@ CHANGES = f"""changes AS (
          CASE WHEN l_returnflag <> 'N' AND l_tax > 0 THEN 'flagged' END AS old_value, 'acknowledged' AS new_value,
          l_shipdate AS changed_at, CASE WHEN l_discount > 0 THEN 'u' || (l_suppkey % 7) END AS changed_by
   FROM lineitem)"""
+LABELS = """labels AS (
+  SELECT DISTINCT 'ovr_' || l_returnflag || l_linestatus AS field, 'flag ' || l_returnflag || ' on ' || l_linestatus AS label
+  FROM lineitem WHERE l_linestatus <> 'F' OR l_returnflag = 'A')"""
 ALL = [WORK, RESOURCES, ASSIGNMENTS, LOCATIONS, TRAVEL, CHANGES]
 KEYS = f"""known_rules AS (
   SELECT 'K' || {padded('p_partkey', 9)} AS key_id, p_type AS type, p_name AS statement,
@@ -427,6 +430,10 @@ ORACLE: dict[str, str] = {
     "override_list": sql(f"""SELECT field, field AS label, count(*) AS events, count(DISTINCT entity_id) AS entities,
         count(DISTINCT changed_by) AS actors, {ts('min(changed_at)', 'first_seen')},
         {ts('max(changed_at)', 'last_seen')} FROM changes GROUP BY 1 ORDER BY events DESC, field LIMIT 3""", CHANGES),
+    "override_list_labelled": sql(f"""SELECT field, coalesce(label, field) AS label, events, entities, actors, first_seen, last_seen
+        FROM (SELECT field, count(*) AS events, count(DISTINCT entity_id) AS entities, count(DISTINCT changed_by) AS actors,
+              {ts('min(changed_at)', 'first_seen')}, {ts('max(changed_at)', 'last_seen')} FROM changes
+              GROUP BY 1 ORDER BY events DESC, field LIMIT 5) LEFT JOIN labels USING (field)""", CHANGES, LABELS),
     "override_tail": sql("""SELECT count(*) FILTER (rn > 3) AS labels_left_out,
         coalesce(sum(events) FILTER (rn > 3), 0)::BIGINT AS events_left_out, sum(events)::BIGINT AS all_events
         FROM (SELECT field, count(*) AS events, row_number() OVER (ORDER BY count(*) DESC, field) AS rn
@@ -666,3 +673,22 @@ ORACLE: dict[str, str] = {
         WHEN lead_hours < 72 THEN '6 hours to 2 days' ELSE '3 days or more' END AS band, count(*) AS events
         FROM sheet GROUP BY 1""", SHEET),
 }
+
+# Evidence under the names people know: the values are those of the evidence queries above.
+_parts = " UNION ALL ".join(
+    f"SELECT candidate_id, 'examples' AS list, position, '{p}' AS part, {p} AS value FROM ({ORACLE['evidence_overlap_examples']})"
+    for p in ("resource_id", "work_id_a", "work_id_b", "a_start", "a_end", "b_start", "b_end"))
+ORACLE["evidence_names"] = f"""
+WITH shown AS ({_parts}
+  UNION ALL SELECT candidate_id, 'all_partitions', NULL, 'value', value FROM ({ORACLE['evidence_fill_values']})
+  UNION ALL SELECT candidate_id, 'actors', NULL, 'changed_by', changed_by FROM ({ORACLE['evidence_override_people']})
+  UNION ALL SELECT {OVERRIDE}, 'field', NULL, 'field', field FROM ({sql("SELECT entity_table, field FROM ranked", CHANGES, RANK)})),
+names AS ({ORACLE['names_of_ids']}),
+{LABELS},
+known AS (SELECT id, label FROM names WHERE id NOT IN (SELECT field FROM labels) UNION ALL SELECT field, label FROM labels)
+SELECT candidate_id, list, position::DOUBLE AS position, part, value, label,
+       CASE WHEN label IS NOT NULL THEN label || '  [' || value || ']'
+            WHEN regexp_full_match(value, '\\d{{4}}-\\d{{2}}-\\d{{2}}([ T]\\d{{2}}:\\d{{2}}(:\\d{{2}})?)?')
+            THEN strftime(value::TIMESTAMP, '%a ') || value ELSE value END AS shown
+FROM shown LEFT JOIN known ON id = value
+"""

@@ -193,6 +193,13 @@ def override_list(spark, sf_dir):
         "field", "label", "events", "entities", "actors", stamp("first_seen"), stamp("last_seen"))
 
 
+@query
+def override_list_labelled(spark, sf_dir):
+    """Labels that were kept stand beside the ids; the others show the id."""
+    return override_detail.override_list(bare(spark, sf_dir), views.override_labels(spark, sf_dir), top=5).select(
+        "field", "label", "events", "entities", "actors", stamp("first_seen"), stamp("last_seen"))
+
+
 @query
 def override_tail(spark, sf_dir):
     return override_detail.override_tail(bare(spark, sf_dir), top=3)
@@ -570,6 +577,12 @@ for _name, *_stamps in (("exclusivity",), ("overlap_examples", "a_start", "a_end
     _evidence(_name, *_stamps)
 
 
+@query
+def evidence_names(spark, sf_dir):
+    return evidence.names(views.landing(spark, sf_dir), override_labels=views.override_labels(spark, sf_dir)).select(
+        "candidate_id", "list", number("position"), "part", "value", "label", "shown")
+
+
 @query
 def candidate_documents(spark, sf_dir):
     return candidates.candidates(views.landing(spark, sf_dir))

@@ -97,6 +97,13 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_discount > 0 THEN concat('u', l_suppkey % 7) END AS changed_by"), "changes")
 
 
+def override_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the labels of overrides say, for those whose words were kept."""
+    return (table(spark, sf_dir, "lineitem").filter("l_linestatus <> 'F' OR l_returnflag = 'A'")
+            .selectExpr("concat('ovr_', l_returnflag, l_linestatus) AS field",
+                        "concat('flag ', l_returnflag, ' on ', l_linestatus) AS label").distinct())
+
+
 def landing(spark: SparkSession, sf_dir: str, *work_columns: str) -> Landing:
     rest = {t.__name__: (lambda t=t: t(spark, sf_dir))
             for t in (resources, assignments, locations, location_travel, changes)}

@@ -75,8 +75,8 @@ def unjudged(found: DataFrame, verdicts: DataFrame, redo: bool = False) -> DataF
     return found.join(judged, "candidate_id", "left_anti")
 
 
-def names_of_ids(landing: Landing, override_labels: DataFrame | None = None) -> DataFrame:
-    """What a person would call each landing id: (id, label)."""
+def names_of_ids(landing: Landing, override_labels: DataFrame | None = None, ordinal: str = "") -> DataFrame:
+    """What a person would call each landing id: (id, label), and the number of the table it is from if that is asked for."""
     res = landing.resources.selectExpr(
         "resource_id AS id", "concat(coalesce(name, 'None'), "
         "CASE WHEN kind <> '' THEN concat(' (', kind, ')') ELSE '' END) AS label")
@@ -84,10 +84,12 @@ def names_of_ids(landing: Landing, override_labels: DataFrame | None = None) ->
     jobs = landing.work.selectExpr("work_id AS id",
                                    f"{job_label(work_type, 'start_ts')} AS label")
     places = landing.locations.selectExpr("location_id AS id", "coalesce(name, 'None') AS label")
-    named = res.unionByName(jobs).unionByName(places)
+    parts = [res, jobs, places]
     if override_labels is not None:
-        named = named.unionByName(override_labels.selectExpr("field AS id", "label"))
-    return named
+        parts.append(override_labels.selectExpr("field AS id", "label"))
+    if ordinal:
+        parts = [p.withColumn(ordinal, F.lit(k)) for k, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def described(values: DataFrame, names: DataFrame, base: str = "",

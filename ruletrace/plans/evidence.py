@@ -14,7 +14,9 @@ from ruletrace.functions.labels import candidate_id
 from ruletrace.guards import Guards
 from ruletrace.operators.distribution import histogram
 from ruletrace.plans import bookings, ceilings, overrides, population
-from ruletrace.plans import statements as text
+from ruletrace.plans import candidates, statements as text
+from ruletrace.plans.facts import run_facts
+from ruletrace.session import settled
 from ruletrace.sources.landing import Landing
 
 
@@ -110,3 +112,44 @@ def override_people(landing: Landing, guards: Guards = Guards()) -> DataFrame:
     people = overrides.override_actors(landing).withColumnRenamed("events", "times")
     return overrides._beside(ranked, people).select(
         candidate_id(overrides.PROBE, "'override'", "entity_table", "field"), "changed_by", F.col("times").alias("events"))
+
+
+# Values of evidence that a person may know under another name: what each is taken from, its list, and its parts.
+EXAMPLE_PARTS = ("resource_id", "work_id_a", "work_id_b", "a_start", "a_end", "b_start", "b_end")
+
+
+def shown_values(landing: Landing, guards: Guards = Guards()) -> DataFrame:
+    """Every id, label and time in the evidence of all probes, as (candidate_id, list, position, part, value).
+
+    ``position`` counts the examples; entries of other lists are told apart by their value.
+    """
+    landing = run_facts(landing)
+    nowhere = F.lit(None).cast("int").alias("position")
+    examples = overlap_examples(landing, guards)
+    parts = [F.struct(F.lit(p).alias("part"), (F.date_format(p, "yyyy-MM-dd HH:mm:ss") if p[1] == "_" else F.col(p)).alias("value"))
+             for p in EXAMPLE_PARTS]
+    out = [examples.select("candidate_id", F.lit("examples").alias("list"), "position", F.explode(F.array(*parts)).alias("_p"))
+           .select("candidate_id", "list", "position", "_p.part", "_p.value"),
+           fill_values(landing, guards).select("candidate_id", F.lit("all_partitions").alias("list"), nowhere,
+                                               F.lit("value").alias("part"), "value"),
+           override_people(landing, guards).select("candidate_id", F.lit("actors").alias("list"), nowhere,
+                                                   F.lit("changed_by").alias("part"), F.col("changed_by").alias("value")),
+           overrides.override_rank(landing, guards).select(
+               candidate_id(overrides.PROBE, "'override'", "entity_table", "field"), F.lit("field").alias("list"), nowhere,
+               F.lit("field").alias("part"), F.col("field").alias("value"))]
+    return reduce(DataFrame.unionByName, out)
+
+
+def names(landing: Landing, guards: Guards = Guards(), override_labels: DataFrame | None = None, base: str = "",
+          table_ids: dict[str, str] | None = None) -> DataFrame:
+    """``shown_values`` with what a person reads: label, weekday or link, by one join for all probes.
+
+    Only names that the evidence asks for are looked up; an id that several tables know goes by the last of them, the
+    override labels before all.
+    """
+    landing = run_facts(landing)
+    values = settled(shown_values(landing, guards), "shown")
+    known = candidates.names_of_ids(landing, override_labels, ordinal="_nth")
+    asked = known.join(values.select(F.col("value").alias("id")).distinct(), "id", "left_semi")
+    last = asked.groupBy("id").agg(F.max_by("label", "_nth").alias("label"))
+    return candidates.described(values, last, base, table_ids)

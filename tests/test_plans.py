@@ -221,6 +221,21 @@ def test_evidence_gets_names(spark):
                      "2026-13-45": "2026-13-45"}
 
 
+def test_names_of_all_evidence(spark):
+    """Ids of every probe meet the names once; an override label goes before an id of the same text."""
+    rows = [booking(n, "ann", f"op_{n % 4}", n * 10, n * 10 + 15) for n in range(6)]
+    t = landing(spark, resources=[resource("ann", "person", "Ann")], assignments=rows, locations=[dict(location_id="done", name="Pier")],
+                work=jobs([("done", 18)] * 4 + [("open", None)] * 3), changes=[change(i, "ovr_a") for i in range(3)] + [change(9, "ovr_b"), change(10, "ovr_b")])
+    labels = spark.createDataFrame([("ovr_a", "no van left")], "field string, label string")
+    got = {(r["list"], r.position, r.part, r["value"]): r.shown for r in evidence.names(t, FEW, labels).collect()}
+    assert got["examples", 1, "resource_id", "ann"] == "Ann (person)  [ann]"
+    assert got["examples", 1, "work_id_a", "op_0"] == "trip on Mon 2026-06-01 00:00  [op_0]"
+    assert got["examples", 1, "a_start", "2026-06-01 00:00:00"] == "Mon 2026-06-01 00:00:00"
+    assert got["all_partitions", None, "value", "done"] == "Pier  [done]" and got["all_partitions", None, "value", "open"] == "open"
+    assert got["actors", None, "changed_by", "u1"] == "u1"
+    assert got["field", None, "field", "ovr_a"] == "no van left  [ovr_a]" and got["field", None, "field", "ovr_b"] == "ovr_b"
+
+
 def test_evidence_of_planted_findings(spark):
     """never and sometimes, hard and soft, cliff and taper, and both readings of a field."""
     soft = spaced(45, 200, "bus", 500)
