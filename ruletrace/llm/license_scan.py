@@ -1,9 +1,10 @@
 """Licence scan with a generalised suffix automaton over the words of licence templates.
 
 Method: the automaton of all templates is built once; the words of a file stream through it and give
-matching statistics (the length of the longest template part that ends at each word). Maximal
-matches of at least ``min_match`` words are chained, in template order, into the covered span of a
-template; a template whose chain covers ``min_cover`` of its words gives its label.
+matching statistics (the length of the longest template part that ends at each word), and by its suffix links those of every
+place of every template. A match of at least ``min_match`` words is kept where the template at that place does not go on
+like the file, so a short template counts also where a longer one holds it. Matches are chained, in template order, into the
+covered span of a template; a template whose chain covers ``min_cover`` of its words gives its label.
 
 Defined results: null and empty texts have no words, no label and score 0. Repeated rows are judged
 each for itself; an empty table gives no rows; other columns are ignored.
@@ -22,7 +23,7 @@ from ruletrace.llm.common import ALNUM_WORDS, LOWERED, table, utf8
 # Phrases of the base scan and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-# Opening words and notices of public licences, by label.
+# Opening words, notices and bodies of public licences, by label.
 TEMPLATES = [
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in "
@@ -43,6 +44,28 @@ TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
             "associated documentation files the software to deal in the software without restriction"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+            "documentation files the software to deal in the software without restriction including without limitation "
+            "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to "
+            "permit persons to whom the software is furnished to do so subject to the following conditions the above "
+            "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+            "software the software is provided as is without warranty of any kind express or implied including but not "
+            "limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no "
+            "event shall the authors or copyright holders be liable for any claim damages or other liability whether in "
+            "an action of contract tort or otherwise arising from out of or in connection with the software or the use "
+            "or other dealings in the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+            "granted provided that the above copyright notice and this permission notice appear in all copies the "
+            "software is provided as is and the author disclaims all warranties with regard to this software including "
+            "all implied warranties of merchantability and fitness in no event shall the author be liable for any "
+            "special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data "
+            "or profits whether in an action of contract negligence or other tortious action arising out of or in "
+            "connection with the use or performance of this software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that "
+            "the following conditions are met redistributions of source code must retain the above copyright notice this "
+            "list of conditions and the following disclaimer redistributions in binary form must reproduce the above "
+            "copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+            "materials provided with the distribution"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 ]
 MIN_MATCH, MIN_COVER = 4, 0.8
@@ -124,38 +147,62 @@ class Scanner:
         for ids, label in self.base:
             self.by_first.setdefault(ids[0], []).append((ids, label))
         self.min_match, self.min_cover = min_match, min_cover
+        # The word after each place of a template; none after the last.
+        self.following = [[*(self.vocabulary[w] for w in t), None] for t in texts]
+        self.inner = self._inner()
+
+    def _inner(self) -> list[tuple[tuple[int, int, int], ...]]:
+        """Per state the (template, place after, words) that end with it but are shorter than its own words."""
+        a, out = self.automaton, []
+        for state in range(len(a.link)):
+            seen, found, up = set(a.ends[state]), [], a.link[state]
+            while up > 0 and a.length[up] >= self.min_match:
+                found += [(t, stop, a.length[up]) for t, stop in a.ends[up] if (t, stop) not in seen]
+                seen.update(a.ends[up])
+                up = a.link[up]
+            out.append(tuple(found))
+        return out
+
+    def matches(self, ids: list[int | None], places: list[int]) -> list[tuple[int, int, int, int]]:
+        """(template, end place, place after in the template, words) of the matches that cannot go on, in the order they end."""
+        out: list[tuple[int, int, int, int]] = []
+        state, matched, last = 0, 0, -2
+        go, ends = self.automaton.step, self.automaton.ends
+
+        def stop_at(end: int, word: int | None) -> None:
+            """Keep the matches that end here and do not go on with the word."""
+            for template, stop in ends[state]:
+                if self.following[template][stop] != word or word is None:
+                    out.append((template, end, stop, min(matched, stop)))
+            for template, stop, n in self.inner[state]:
+                if self.following[template][stop] != word or word is None:
+                    out.append((template, end, stop, n))
 
-    def matches(self, ids: list[int | None], places: list[int]) -> list[tuple[int, int, int]]:
-        """(end place, words, state) of each match that no longer match contains."""
-        out, state, matched, last = [], 0, 0, -2
-        go = self.automaton.step
         for at in places:
             if at != last + 1:
                 if matched >= self.min_match:
-                    out.append((last + 1, matched, state))
+                    stop_at(last + 1, None)
                 state, matched = 0, 0
-            before = (state, matched)
+            if matched >= self.min_match:
+                stop_at(at, ids[at])
             state, matched = go(state, matched, ids[at])
-            if matched <= before[1] and before[1] >= self.min_match:
-                out.append((at, before[1], before[0]))
             last = at
         if matched >= self.min_match:
-            out.append((last + 1, matched, state))
+            stop_at(last + 1, None)
         return out
 
     def spans(self, ids: list[int | None], places: list[int]) -> list[tuple[int, int, int, float]]:
         """(template, first word, word after the last, part of the template covered) of the best chain
         of each template that is touched."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
-        for end, n, state in self.matches(ids, places):
-            for template, stop in self.automaton.ends[state]:
-                if n <= stop:
-                    by_template.setdefault(template, []).append((end - n, stop - n, n))
+        for template, end, stop, n in self.matches(ids, places):
+            if n >= self.min_match:
+                by_template.setdefault(template, []).append((end - n, stop - n, n))
         return [(t, *self._chain(found, self.sizes[t])) for t, found in sorted(by_template.items())]
 
     @staticmethod
     def _chain(found: list[tuple[int, int, int]], size: int) -> tuple[int, int, float]:
-        """Matches in file order and template order, no further apart than the template is long."""
+        """Matches in file order and template order, no further apart than the template is long. They come in the order they end."""
         best = (0, 0, 0.0)
         chains: list[list[int]] = []  # first place, place after, template place after, words covered
         for place, at, n in found:
@@ -163,7 +210,8 @@ class Scanner:
             for c in chains:
                 if c[1] <= place <= c[1] + size and c[2] <= at and c[3] + n > grown[3]:
                     grown = [c[0], place + n, at + n, c[3] + n]
-            chains = [c for c in chains if c[1] + size >= place]  # nothing later can follow the rest
+            # Later matches end later, and none is longer than the template: nothing can follow the rest.
+            chains = [c for c in chains if c[1] + 2 * size >= place]
             chains.append(grown)
             if grown[3] / size > best[2]:
                 best = (grown[0], grown[1], grown[3] / size)
