@@ -4,13 +4,12 @@ Method: texts and items become words (lower-cased runs of letters and digits). W
 words of the items are the seeds; a document is joined with the items it shares a seed with, and tiled
 against each: the longest match of unmarked words is found with running Karp-Rabin hashes, marked, and
 so on until no match of ``min_match`` words is left. Order does not matter, so reordered passages
-count. An item whose words are covered to at least ``min_cover`` contaminates the document.
+count. For an item of fewer words its own number takes the place of ``min_match``: it is found where it stands as a whole. An item whose words are covered to at least ``min_cover`` contaminates the document.
 
 The items are a stated query set. They are dealt into blocks of a bounded size by hash, and every block
 meets all documents; a larger benchmark means more blocks, not a larger broadcast.
 
-Defined results: null and empty texts share nothing. An item of fewer than ``min_match`` words is not
-looked for. A null item_id is an item like others; equal items are each reported. Repeated documents
+Defined results: null and empty texts share nothing, and an item without words is not looked for. A null item_id is an item like others; equal items are each reported. Repeated documents
 are each judged. An empty table on either side gives no finding. Other columns do not matter.
 """
 
@@ -113,38 +112,48 @@ class Items:
         words, firsts = word_hashes(np.frombuffer(b"".join(t for _, t in rows), np.uint8), offsets)
         self.ids = [i for i, _ in rows]
         self.words = [words[a:b] for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-        windows = chained(words, min_match)
+        sizes = np.minimum(np.diff(firsts), min_match)
+        # Seeds by their number of words: min_match, or fewer for items that are shorter.
+        self.seeds = {int(n): self._seeds(words, firsts, n, sizes == n) for n in np.unique(sizes) if n}
+
+    @staticmethod
+    def _seeds(words: np.ndarray, firsts: np.ndarray, n: int, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different seeds of some items, where the items of each begin, and those items."""
+        windows = chained(words, n)
         item = np.searchsorted(firsts, np.arange(len(windows)), "right") - 1
-        whole = np.arange(len(windows)) + min_match <= firsts[1:][item] if len(windows) else np.zeros(0, bool)
-        pairs = np.unique(np.stack([windows[whole], item[whole].astype(np.uint64)], 1), axis=0) if whole.any() \
-            else np.zeros((0, 2), np.uint64)
-        self.seeds, at = np.unique(pairs[:, 0], return_index=True)
-        self.first = np.append(at, len(pairs))
-        self.item = pairs[:, 1].astype(np.int64)
+        whole = (np.arange(len(windows)) + n <= firsts[1:][item]) & mine[item]
+        pairs = np.unique(np.stack([windows[whole], item[whole].astype(np.uint64)], 1), axis=0)
+        seeds, at = np.unique(pairs[:, 0], return_index=True)
+        return seeds, np.append(at, len(pairs)), pairs[:, 1].astype(np.int64)
 
     def found(self, words: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int, float, int, list]]:
         """(text, item, coverage, shared words, tiles) of every pair over the limit."""
-        windows = chained(words, self.min_match)
-        if not len(windows) or not len(self.seeds):
+        for n in self.seeds:
+            yield from self._found(words, firsts, n)
+
+    def _found(self, words: np.ndarray, firsts: np.ndarray, size: int) -> Iterator[tuple[int, int, float, int, list]]:
+        seeds, first, items = self.seeds[size]
+        windows = chained(words, size)
+        if not len(windows):
             return
-        at = np.minimum(np.searchsorted(self.seeds, windows), len(self.seeds) - 1)
-        hits = np.flatnonzero(self.seeds[at] == windows)
+        at = np.minimum(np.searchsorted(seeds, windows), len(seeds) - 1)
+        hits = np.flatnonzero(seeds[at] == windows)
         text = np.searchsorted(firsts, hits, "right") - 1
-        hits, text = (x[hits + self.min_match <= firsts[1:][text]] for x in (hits, text))
+        hits, text = (x[hits + size <= firsts[1:][text]] for x in (hits, text))
         shared: dict[tuple[int, int], list[int]] = defaultdict(list)
         for h, t in zip(hits.tolist(), text.tolist(), strict=True):
-            for item in self.item[self.first[at[h]]:self.first[at[h] + 1]].tolist():
+            for item in items[first[at[h]]:first[at[h] + 1]].tolist():
                 shared[t, item].append(h)
         for (t, item), places in shared.items():
             known = self.words[item].tolist()
             # A tile lies where seeds of the item stand; the rest of the text is left out.
-            cover = np.unique(np.add.outer(np.array(places), np.arange(self.min_match)))
+            cover = np.unique(np.add.outer(np.array(places), np.arange(size)))
             parts = np.split(cover, np.flatnonzero(np.diff(cover) > 1) + 1)
             near, back = [], []
             for p in parts:
                 near += [-1, *words[p].tolist()]
                 back += [-1, *(p - firsts[t]).tolist()]
-            made = tiles(known, near, self.min_match)
+            made = tiles(known, near, size)
             n = sum(x for *_, x in made)
             if n >= self.min_cover * len(known):
                 yield t, item, n / len(known), n, [(i, back[k], x) for i, k, x in sorted(made)]
