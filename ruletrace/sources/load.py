@@ -13,7 +13,7 @@ from ruletrace.sources import build as builders
 from ruletrace.sources.landing import Landing, read_landing, repeated_keys, volumes, write_landing
 from ruletrace.sources.mapping import DEFAULT_MAP, specs, wanted_columns
 from ruletrace.sources.profiles import Profile, get_profile
-from ruletrace.sources.reader import carried_columns, list_names, read_table
+from ruletrace.sources.reader import CARRIED, carried_columns, list_names, read_table
 from ruletrace.sources.screen import check_names, folded, unlisted_override_columns
 
 LOGGED = "(log)"
@@ -87,12 +87,12 @@ def load(spark: SparkSession, export_dir: str, out: str, profile: str = "full",
     staged, carried = {}, {}
     for table, columns in wanted_columns(source_map, chosen.skip_source_tables).items():
         target = f"{staging}/{table}"
-        rows = read_table(spark, export_dir, table, columns)
+        rows = read_table(spark, export_dir, table, columns, carried=True)
         if table in logs:  # whether there is a log, not what it says
             rows = rows.withColumn(logs[table], F.when(F.col(f"`{logs[table]}`").isNotNull(), F.lit(LOGGED)))
         rows.write.mode("overwrite").parquet(target)
-        staged[table] = spark.read.parquet(target)
-        carried[table] = carried_columns(spark, export_dir, table)
+        whole = spark.read.parquet(target)
+        staged[table], carried[table] = whole.drop(CARRIED), carried_columns(whole)
     missing, blank = column_report(staged, carried, source_map, chosen)
 
     present = {t: df.select(*[c for c in df.columns if (t, c) not in missing])

@@ -14,7 +14,8 @@ from ruletrace.sources.load import EmptyExport, RepeatedKeys, load
 from ruletrace.sources.landing import TABLES, loads, read_landing, repeated_keys, write_landing
 from ruletrace.sources.mapping import DEFAULT_MAP, load_map, table_ids, wanted_columns
 from ruletrace.sources.profiles import PROFILES, get_profile, thin
-from ruletrace.sources.reader import read_table, write_table
+from ruletrace.sources.json_records import records
+from ruletrace.sources.reader import carried_columns, read_table, write_table
 from ruletrace.sources.screen import DeniedSource, check_names
 from ruletrace.sources.sink import write_ordered
 
@@ -341,3 +342,42 @@ def test_two_runs_write_the_same_bytes(spark, tmp_path):
     assert [r["b"] for r in spark.read.json(str(tmp_path / "one" / "part-00000.json")).collect()][:3] == [0, 10, 20]
     write_ordered(rows.limit(0), [F.col("a")], str(tmp_path / "one"), 300)
     assert (tmp_path / "one" / "part-00000.json").read_bytes() == b""
+
+
+TRICKY = [{"id": f"rec{i}", "Name": 'a "quoted" } { [ ] \\ text' + "\\" * (i % 3), "n": i, "none": None, "Ünï": "é}" * (i % 5),
+           "nested": {"deep": [{"x": [{}, []]}, "}"], "records": [{"id": "not one"}]}, "blank": {}} for i in range(60)]
+
+
+@pytest.mark.parametrize("text", [
+    json.dumps(TRICKY), json.dumps(TRICKY, indent=1), "\ufeff" + json.dumps(TRICKY, ensure_ascii=False) + "\n",
+    json.dumps({"records": TRICKY}), json.dumps({"meta": [{"id": "m", "records": [{}]}], "records": TRICKY, "offset": {"a": [1, {}]}}, indent=2),
+    "\n".join(json.dumps(r, indent=1) for r in TRICKY), json.dumps({"records": []}), "[]", json.dumps(TRICKY[:1])[1:-1]])
+@pytest.mark.parametrize("split", ["1k", "128m"])
+def test_records_are_cut_by_byte_ranges(spark, tmp_path, text, split):
+    """Lists in any layout, with braces and quotes inside of texts, in one split and in many."""
+    (tmp_path / "T.json").write_text(text, encoding="utf-8")
+    try:
+        want = json.loads(text.lstrip("\ufeff"))
+        want = want if isinstance(want, list) else want.get("records", [want])
+    except json.JSONDecodeError:
+        want = TRICKY
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = records(spark, str(tmp_path / "T.json"))
+        parts = spark.read.option("lineSep", "}").text(str(tmp_path / "T.json")).rdd.getNumPartitions()
+        assert sorted((json.loads(r[0]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+        assert parts > 5 or split == "128m" or len(text) < 2000
+        rows = read_table(spark, str(tmp_path), "T", ["Name", "nested", "gone"], carried=True)
+        assert sorted((r["id"], r["Name"]) for r in rows.collect()) == sorted((r["id"], r["Name"]) for r in want)
+        assert carried_columns(rows) == ({*TRICKY[0]} if want else set())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("text", [json.dumps(TRICKY)[:-1], json.dumps(TRICKY)[:-30], json.dumps({"records": TRICKY})[:-2], '[{"id": "a'])
+def test_a_list_that_is_cut_off_stops_the_load(spark, tmp_path, text):
+    (tmp_path / "T.json").write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_table(spark, str(tmp_path), "T", ["Name"]).collect()
