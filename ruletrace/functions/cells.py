@@ -94,10 +94,12 @@ def links(column: str) -> str:
     The column and its ``#json`` come from ``with_cells``.
     """
     json = name(column + "#json")
-    # As text, an object keeps its JSON form and any other item its value.
-    listed = (f"transform(try_variant_get({json}, '$', 'array<string>'), x -> CASE WHEN x LIKE '{{%' "
-              "THEN coalesce(try_variant_get(try_parse_json(x), '$.id', 'string'), "
-              "CASE WHEN try_parse_json(x) IS NULL THEN x END) ELSE x END)")
+    # Most items are objects with an id, which the parsed cell gives as it is. Of the others a text may itself be JSON.
+    item = "try_variant_get(v, '$', 'string')"
+    other = (f"CASE WHEN {item} LIKE '{{%' THEN coalesce(try_variant_get(try_parse_json({item}), '$.id', 'string'), "
+             f"CASE WHEN try_parse_json({item}) IS NULL THEN {item} END) ELSE {item} END")
+    listed = (f"transform(try_variant_get({json}, '$', 'array<variant>'), "
+              f"v -> coalesce(try_variant_get(v, '$.id', 'string'), {other}))")
     written = f"transform(split({name(column)}, ','), x -> {strip('x')})"
     return (f"filter(CASE WHEN {name(column)} IS NULL THEN CAST(array() AS ARRAY<STRING>) "
             f"WHEN {json} IS NULL THEN {written} ELSE coalesce({listed}, {written}) END, "
