@@ -692,3 +692,86 @@ SELECT candidate_id, list, position::DOUBLE AS position, part, value, label,
             THEN strftime(value::TIMESTAMP, '%a ') || value ELSE value END AS shown
 FROM shown LEFT JOIN known ON id = value
 """
+
+
+# Whole candidate documents. Texts of JSON are put together as the probes write them: compact, fields in order.
+def _object(**fields: str) -> str:
+    inner = " || ',' || ".join(f"'\"{name}\":' || {value}" for name, value in fields.items())
+    return f"('{{' || {inner} || '}}')"
+
+
+def _text(column: str) -> str:
+    return f"to_json(({column})::VARCHAR)::VARCHAR"
+
+
+def _four(column: str) -> str:
+    return f"printf('%.4f', round_even({column}, 4))"
+
+
+def _list(items: str, order: str) -> str:
+    return f"('[' || coalesce(string_agg({items}, ',' ORDER BY {order}), '') || ']')"
+
+
+_TIMES = ("a_start", "a_end", "b_start", "b_end")
+_EXAMPLE = _object(**{c: _text(c) for c in ("resource_id", "work_id_a", "work_id_b", *_TIMES)})
+_PART = _object(value=_text("value"), rows="rows", filled="filled", fill_rate=_four("fill_rate"))
+_WORDS = {side: _object(value=_text(f"{side}_value"), rows=f"{side}_rows", filled=f"{side}_filled", fill_rate=_four(f"{side}_fill_rate"))
+          for side in ("high", "low")}
+_EXEMPT = dashed("p05-exemption-", "field || '-by-' || partition || '-' || low_value")
+ORACLE["candidate_documents"] = f"""
+WITH worded AS ({ORACLE['candidate_statements']}),
+examples AS (SELECT candidate_id, {_list(_EXAMPLE, 'position')} AS l FROM ({ORACLE['evidence_overlap_examples']}) GROUP BY 1),
+bins_of AS (SELECT candidate_id, {_list("'[' || edge || ',' || n || ']'", 'edge')} AS l FROM ({ORACLE['evidence_gap_bins']}) GROUP BY 1),
+values_of AS (SELECT candidate_id, {_list(_object(value='"value"', count='"count"'), '"value"')} AS l
+              FROM ({ORACLE['evidence_ceiling_values']}) GROUP BY 1),
+people AS (SELECT candidate_id, {_list(_object(changed_by=_text('changed_by'), events='events'), 'events DESC, changed_by')} AS l
+           FROM ({ORACLE['evidence_override_people']}) GROUP BY 1),
+documents_of AS (
+  SELECT candidate_id, {_object(overlapping_pairs='overlapping_pairs', resources_with_an_overlap='resources_with_an_overlap',
+                                examples="coalesce(l, '[]')")} AS evidence,
+         {_object(kind=_text('kind'), assignments_considered='assignments_over_floor', resources_over_assignment_floor='resources_over_floor',
+                  resources_of_this_kind='resources_total', min_assignments_per_resource="'20'")} AS confidence_inputs
+  FROM ({ORACLE['evidence_exclusivity']}) LEFT JOIN examples USING (candidate_id)
+  JOIN (SELECT DISTINCT r_name AS kind FROM region) ON candidate_id = {dashed('p03-exclusivity-', 'kind')}
+  UNION ALL
+  SELECT candidate_id, {_object(proposed_minimum_minutes='proposed_minimum_minutes', floor=_text('floor'),
+                                gaps_below_the_edge='gaps_below_the_edge', bin_minutes="'5'", tail_fraction="'0.01'",
+                                histogram_head='l', observed_min_gap='observed_min_gap', observed_median_gap='observed_median_gap')},
+         {_object(kind=_text('kind'), consecutive_pairs='consecutive_pairs', resources_contributing='resources_contributing',
+                  min_assignments_per_resource="'20'")}
+  FROM ({ORACLE['evidence_turnaround']}) JOIN bins_of USING (candidate_id)
+  JOIN (SELECT DISTINCT r_name AS kind FROM region) ON candidate_id = {dashed('p03-turnaround-', 'kind')}
+  UNION ALL
+  SELECT candidate_id, {_object(dimension=_text('dimension'), observed_max='observed_max', shape=_text('shape'), count_at_max='count_at_max',
+                                count_one_below_max='count_below_max', share_at_max=_four('share_at_max'),
+                                max_over_busiest_value=_four('max_over_peak'), cliff_ratio_used="'0.5'", distribution='l')},
+         {_object(observations='observations', distinct_values='distinct_values', min_observations="'50'")}
+  FROM ({ORACLE['evidence_ceiling']}) JOIN values_of USING (candidate_id)
+  JOIN (VALUES {', '.join(f"('{d}')" for d in DISTRIBUTIONS)}) d(dimension) ON candidate_id = {dashed('p04-ceiling-', 'dimension')}
+  UNION ALL
+  SELECT {REQUIRED}, {_object(field=_text('field'), partition=_text('partition'), required_in=_WORDS['high'], absent_in=_WORDS['low'],
+                              all_partitions='l', high_threshold="'0.95'", low_threshold="'0.05'")},
+         {_object(rows_in_work='rows_in_work', rows_with_this_field_populated='populated',
+                  partitions_over_row_floor='partitions_over_row_floor', min_partition_rows="'10'", min_populated_rows_per_field="'50'")}
+  FROM ({sql('SELECT * FROM sharp', WORK, FILL, SHARP)})
+  JOIN (SELECT field, partition, {_list(_PART, 'value')} AS l FROM ({sql('SELECT * FROM rates', WORK, FILL)}) GROUP BY 1, 2)
+    USING (field, partition)
+  UNION ALL
+  SELECT {_EXEMPT}, {_object(field=_text('field'), partition=_text('partition'), partition_value=_text('low_value'), rows='low_rows',
+                             filled='low_filled', fill_rate=_four('low_fill_rate'))},
+         {_object(rows_in_work='rows_in_work', rows_with_this_field_populated='populated', rows_in_this_partition='low_rows',
+                  min_partition_rows="'10'")}
+  FROM ({sql('SELECT * FROM sharp', WORK, FILL, SHARP)})
+  UNION ALL
+  SELECT candidate_id, {_object(entity_table=_text("'work'"), field=_text('field'), rank_by_frequency='rank_by_frequency', events='events',
+                                distinct_entities='entities', distinct_actors='actors', actors='l', first_seen=_text('first_seen'),
+                                last_seen=_text('last_seen'),
+                                lead_time_days=_object(n='n', min_days='min_days', median_days='median_days', max_days='max_days',
+                                                       same_day_or_later='same_day_or_later'))},
+         {_object(change_rows_total='all_changes', events_for_this_field='events', min_events_per_field="'3'",
+                  share_of_all_overrides=_four('share_of_all_overrides'))}
+  FROM ({ORACLE['evidence_override']}) JOIN people USING (candidate_id)
+  JOIN ({sql('SELECT entity_table, field FROM ranked', CHANGES, RANK)}) ON candidate_id = {OVERRIDE})
+SELECT probe, candidate_id, proposed_type, statement, evidence, confidence_inputs
+FROM worded JOIN documents_of USING (candidate_id)
+"""

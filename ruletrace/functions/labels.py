@@ -29,6 +29,11 @@ def candidate_id(probe: str, *parts: str) -> Column:
     return F.expr(f"concat({text(probe + '-')}, {slug(*parts)})").alias("candidate_id")
 
 
+def shown_ratio(ratio: Column | str) -> Column:
+    """A ratio as documents show it: four digits, always written out, so that equal documents are equal texts."""
+    return F.bround(ratio, 4).cast("decimal(9,4)")
+
+
 def quoted(value: str) -> str:
     """Text in quotes inside a sentence: single quotes unless the text holds one."""
     escaped = f"replace({value}, '\\\\', '\\\\\\\\')"

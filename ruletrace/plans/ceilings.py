@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ruletrace.functions.labels import candidate_id, sentence
+from ruletrace.functions.labels import candidate_id, sentence, shown_ratio
 from ruletrace.guards import Guards
 from ruletrace.operators.distribution import counted, right_edge
 from ruletrace.plans import statements as text
@@ -74,8 +74,8 @@ def ceiling_candidates(landing: Landing, guards: Guards = Guards()) -> DataFrame
         F.to_json(F.struct(
             "dimension", "observed_max", "shape", "count_at_max",
             F.col("count_below_max").alias("count_one_below_max"),
-            F.bround("share_at_max", 4).alias("share_at_max"),
-            F.bround("max_over_peak", 4).alias("max_over_busiest_value"),
+            shown_ratio("share_at_max").alias("share_at_max"),
+            shown_ratio("max_over_peak").alias("max_over_busiest_value"),
             F.lit(text.CLIFF_RATIO).alias("cliff_ratio_used"), "distribution")).alias("evidence"),
         F.to_json(F.struct("observations", "distinct_values",
                            F.lit(guards.min_observations).alias("min_observations")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ruletrace.functions.clock import days_between
-from ruletrace.functions.labels import UNRECORDED, candidate_id, sentence
+from ruletrace.functions.labels import UNRECORDED, candidate_id, sentence, shown_ratio
 from ruletrace.guards import Guards
 from ruletrace.operators.distribution import spread
 from ruletrace.operators.ordered import numbered
@@ -110,5 +110,5 @@ def override_candidates(landing: Landing, guards: Guards = Guards()) -> DataFram
             F.col("all_changes").alias("change_rows_total"),
             F.col("events").alias("events_for_this_field"),
             F.lit(guards.min_change_events).alias("min_events_per_field"),
-            F.bround(F.col("events") / F.col("all_changes"), 4).alias("share_of_all_overrides")))
+            shown_ratio(F.col("events") / F.col("all_changes")).alias("share_of_all_overrides")))
         .alias("confidence_inputs"))

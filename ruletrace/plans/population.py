@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ruletrace.functions.labels import BLANK, candidate_id, quoted, sentence
+from ruletrace.functions.labels import BLANK, candidate_id, quoted, sentence, shown_ratio
 from ruletrace.guards import Guards
 from ruletrace.plans import statements as text
 from ruletrace.sources.landing import Landing
@@ -76,7 +76,7 @@ def _slots(side: str) -> dict[str, str]:
 
 
 def _rounded(side: Column, *names: str) -> list[Column]:
-    return [side[n].alias(n) for n in names] + [F.bround(side["fill_rate"], 4).alias("fill_rate")]
+    return [side[n].alias(n) for n in names] + [shown_ratio(side["fill_rate"]).alias("fill_rate")]
 
 
 def population_candidates(landing: Landing, guards: Guards = Guards()) -> DataFrame:
@@ -84,7 +84,7 @@ def population_candidates(landing: Landing, guards: Guards = Guards()) -> DataFr
     rates = fill_rates(landing, guards)
     # After counting, one entry per partition value above the row floor.
     every = rates.groupBy("field", "partition").agg(F.array_sort(F.collect_list(
-        F.struct("value", "rows", "filled", F.bround("fill_rate", 4).alias("fill_rate"))))
+        F.struct("value", "rows", "filled", shown_ratio("fill_rate").alias("fill_rate"))))
         .alias("all_partitions"))
     found = sharpest_pairs(rates).join(every, ["field", "partition"])
     high, low = F.col("high"), F.col("low")
