@@ -1,9 +1,11 @@
 """Phrase collocations by stripes: each prefix keys a counter of the words that follow it.
 
 Method: a first pass counts words, which gives the vocabulary (words are told by 64-bit hashes from then on; two words of
-one hash are found and refused) and each language's number of words. In the second pass every prefix of one or two words keeps
-a stripe, an associative counter of its next words, summed over about ``FLUSH`` words in a task before anything is
-shuffled. Stripes go to buckets of about ``BUCKET`` word places, by the hash of their prefix; the stripe of a frequent prefix is cut by the hash of the
+one hash are found and refused) and each language's number of words. In the second pass every word keeps a stripe, an associative
+counter of its next words, summed over about ``FLUSH`` words in a task before anything is shuffled. In the third pass prefixes of
+two words do, but only where both pairs of a phrase of three may be candidates: no phrase occurs more often than its parts. Pairs
+with enough occurrences are marked in a bitmap of a fixed size, by hash, so a mark may be there by chance and none is missing.
+Stripes go to buckets of about ``BUCKET`` word places, by the hash of their prefix; the stripe of a frequent prefix is cut by the hash of the
 next word, in as many parts as its frequency needs, so no bucket grows with the table or with a common word. A
 task merges the stripes of a bucket elementwise. From what is merged come the phrases with their counts (extensions), the
 counts of their prefixes, and per phrase the greatest count of a phrase that holds it (subsumption maxima).
@@ -28,8 +30,10 @@ LEAST, TOP = 10, 2000
 #: Of a phrase's occurrences, so many in a hundred inside a longer candidate drop it.
 INSIDE_PERCENT, SCALE = 50, 1_000_000
 #: Words a task counts before it hands them on; word places in a bucket, and in a part of a frequent prefix.
-FLUSH, BUCKET = 1 << 20, 1 << 19
+FLUSH, BUCKET = 1 << 19, 1 << 19
 UNKNOWN_LANG = "und"
+#: Bits of the bitmap of pairs, and how many of them a task makes.
+MARKS, MARKS_CHUNK = 1 << 26, 1 << 16
 #: Rows of the ranking that are ranked apart before they meet.
 RANKED_APART = 64
 
@@ -44,11 +48,12 @@ INSIDE_WORDS = ~BREAKS
 INSIDE_WORDS[[0x20, 0x09]] = False
 
 
-def word_rows(batches: Iterator[pa.RecordBatch], of: int = FLUSH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list]]:
+def word_rows(batches: Iterator[pa.RecordBatch], spelled: bool = False, of: int = FLUSH) \
+        -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list]]:
     """Runs of about ``of`` words: hash, language number and piece number of each word, the languages' names, and the words' bytes.
 
     Words of one piece of one text have the same piece number, and pieces never cross texts. The last is a list of
-    (bytes, starts, ends) of the slices the words come from.
+    (bytes, starts, ends) of the slices the words come from, if they are to be ``spelled``.
     """
     held, n, names, base = [], 0, {}, 0
     for batch in batches:
@@ -62,7 +67,7 @@ def word_rows(batches: Iterator[pa.RecordBatch], of: int = FLUSH) -> Iterator[tu
             piece = np.cumsum(BREAKS[part])[starts] + np.repeat(np.arange(hi - lo), counts) + base
             base = int(piece[-1]) + 2 if len(piece) else base
             keys = np.maximum(span_hash(prefix_sums(part), starts, ends), NONE + np.uint64(1))
-            held.append((keys, np.repeat(langs[lo:hi], counts), piece, (part, starts, ends)))
+            held.append((keys, np.repeat(langs[lo:hi], counts), piece, (part, starts, ends) if spelled else None))
             n += len(starts)
             if n >= of:
                 yield *(np.concatenate(x) for x in list(zip(*held, strict=True))[:3]), list(names), [h[3] for h in held]
@@ -87,7 +92,7 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 def vocabulary(docs: DataFrame) -> DataFrame:
     """lang, key, word and n of every word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, langs, _, names, slices in word_rows(batches):
+        for keys, langs, _, names, slices in word_rows(batches, spelled=True):
             order = np.lexsort((keys, langs))
             at = _starts(keys[order], langs[order])
             first = order[at]  # lexsort is stable: the first place of each word
@@ -120,7 +125,7 @@ class Layout:
         least = max(bucket, total // FREQUENT_SHARE)
         rows = words.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
         found = sorted((r["key"] & (1 << 64) - 1, 1 << (int(r["n"]) // bucket).bit_length()) for r in rows)
-        return cls(max(64, 1 << (3 * int(total) // bucket).bit_length()), np.array([k for k, _ in found], np.uint64),
+        return cls(max(64, 1 << (2 * int(total) // bucket).bit_length()), np.array([k for k, _ in found], np.uint64),
                    np.array([c for _, c in found], np.int64))
 
     def _of_word(self, keys: np.ndarray) -> np.ndarray:
@@ -149,24 +154,56 @@ def counted(first: np.ndarray, second: np.ndarray, following: np.ndarray, langs:
 STRIPES = "lang string, bucket long, prefixes binary, sizes binary, nexts binary, counts binary"
 
 
-def stripes(docs: DataFrame, layout: Layout) -> DataFrame:
-    """Stripes summed over runs of words, a row for each language and bucket that a run has stripes for.
+def pair_marks(pairs: DataFrame) -> np.ndarray:
+    """The bitmap of pairs (w1, w2): MARKS bits, whatever the number of pairs."""
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            at = np.unique(_prefix_hash(first, second) % np.uint64(MARKS)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // MARKS_CHUNK), pa.array(at % MARKS_CHUNK)], ["chunk", "bit"])
+
+    def chunk(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(MARKS_CHUNK, np.uint8)
+        bits[rows.column("bit").to_numpy()] = 1
+        return pa.table({"chunk": rows.column("chunk")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    rows = (pairs.select("w1", "w2").mapInArrow(places, "chunk long, bit long").distinct()
+            .groupBy("chunk").applyInArrow(chunk, "chunk long, bits binary").collect())
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in rows:
+        at = r["chunk"] * MARKS_CHUNK // 8
+        out[at:at + MARKS_CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def marked(marks: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    at = _prefix_hash(first, second) % np.uint64(MARKS)
+    return marks[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1 == 1
+
+
+def stripes(docs: DataFrame, layout: Layout, marks: np.ndarray | None = None) -> DataFrame:
+    """Stripes of words, or with ``marks`` those of marked pairs of words, summed over runs of words: a row for each language
+    and bucket that a run has stripes for.
 
     ``prefixes`` holds the two hashes of each prefix (the second NONE for a prefix of one word), ``sizes`` the length of
     its stripe, ``nexts`` and ``counts`` the entries. Prefixes of one word also count where a piece ends.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(layout)
+    shared = docs.sparkSession.sparkContext.broadcast((layout, marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout = shared.value
+        layout, marks = shared.value
         for keys, langs, pieces, names, _ in word_rows(batches):
             on = np.append(pieces[1:] == pieces[:-1], False)
             after = np.where(on, np.append(keys[1:], NONE), NONE)
-            two = np.flatnonzero(on & np.append(on[1:], False))
-            first = np.concatenate([keys, keys[two]])
-            second = np.concatenate([np.zeros(len(keys), np.uint64), after[two]])
-            following = np.concatenate([after, after[two + 1]])
-            first, second, following, lang, n = counted(first, second, following, np.concatenate([langs, langs[two]]))
+            if marks is None:
+                first, second, following, lang = keys, np.zeros(len(keys), np.uint64), after, langs
+            else:
+                often = on & marked(marks, keys, after)
+                two = np.flatnonzero(often & np.append(often[1:], False))
+                first, second, following, lang = keys[two], after[two], after[two + 1], langs[two]
+            if not len(first):
+                continue
+            first, second, following, lang, n = counted(first, second, following, lang)
             prefix, parts = _prefix_hash(first, second), layout.parts(first, second)
             part = (mixed(following) % parts.astype(np.uint64))
             bucket = (mixed(prefix + part) % np.uint64(layout.buckets)).astype(np.int64) + lang * layout.buckets
@@ -269,7 +306,10 @@ def collocations(docs: DataFrame, top: int = TOP, bucket: int = BUCKET) -> DataF
     """lang, rank, phrase, a, l, r, n and score of the first ``top`` phrases of each language."""
     words = vocabulary(docs)
     layout = Layout.of(words, bucket)
-    found = candidates(settled(merged(stripes(docs, layout), layout), "phrases"))
+    ones = settled(merged(stripes(docs, layout), layout), "phrases")
+    marks = pair_marks(ones.where("w2 <> 0"))
+    threes = settled(merged(stripes(docs, layout, marks), layout).where("w3 <> 0"), "phrases")
+    found = candidates(ones.unionByName(threes))
     order = [F.desc("score"), F.desc("a")]
     # Rows at the last place that counts tie on score and count; all of these are named, and names tell them apart.
     last = _first_rows(found, order, top).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("last"))
