@@ -12,7 +12,7 @@ input, so that no id, source or cluster makes a block large.
 
 Defined results: a text without words is one piece of 0 words and packed like others. Repeated rows
 are pieces of their own (and conflict, being copies). A null source is in conflict with no source; a null
-doc_id is carried along. An empty table gives no rows; other columns are ignored.
+doc_id is carried along. A row of a null cluster, where clusters are given, is a copy of none. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,23 +71,27 @@ def pack(sizes: np.ndarray, conflicts: list[np.ndarray], capacity: int) -> np.nd
     return where
 
 
-def pieces(docs: DataFrame, capacity: int) -> DataFrame:
-    """Pieces of at most ``capacity`` words, with source and cluster (texts equal but for case and blanks)."""
+def pieces(docs: DataFrame, capacity: int, cluster: str | None = None) -> DataFrame:
+    """Pieces of at most ``capacity`` words, with source and cluster (a column, or else texts equal but for case and blanks)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     blank = r"[\x20\x09-\x0D]+"
     plain = lower_ascii(F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), blank, " "))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n"),
-        F.xxhash64(plain).alias("cluster"), F.monotonically_increasing_id().alias("row"))
+        (F.xxhash64(plain) if cluster is None else F.col(cluster).cast("string")).alias("cluster"), F.monotonically_increasing_id().alias("row"))
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / capacity) - 1)
     return rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last))) \
         .withColumn("n_tokens", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity))
 
 
-def packing(docs: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, piece, start (first word), n_tokens, source and bin of every piece of ``docs`` (doc_id, text, source)."""
-    cut = settled(pieces(docs, capacity), "packing-pieces")
+def packing(docs: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS, cluster: str | None = None) -> DataFrame:
+    """doc_id, piece, start (first word), n_tokens, source and bin of every piece of ``docs`` (doc_id, text, source).
+
+    ``cluster`` names a column with the duplicate cluster of a row, such as the component of ``simhash_groups``; null is in
+    conflict with none. Without it, a cluster is texts that are equal but for case and blanks.
+    """
+    cut = settled(pieces(docs, capacity, cluster), "packing-pieces")
     blocks = max(1, -(-cut.where(F.col("n_tokens") < capacity).count() // block_rows))
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
