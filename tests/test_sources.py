@@ -348,11 +348,12 @@ TRICKY = [{"id": f"rec{i}", "Name": 'a "quoted" } { [ ] \\ text' + "\\" * (i % 3
            "nested": {"deep": [{"x": [{}, []]}, "}"], "records": [{"id": "not one"}]}, "blank": {}} for i in range(60)]
 
 
-@pytest.mark.parametrize("text", [
-    json.dumps(TRICKY), json.dumps(TRICKY, indent=1), "\ufeff" + json.dumps(TRICKY, ensure_ascii=False) + "\n",
-    json.dumps({"records": TRICKY}), json.dumps({"meta": [{"id": "m", "records": [{}]}], "records": TRICKY, "offset": {"a": [1, {}]}}, indent=2),
-    "\n".join(json.dumps(r, indent=1) for r in TRICKY), json.dumps({"records": []}), "[]", json.dumps(TRICKY[:1])[1:-1]])
-@pytest.mark.parametrize("split", ["1k", "128m"])
+LAYOUTS = [json.dumps(TRICKY), json.dumps(TRICKY, indent=1), "\ufeff" + json.dumps(TRICKY, ensure_ascii=False) + "\n",
+           json.dumps({"records": TRICKY}), json.dumps({"meta": [{"id": "m", "records": [{}]}], "records": TRICKY, "offset": {"a": [1, {}]}}, indent=2),
+           "\n".join(json.dumps(r, indent=1) for r in TRICKY), json.dumps({"records": []}), "[]", json.dumps(TRICKY[:1])[1:-1]]
+
+
+@pytest.mark.parametrize("text,split", [*[(t, "1k") for t in LAYOUTS], (LAYOUTS[0], "128m"), (LAYOUTS[4], "128m")])
 def test_records_are_cut_by_byte_ranges(spark, tmp_path, text, split):
     """Lists in any layout, with braces and quotes inside of texts, in one split and in many."""
     (tmp_path / "T.json").write_text(text, encoding="utf-8")
