@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -66,13 +67,30 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+_workspaces: list[list[str]] = []
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside are removed at the end, but for those said to ``stay``: what is left must be read from these."""
+    _workspaces.append([])
+    try:
+        yield
+    finally:
+        for path in _workspaces.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def settled(df: DataFrame, name: str, stay: bool = False) -> DataFrame:
     """The frame written once as a table in the shared folder and read back.
 
     What follows reads files that outlive executors, and the shuffle files of the
     work before are given up as soon as the table stands.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    if _workspaces and not stay:
+        _workspaces[-1].append(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
