@@ -34,8 +34,8 @@ FLUSH, BUCKET = 1 << 19, 1 << 19
 UNKNOWN_LANG = "und"
 #: Bits of the bitmap of pairs, and how many of them a task makes.
 MARKS, MARKS_CHUNK = 1 << 26, 1 << 16
-#: Rows of the ranking that are ranked apart before they meet.
-RANKED_APART = 64
+#: Into how many parts the candidates of a language are dealt to be ranked, before what is left of them meets.
+RANKED_APART = (256, 16)
 
 #: Stands for no word, at the end of a piece or of a prefix; no word has this hash.
 NONE = np.uint64(0)
@@ -151,7 +151,7 @@ def counted(first: np.ndarray, second: np.ndarray, following: np.ndarray, langs:
     return *(c[at] for c in columns), np.diff(np.append(at, len(order)))
 
 
-STRIPES = "lang string, bucket long, prefixes binary, sizes binary, nexts binary, counts binary"
+STRIPES = "lang string, bucket long, w1 long, w2 long, nexts binary, counts binary"
 
 
 def pair_marks(pairs: DataFrame) -> np.ndarray:
@@ -182,11 +182,11 @@ def marked(marks: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarr
 
 
 def stripes(docs: DataFrame, layout: Layout, marks: np.ndarray | None = None) -> DataFrame:
-    """Stripes of words, or with ``marks`` those of marked pairs of words, summed over runs of words: a row for each language
-    and bucket that a run has stripes for.
+    """Stripes of words, or with ``marks`` those of marked pairs of words, summed over runs of words: a row for each stripe,
+    or part of one, of a run.
 
-    ``prefixes`` holds the two hashes of each prefix (the second NONE for a prefix of one word), ``sizes`` the length of
-    its stripe, ``nexts`` and ``counts`` the entries. Prefixes of one word also count where a piece ends.
+    ``w1`` and ``w2`` are the hashes of the prefix (the second NONE for a prefix of one word), ``nexts`` and ``counts`` the
+    entries. Prefixes of one word also count where a piece ends.
     """
     shared = docs.sparkSession.sparkContext.broadcast((layout, marks))
 
@@ -206,23 +206,16 @@ def stripes(docs: DataFrame, layout: Layout, marks: np.ndarray | None = None) ->
             first, second, following, lang, n = counted(first, second, following, lang)
             prefix, parts = _prefix_hash(first, second), layout.parts(first, second)
             part = (mixed(following) % parts.astype(np.uint64))
-            bucket = (mixed(prefix + part) % np.uint64(layout.buckets)).astype(np.int64) + lang * layout.buckets
-            order = np.lexsort((prefix, bucket))
-            first, second, following, n, bucket = (c[order] for c in (first, second, following, n, bucket))
-            stripe = _starts(bucket, first, second)
-            rows = np.searchsorted(stripe, _starts(bucket))
-            sizes = np.diff(np.append(stripe, len(order))).astype(np.int32)
-            pairs = np.stack([first[stripe], second[stripe]], 1)
-            following, n, ends = following.astype("<u8"), n.astype("<i8"), np.append(stripe, len(order))
-            out: list[tuple] = []
-            for a, b in zip(rows, np.append(rows[1:], len(stripe)), strict=True):
-                of, lo, hi = bucket[stripe[a]], ends[a], ends[b]
-                out.append((names[of // layout.buckets], of % layout.buckets, pairs[a:b].tobytes(), sizes[a:b].tobytes(),
-                            following[lo:hi].tobytes(), n[lo:hi].tobytes()))
-                if len(out) == 256 or b == len(stripe):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (
-                        pa.string(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["lang", "bucket", "prefixes", "sizes", "nexts", "counts"])
-                    out = []
+            bucket = (mixed(prefix + part) % np.uint64(layout.buckets)).astype(np.int64)
+            order = np.lexsort((prefix, bucket, lang))
+            first, second, following, n, bucket, lang = (c[order] for c in (first, second, following, n, bucket, lang))
+            stripe = _starts(lang, bucket, first, second)
+            ends = np.append(stripe, len(order)) * 8
+            binary = lambda c: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stripe), [None, pa.py_buffer(ends), pa.py_buffer(c)])
+            yield from pa.Table.from_arrays(
+                [pa.array(names, pa.string()).take(pa.array(lang[stripe])), pa.array(bucket[stripe]), pa.array(first[stripe].view(np.int64)),
+                 pa.array(second[stripe].view(np.int64)), binary(following.astype("<u8")).cast(pa.binary()), binary(n.astype("<i8")).cast(pa.binary())],
+                ["lang", "bucket", "w1", "w2", "nexts", "counts"]).to_batches(1 << 14)
 
     return _texts(docs).mapInArrow(run, STRIPES)
 
@@ -239,10 +232,11 @@ def merged(rows: DataFrame, layout: Layout, least: int = LEAST) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         lang = group.column("lang")[0].as_py()
-        joined = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-        pairs, sizes = joined("prefixes", np.uint64).reshape(-1, 2), joined("sizes", np.int32)
-        following, n = joined("nexts", np.uint64), joined("counts", np.int64)
-        first, second = np.repeat(pairs[:, 0], sizes), np.repeat(pairs[:, 1], sizes)
+        nexts = group.column("nexts").combine_chunks()
+        following, ends = byte_column(nexts)
+        n, _ = byte_column(group.column("counts").combine_chunks())
+        following, n, sizes = following.view(np.uint64), n.view(np.int64), np.diff(ends) // 8
+        first, second = (np.repeat(group.column(c).to_numpy().view(np.uint64), sizes) for c in ("w1", "w2"))
         order = np.lexsort((following, second, first))
         first, second, following, n = (c[order] for c in (first, second, following, n))
         at = _starts(first, second, following)
@@ -295,11 +289,12 @@ def candidates(phrases: DataFrame) -> DataFrame:
 
 def _first_rows(rows: DataFrame, order: list[Column], top: int) -> DataFrame:
     """The first rows of each language, found in parts before they meet, with ``rank``."""
-    apart = Window.partitionBy("lang", "_apart").orderBy(*order)
-    few = (rows.withColumn("_apart", F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(RANKED_APART)))
-           .withColumn("rank", F.row_number().over(apart)).where(F.col("rank") <= top))
-    return (few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
-            .where(F.col("rank") <= top).drop("_apart"))
+    for parts in RANKED_APART:
+        apart = Window.partitionBy("lang", "_apart").orderBy(*order)
+        rows = (rows.withColumn("_apart", F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(parts)))
+                .withColumn("_place", F.row_number().over(apart)).where(F.col("_place") <= top).drop("_apart", "_place"))
+    return (rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
+            .where(F.col("rank") <= top))
 
 
 def collocations(docs: DataFrame, top: int = TOP, bucket: int = BUCKET) -> DataFrame:
