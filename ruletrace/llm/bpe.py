@@ -160,11 +160,9 @@ class Vocabulary:
 
 
 @functools.cache
-def unassigned() -> re.Pattern:
-    """Characters that Python's tables do not know; those of the tokenizers package may be of a later Unicode."""
-    known = [unicodedata.category(chr(c)) != "Cn" for c in range(0x110000)] + [True]
-    edges = [c for c in range(0x110001) if c and known[c] != known[c - 1]]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True)) + "]")
+def assigned(character: str) -> bool:
+    """Whether Python's tables know a character; those of the tokenizers package may be of a later Unicode."""
+    return unicodedata.category(character) != "Cn"
 
 
 def normal(text: str) -> str:
@@ -215,7 +213,7 @@ class Encoder:
         return out
 
     def _plain_words(self, text: str) -> list[str]:
-        if text.isascii() or not unassigned().search(text):
+        if text.isascii() or all(map(assigned, set(text))):
             return self.cut.findall(normal(text))
         from tokenizers import Regex, normalizers, pre_tokenizers
 
