@@ -1,4 +1,4 @@
-"""Next-row and running-sum windows that do not depend on group size.
+"""Next-row windows and row numbers that do not depend on group size.
 
 Every group is cut into pieces along time: the calendar span of ``PIECE_SECONDS`` that a row's first
 order column lies in. Rows are windowed inside a piece, and one carried row per (group, piece), taken by
@@ -42,21 +42,6 @@ def next_in_group(df: DataFrame, keys: list[str], order: list[str], take: dict[s
             .drop("_own", "_head", "_next", PIECE))
 
 
-def sums_before(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
-    """Add, per output name, the sum of a column over the earlier rows of the group."""
-    def before(w, columns: dict[str, str]) -> dict[str, Column]:
-        frame = w.rowsBetween(Window.unboundedPreceding, -1)
-        return {out: F.coalesce(F.sum(col).over(frame), F.lit(0)) for out, col in columns.items()}
-
-    cut = _cut(df, order)
-    totals = cut.groupBy(*keys, PIECE).agg(*[F.sum(c).alias(f"_{o}") for o, c in sums.items()])
-    offsets = totals.withColumns(before(Window.partitionBy(*keys).orderBy(PIECE), {f"_{o}": f"_{o}" for o in sums}))
-    return (cut.withColumns(before(Window.partitionBy(*keys, PIECE).orderBy(*order), sums))
-            .join(offsets, [*keys, PIECE])
-            .withColumns({o: F.col(o) + F.col(f"_{o}") for o in sums})
-            .drop(PIECE, *[f"_{o}" for o in sums]))
-
-
 PLACE_BITS = 33  # of monotonically_increasing_id
 
 

@@ -1,11 +1,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from frames import at, booking, frame
 from ruletrace.operators import distribution as d
 from ruletrace.operators.intervals import overlap_counts, overlap_pairs, overlapping_work, sweep
-from ruletrace.operators.ordered import next_in_group, sums_before
+from ruletrace.operators.ordered import next_in_group, numbered
 
 
 def rows(df, *columns):
@@ -25,23 +26,24 @@ def expected(df):
     groups = {}
     for r in sorted(df.collect(), key=lambda r: (r.t, r.id)):
         groups.setdefault(r.g, []).append(r)
-    following, before = [], []
-    for members in groups.values():
-        total = 0
-        for r, n in zip(members, [*members[1:], None]):
-            following.append((r.id, -1 if n is None else n.v, str(n and n.t)))
-            before.append((r.id, total))
-            total += r.v
-    return sorted(following), sorted(before)
+    return sorted((r.id, -1 if n is None else n.v, str(n and n.t))
+                  for members in groups.values() for r, n in zip(members, [*members[1:], None]))
 
 
 def test_windows_agree_when_groups_are_cut_into_pieces(skewed):
-    following, before = expected(skewed)
+    following = expected(skewed)
     got = next_in_group(skewed, ["g"], ["t", "id"], {"nv": "v", "nt": "t"})
     assert sorted((r.id, -1 if r.nv is None else r.nv, str(r.nt)) for r in got.collect()) == following
     times = next_in_group(skewed, ["g"], ["t", "id"], {"nt": "t"})
     assert sorted((r.id, str(r.nt)) for r in times.collect()) == sorted((i, t) for i, _, t in following)
-    assert rows(sums_before(skewed, ["g"], ["t", "id"], {"s": "v"}), "id", "s") == before
+
+
+def test_numbers_follow_the_order(skewed):
+    got = numbered(skewed, [F.col("g"), F.desc("t"), F.col("id")]).collect()
+    got.sort(key=lambda r: r.place)
+    assert [r.place for r in got] == list(range(1, 601))
+    assert [(r.g, r.t, r.id) for r in got] == [(r.g, r.t, r.id) for r in sorted(got, key=lambda r: (r.g, -r.t.timestamp(), r.id))]
+    assert numbered(skewed.limit(0), [F.col("g")]).count() == 0
 
 
 def random_bookings(seed, backwards):
