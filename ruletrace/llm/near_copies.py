@@ -2,7 +2,8 @@
 
 Method: documents with equal sets are one node. Every node has ``BANDS`` keys, each the hash of ``ROWS``
 independent min-hashes: two nodes of similarity s share no key with chance (1 - s^ROWS)^BANDS, which is 6e-5 at
-0.8 and less above. Keys only name candidates. Of these, pairs that agree in under ``AGREE`` of all BANDS * ROWS marks go, where
+0.8 and less above. Nodes whose SimHash fingerprints (of the same shingles) are in one group of links of at most three bits, found
+with the Golay keys of ``simhash``, are candidates too: each with the first of its group. Keys only name candidates. Of these, pairs that agree in under ``AGREE`` of all BANDS * ROWS marks go, where
 a mark is 4 bits of a min-hash (a pair of 0.8 does so with chance below 1e-8), and a link is a pair whose exact similarity, of
 whole sets, is ``LEAST`` or more. Groups are connected components of links.
 
@@ -10,9 +11,12 @@ Large groups give no pairs of all with all: the members of a key first meet the
 keys with others. The members of a key that still has several groups are then dealt into cells of about ``CELL``, and each cell meets
 itself, which is done for a few of the keys first, and then all others, at doubling distances in turn, so that the rounds grow
 with the logarithm of the key. Members that are in one group by then do not meet, and of those that do only pairs with enough
-equal marks leave the task. At the end any two members of a key have met or are in one group: nothing else is left to chance.
+equal marks leave the task, and no more of them than the cell has members. Cells with more (``crowded``: a family whose members are
+all alike, but mostly not alike enough) meet once more with whole sets: their links are found inside the task, and those leave it
+that join what they link, less than one for each member. At the end any two members of a key have met or are in one group: nothing
+else is left to chance.
 
-Why not the Golay keys of ``simhash``: their links differ in at most three of 64 bits, and pairs of similarity 0.8 to 1 mostly
+Why not the Golay keys of ``simhash`` alone: their links differ in at most three of 64 bits, and pairs of similarity 0.8 to 1 mostly
 differ in four to eleven.
 
 Defined results: words are separated by blanks and told apart without the case of A-Z. Fewer than five words
@@ -31,14 +35,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ruletrace.llm.common import (BASE, BLANK_WORDS, LOWERED, byte_column, chained, doc_slices, fresh, mixed, prefix_sums, settled,
                                   span_hash, utf8, word_spans, workspace)
 from ruletrace.llm.components import components
+from ruletrace.llm.simhash import grouped
 
-WIDTH, BANDS, ROWS, CELL = 5, 32, 6, 64
+WIDTH, BANDS, ROWS, CELL = 5, 32, 6, 128
 AGREE = 123
 #: The first rounds take 1, then 3, then the other 12 of 16 parts of the keys.
 FIRST_PARTS, PARTS = ((0, 1), (1, 4), (4, 16)), 16
 #: Similarity as a fraction: shared shingles x (up + down) >= up x (sizes of both sets).
 LEAST = (4, 5)
-CHUNK, PAIRS_AT_ONCE = 1 << 12, 1 << 17
+CHUNK, PAIRS_AT_ONCE, SHINGLES_AT_ONCE = 1 << 12, 1 << 17, 1 << 15
+CELL_KEY = ["key", "distance", "cell"]
 FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -57,6 +63,14 @@ def node(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), len(shingles))
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of a set: a bit is 1 if over half of the hashes have it."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(shingles), CHUNK):
+        ones += np.unpackbits(shingles[lo:lo + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big")
+
+
 def band_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Keys (sets x BANDS) of sets that are not empty, and 4 bits of each min-hash (sets x BANDS * ROWS / 2 bytes)."""
     least = np.full((len(sets), BANDS * ROWS), np.iinfo(np.uint64).max, np.uint64)
@@ -82,7 +96,7 @@ def _spelled(docs: DataFrame) -> Column:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the text, node, size of the set, band keys and min-hash marks of every row."""
+    """doc_id, hash of the text, node, size of the set, its fingerprint, band keys and min-hash marks of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = byte_column(batch.column(1))
@@ -93,11 +107,12 @@ def signed(docs: DataFrame) -> DataFrame:
                 marks = iter(marks)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(np.array([node(s) for s in sets], np.uint64).view(np.int64)), pa.array(sizes),
+                     pa.array(np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)),
                      pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(BANDS * (sizes > 0))]).astype(np.int32), pa.array(keys.view(np.int64).ravel())),
                      pa.array([next(marks).tobytes() if n else b"" for n in sizes], pa.binary())],
-                    ["doc_id", "spelled", "node", "n", "keys", "marks"])
+                    ["doc_id", "spelled", "node", "n", "fp", "keys", "marks"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, spelled long, node long, n long, keys array<long>, marks binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, spelled long, node long, n long, fp long, keys array<long>, marks binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -133,27 +148,34 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(_equal(one, two) >= AGREE))
 
 
+def _sides(members: pa.Array, itself: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Members (a struct array) of all cells in order, the first one each meets, how many, and each cell's first and last place.
+
+    A cell has its own members (far = 0), and those of the one at a distance (far = 1) if it does not meet itself.
+    """
+    fields, ends = members.flatten(), members.offsets.to_numpy() - members.offsets[0].as_py()
+    cell, far = np.repeat(np.arange(len(members)), np.diff(ends)), fields.field("far").to_numpy()
+    fields = fields.take(pa.array(np.lexsort((far, cell))))
+    own = np.bincount(cell[far == 0], minlength=len(members))
+    place = np.arange(len(cell))
+    first = np.where(itself[cell], place + 1, (ends[:-1] + own)[cell])
+    count = np.where(place < (ends[:-1] + own)[cell], np.maximum(ends[1:][cell] - first, 0), 0)
+    return fields, first, count, ends
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of two cells that may be links: other labels, fitting sizes, enough equal marks.
 
-    A row has a list of members (far, node, n, label, marks): those of the cell itself (far = 0), and of the one at a distance
-    (far = 1) if it does not meet itself (itself = true). All cells of a batch are paired at once, some of the pairs at a time.
+    A row has a key, distance and cell, whether the cell meets itself, and a list of members (far, node, n, label, marks). All cells
+    of a batch are paired at once, some of the pairs at a time. A cell with more pairs than members gives one row without a pair.
     """
     up, down = LEAST
     for batch in batches:
-        members = batch.column(1)
-        fields, ends = members.flatten(), members.offsets.to_numpy() - members.offsets[0].as_py()
-        cell = np.repeat(np.arange(len(members)), np.diff(ends))
-        far = fields.field(0).to_numpy()
-        order = np.lexsort((far, cell))
-        node, n, label = (fields.field(k).to_numpy()[order] for k in (1, 2, 3))
-        marks, far = _marks(fields.field(4), len(fields))[order], far[order]
-        middle = ends[:-1] + np.bincount(cell[far == 0], minlength=len(members))
-        itself = batch.column(0).to_numpy(zero_copy_only=False)[cell]
-        first = np.where(itself, np.arange(len(cell)) + 1, middle[cell])
-        count = np.where(far == 0, np.maximum(ends[1:][cell] - first, 0), 0)
-        total = np.cumsum(count)
-        pairs, lo = [np.zeros((2, 0), np.int64)], 0
+        fields, first, count, ends = _sides(batch.column("members"), batch.column("itself").to_numpy(zero_copy_only=False))
+        cell = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        node, n, label = (fields.field(k).to_numpy() for k in ("node", "n", "label"))
+        marks, total, lo = _marks(fields.field("marks"), len(fields)), np.cumsum(count), 0
+        kept, found = np.zeros(batch.num_rows, np.int64), [np.zeros((3, 0), np.int64)]
         while lo < len(cell):
             hi = max(lo + 1, int(np.searchsorted(total, total[lo] - count[lo] + PAIRS_AT_ONCE, "right")))
             x = np.repeat(np.arange(lo, hi), count[lo:hi])
@@ -161,10 +183,68 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             apart = (label[x] != label[y]) & (np.minimum(n[x], n[y]) * down >= np.maximum(n[x], n[y]) * up)
             x, y = x[apart], y[apart]
             good = _equal(marks[x], marks[y]) >= AGREE
-            pairs.append(np.stack([np.minimum(node[x], node[y])[good], np.maximum(node[x], node[y])[good]]))
+            x, y = x[good], y[good]
+            kept += np.bincount(cell[x], minlength=len(kept))
+            few = kept[cell[x]] <= np.diff(ends)[cell[x]]
+            x, y = x[few], y[few]
+            found.append(np.stack([cell[x], np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
             lo = hi
-        found = np.unique(np.concatenate(pairs, 1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+        at, a, b = np.concatenate(found, 1)
+        crowded = kept > np.diff(ends)
+        at, a, b = (v[~crowded[at]] for v in (at, a, b))
+        crowd = np.flatnonzero(crowded)
+        at, none = pa.array(np.concatenate([at, crowd])), pa.nulls(len(crowd), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in CELL_KEY), pa.concat_arrays([pa.array(a), none]),
+                                          pa.concat_arrays([pa.array(b), none])], [*CELL_KEY, "a", "b"])
+
+
+def _shared(sets: list[np.ndarray], own: int, itself: bool) -> np.ndarray:
+    """How many shingles each of the first ``own`` sets (rows) shares with each that it meets (all, or those after them)."""
+    others = 0 if itself else own
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((own, len(sets) - others))
+    for lo in range(0, len(values), SHINGLES_AT_ONCE):
+        i, k = np.searchsorted(at, (lo, lo + SHINGLES_AT_ONCE))
+        has = np.zeros((len(sets), min(SHINGLES_AT_ONCE, len(values) - lo)), np.float32)
+        has[row[i:k], at[i:k] - lo] = 1  # sums of at most SHINGLES_AT_ONCE ones are exact
+        out += has[:own] @ has[others:].T
+    return out
+
+
+def _crowd_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of members of two cells with whole sets, those that join two groups of the cells' members first."""
+    up, down = LEAST
+    for batch in batches:
+        found = []
+        for members, itself in zip(batch.column("members"), batch.column("itself").to_pylist(), strict=True):
+            fields = members.values
+            fields = fields.take(pa.array(np.argsort(fields.field("far").to_numpy(), kind="stable")))
+            node, label = fields.field("node").to_numpy(), fields.field("label").to_numpy()
+            lists = fields.field("shingles")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            own = int((fields.field("far").to_numpy() == 0).sum())
+            others = 0 if itself else own
+            n = np.diff(ends)
+            links = _shared(sets, own, itself) * (up + down) >= up * (n[:own, None] + n[None, others:])
+            links &= label[:own, None] != label[None, others:]
+            group = {int(v): int(v) for v in np.unique(label)}
+
+            def root(v: int) -> int:
+                while group[v] != v:
+                    group[v] = v = group[group[v]]
+                return v
+
+            for x, y in zip(*np.nonzero(links), strict=True):
+                r, q = root(int(label[x])), root(int(label[others + y]))
+                if r != q:
+                    group[r] = q
+                    found.append(sorted((int(node[x]), int(node[others + y]))))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def likely(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -204,6 +284,14 @@ def rounds(cells: int) -> Iterator[tuple[int, int, tuple[int, int]]]:
         turn += 1
 
 
+def alike_in_bits(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a node and the smallest one of its group of fingerprints, at most three bits from link to link."""
+    rows = settled(nodes.select(F.col("node").alias("doc_id"), "fp"), "fingerprints")
+    groups = grouped(rows).withColumnsRenamed({"fp": "of", "component_id": "least_node"})
+    both = rows.join(groups, F.col("fp") == F.col("of")).where(F.col("doc_id") != F.col("least_node"))
+    return both.select(F.least("doc_id", "least_node").alias("a"), F.greatest("doc_id", "least_node").alias("b"))
+
+
 def linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """node and root of every node that is linked to a smaller one; ``marks`` as ``signed`` gives them."""
     with workspace(docs.sparkSession):
@@ -211,7 +299,7 @@ def linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def _linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    nodes = settled(marks.select("node", "n", "keys", "marks").dropDuplicates(["node"]), "nodes")
+    nodes = settled(marks.select("node", "n", "fp", "keys", "marks").dropDuplicates(["node"]), "nodes")
     keys = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = settled(keys.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("members")).where("members > 1"), "shared-keys")
     members = settled(keys.join(shared, F.col("key") == F.col("of")).drop("of"), "members")
@@ -220,10 +308,12 @@ def _linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
     hubs = settled(ranked.groupBy(F.col("key").alias("of")).agg(F.max(F.struct("degree", "node", "n")).alias("hub"))
                    .select("of", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
     pairs = members.join(hubs, F.col("key") == F.col("of")).where(F.col("node") != F.col("hub")).where(_fits("n", "hub_n"))
-    pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    pairs = pairs.unionByName(alike_in_bits(nodes.where("n > 0"))).distinct()
     met = settled(likely(nodes, pairs), "pairs")
-    # Texts are read once more for the sets of nodes that share a key; all rounds read these.
-    sets = settled(sets_of(docs, members.select(F.col("node").alias("of")).distinct()), "sets")
+    # Texts are read once more for the sets of nodes that share a key or are in a pair; all rounds read these.
+    wanted = members.select(F.col("node").alias("of")).unionByName(met.select(F.explode(F.array("a", "b")).alias("of"))).distinct()
+    sets = settled(sets_of(docs, wanted), "sets")
     links = settled(verified(sets, met), "links")
     roots = settled(components(links), "components")
     marked = nodes.select(F.col("node").alias("of"), "marks")
@@ -249,13 +339,18 @@ def _linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
             own = own.unionByName(rows.select(
                 "key", "distance", F.pmod(F.col("cell") - F.col("distance"), F.col("cells")).alias("cell"), member[1].alias("member")))
         # About as many members as a cell or two have, however many the key has.
-        pairs = own.groupBy("key", "distance", "cell").agg(F.collect_list("member").alias("members")) \
-            .select((F.col("distance") == 0).alias("itself"), "members") \
-            .mapInArrow(_met, "a long, b long").distinct()
-        pairs = settled(pairs.join(met, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
+        itself = (F.col("distance") == 0).alias("itself")
+        found = settled(own.groupBy(*CELL_KEY).agg(F.collect_list("member").alias("members")).select(*CELL_KEY, itself, "members")
+                        .mapInArrow(_met, "key long, distance int, cell long, a long, b long"), "found")
+        pairs = settled(found.where("a IS NOT NULL").select("a", "b").distinct().join(met, ["a", "b"], "left_anti"), "pairs")
+        crowded = found.where("a IS NULL").select(*[F.col(c).alias(f"_{c}") for c in CELL_KEY])
+        crowd = own.join(crowded, [F.col(c) == F.col(f"_{c}") for c in CELL_KEY], "left_semi").select(*CELL_KEY, "member.*") \
+            .join(sets.withColumnRenamed("node", "of"), F.col("node") == F.col("of"))
+        crowd = crowd.groupBy(*CELL_KEY).agg(F.collect_list(F.struct("far", "node", "label", "shingles")).alias("members"))
+        crowd = settled(crowd.select(itself, "members").mapInArrow(_crowd_links, "a long, b long").distinct(), "links")
+        if not (pairs.isEmpty() and crowd.isEmpty()):
             met = met.unionByName(pairs)
-            links = links.unionByName(settled(verified(sets, pairs), "links"))
+            links = links.unionByName(settled(verified(sets, pairs), "links")).unionByName(crowd)
             roots = settled(components(links), "components")
     return roots
 

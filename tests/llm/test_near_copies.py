@@ -100,6 +100,42 @@ def test_a_family_larger_than_many_cells(spark, monkeypatch):
     check(spark, rows, got)
 
 
+def crowd_rows(n):
+    """A family alike in about 0.7, of which every tenth text has a near copy: few links, and pairs of all with all that may be links."""
+    rng = random.Random(23)
+    base = [f"b{i}" for i in range(240)]
+    rows = []
+    for k in range(n):
+        own = list(base)
+        for at in rng.sample(range(0, 240, 6), 4):
+            own[at] = f"p{k}-{at}"
+        rows.append(own)
+        if k % 10 == 0:
+            rows.append([*own[:-1], f"q{k}"])
+    return [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(rows)]
+
+
+def test_a_crowded_family_gives_no_pairs_of_all_with_all(spark, monkeypatch):
+    rows, verified, looked_at = crowd_rows(120), near_copies.verified, []
+
+    def counted(sets, pairs):
+        looked_at.append(pairs.count())
+        return verified(sets, pairs)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    check(spark, rows, near_copies.one_of_near_copies(docs(spark, rows)))
+    assert sum(looked_at) < 12 * len(rows)  # of 8646 pairs
+
+
+def test_nodes_of_like_fingerprints_are_candidates(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(400)) + f" x{i}", "en", "s", 0) for i in range(5)] + [(9, "of its own " * 9, "en", "s", 0)]
+    nodes = near_copies.signed(docs(spark, rows)).select("node", "fp")
+    fps = {r["node"]: r["fp"] & (1 << 64) - 1 for r in nodes.collect()}
+    close = {(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3}
+    pairs = {tuple(r) for r in near_copies.alike_in_bits(nodes).collect()}
+    assert close and {n for p in pairs for n in p} == {n for p in close for n in p}
+
+
 def test_cells_at_all_distances_meet():
     for cells in range(1, 40):
         seen = set()
