@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frames import at, booking, frame
-from ruletrace.operators import distribution as d
+from ruletrace.operators import distribution as d, intervals
 from ruletrace.operators.intervals import overlap_counts, overlap_pairs, overlapping_work, sweep
 from ruletrace.operators.ordered import next_in_group, numbered
 
@@ -88,6 +88,36 @@ def test_overlaps_against_all_pairs(spark, seed, backwards):
     assert [r[0] for r in rows(overlapping_work(sweep(df)), "work_id")] == sorted(jobs)
 
 
+@pytest.mark.parametrize("seed,backwards", [(4, False), (5, True)])
+def test_resources_in_one_piece_and_in_many(spark, seed, backwards, monkeypatch):
+    """Half of the resources are swept in one piece; a narrowed join gives the pairs of the narrow role."""
+    bookings = random_bookings(seed, backwards)
+    df = frame(spark, "assignments", bookings)
+    many = df.withColumn("many", F.when(F.col("resource_id").isin("r0", "r1"), 99).otherwise(1))
+    per_resource, per_job = {}, {}
+    for a, b in brute_pairs(bookings):
+        per_resource[a["resource_id"]] = per_resource.get(a["resource_id"], 0) + 1
+        for x in (a, b):
+            per_job[x["work_id"]] = per_job.get(x["work_id"], 0) + 1
+    monkeypatch.setattr(intervals, "WHOLE", 50)
+    swept = sweep(many, many="many")
+    assert rows(overlap_counts(swept).filter("pairs > 0"), "resource_id", "pairs") == sorted(per_resource.items())
+    assert rows(overlapping_work(swept), "work_id", "overlaps") == sorted(per_job.items())
+
+    pairs = lambda df: rows(df, "a_assignment_id", "b_assignment_id")
+    few = df.filter("hash(assignment_id) % 9 = 0")
+    chosen = {r[0] for r in rows(few, "assignment_id")}
+    got = sorted(set(pairs(overlap_pairs(df, earlier=few)) + pairs(overlap_pairs(df, later=few))))
+    assert got == sorted(p for p in pairs(overlap_pairs(df)) if chosen & set(p))
+
+
+def test_a_narrowed_join_leaves_out_what_it_cannot_meet(spark):
+    """Starts are copied only into tiers that the narrow role has, and only those within its times."""
+    df = frame(spark, "assignments", [booking(n, "r", f"w{n}", 30 * n, 30 * n + 50) for n in range(400)])
+    plan = overlap_pairs(df, earlier=df.filter("assignment_id < 'as_00010'"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(1, 8" not in plan and "[1,2,3,4,5,6,7,8]" not in plan and "2026-06-01" in plan
+
+
 def test_touching_windows_do_not_overlap(spark):
     df = frame(spark, "assignments", [booking(1, "r", "w1", 0, 60), booking(2, "r", "w2", 60, 90)])
     assert overlap_pairs(df).count() == 0
