@@ -43,6 +43,8 @@ def test_headline_and_buckets(sheets):
         "recalled": (1, 2), "document": (1, 2)}
     assert [(r.candidate_id, r["keys"]) for r in scoring.multi_cover(judged).collect()] == [("c1", 2)]
     assert [(r.candidate_id, r.note) for r in scoring.new_finds(found, judged).collect()] == [("c2", "n")]
+    plan = scoring.new_finds(found, judged)._jdf.queryExecution().optimizedPlan().toString()
+    assert "first_verdict" not in plan  # the notes are judged once and written down
     assert [r.key_id for r in scoring.unrecovered(key, judged).collect()] == ["K3", "K4"]
 
 
@@ -68,6 +70,8 @@ def test_comparison(spark, sheets):
     assert survives[("type", "gap")] == "neither run found it"
     assert [(r.key_id, r.found_by, r.moved) for r in compare.moved_keys(rich, lean, key).collect()] == [("K2", "c1", "lost")]
     assert [tuple(r) for r in compare.one_sided_candidates(rich, lean).collect()] == [("c2", "rich")]
+    plan = compare.one_sided_candidates(rich, lean)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate ") == 1  # not one for each run, its distinct ids and its difference, all in one task
     assert tuple(compare.volume_delta(rich, lean).first()) == ("work", 9, 4)
     assert {r.probe: (r.rich_candidates, r.lean_candidates) for r in compare.probe_delta(rich, lean).collect()} == {
         "p03": (3, 2), "p04": (4, 4)}
