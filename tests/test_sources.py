@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from frames import landing
 from ruletrace.functions import cells, labels
 from ruletrace.plans import candidates
 from ruletrace.sources import integrity
@@ -382,3 +383,11 @@ def test_a_list_that_is_cut_off_stops_the_load(spark, tmp_path, text):
     (tmp_path / "T.json").write_text(text)
     with pytest.raises(Exception, match="(?i)malformed"):
         read_table(spark, str(tmp_path), "T", ["Name"]).collect()
+
+
+def test_repeated_keys_are_counted_by_hash_first(spark):
+    work = [dict(work_id=w) for w in ("op_1", "op_2", "op_2", None, None)]
+    found = repeated_keys(landing(spark, work=work, locations=[dict(location_id="op_1", name="x")]))
+    assert sorted(map(tuple, found.collect()), key=str) == [("work", "op_2", 2), ("work", None, 2)]
+    # Unique keys are never grouped by themselves.
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
