@@ -262,3 +262,13 @@ def test_evidence_of_planted_findings(spark):
     row = one(evidence.override(t))
     assert (row["events"], row["share_of_all_overrides"], row["median_days"]) == (3, 1.0, 0)
     assert [(r.changed_by, r.events) for r in evidence.override_people(t).collect()] == [("u1", 3)]
+
+
+def test_roles_of_touched_crew_are_one_aggregate(spark):
+    t = landing(spark, resources=[resource("r1"), resource("r2")], work=jobs([("on", 5)]), changes=[change(1, "ovr_x")],
+                assignments=[booking(k, r, "op_0", 0, 1, role) for k, (r, role) in enumerate(
+                    [("r1", "b"), ("r1", "a"), ("r1", "b"), ("r1", None), ("r2", None)])])
+    crew = override_detail.touched_crew(t, "ovr_x")
+    assert sorted((r.resource, r.roles) for r in crew.collect()) == [("r1", "a, b"), ("r2", None)]
+    plan = crew._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("role#") and "distinct" not in plan and plan.count("Aggregate") - plan.count("HashAggregate(keys=[work_id") <= 2
