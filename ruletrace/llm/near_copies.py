@@ -26,6 +26,7 @@ are one shingle; null and empty texts are copies of each other. Repeated rows ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -317,12 +318,14 @@ def _linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
     links = settled(verified(sets, met), "links")
     roots = settled(components(links), "components")
     marked = nodes.select(F.col("node").alias("of"), "marks")
+    # Labels are looked up once for each node, not for each of its keys.
+    holders = settled(members.groupBy("node", "n").agg(F.collect_list(F.struct("key", "members")).alias("own")), "holders")
+    labelled = _labelled(holders, roots)
     largest = members.agg(F.max("members")).first()[0] or 0
     for nearest, farthest, (lo, hi) in rounds(-(-largest // CELL)):
-        named = members.where(F.ceil(F.col("members") / CELL) >= 2 * nearest) \
-            .where(F.pmod("key", F.lit(PARTS)).between(lo, hi - 1)) \
-            .join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left") \
-            .select("key", "node", "n", F.ceil(F.col("members") / CELL).alias("cells"), F.coalesce("root", "node").alias("label"))
+        named = labelled.select("node", "n", "label", F.explode("own").alias("_own")) \
+            .select("_own.key", "node", "n", F.ceil(F.col("_own.members") / CELL).alias("cells"), "label") \
+            .where(F.col("cells") >= 2 * nearest).where(F.pmod("key", F.lit(PARTS)).between(lo, hi - 1))
         several = named.groupBy(F.col("key").alias("of")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
         dealt = settled(named.join(several.select("of"), F.col("key") == F.col("of"), "left_semi")
                         .withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells"))), "dealt")
@@ -344,17 +347,29 @@ def _linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
                         .mapInArrow(_met, "key long, distance int, cell long, a long, b long"), "found")
         pairs = settled(found.where("a IS NOT NULL").select("a", "b").distinct().join(met, ["a", "b"], "left_anti"), "pairs")
         crowded = found.where("a IS NULL").select(*[F.col(c).alias(f"_{c}") for c in CELL_KEY])
-        crowd = own.join(crowded, [F.col(c) == F.col(f"_{c}") for c in CELL_KEY], "left_semi").select(*CELL_KEY, "member.*") \
-            .join(sets.withColumnRenamed("node", "of"), F.col("node") == F.col("of"))
-        crowd = crowd.groupBy(*CELL_KEY).agg(F.collect_list(F.struct("far", "node", "label", "shingles")).alias("members"))
-        crowd = settled(crowd.select(itself, "members").mapInArrow(_crowd_links, "a long, b long").distinct(), "links")
-        if not (pairs.isEmpty() and crowd.isEmpty()):
+        more = []
+        if not pairs.isEmpty():
             met = met.unionByName(pairs)
-            links = links.unionByName(settled(verified(sets, pairs), "links")).unionByName(crowd)
+            more.append(settled(verified(sets, pairs), "links"))
+        if not crowded.isEmpty():
+            crowd = own.join(crowded, [F.col(c) == F.col(f"_{c}") for c in CELL_KEY], "left_semi").select(*CELL_KEY, "member.*") \
+                .join(sets.withColumnRenamed("node", "of"), F.col("node") == F.col("of"))
+            crowd = crowd.groupBy(*CELL_KEY).agg(F.collect_list(F.struct("far", "node", "label", "shingles")).alias("members"))
+            more.append(settled(crowd.select(itself, "members").mapInArrow(_crowd_links, "a long, b long").distinct(), "links"))
+        more = [m for m in more if not m.isEmpty()]
+        if more:
+            links = reduce(DataFrame.unionByName, more, links)
             roots = settled(components(links), "components")
+            labelled = _labelled(holders, roots)
     return roots
 
 
+def _labelled(holders: DataFrame, roots: DataFrame) -> DataFrame:
+    """The nodes that share keys, with the root of each in ``label``."""
+    return settled(holders.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+                   .select("node", "n", "own", F.coalesce("root", "node").alias("label")), "labelled")
+
+
 def one_of_near_copies(docs: DataFrame) -> DataFrame:
     """The row of ``docs`` with the smallest doc_id of each group of near copies, with all its columns.
 

@@ -148,3 +148,14 @@ def test_cells_at_all_distances_meet():
 
 def test_no_rows(spark):
     assert near_copies.one_of_near_copies(docs(spark, []).limit(0)).count() == 0
+
+
+def test_stars_are_known_as_such(spark, monkeypatch):
+    from ruletrace.llm import components as stars
+    names, settled = [], stars.settled
+    monkeypatch.setattr(stars, "settled", lambda df, name: names.append(name) or settled(df, name))
+    star = spark.createDataFrame([(1, 5), (7, 1), (2, 9), (9, 2), (3, 3)], "a long, b long")
+    assert sorted(map(tuple, stars.components(star).collect())) == [(5, 1), (7, 1), (9, 2)]
+    assert names == ["edges"]
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(40, 30), (40, 31)], "a long, b long")
+    assert sorted(map(tuple, stars.components(chain).collect())) == [(k, 0) for k in range(1, 21)] + [(31, 30), (40, 30)]
