@@ -201,6 +201,13 @@ def test_verdicts_are_read_without_the_white_space_around_them(spark):
     assert candidates.unjudged(found, given.filter("row_no > '1'")).count() == 1
 
 
+def test_gap_bins_read_gaps_that_are_worked_out_once(spark):
+    t = landing(spark, resources=[resource("van")], assignments=spaced(45, 61))
+    bins = evidence.gap_bins(t, FEW)
+    assert "assignment_id" not in bins._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.edge, r.n) for r in bins.filter("n > 0").collect()] == [(45, 60)]
+
+
 def test_candidates_are_ordered_and_repeatable(spark):
     t = landing(spark, resources=[resource("van")], assignments=spaced(45, 61),
                 work=jobs([("on", 5)] * 60 + [("off", None)] * 12))
