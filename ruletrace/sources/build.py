@@ -130,13 +130,16 @@ def assignments(sources: list[Source], spark: SparkSession, work_rows: DataFrame
     if not frames:
         return empty(spark, "assignments")
     # The windows are looked up first: what then picks the first row of each (job, resource, role) rides
-    # on the same shuffle, and only rows that are kept get their id hashed.
-    first = F.row_number().over(Window.partitionBy("work_id", "resource_id", "role")
+    # on the same shuffle, and only rows that are kept get their id hashed. Ids of jobs begin alike, so rows are sorted by
+    # a hash first, which is told apart at a glance.
+    spread = F.xxhash64("work_id").alias("_spread")
+    first = F.row_number().over(Window.partitionBy("_spread", "work_id", "resource_id", "role")
                                 .orderBy("ordinal", "source_id"))
     ident = cells.opaque_id("work_id", "resource_id", "role", prefix="as_")
     return (_union(frames, spark, "assignments")
-            .join(work_rows.select("work_id", "start_ts", "end_ts"), "work_id", "left")
-            .withColumn("_place", first).filter("_place = 1").drop("_place")
+            .withColumn("_spread", spread)
+            .join(work_rows.select(spread, "work_id", "start_ts", "end_ts"), ["_spread", "work_id"], "left")
+            .withColumn("_place", first).filter("_place = 1").drop("_place", "_spread")
             .selectExpr("*", f"{ident} AS assignment_id"))
 
 

@@ -36,6 +36,16 @@ def test_link_cells(spark):
         ["a"], ["a", "b"], ["a", "b"], [], [], [], [], [A, B], ["[broken", "b"], ["1", "2.5"]]
 
 
+def test_plain_links_are_those_of_parsed_cells(spark):
+    shapes = {'["a-1.b"]': ["a-1.b"], '[{"id":"a","name":"x y"}]': ["a"], '[{"id": "a", "name": ""}]': ["a"], '[{"id":"a"}]': ["a"],
+              '["a", "b"]': ["a", "b"], '["a\\"b"]': ['a"b'], '["\\u0061"]': ["a"], '["{\\"id\\":\\"z\\"}"]': ["z"], '[{"id":"é"}]': ["é"],
+              '[{"name":"x","id":"a"}]': ["a"], '[{"id":"a","name":"x"}': ['[{"id":"a"', '"name":"x"}'], '["a"': ['["a"'], '[""]': []}
+    assert evaluate(spark, list(shapes), cells.links("c")) == list(shapes.values())
+    rows = cells.with_cells(spark.createDataFrame([('["a"]',)], "c string"), ["c"]).selectExpr(f"{cells.links('c')} AS ids")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "c#json" not in plan  # nothing is parsed beforehand
+
+
 def test_select_cells(spark):
     shapes = [" plain ", '{"name":"n","id":"i"}', '{"id":"i"}', '["x","y"]', '[{"name":"n"}]', "[]", "{}",
               "{broken", "", None, "null", "   ", '[["deep"]]']
