@@ -160,3 +160,11 @@ def test_histogram_fills_empty_bins(spark):
     df = counts(spark, {1: 2, 12: 1})
     assert rows(d.histogram(df, ["k"], "v", 5), "edge", "n") == [(0, 2), (5, 0), (10, 1)]
     assert rows(d.histogram(df, ["k"], "v", 5, bins=2), "edge", "n") == [(0, 2), (5, 0)]
+
+
+def test_pieces_are_told_apart_by_a_hash_first(spark):
+    rows = spark.createDataFrame([("van", at(m), n) for n, m in enumerate((0, 5, 20_000, 20_000, 40_000))], "k string, t timestamp_ntz, n int")
+    follow = next_in_group(rows, ["k"], ["t", "n"], {"then": "n"})
+    assert follow.columns == ["k", "t", "n", "then"]
+    assert [r.then for r in follow.orderBy("n").collect()] == [1, 2, 3, 4, None]
+    assert "Sort [_spread" in follow._jdf.queryExecution().executedPlan().toString()
