@@ -9,12 +9,14 @@ whole sets, is ``LEAST`` or more. Groups are connected components of links.
 
 Large groups give no pairs of all with all: the members of a key first meet the one of them that shares most
 keys with others. The members of a key that still has several groups are then dealt into cells of about ``CELL``, and each cell meets
-itself, which is done for a few of the keys first, and then all others, at doubling distances in turn, so that the rounds grow
-with the logarithm of the key. Members that are in one group by then do not meet, and of those that do only pairs with enough
+itself, which is done for a few of the keys first. After that they are dealt into ``BLOCKS`` larger cells, however many they are, and
+each meets itself and then all others, at doubling distances in turn. So a member is handed on at most 1 + BLOCKS times or so, and what
+grows with the square of a key are comparisons inside tasks only. Only keys of more than BLOCKS * BLOCK_SHINGLES shingles or
+BLOCKS * BLOCK_MEMBERS members have more blocks, for a block has to fit a task. Members that are in one group by then do not meet, and of those that do only pairs with enough
 equal marks leave the task, and no more of them than the cell has members. Cells with more (``crowded``: a family whose members are
-all alike, but mostly not alike enough) meet once more with whole sets: their links are found inside the task, and those leave it
-that join what they link, less than one for each member. At the end any two members of a key have met or are in one group: nothing
-else is left to chance.
+all alike, but mostly not alike enough) meet once more with whole sets: their links are found inside the task, ``CELL`` by ``CELL`` members
+at a time, and those leave it that join what they link, less than one for each member. At the end any two members of a key have met or
+are in one group: nothing else is left to chance.
 
 Why not the Golay keys of ``simhash`` alone: their links differ in at most three of 64 bits, and pairs of similarity 0.8 to 1 mostly
 differ in four to eleven.
@@ -39,6 +41,7 @@ from ruletrace.llm.components import components
 from ruletrace.llm.simhash import grouped
 
 WIDTH, BANDS, ROWS, CELL = 5, 32, 6, 128
+BLOCKS, BLOCK_MEMBERS, BLOCK_SHINGLES = 5, 1 << 15, 1 << 20
 AGREE = 123
 #: The first rounds take 1, then 3, then the other 12 of 16 parts of the keys.
 FIRST_PARTS, PARTS = ((0, 1), (1, 4), (4, 16)), 16
@@ -215,6 +218,13 @@ def _shared(sets: list[np.ndarray], own: int, itself: bool) -> np.ndarray:
     return out
 
 
+def _strips(n: int, own: int, itself: bool) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of about CELL of n members that meet: the first ``own`` and all, or the first ``own`` and the others."""
+    for lo in range(0, own, CELL):
+        for first in range(lo if itself else own, n, CELL):
+            yield lo, min(lo + CELL, own), first, min(first + CELL, n)
+
+
 def _crowd_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of members of two cells with whole sets, those that join two groups of the cells' members first."""
     up, down = LEAST
@@ -228,22 +238,21 @@ def _crowd_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
             sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
             own = int((fields.field("far").to_numpy() == 0).sum())
-            others = 0 if itself else own
-            n = np.diff(ends)
-            links = _shared(sets, own, itself) * (up + down) >= up * (n[:own, None] + n[None, others:])
-            links &= label[:own, None] != label[None, others:]
-            group = {int(v): int(v) for v in np.unique(label)}
-
-            def root(v: int) -> int:
-                while group[v] != v:
-                    group[v] = v = group[group[v]]
-                return v
-
-            for x, y in zip(*np.nonzero(links), strict=True):
-                r, q = root(int(label[x])), root(int(label[others + y]))
-                if r != q:
-                    group[r] = q
-                    found.append(sorted((int(node[x]), int(node[others + y]))))
+            n, (groups, group) = np.diff(ends), np.unique(label, return_inverse=True)
+            root = np.arange(len(groups))
+            for lo, hi, first, last in _strips(len(sets), own, itself):
+                here = root[group]
+                if len(np.unique(np.concatenate([here[lo:hi], here[first:last]]))) == 1:
+                    continue
+                alone = lo == first
+                shared = _shared(sets[lo:hi] if alone else sets[lo:hi] + sets[first:last], hi - lo, alone)
+                links = shared * (up + down) >= up * (n[lo:hi, None] + n[None, first:last])
+                links &= here[lo:hi, None] != here[None, first:last]
+                for x, y in zip(*np.nonzero(links), strict=True):
+                    r, q = root[group[lo + x]], root[group[first + y]]
+                    if r != q:
+                        root[root == r] = q
+                        found.append(sorted((int(node[lo + x]), int(node[first + y]))))
         pairs = np.array(found, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -285,6 +294,38 @@ def rounds(cells: int) -> Iterator[tuple[int, int, tuple[int, int]]]:
         turn += 1
 
 
+def turns(blocks: int, larger: bool) -> Iterator[tuple[str, int, int, tuple[int, int]]]:
+    """(column with the number of cells, nearest, farthest, parts of the keys) of all rounds, for keys of at most so many blocks.
+
+    ``larger`` says whether blocks of some key are larger than its cells.
+    """
+    all_rounds = list(rounds(blocks))
+    yield from (("cells", *r) for r in all_rounds if not r[0])
+    if larger:
+        yield "blocks", 0, 0, (0, PARTS)
+    yield from (("blocks", *r) for r in all_rounds if r[0])
+
+
+def divided(members: str, shingles: str) -> list[Column]:
+    """Into how many cells and blocks a key with so many members and shingles is dealt."""
+    cells = F.ceil(F.col(members) / CELL)
+    blocks = F.greatest(F.lit(BLOCKS), F.ceil(F.col(members) / BLOCK_MEMBERS), F.ceil(F.col(shingles) / BLOCK_SHINGLES))
+    return [cells.alias("cells"), F.least(cells, blocks).alias("blocks")]
+
+
+def seated(dealt: DataFrame, nearest: int, farthest: int) -> DataFrame:
+    """The members (key, node, n, label, marks, in a cell of so many) at every place where they meet others in a round."""
+    # A key of k cells needs distances up to k / 2: farther ones are near from the other side.
+    far = F.sequence(F.lit(nearest), F.least(F.lit(farthest), F.greatest(F.lit(nearest), F.floor(F.col("cells") / 2).cast("int"))))
+    rows = dealt.withColumn("distance", F.explode(far))
+    member = [F.struct(F.lit(k).alias("far"), "node", "n", "label", "marks") for k in (0, 1)]
+    own = rows.select("key", "distance", "cell", member[0].alias("member"))
+    if nearest:
+        own = own.unionByName(rows.select(
+            "key", "distance", F.pmod(F.col("cell") - F.col("distance"), F.col("cells")).alias("cell"), member[1].alias("member")))
+    return own
+
+
 def alike_in_bits(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of a node and the smallest one of its group of fingerprints, at most three bits from link to link."""
     rows = settled(nodes.select(F.col("node").alias("doc_id"), "fp"), "fingerprints")
@@ -302,7 +343,8 @@ def linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
     nodes = settled(marks.select("node", "n", "fp", "keys", "marks").dropDuplicates(["node"]), "nodes")
     keys = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = settled(keys.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("members")).where("members > 1"), "shared-keys")
+    shared = settled(keys.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+                     .where("members > 1").select("of", "members", *divided("members", "shingles")), "shared-keys")
     members = settled(keys.join(shared, F.col("key") == F.col("of")).drop("of"), "members")
     degrees = members.groupBy(F.col("node").alias("of")).agg(F.sum("members").alias("degree"))
     ranked = members.join(degrees, F.col("node") == F.col("of")).drop("of")
@@ -317,30 +359,24 @@ def _linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
     sets = settled(sets_of(docs, wanted), "sets")
     links = settled(verified(sets, met), "links")
     roots = settled(components(links), "components")
-    marked = nodes.select(F.col("node").alias("of"), "marks")
-    # Labels are looked up once for each node, not for each of its keys.
-    holders = settled(members.groupBy("node", "n").agg(F.collect_list(F.struct("key", "members")).alias("own")), "holders")
+    # Labels and marks are looked up once for each node, not for each of its keys.
+    holders = members.groupBy(F.col("node").alias("of")).agg(F.collect_list(F.struct("key", "cells", "blocks")).alias("own"))
+    holders = settled(nodes.select("node", "n", "marks").join(holders, F.col("node") == F.col("of")).drop("of"), "holders")
     labelled = _labelled(holders, roots)
-    largest = members.agg(F.max("members")).first()[0] or 0
-    for nearest, farthest, (lo, hi) in rounds(-(-largest // CELL)):
-        named = labelled.select("node", "n", "label", F.explode("own").alias("_own")) \
-            .select("_own.key", "node", "n", F.ceil(F.col("_own.members") / CELL).alias("cells"), "label") \
-            .where(F.col("cells") >= 2 * nearest).where(F.pmod("key", F.lit(PARTS)).between(lo, hi - 1))
+    blocks, larger = shared.agg(F.max("blocks"), F.max(F.col("cells") > F.col("blocks"))).first()
+    for into, nearest, farthest, (lo, hi) in turns(blocks or 0, bool(larger)):
+        named = labelled.select("node", "n", "label", "marks", F.explode("own").alias("_own")) \
+            .where(F.pmod("_own.key", F.lit(PARTS)).between(lo, hi - 1)) \
+            .where("_own.cells > _own.blocks" if into == "blocks" and not nearest else F.col(f"_own.{into}") >= 2 * nearest) \
+            .select("_own.key", "node", "n", "label", "marks", F.col(f"_own.{into}").alias("cells"))
         several = named.groupBy(F.col("key").alias("of")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
         dealt = settled(named.join(several.select("of"), F.col("key") == F.col("of"), "left_semi")
                         .withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells"))), "dealt")
         if dealt.isEmpty():
-            if (lo, hi) == (0, PARTS):  # keys of later rounds are among these, and groups only grow
+            if nearest:  # keys of later rounds are among these, and groups only grow
                 break
             continue
-        # A key of k cells needs distances up to k / 2: farther ones are near from the other side.
-        far = F.sequence(F.lit(nearest), F.least(F.lit(farthest), F.greatest(F.lit(nearest), F.floor(F.col("cells") / 2).cast("int"))))
-        rows = dealt.join(marked, F.col("node") == F.col("of")).withColumn("distance", F.explode(far))
-        member = [F.struct(F.lit(k).alias("far"), "node", "n", "label", "marks") for k in (0, 1)]
-        own = rows.select("key", "distance", "cell", member[0].alias("member"))
-        if nearest:
-            own = own.unionByName(rows.select(
-                "key", "distance", F.pmod(F.col("cell") - F.col("distance"), F.col("cells")).alias("cell"), member[1].alias("member")))
+        own = seated(dealt, nearest, farthest)
         # About as many members as a cell or two have, however many the key has.
         itself = (F.col("distance") == 0).alias("itself")
         found = settled(own.groupBy(*CELL_KEY).agg(F.collect_list("member").alias("members")).select(*CELL_KEY, itself, "members")
@@ -352,8 +388,11 @@ def _linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
             met = met.unionByName(pairs)
             more.append(settled(verified(sets, pairs), "links"))
         if not crowded.isEmpty():
-            crowd = own.join(crowded, [F.col(c) == F.col(f"_{c}") for c in CELL_KEY], "left_semi").select(*CELL_KEY, "member.*") \
-                .join(sets.withColumnRenamed("node", "of"), F.col("node") == F.col("of"))
+            # Sets are looked up once for each node, not for each of its places.
+            places = own.join(crowded, [F.col(c) == F.col(f"_{c}") for c in CELL_KEY], "left_semi") \
+                .groupBy("member.node", "member.label").agg(F.collect_list(F.struct(*CELL_KEY, "member.far")).alias("places"))
+            crowd = places.join(sets.withColumnRenamed("node", "of"), F.col("node") == F.col("of")) \
+                .select("node", "label", "shingles", F.explode("places").alias("_place")).select("_place.*", "node", "label", "shingles")
             crowd = crowd.groupBy(*CELL_KEY).agg(F.collect_list(F.struct("far", "node", "label", "shingles")).alias("members"))
             more.append(settled(crowd.select(itself, "members").mapInArrow(_crowd_links, "a long, b long").distinct(), "links"))
         more = [m for m in more if not m.isEmpty()]
@@ -367,7 +406,7 @@ def _linked(docs: DataFrame, marks: DataFrame) -> DataFrame:
 def _labelled(holders: DataFrame, roots: DataFrame) -> DataFrame:
     """The nodes that share keys, with the root of each in ``label``."""
     return settled(holders.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-                   .select("node", "n", "own", F.coalesce("root", "node").alias("label")), "labelled")
+                   .select("node", "n", "marks", "own", F.coalesce("root", "node").alias("label")), "labelled")
 
 
 def one_of_near_copies(docs: DataFrame) -> DataFrame:

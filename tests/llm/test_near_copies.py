@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from ruletrace.llm import near_copies
 from tests.llm.samples import blank_words, doc_rows, docs, lowered
 
@@ -146,6 +148,36 @@ def test_cells_at_all_distances_meet():
     assert sorted(k for lo, hi in near_copies.FIRST_PARTS for k in range(lo, hi)) == list(range(near_copies.PARTS))
 
 
+def handed_on(spark, n):
+    """Rows that all rounds make of one key with n members, none of which are ever in one group."""
+    members = spark.range(n).selectExpr("7L AS key", "id AS node", "10L AS n", "id AS label", "CAST('' AS BINARY) AS marks")
+    (cells, blocks), = spark.sql(f"SELECT {n}L AS m, {10 * n}L AS s").select(*near_copies.divided("m", "s")).collect()
+    rows = 0
+    for into, nearest, farthest, parts in near_copies.turns(blocks, cells > blocks):
+        dealt = members.withColumn("cells", F.lit(cells if into == "cells" else blocks)) \
+            .withColumn("cell", F.expr("pmod(xxhash64(node), cells)"))
+        rows += near_copies.seated(dealt, nearest, farthest).count() if parts in ((0, 1), (0, near_copies.PARTS)) else 0
+    return rows
+
+
+def test_members_of_a_large_key_are_not_handed_on_to_all_others(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CELL", 16)
+    assert handed_on(spark, 6000) == 10 * handed_on(spark, 600) == 6 * 6000
+
+
+def test_blocks_fit_a_task(spark):
+    rows = spark.createDataFrame([(100, 1000), (10_000, 10_000), (1 << 20, 1 << 20), (10_000, 100 << 20)], "m long, s long")
+    assert [tuple(r) for r in rows.select(*near_copies.divided("m", "s")).collect()] == [(1, 1), (79, 5), (8192, 32), (79, 79)]
+
+
+def test_strips_of_a_crowd_meet_once(monkeypatch):
+    monkeypatch.setattr(near_copies, "CELL", 4)
+    for n, own, itself in ((11, 11, True), (11, 6, False), (3, 3, True), (9, 1, False)):
+        met = [frozenset((x, y)) for lo, hi, first, last in near_copies._strips(n, own, itself)
+               for x in range(lo, hi) for y in range(first, last) if lo != first or x < y]
+        assert len(met) == len(set(met)) == (n * (n - 1) // 2 if itself else own * (n - own))
+
+
 def test_no_rows(spark):
     assert near_copies.one_of_near_copies(docs(spark, []).limit(0)).count() == 0
 
