@@ -1,4 +1,6 @@
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from frames import at, booking, frame
 from ruletrace.operators import distribution as d, intervals
 from ruletrace.operators.intervals import overlap_counts, overlap_pairs, overlapping_work, sweep
 from ruletrace.operators.ordered import next_in_group, numbered
+from ruletrace.session import CLEANUP, settled
 
 
 def rows(df, *columns):
@@ -38,6 +41,14 @@ def test_windows_agree_when_groups_are_cut_into_pieces(skewed):
     assert sorted((r.id, str(r.nt)) for r in times.collect()) == sorted((i, t) for i, _, t in following)
 
 
+def test_small_groups_are_windowed_as_they_lie(skewed):
+    small = skewed.filter("g <> 'hot'").repartition(3, "g")
+    got = next_in_group(skewed.filter("g = 'hot'"), ["g"], ["t", "id"], {"nv": "v", "nt": "t"}, small=small)
+    assert sorted((r.id, -1 if r.nv is None else r.nv, str(r.nt)) for r in got.collect()) == expected(skewed)
+    plan = next_in_group(skewed.limit(0), ["g"], ["t", "id"], {"nt": "t"}, small=small)
+    assert plan.count() == small.count()
+
+
 def test_numbers_follow_the_order(skewed):
     got = numbered(skewed, [F.col("g"), F.desc("t"), F.col("id")]).collect()
     got.sort(key=lambda r: r.place)
@@ -111,6 +122,37 @@ def test_resources_in_one_piece_and_in_many(spark, seed, backwards, monkeypatch)
     assert got == sorted(p for p in pairs(overlap_pairs(df)) if chosen & set(p))
 
 
+def test_a_sweep_in_parts_is_the_sweep(spark, monkeypatch):
+    """Busy resources are cut into pieces, the others are dealt by resource and swept as they lie."""
+    bookings = random_bookings(6, True)
+    many = frame(spark, "assignments", bookings).withColumn("many", F.when(F.col("resource_id") == "r0", 99).otherwise(1))
+    monkeypatch.setattr(intervals, "WHOLE", 50)
+    few = many.filter("many = 1").repartition(3, "resource_id")
+    whole, parts = sweep(many, many="many"), sweep(many, many="many", parts=[many.filter("many = 99"), few])
+    columns = ["resource_id", "work_id", "_piece", "net", "entries", "pairs", "share", "backwards"]
+    every = lambda swept: sorted(map(str, swept.table.select(columns).collect()))
+    assert every(parts) == every(whole)
+    per_resource = {}
+    for a, _ in brute_pairs(bookings):
+        per_resource[a["resource_id"]] = per_resource.get(a["resource_id"], 0) + 1
+    assert rows(overlap_counts(parts).filter("pairs > 0"), "resource_id", "pairs") == sorted(per_resource.items())
+
+
+def test_what_is_settled_leaves_no_shuffle_files(spark):
+    """The frame is still held, so nothing but the end of the statement can have removed them."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {str(p) for folder in folders for p in Path(folder).rglob("shuffle_*.data")}
+    before, held = files(), spark.range(20000).groupBy(F.col("id") % 5000).count()
+    assert settled(held, "held").count() == 5000
+    conf = spark.conf.get(CLEANUP)
+    until = time.time() + 20
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    # What is left belongs to the count after it: one row for each task.
+    assert sum(Path(p).stat().st_size for p in left if Path(p).exists()) < 5000
+    assert conf == "false" and held.count() == 5000
+
+
 def test_a_narrowed_join_leaves_out_what_it_cannot_meet(spark):
     """Starts are copied only into tiers that the narrow role has, and only those within its times."""
     df = frame(spark, "assignments", [booking(n, "r", f"w{n}", 30 * n, 30 * n + 50) for n in range(400)])

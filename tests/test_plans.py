@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 
@@ -6,6 +7,9 @@ from checks import oracle, views
 from frames import at, booking, landing, resource
 from test_operators import brute_pairs, random_bookings
 from ruletrace.guards import Guards
+from ruletrace.operators import intervals
+from ruletrace.plans.facts import facts
+from ruletrace.session import ensure_checkpoint_dir
 from ruletrace.plans import (bookings, candidates, ceilings, days, evidence, override_detail, overrides, peaks,
                              population, scoring)
 
@@ -48,6 +52,48 @@ def test_gap_counts_minute_marks(spark):
     assert bookings.gaps(t, 2).first().gap_minutes == 30
 
 
+@pytest.mark.parametrize("whole", [1 << 14, 20])
+def test_gaps_and_overlaps_do_not_depend_on_who_is_busy(spark, monkeypatch, whole):
+    """With ``whole`` 20 most resources are cut into pieces, two are known twice, and one is not known."""
+    for module in (bookings, intervals):
+        monkeypatch.setattr(module, "WHOLE", whole)
+    booked = [b for b in random_bookings(7, True) if b["resource_id"]]
+    known = ["r0", "r0", "r1", "r2", "r2", "r3"]
+    t = landing(spark, resources=[resource(r) for r in known], assignments=booked)
+
+    times, kept = {}, {r: known.count(r) for r in known}
+    for b in booked:
+        if None not in (b["start_ts"], b["end_ts"]):
+            times.setdefault(b["resource_id"], []).append(b)
+    kept = {r: n for r, n in kept.items() if len(times.get(r, [])) >= 2}
+    lengths, least = {}, {}
+    for r, n in kept.items():
+        rows = sorted(times[r] * n, key=lambda b: (b["start_ts"], b["assignment_id"]))
+        own = [(y["start_ts"] - x["end_ts"]).total_seconds() // 60 for x, y in zip(rows, rows[1:])]
+        for gap in (g for g in own if g >= 0):
+            lengths[gap] = lengths.get(gap, 0) + 1
+        if any(g >= 0 for g in own):
+            low = min(g for g in own if g >= 0)
+            least[low] = least.get(low, 0) + 1
+    got = {r.gap_minutes: (r.n, r.resources) for r in bookings.gap_counts(facts(t), 2).collect()}
+    assert got == {g: (n, least.get(g, 0)) for g, n in lengths.items()}
+
+    pairs = sum(kept.get(a["resource_id"], 0) ** 2 for a, _ in brute_pairs(booked))
+    assert one(bookings.exclusivity(t, FEW))["overlapping_pairs"] == pairs
+
+
+def test_a_run_copies_neither_bookings_nor_changes(spark):
+    """They are the largest tables; what a run writes of them are counts and sums."""
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    t = landing(spark, resources=[resource("van")], assignments=spaced(45, 61), changes=[
+        dict(change_id=f"ch{n}", entity_table="work", entity_id=f"van{n}", field="f", old_value="x",
+             new_value="y", changed_at=at(0), changed_by="ann") for n in range(4)])
+    assert {r.probe for r in candidates.candidates(t).collect()} >= {"p03", "p08"}
+    written = {p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before}
+    assert "sweep" in written and not {"assignments", "bookings", "changes"} & written
+
+
 def test_two_roles_make_two_pairs_but_one_pair_of_jobs(spark):
     t = landing(spark, resources=[resource("ann", "person")], assignments=[
         booking(1, "ann", "w1", 0, 60, "lead"), booking(2, "ann", "w1", 0, 60, "driver"),
